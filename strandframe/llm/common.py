@@ -140,13 +140,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     for i in np.flatnonzero(lens > 24):
         rest = data[starts[i] + 24 : ends[i]].astype(np.uint64) + np.uint64(1)
         if len(rest) > len(_MULT) - 24:  # very long words: fold pieces one after another
-            h = out[i]
             for at in range(0, len(rest), 2048):
                 piece = rest[at : at + 2048]
-                h = mix64(h + (piece * _MULT[24 : 24 + len(piece)]).sum(dtype=np.uint64))
-            out[i] = h
+                out[i : i + 1] = mix64(out[i : i + 1] + (piece * _MULT[24 : 24 + len(piece)]).sum(dtype=np.uint64))
         else:
-            out[i] += (rest * _MULT[24 : 24 + len(rest)]).sum(dtype=np.uint64)
+            out[i : i + 1] += (rest * _MULT[24 : 24 + len(rest)]).sum(dtype=np.uint64)
     return mix64(out + lens.astype(np.uint64))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, mixing
+from . import decontamination, line_dedup, mixing, near_dedup, substring_dedup
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op5_line_dedup": line_dedup.query,
     "op6_decontamination": decontamination.query,
+    "op7_near_dedup": near_dedup.query,
+    "op10_substring_dedup": substring_dedup.query,
 }
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
