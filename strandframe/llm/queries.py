@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, mixing, near_dedup, substring_dedup
+from . import ann, decontamination, language_id, line_dedup, lm, mixing, near_dedup, quality, substring_dedup, token_shards
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op2_token_shards": token_shards.query,
+    "op3_lm_score": lm.query,
+    "op4_nearest": ann.query,
     "op5_line_dedup": line_dedup.query,
     "op6_decontamination": decontamination.query,
     "op7_near_dedup": near_dedup.query,
+    "op8_language_id": language_id.query,
+    "op9_quality": quality.query,
     "op10_substring_dedup": substring_dedup.query,
 }
 ORACLES = {
