@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import load, small_batches
+from .common import load, sampled, small_batches
 
 BITS, CHUNKS, RADIUS = 64, 8, 31
 #: Rows of the sample that the rotation is learned from.
@@ -127,8 +127,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, radius: int = R
     if first is None:
         return spark.createDataFrame([], schema)
     rows, asked = rows.where(F.size("vec") == first["n"]), asked.where(F.size("vec") == first["n"])
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toPandas()
-    mean, axes = learn_rotation(np.array(sample["vec"].tolist(), dtype=np.float64))
+    mean, axes = learn_rotation(np.array([r["vec"] for r in sampled(rows, SAMPLE, "id", "vec")], dtype=np.float64))
     blocks, parts = max(1, math.ceil(rows.count() / BLOCK)), max(1, math.ceil(asked.count() / QUERY_BLOCK))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -74,6 +74,16 @@ def total_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
+def sampled(df: DataFrame, n: int, *keys: str) -> list:
+    """The n rows with the least hash of their keys, in order of it; few more rows than those reach the driver, whatever the number of partitions."""
+    hashed = df.withColumn("_hash", F.xxhash64(*keys))
+    least = hashed.select("_hash").orderBy("_hash").limit(n).agg(F.max("_hash")).first()[0]
+    if least is None:
+        return []
+    rows = hashed.where(F.col("_hash") <= least).limit(n).collect()
+    return sorted(rows, key=lambda r: (r["_hash"], repr(r)))
+
+
 def with_block(docs: DataFrame, blocks: int, *keys: str) -> DataFrame:
     """Deals rows evenly into blocks by a hash of their keys; block sizes don't depend on how often a text occurs."""
     return docs.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))

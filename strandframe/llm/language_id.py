@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, load, pieces, small_batches, text_bytes
+from .common import crc_mod, load, pieces, sampled, small_batches, text_bytes
 
 HIDDEN, WINDOW, MARGIN = 8, 96, 16
 SAMPLE, WINDOWS, STEPS, BATCH = 1_200, 6, 500, 128
@@ -163,10 +163,10 @@ def _predict(batches, p: dict | None, langs: list[str]):
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), pa.array(lang), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[dict | None, list[str]]:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[dict | None, list[str]]:
     """The network and the languages, from a bounded sample of the labelled rows."""
-    sample = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    rows = sample.orderBy(F.xxhash64("t", "l"), "t", "l").limit(SAMPLE).collect()
+    sample = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    rows = sampled(sample, SAMPLE, "i", "t")
     langs = sorted({r["l"] for r in rows})
     if not langs:
         return None, []

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, load, mix64, pieces, small_batches, text_bytes, word_hashes, word_spans
+from .common import crc_mod, load, mix64, pieces, sampled, small_batches, text_bytes, word_hashes, word_spans
 
 WIDTH, RANK, NEIGHBOURS, SHARP = 4096, 48, 15, 4
 #: Labelled rows that are learned from, at most, and as many of each label as can be.
@@ -91,12 +91,12 @@ def _weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.hstack([0.5 * _unit(x[:, :WIDTH]), _unit(x[:, WIDTH:])])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", seed: int = 9) -> dict | None:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 9) -> dict | None:
     """Weights, axes, the sample's vectors and labels; None without labelled rows."""
     rows = []
     for label in (0, 1):  # half each, as far as they go
-        own = labelled.where(F.col(label_col) == label).select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-        rows += [(r["t"], label) for r in own.orderBy(F.xxhash64("t"), "t").limit(SAMPLE // 2).collect()]
+        own = labelled.where(F.col(label_col) == label).select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+        rows += [(r["t"], label) for r in sampled(own, SAMPLE // 2, "i", "t")]
     if not rows:
         return None
     x = np.vstack([features(pa.array([t for t, _ in rows[i : i + 200]])) for i in range(0, len(rows), 200)])
