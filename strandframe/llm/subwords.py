@@ -17,7 +17,7 @@ _GAP = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{2
 #: Texts with a space beside another white space or at a border are encoded whole; others from space to space.
 _KNOTTY = rf"^ | $|{_GAP} | {_GAP}"
 LONGEST = 512  # characters of one piece in the cache
-CACHED = 250_000
+CACHED = 150_000
 
 _encoders: dict = {}
 _cache: dict[str, bytes] = {}
