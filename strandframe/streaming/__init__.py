@@ -1,0 +1 @@
+"""The data model has no streams; this package holds nothing yet."""
