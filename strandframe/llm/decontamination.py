@@ -21,6 +21,8 @@ from .common import ascii_lower, broadcast_up_to, checkpointed, load, text_hash,
 
 #: ASCII letters and digits, and all that isn't ASCII.
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A-Z are lower-cased.
+RAW_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def terms_of(text: Column) -> Column:
@@ -35,11 +37,17 @@ def windows_of(benchmark: DataFrame, n: int, item_col: str = "item_id", text_col
 
 
 def _places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("_id"), text_hash(text_col).alias("_h"), F.posexplode(terms_of(F.col(text_col))).alias("_pos", "_term"))
+    """(_id, _h, _pos, _term) of each word, and an empty term at the end of each text, whose place is the number of words.
 
+    Words are lower-cased one by one, since most are ASCII, where that is fast.
+    """
+    raw = F.concat(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(RAW_TERM), F.lit(0)), F.array(F.lit("")))
+    words = docs.select(F.col(id_col).alias("_id"), text_hash(text_col).alias("_h"), F.posexplode(raw).alias("_pos", "_raw"))
+    return words.select("_id", "_h", "_pos", ascii_lower(F.col("_raw")).alias("_term"))
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The matches (_id, _h, _win, _start, _len, _exact), and the windows' items (_win, _item). _start counts from 0."""
+
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The matches (_id, _h, _win, _start, _len, _exact), the windows' items (_win, _item), and all rows' (_id, _h, _n_words). _start counts from 0."""
     items = checkpointed(windows_of(benchmark, n).select("_item", "_window", F.xxhash64("_window").alias("_win")))
     windows = checkpointed(items.groupBy("_win").agg(F.first("_window").alias("_window")))
     terms = checkpointed(windows.select(F.explode("_window").alias("_term")).distinct())
@@ -49,9 +57,10 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int
     by_rarity = Window.partitionBy("_win").orderBy("_tf", "_term", "_off")
     ranked = spread.withColumn("_least", F.min(F.coalesce("_tf", F.lit(0))).over(Window.partitionBy("_win"))).withColumn("_slot", F.row_number().over(by_rarity))
     anchors = checkpointed(ranked.where("_least > 0 AND _slot <= 2").select("_win", "_len", "_off", "_term", "_slot"))
-    rare = checkpointed(anchors.select("_term").distinct())
+    rare = checkpointed(anchors.select("_term").distinct().union(docs.sparkSession.createDataFrame([("",)], "_term string")))
     postings = written(_places(docs, id_col, text_col).join(broadcast_up_to(rare, rare.count()), "_term"))
-    lists = postings.join(broadcast_up_to(anchors, anchors.count()), "_term").withColumn("_start", F.col("_pos") - F.col("_off"))
+    sizes = postings.where("_term = ''").select("_id", "_h", F.col("_pos").cast("long").alias("_n_words"))
+    lists = postings.where("_term <> ''").join(broadcast_up_to(anchors, anchors.count()), "_term").withColumn("_start", F.col("_pos") - F.col("_off"))
     needed = F.least(F.col("_len"), F.lit(2))
     if slop:  # starts in cells of slop + 1 words; a start is also tried in the cell before it, so near ones meet
         cell = F.floor(F.col("_start") / (slop + 1)).cast("int")
@@ -63,13 +72,13 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int
     found = near.join(broadcast_up_to(windows, windows.count()), "_win").groupBy("_id", "_h").agg(F.collect_set(F.struct("_win", "_start", "_window")).alias("_found"))
     found = checkpointed(found)
     texts = docs.select(F.col(id_col).alias("_d"), text_hash(text_col).alias("_dh"), F.col(text_col).alias("_text"))
-    held = texts.join(broadcast_up_to(found, found.count(), 2_000), F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_dh") == F.col("_h")))
+    held = texts.join(found, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_dh") == F.col("_h")))
     placed = held.select("_id", "_h", terms_of(F.col("_text")).alias("_terms"), "_found")
     exact = lambda x: (x["_start"] >= 0) & (F.slice(F.col("_terms"), F.greatest(x["_start"], F.lit(0)) + 1, F.size(x["_window"])) == x["_window"])
     around = lambda x: F.slice(F.col("_terms"), F.greatest(x["_start"] - slop, F.lit(0)) + 1, F.size(x["_window"]) + 2 * slop)
     close = (lambda x: exact(x) | (F.size(F.array_except(x["_window"], around(x))) == 0)) if slop else exact
     sure = placed.select("_id", "_h", F.explode(F.transform(F.filter("_found", close), lambda x: F.struct(x["_win"].alias("_win"), x["_start"].alias("_start"), F.size(x["_window"]).alias("_len"), exact(x).alias("_exact")))).alias("_m"))
-    return sure.select("_id", "_h", "_m.*"), items.select("_win", "_item")
+    return sure.select("_id", "_h", "_m.*"), items.select("_win", "_item"), sizes
 
 
 def _union_size(spans: Column) -> Column:
@@ -78,28 +87,28 @@ def _union_size(spans: Column) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step)["n"]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _h, _n_hit, _items) of the documents with an exact match; _items are the item_ids as strings, sorted."""
-    matches, items = phrase_matches(docs, benchmark, n, 0, id_col, text_col)
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(_id, _h, _n_hit, _items) of the documents with an exact match; _items are the item_ids as strings, sorted. And all rows' (_id, _h, _n_words)."""
+    matches, items, sizes = phrase_matches(docs, benchmark, n, 0, id_col, text_col)
     hits = matches.groupBy("_id", "_h").agg(F.array_sort(F.collect_set(F.struct(F.col("_start").alias("start"), (F.col("_start") + F.col("_len")).alias("end")))).alias("_spans"), F.collect_set("_win").alias("_wins"))
     hits = checkpointed(hits.select("_id", "_h", _union_size(F.col("_spans")).cast("long").alias("_n_hit"), "_wins"))
     named = hits.select("_id", "_h", F.explode("_wins").alias("_win")).join(items, "_win").groupBy("_id", "_h").agg(F.array_sort(F.collect_set(F.col("_item").cast("string"))).alias("_items"))
     left, right = hits.alias("a"), named.alias("b")
-    return left.join(right, F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._h") == F.col("b._h")), "left").select("a._id", "a._h", "a._n_hit", F.coalesce("b._items", F.array().cast("array<string>")).alias("_items"))
+    return left.join(right, F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._h") == F.col("b._h")), "left").select("a._id", "a._h", "a._n_hit", F.coalesce("b._items", F.array().cast("array<string>")).alias("_items")), sizes
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that hold a window of the benchmark."""
-    hit = contamination(docs, benchmark, n, id_col, text_col)
+    hit, _ = contamination(docs, benchmark, n, id_col, text_col)
     hashed = docs.withColumn("_dh", text_hash(text_col))
     return hashed.join(hit, hashed[id_col].eqNullSafe(hit["_id"]) & (hashed["_dh"] == hit["_h"]), "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    hit = contamination(docs, load(spark, sf_dir, "benchmark"))
-    sized = docs.select("doc_id", text_hash().alias("_dh"), F.size(terms_of(F.col("text"))).cast("long").alias("n_words"))
-    all_docs = sized.join(hit, sized["doc_id"].eqNullSafe(hit["_id"]) & (sized["_dh"] == hit["_h"]), "left")
+    hit, sizes = contamination(docs, load(spark, sf_dir, "benchmark"))
+    a, b = sizes.alias("a"), hit.alias("b")
+    all_docs = a.join(b, F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._h") == F.col("b._h")), "left").select(F.col("a._id").alias("doc_id"), F.col("_n_words").alias("n_words"), "_n_hit", "_items")
     items = F.coalesce("_items", F.array().cast("array<string>"))
     return all_docs.select("doc_id", "n_words", F.coalesce("_n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce("_n_hit", F.lit(0)) > 0).alias("contaminated"))
 
