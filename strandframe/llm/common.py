@@ -84,6 +84,16 @@ def sampled(df: DataFrame, n: int, *keys: str) -> list:
     return sorted(rows, key=lambda r: (r["_hash"], repr(r)))
 
 
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """Each row as one struct _row beside further columns, so that no column of docs can clash with an operator's own."""
+    return docs.select(F.struct("*").alias("_row"), *(c.alias(n) for n, c in more.items()))
+
+
+def unpacked(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of docs again, some of them replaced."""
+    return df.select(*(new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in docs.columns))
+
+
 def with_block(docs: DataFrame, blocks: int, *keys: str) -> DataFrame:
     """Deals rows evenly into blocks by a hash of their keys; block sizes don't depend on how often a text occurs."""
     return docs.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_up_to, checkpointed, load, text_hash, written
+from .common import ascii_lower, broadcast_up_to, checkpointed, load, packed, text_hash, unpacked, written
 
 #: ASCII letters and digits, and all that isn't ASCII.
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -100,8 +100,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that hold a window of the benchmark."""
     hit, _ = contamination(docs, benchmark, n, id_col, text_col)
-    hashed = docs.withColumn("_dh", text_hash(text_col))
-    return hashed.join(hit, hashed[id_col].eqNullSafe(hit["_id"]) & (hashed["_dh"] == hit["_h"]), "left_anti").select(*docs.columns)
+    rows = packed(docs, _row_id=F.col(id_col), _row_hash=text_hash(text_col))
+    return unpacked(rows.join(hit, F.col("_row_id").eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_h")), "left_anti"), docs)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

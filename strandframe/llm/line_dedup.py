@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, load, text_hash
+from .common import ascii_lower, load, packed, text_hash, unpacked
 
 SALTS = 64
 BLANK = " \t\n\x0b\f\r"
@@ -53,23 +53,25 @@ def kept_lines(lines: Column, keep: Column) -> Column:
 
 
 def with_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with _n_dropped and _keep, null where nothing is dropped."""
+    """(_row, _n_dropped, _keep) for each row; the last two are null where nothing is dropped."""
     marks = keep_bitmaps(docs, id_col=id_col, text_col=text_col, **options)
-    hashed = docs.withColumn("_h", text_hash(text_col))
-    return hashed.join(marks, hashed[id_col].eqNullSafe(marks["_id"]) & (hashed["_h"] == marks["_text_hash"]), "left").drop("_id", "_text_hash", "_h")
+    rows = packed(docs, _row_id=F.col(id_col), _row_hash=text_hash(text_col))
+    return rows.join(marks, F.col("_row_id").eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_text_hash")), "left").select("_row", "_n_dropped", "_keep")
+
+
+def _kept_text(text: Column) -> Column:
+    return F.when(F.col("_keep").isNull(), text).otherwise(F.array_join(kept_lines(lines_of(text), F.col("_keep")), "\n"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with the dropped lines cut out of their texts; null texts stay null."""
-    text = F.when(F.col("_keep").isNull(), F.col(text_col)).otherwise(F.array_join(kept_lines(lines_of(F.col(text_col)), F.col("_keep")), "\n"))
-    return with_bitmaps(docs, id_col, text_col, **options).withColumn(text_col, text).select(*docs.columns)
+    return unpacked(with_bitmaps(docs, id_col, text_col, **options), docs, **{text_col: _kept_text(F.col("_row").getField(text_col))})
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = with_bitmaps(docs)
-    kept = F.when(F.col("_keep").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept_lines(lines_of(F.col("text")), F.col("_keep")), "\n"))
-    return marked.select("doc_id", F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"), F.coalesce("_n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+    text = F.col("_row.text")
+    kept = F.coalesce(_kept_text(text), F.lit(""))
+    return with_bitmaps(load(spark, sf_dir, "documents").select("doc_id", "text")).select("_row.doc_id", F.size(lines_of(text)).cast("long").alias("n_lines"), F.coalesce("_n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 
 
 ORACLE = r"""

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_up_to, checkpointed
+from .common import WORD, broadcast_up_to, checkpointed, packed, unpacked
 
 
 def n_words(text: Column) -> Column:
@@ -44,31 +44,31 @@ def draw(id_col: str, seed: int) -> Column:
 
 
 def assign_copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with _size, _source_size, _target and _copies, the number of times that the mix takes the document."""
-    sized = docs.withColumn("_size", n_words(F.col(text_col)))
+    """(_row, _size, _source_size, _target, _copies) for each row; _copies is the number of times that the mix takes it."""
+    sized = packed(docs, _size=n_words(F.col(text_col)), _from=F.col(source_col), _of=F.col(id_col))
     # partial sums keep a hot source from being one task's work; the plan has one row per source
-    plan = checkpointed(source_targets(sized.groupBy(F.col(source_col).alias("_source")).agg(F.sum("_size").alias("_source_size")), weights, cap))
+    plan = checkpointed(source_targets(sized.groupBy(F.col("_from").alias("_source")).agg(F.sum("_size").alias("_source_size")), weights, cap))
     rows, salts = plan.count(), 16
     if rows <= 200_000:
-        joined = sized.join(broadcast_up_to(plan, rows), sized[source_col].eqNullSafe(plan["_source"]))
+        joined = sized.join(broadcast_up_to(plan, rows), F.col("_from").eqNullSafe(F.col("_source")))
     else:  # a shuffle join with the hot source's rows spread
         plan = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        sized = sized.withColumn("_deal", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
-        joined = sized.join(plan, sized[source_col].eqNullSafe(plan["_source"]) & (F.col("_deal") == F.col("_salt"))).drop("_salt", "_deal")
+        sized = sized.withColumn("_deal", F.pmod(F.xxhash64("_of"), F.lit(salts)).cast("int"))
+        joined = sized.join(plan, F.col("_from").eqNullSafe(F.col("_source")) & (F.col("_deal") == F.col("_salt"))).drop("_salt", "_deal")
     rate = F.when(F.col("_source_size") > 0, F.least(F.lit(float(cap)), F.col("_target") / F.col("_source_size"))).otherwise(F.lit(0.0))
-    return joined.withColumn("_copies", (F.floor(rate) + F.when(draw(id_col, seed) < rate - F.floor(rate), 1).otherwise(0)).cast("int")).drop("_source")
+    return joined.withColumn("_copies", (F.floor(rate) + F.when(draw("_of", seed) < rate - F.floor(rate), 1).otherwise(0)).cast("int")).select("_row", "_size", "_source_size", "_target", "_copies")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: each as often as assign_copies says, with the columns of docs."""
     taken = assign_copies(docs, **options).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return unpacked(taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))), docs)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import load
 
-    return assign_copies(load(spark, sf_dir, "documents")).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    return assign_copies(load(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("_row.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
 ORACLE = r"""

@@ -144,13 +144,13 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
     return narrow.mapInArrow(partial(_score, shared=spark.sparkContext.broadcast(model)), "doc_id long, held_out boolean, score double, predicted int")
 
 
-def _keep(batches, shared):
+def _keep(batches, shared, text_col: str):
     """Whole rows of the batches that the classifier accepts."""
     model = shared.value
     for batch in batches:
-        for piece in pieces(batch, "_text", 2 << 20):
-            good = [vote(model, piece.slice(i, 256).column("_text")) >= THRESHOLD for i in range(0, piece.num_rows, 256)]
-            yield piece.filter(pa.array(np.concatenate(good))).drop_columns(["_text"])
+        for piece in pieces(batch, text_col, 2 << 20):
+            good = [vote(model, piece.slice(i, 256).column(text_col)) >= THRESHOLD for i in range(0, piece.num_rows, 256)]
+            yield piece.filter(pa.array(np.concatenate(good)))
 
 
 def accept(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
@@ -158,7 +158,7 @@ def accept(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataF
     if model is None:
         return docs
     small_batches(docs.sparkSession)
-    return docs.withColumn("_text", F.col(text_col)).mapInArrow(partial(_keep, shared=docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
+    return docs.mapInArrow(partial(_keep, shared=docs.sparkSession.sparkContext.broadcast(model), text_col=text_col), docs.schema)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
