@@ -14,11 +14,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_up_to, checkpointed, packed, unpacked
+from .common import broadcast_up_to, checkpointed, packed, unpacked
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Number of runs of anything but ASCII white space: one more than the spaces, once white space is single spaces. No array of words is made."""
+    t = F.coalesce(text, F.lit(""))
+    for blank in "\t\n\x0b\x0c\r":
+        t = F.replace(t, F.lit(blank), F.lit(" "))
+    t = F.btrim(F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " +", " ")).otherwise(t), F.lit(" "))
+    return F.when(t == "", F.lit(0)).otherwise(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
