@@ -139,7 +139,7 @@ def write_shards(docs: DataFrame, path: str | None = None, ranks_path: str = sub
     offsets = spark.sparkContext.broadcast((np.cumsum(padded) - padded, padded))
     if total:
         records = texts.mapInArrow(partial(_records, ranks=ranks, length=length, offsets=offsets, total=total, key=key), "slot long, record binary")
-        dealt = records.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int")).repartitionByRange("shard").sortWithinPartitions("shard", "slot")
+        dealt = records.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int")).repartition("shard").sortWithinPartitions("shard", "slot")  # a shard is a range of slots; the ranges are known, so none are sampled
         dealt.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
     placed = manifest.mapInArrow(partial(_placed, offsets=offsets, total=total, key=key), "slot long, doc_ids array<long>, n_tokens int, crc long")
     stride = 2 * length + 1
