@@ -161,10 +161,13 @@ def accept(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataF
     return docs.mapInArrow(partial(_keep, shared=docs.sparkSession.sparkContext.broadcast(model), text_col=text_col), docs.schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The labelled rows to learn from."""
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE // 2) -> DataFrame:
+    """The labelled rows to learn from: of each label those of the `most` documents with the least hash of doc_id. Ids alone are joined and sampled; texts are only read beside the chosen ids, which are broadcast."""
     known = labels.where(crc_mod("doc_id", 4) != 2).select(F.col("doc_id").alias("_labelled"), "quality").where("quality IS NOT NULL")
-    return docs.select("doc_id", "text").join(known, docs["doc_id"] == known["_labelled"])
+    ids = docs.select("doc_id").join(known, F.col("doc_id") == F.col("_labelled")).select("_labelled", "quality").distinct()
+    chosen = [(r["_labelled"], label) for label in (0, 1) for r in sampled(ids.where(F.col("quality") == label), most, "_labelled")]
+    picked = docs.sparkSession.createDataFrame(chosen, "_labelled long, quality int")
+    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_labelled"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
