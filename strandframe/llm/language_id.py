@@ -66,15 +66,17 @@ def _logits(p: dict, f: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _back(x: np.ndarray, rec: np.ndarray, tape: list, grad: np.ndarray, size: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the byte table and the state matrix, by backpropagation through time."""
-    dx, drec, dh = np.zeros(size, np.float32), np.zeros_like(rec), np.zeros_like(grad[0])
+    drec, dh, parts = np.zeros_like(rec), np.zeros_like(grad[0]), []
     for t in range(len(tape) - 1, -1, -1):
         h, z, c = tape[t]
         dh = dh + grad[t]
         da = np.concatenate([dh * (c - h) * z * (1 - z), dh * z * (1 - c * c)])
-        np.add.at(dx, x[t], da.T)
+        parts.append(da)
         drec += da @ h.T
         dh = dh * (1 - z) + rec.T @ da
-    return dx, drec
+    byte, each = x[::-1].ravel(), np.concatenate(parts, axis=1)
+    dx = np.column_stack([np.bincount(byte, weights=d, minlength=size[0]) for d in each])
+    return dx.astype(np.float32), drec
 
 
 def _gradient(p: dict, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
