@@ -21,8 +21,8 @@ from .common import ascii_lower, broadcast_up_to, checkpointed, load, packed, te
 
 #: ASCII letters and digits, and all that isn't ASCII.
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same before A-Z are lower-cased.
-RAW_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts words before A-Z are lower-cased.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def terms_of(text: Column) -> Column:
@@ -39,11 +39,12 @@ def windows_of(benchmark: DataFrame, n: int, item_col: str = "item_id", text_col
 def _places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _h, _pos, _term) of each word, and an empty term at the end of each text, whose place is the number of words.
 
-    Words are lower-cased one by one, since most are ASCII, where that is fast.
+    Words are lower-cased one by one, since most are ASCII, where that is fast. Between two added spaces every text
+    splits into an empty string, its words and another empty string.
     """
-    raw = F.concat(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(RAW_TERM), F.lit(0)), F.array(F.lit("")))
-    words = docs.select(F.col(id_col).alias("_id"), text_hash(text_col).alias("_h"), F.posexplode(raw).alias("_pos", "_raw"))
-    return words.select("_id", "_h", "_pos", ascii_lower(F.col("_raw")).alias("_term"))
+    raw = F.split(F.concat(F.lit(" "), F.coalesce(F.col(text_col), F.lit("")), F.lit(" ")), GAP)
+    words = docs.select(F.col(id_col).alias("_id"), text_hash(text_col).alias("_h"), F.posexplode(raw).alias("_k", "_raw")).where("_k > 0")
+    return words.select("_id", "_h", (F.col("_k") - 1).alias("_pos"), ascii_lower(F.col("_raw")).alias("_term"))
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
