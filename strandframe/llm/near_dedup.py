@@ -5,13 +5,19 @@ are one class from the start. Each class has TREES * DEPTH minhashes; tree t ord
 begins with its own DEPTH hashes and goes on with single bytes of the others, so where many share a prefix, the order
 looks deeper there: depth adapts to the region. The labels are partitioned by range and sorted, and a stream over each
 partition pairs a class with its neighbours by longest common prefix, if they share MIN_DEPTH hashes: the REACH
-before it, and the first of its region, which ties large regions together. Pairs whose signatures agree far below
-the threshold are left out (six standard errors); the others are confirmed on full sets. Confirmed links become
-components by alternating large-star and small-star steps, a join and an aggregate each.
+before it, and the first of its region. Pairs whose signatures agree far below the threshold are left out (six
+standard errors); the others are confirmed on full sets. Confirmed links become components by alternating large-star
+and small-star steps, a join and an aggregate each.
 
 Confirming goes in two rounds: first the best pair of each class, then only pairs that still join two components, so
 groups of thousands of near copies cost a few confirmations each and no group's pairs are all made.
 
+In a region of more than REACH + 2 classes the stream leaves pairs out, so what it didn't link is paired afterwards: each
+class outside the region's largest component meets, block by block, every class of the region in another component. Any
+two classes of a region in different components are such a pair. Regions with the same largest component are taken
+together, so that a set isn't sent once a tree. A block has the full sets and goes on until each of its
+pairs is either refuted or within one component; only the links that join two components leave it.
+
 Defined cases: null or blank text has an empty set and is linked with nothing; equal sets have similarity 1 and are
 linked whatever the texts; rows that share a doc_id share a component; a null doc_id has a null component and is kept;
 an empty table gives an empty result.
@@ -29,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, load, mix64, pieces, run_hashes, small_batches, text_bytes, text_hash, word_hashes, word_spans, written
 
 TREES, DEPTH, MIN_DEPTH, REACH = 16, 4, 3, 6
+SIDE, SIDE_SHINGLES = 1024, 1 << 20  # about so many classes and shingles on each side of a block of a large region
 N_HASHES = TREES * DEPTH
 _A = np.random.default_rng(7919).integers(1, 1 << 63, N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -123,6 +130,50 @@ def _neighbours(batches, least: float):
         rest = (tree[tail], label[tail], node[tail])
 
 
+def _regions(batches):
+    """A row for each tree and class: a hash of the tree and the MIN_DEPTH hashes that the class's region shares."""
+    for batch in batches:
+        n = batch.num_rows
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), ">u4").reshape(n, N_HASHES).astype(np.uint64)
+        for t in range(TREES):
+            h = np.full(n, t + 1, np.uint64)
+            for j in range(t * DEPTH, t * DEPTH + MIN_DEPTH):
+                h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, j])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("node")], names=["region", "node"])
+
+
+def _block_links(lone: pa.Table, rest: pa.Table, least: float, percent: int) -> pa.Table:
+    """Links that join components of a block's classes."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    if not lone.num_rows or not rest.num_rows:
+        return schema.empty_table()
+    byte, rest_byte = (np.ascontiguousarray(np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(t.num_rows, -1)[:, 3::4]) for t in (lone, rest))
+    node, nodes = lone["node"].to_numpy(), rest["node"].to_numpy()
+    is_lone = rest["root"].to_numpy() != rest["main"].to_numpy()
+    roots, place = np.unique(np.concatenate([lone["root"].to_numpy(), rest["root"].to_numpy()]), return_inverse=True)
+    root, rest_root = place[: len(node)], place[len(node) :]
+    component = np.arange(len(roots))
+    sizes = [np.array([len(x) for x in t["set"]]) for t in (lone, rest)]
+    number, ids = np.unique(np.concatenate([c.flatten().to_numpy() for t in (lone, rest) for c in t["set"].chunks]), return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    sets = [ids[x:y] for x, y in zip(begin[:-1], begin[1:], strict=True)]
+    mark, out = np.zeros(len(number), bool), []
+    for i in range(len(node)):
+        live = (component[rest_root] != component[root[i]]) & ~(is_lone & (nodes <= node[i]))
+        at = np.flatnonzero(live)
+        at = at[(rest_byte[at] == byte[i]).mean(1) >= least]
+        if not len(at):
+            continue
+        mark[sets[i]] = True
+        common = np.add.reduceat(mark[np.concatenate([sets[len(node) + j] for j in at])], np.cumsum(sizes[1][at]) - sizes[1][at], dtype=np.int64)
+        mark[sets[i]] = False
+        at = at[100 * common >= percent * (sizes[0][i] + sizes[1][at] - common)]
+        found, first = np.unique(component[rest_root[at]], return_index=True)
+        out += [(min(node[i], nodes[j]), max(node[i], nodes[j])) for j in at[first]]
+        component[np.isin(component, found)] = component[root[i]]
+    return pa.table([[int(a) for a, _ in out], [int(b) for _, b in out]], schema=schema)
+
+
 def _sets(batches, k: int):
     for batch in batches:
         for piece in pieces(batch, "text"):
@@ -154,6 +205,40 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * F.col("_common") >= F.lit(percent) * (F.size("_x") + F.size("_y") - F.col("_common"))).select("a", "b")
 
 
+def _split_regions(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(main, node, root, n): the classes of all large regions that aren't one component and have main as their largest."""
+    member = classes.select("node", "sig").mapInArrow(_regions, "region long, node long")
+    large = member.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > REACH + 2)
+    named = roots.select(F.col("node").alias("_node"), "root")
+    rooted = written(member.join(large.select("region"), "region").join(named, F.col("node") == F.col("_node"), "left").select("region", "node", F.coalesce("root", "node").alias("root")))
+    each = rooted.groupBy("region", "root").agg(F.count("*").alias("c"))
+    main = each.groupBy("region").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("c")).where("most.c < c")
+    together = rooted.join(main.select("region", F.col("most.root").alias("main")), "region").select("main", "node", "root").distinct()
+    return checkpointed(together.join(classes.groupBy("node").agg(F.sum("n").alias("n")), "node"))
+
+
+def _left_links(inside: DataFrame, classes: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (a, b) between components of the split regions."""
+    about = written(inside.select("node").distinct().join(classes.select("node", "sig"), "node").join(sets, "node"))
+    blocks = lambda live: F.greatest(F.lit(1), F.ceil(F.greatest(F.count_if(live) / SIDE, F.sum(F.when(live, F.col("n")).otherwise(0)) / SIDE_SHINGLES))).cast("int")
+    split = inside.groupBy("main").agg(blocks(F.col("root") != F.col("main")).alias("rows"), blocks(F.lit(True)).alias("columns"))
+    dealt = inside.drop("n").join(split, "main")
+    side = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    across = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lone = dealt.where("root <> main").select("node", "root", "main", side(F.col("rows")).alias("i"), across("columns").alias("j")).join(about, "node")
+    rest = dealt.select("node", "root", "main", across("rows").alias("i"), side(F.col("columns")).alias("j")).join(about, "node")
+    keys = ["main", "i", "j"]
+    rest = rest.toDF(*rest.columns)  # columns of its own: both sides come from the same tables
+    return lone.groupBy(*keys).cogroup(rest.groupBy(*keys)).applyInArrow(lambda x, y: _block_links(x, y, least, percent), "a long, b long")
+
+
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends have different roots."""
+    root = lambda name: F.coalesce(F.col(f"{name}_root"), F.col(name))
+    left, right = roots.select(F.col("node").alias("a"), F.col("root").alias("a_root")), roots.select(F.col("node").alias("b"), F.col("root").alias("b_root"))
+    return pairs.join(left, "a", "left").join(right, "b", "left").where(root("a") != root("b")).select(*pairs.columns)
+
+
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, h, n_shingles, component_id) for each row of docs."""
     small_batches(docs.sparkSession)
@@ -170,10 +255,14 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     best = near.groupBy("b").agg(F.max(F.struct("alike", "a")).alias("_best")).select(F.col("_best.a").alias("a"), "b")
     links = checkpointed(_confirmed(best, sets, percent))
     roots = components(links)
-    root = lambda name: F.coalesce(F.col(f"{name}_root"), F.col(name))
-    left, right = roots.select(F.col("node").alias("a"), F.col("root").alias("a_root")), roots.select(F.col("node").alias("b"), F.col("root").alias("b_root"))
-    open_pairs = near.join(left, "a", "left").join(right, "b", "left").where(root("a") != root("b")).join(best, ["a", "b"], "left_anti")
+    open_pairs = _across(near, roots).join(best, ["a", "b"], "left_anti")
     links = links.unionByName(checkpointed(_confirmed(open_pairs, sets, percent)))
+    inside = _split_regions(classes, components(links))
+    if not inside.isEmpty():
+        further = inside.select("node").distinct().join(wanted, "node", "left_anti")
+        chosen = texts.join(further, texts["doc_id"] == further["node"], "left_semi")
+        sets = sets.unionByName(written(chosen.mapInArrow(partial(_sets, k=k), "node long, set array<long>")))
+        links = links.unionByName(checkpointed(_left_links(inside, classes, sets, least, percent)))
     # equal sets: every row's doc_id hangs on its class; rows that share a doc_id and not a text meet in it
     copies = full.join(classes.where("rows > 1"), ["n", "s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
     roots = components(links.unionByName(copies))

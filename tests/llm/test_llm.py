@@ -62,6 +62,38 @@ def test_near(spark, empty):
         assert 1 not in kept and None in kept and kept.count(0) == 2
 
 
+def test_near_star(spark):
+    """2,000 edited copies of a text, each like it and few like each other, against brute force over all pairs."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(303)]
+    rows = [(0, base)]
+    for i in range(1, 2001):
+        words = list(base)
+        for at in rng.sample(range(4, 299), 6):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, words))
+    sets = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for _, w in rows]
+    number = {}
+    ids = [np.array([number.setdefault(g, len(number)) for g in s]) for s in sets]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, own in enumerate(ids):
+        mark = np.zeros(len(number), bool)
+        mark[own] = True
+        common = np.array([mark[x].sum() for x in ids[:i]], np.int64)
+        for j in np.flatnonzero(100 * common >= 80 * (len(own) + np.array([len(x) for x in ids[:i]], np.int64) - common)):
+            a, b = find(i), find(int(j))
+            root[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_components(docs, k=4).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_lines(spark, empty):
     docs = corpus(spark, empty)
