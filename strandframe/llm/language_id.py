@@ -6,7 +6,8 @@ logits. The document's probabilities are the softmax of the mean of its position
 POOL, over positions with letters nearby. Each cell has one gate: h = h + z * (tanh(c) - h), z = sigmoid(g), with g
 and c linear in the byte's embedding and the last state. All windows of a batch run side by side.
 
-The network learns from a bounded, documented sample: the SAMPLE labelled rows of least hash, WINDOWS windows of each.
+The network learns from a bounded, documented sample, WINDOWS windows of each row: an equal part of SAMPLE for each
+language of the labelled rows, one row at least, and of each language its rows of least hash.
 
 Defined cases: null text, and text without a letter, is `und` with score 0; a null lang is not learned from; with no
 labelled row at all every text is `und`; rows that share a doc_id are separate; an empty table gives an empty result.
@@ -19,10 +20,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, load, pieces, sampled, small_batches, text_bytes
+from .common import crc_mod, load, pieces, small_batches, text_bytes
 
 HIDDEN, WINDOW, MARGIN = 8, 96, 16
 SAMPLE, WINDOWS, STEPS, BATCH = 1_200, 6, 500, 128
@@ -168,10 +169,15 @@ def _predict(batches, p: dict | None, langs: list[str]):
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[dict | None, list[str]]:
     """The network and the languages, from a bounded sample of the labelled rows."""
     sample = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    rows = sampled(sample, SAMPLE, "i", "t")
-    langs = sorted({r["l"] for r in rows})
+    langs = sorted(r["l"] for r in sample.select("l").distinct().collect())
     if not langs:
         return None, []
+    most = max(1, SAMPLE // len(langs))
+    hashed = sample.withColumn("_hash", F.xxhash64("i", "t"))
+    first = lambda df: df.withColumn("_n", F.row_number().over(Window.partitionBy("l").orderBy("_hash"))).where(F.col("_n") <= most)
+    last = first(hashed.select("l", "_hash")).groupBy("l").agg(F.max("_hash").alias("_last"))
+    # few texts pass the bound, so none of the others is sorted
+    rows = sorted(first(hashed.join(F.broadcast(last), "l").where("_hash <= _last")).select("i", "t", "l", "_hash").collect(), key=lambda r: (r["_hash"], repr(r)))
     data, offsets = text_bytes(pa.array([r["t"] for r in rows]))
     x, doc, _ = _cut(data, offsets)
     y = np.array([langs.index(r["l"]) for r in rows])

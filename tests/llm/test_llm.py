@@ -207,6 +207,20 @@ def test_language_and_quality(spark):
     assert quality.accept(table, model).columns == table.columns and quality.fit(table.limit(0)) is None
 
 
+def test_rare_languages(spark, monkeypatch):
+    """Each labelled language is a class, however rare it is, and a frequent one takes no other's part."""
+    monkeypatch.setattr(language_id, "SAMPLE", 20)
+    monkeypatch.setattr(language_id, "STEPS", 60)
+    seen = []
+    monkeypatch.setattr(language_id, "train", lambda x, y, classes, train=language_id.train: (seen.append(np.bincount(y)), train(x, y, classes, language_id.STEPS))[1])
+    rare = {"cc": "xxvq wqxv", "dd": "oooo oioo", "ee": "ßßßß ßüßß"}
+    rows = [(i, "the then that tho " * (1 + i % 3), "aa") for i in range(1000)] + [(2000 + 10 * k + j, t * 5, lang) for k, (lang, t) in enumerate(rare.items()) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net, langs = language_id.fit(docs)
+    assert langs == ["aa", "cc", "dd", "ee"] and seen[0].min() > 0 and seen[0][0] <= 5 * language_id.WINDOWS
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(docs.where("doc_id >= 990"), net, langs).collect()} == {i: lang for i, _, lang in rows if i >= 990}
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_lm(spark, empty, monkeypatch):
     from pyspark.sql import functions as F
