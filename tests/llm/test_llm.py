@@ -240,6 +240,18 @@ def test_lm(spark, empty, monkeypatch):
     assert all(r.score <= 0 for r in got)
 
 
+def test_windows():
+    """Each id is scored once; in later windows at least 8 ids come before it, and the attention has the main weight."""
+    lengths = np.array([1, 7, 32, 33, 500])
+    stream = np.arange(lengths.sum())
+    _, _, place, score = lm._window_inputs(stream, lengths, -1)
+    assert sorted(place[score].tolist()) == stream.tolist()
+    _, first = lm.windows_over(lengths)
+    context = np.broadcast_to(np.arange(lm.LENGTH), score.shape)
+    assert context[score & (first > 0)[:, None]].min() >= 8 and context[score].max() >= 31
+    assert lm.MIX > 0.5
+
+
 def test_attention_gradient():
     """Backpropagation against differences, and no position sees what follows it."""
     net = lm.Network(np.full(9, 1 / 9))
