@@ -49,6 +49,50 @@ def test_substring(spark, empty):
         assert r.n_words == len(w) and r.kept.encode().split() == [x for x, y in zip(w, gone, strict=True) if not y]
 
 
+def brute_spans(rows, span):
+    """Per row (order, text): which words are covered by windows that start earlier too."""
+    seen, out = set(), []
+    for _, t in sorted(rows):
+        w = split(t)
+        gone = [False] * len(w)
+        for k in range(len(w) - span + 1):
+            g = tuple(w[k : k + span])
+            if g in seen:
+                gone[k : k + span] = [True] * span
+            seen.add(g)
+        out.append((w, gone))
+    return out
+
+
+def test_substring_blocks(spark, monkeypatch):
+    """Many blocks, reference blocks shared by several tasks, near copies, a passage in every text, periodic texts; with few words, so that matches abound."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(substring_dedup, "PARSED", 100)
+    rng = random.Random(8)
+    passage, base = [rng.choice(WORDS) for _ in range(90)], [rng.choice(WORDS) for _ in range(200)]
+    rows = []
+    for i in range(120):
+        w = [rng.choice(WORDS[:40]) for _ in range(rng.randint(0, 60))]
+        if i % 3 == 0:
+            w[len(w) // 2 : len(w) // 2] = passage
+        if i % 5 == 0:
+            w += [x if rng.random() > 0.02 else "edit" for x in base]
+        if i % 7 == 0:
+            w += ["to", "and", "fro"] * 30
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame([*rows, rows[5], rows[15]], "doc_id long, text string").repartition(5)
+    want = {i: b" ".join(x for x, y in zip(w, gone, strict=True) if not y).decode() for (i, _), (w, gone) in zip(rows, brute_spans(rows, 12), strict=True)}
+    got = substring_dedup.duplicate_spans(docs, 12).collect()
+    assert len(got) == len(rows) + 2 and all(r.kept == want[r.doc_id] for r in got)
+    texts = {i: split(t) for i, t in rows}
+    found = substring_dedup.factors(docs, 12).collect()
+    assert found and max(r.end - r.begin for r in found) > 40
+    for r in found:  # each factor stands at its source, which is earlier
+        n = r.end - r.begin
+        assert n >= 12 and texts[r.doc_id][r.begin : r.end] == texts[r.source_id][r.source_begin : r.source_begin + n]
+        assert (r.source_id, r.source_begin) < (r.doc_id, r.begin)
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_near(spark, empty):
     docs = corpus(spark, empty)
@@ -156,6 +200,12 @@ def test_shards(spark, tmp_path):
     enc = subwords.encoder(subwords.ranks_of())
     assert sum(r.n_tokens for r in rows) == sum(len(enc.encode_ordinary(r.text or "")) + 1 for r in docs.collect())
     assert token_shards.write_shards(docs.limit(0))[0].count() == 0
+    shuffled, path = token_shards.write_shards(docs.repartition(7, "source", "n_chars"), f"file://{tmp_path}/t", length=64, per_shard=4)  # the order of rows is any
+    rows = sorted(shuffled.collect(), key=lambda r: r.slot)
+    records = np.concatenate([token_shards.read_records(open(glob.glob(f"{tmp_path}/t/shard={k}/part*")[0], "rb").read(), 64) for k in range(-(-len(rows) // 4))])
+    assert [r.slot for r in rows] == list(range(len(rows))) and [zlib.crc32(x.tobytes()) for x in records] == [r.crc for r in rows]
+    words = lambda ids: collections.Counter(x for x in ids if x != subwords.END)
+    assert words(records.ravel().tolist()) == words(x for r in docs.collect() for x in subwords.encoder(subwords.ranks_of()).encode_ordinary(r.text or ""))
     for n in (1, 2, 3, 1000):
         assert sorted(token_shards.feistel(np.arange(n), n)) == list(range(n))
     odd = ["a  b", " x", "y ", "q \n r", "é  z", "don't stop", "a\n\nb c"]
