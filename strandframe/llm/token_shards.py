@@ -1,18 +1,18 @@
 """Token-ID output in training order.
 
 Every partition of the documents is one stream of subword ids, each text followed by the end id, cut into sequences of
-LENGTH ids; the last is filled up with end ids. The sequences of all partitions are numbered, and a keyed Feistel
-permutation with cycle-walking sends each number to its slot in training order: four rounds over the least even
-number of bits that holds all numbers, repeated while the image is none of them. Range partitions of slots are
-written as shards of PER_SHARD records by Spark's own committing text writer, each record LENGTH little-endian
-16-bit ids and one closing newline byte, so record r of a shard begins at r times the fixed stride, and reading
-resumes at any slot by seeking.
-
-Two passes read the documents: the first yields the manifest and the number of sequences, the second, which knows the
-slots, the records. Both need the same partitions, as a scan of files has them; other inputs should be written first.
+LENGTH ids; the last is filled up with end ids. The sequences are written once, as a table in the shared folder, and
+numbered from what stands there: a partition's number and the sequence's place in it. So it doesn't matter whether the
+input comes out of a scan or of a shuffle, or how often a task ran. A keyed Feistel permutation with cycle-walking
+sends each number to its slot in training order: four rounds over the least even number of bits that holds all
+numbers, repeated while the image is none of them. Slots are partitioned by range (slots are uniform and their
+number is known, so the ranges need no sampling) and written as shards of PER_SHARD records by Spark's own
+committing text writer, each record LENGTH little-endian 16-bit ids and one closing newline byte, so record r of a
+shard begins at r times the fixed stride, and reading resumes at any slot by seeking.
 
 Defined cases: null or empty text is a lone end id; rows that share a doc_id are texts of their own; null doc_ids stay
-out of a sequence's list of doc_ids but not out of its ids; an empty table gives an empty manifest and no shards.
+out of a sequence's list of doc_ids but not out of its ids; doc_id must be a whole number; columns beside doc_id and
+text don't matter; an empty table gives an empty manifest and no shards.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from . import subwords
 from .common import load, mix64, pieces, shared_dir, small_batches, written
 
 LENGTH, PER_SHARD, KEY = 1024, 4096, 0x5EED
+TASK_BYTES = 256 << 20  # a task writes about so much where there are more bytes than tasks
 
 
 def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -78,44 +79,29 @@ def _listed(docs: list) -> list:
     return list(dict.fromkeys(d for d in docs if d is not None))
 
 
-def _manifest(batches, ranks, length: int):
+ROW = pa.schema([("part", pa.int32()), ("number", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.int32()), ("crc", pa.int64()), ("record", pa.binary())])
+
+
+def _rows(batches, ranks, length: int, at_once: int = 1024):
     pid, rows = TaskContext.get().partitionId(), []
-    schema = pa.schema([("part", pa.int32()), ("number", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.int32()), ("crc", pa.int64())])
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), ROW, strict=True)], schema=ROW)
     for number, ids, docs, own in _sequences(batches, ranks, length):
-        rows.append((pid, number, _listed(docs), own, zlib.crc32(ids.tobytes())))
-        if len(rows) == 4096:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        record = ids.astype("<u2").tobytes()
+        rows.append((pid, number, _listed(docs), own, zlib.crc32(record), record))
+        if len(rows) == at_once:
+            yield batch()
             rows = []
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-
-def _records(batches, ranks, length: int, offsets, total: int, key: int):
-    pid = TaskContext.get().partitionId()
-    before, expected = offsets.value[0][pid], offsets.value[1][pid]
-    numbers, records, count = [], [], 0
-
-    def out():
-        slots = feistel(before + np.array(numbers, np.int64), total, key)
-        return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(records, pa.binary())], names=["slot", "record"])
-
-    for number, ids, _, _ in _sequences(batches, ranks, length):
-        numbers.append(number), records.append(ids.astype("<u2").tobytes())
-        count += 1
-        if len(numbers) == 1024:
-            yield out()
-            numbers, records = [], []
-    if count != expected:
-        raise RuntimeError("the documents' partitions changed between the passes; write them to a table first")
-    if numbers:
-        yield out()
+        yield batch()
 
 
 def _placed(batches, offsets, total: int, key: int):
-    before = offsets.value[0]
+    """part and number become the slot; the other columns stay."""
+    before = offsets.value
     for b in batches:
         slots = feistel(before[b.column("part").to_numpy()] + b.column("number").to_numpy(), total, key)
-        yield pa.RecordBatch.from_arrays([pa.array(slots), *(b.column(c) for c in ("doc_ids", "n_tokens", "crc"))], names=["slot", "doc_ids", "n_tokens", "crc"])
+        rest = b.schema.names[2:]
+        yield pa.RecordBatch.from_arrays([pa.array(slots), *(b.column(c) for c in rest)], names=["slot", *rest])
 
 
 def write_shards(docs: DataFrame, path: str | None = None, ranks_path: str = subwords.RANKS, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
@@ -128,22 +114,24 @@ def write_shards(docs: DataFrame, path: str | None = None, ranks_path: str = sub
     ranks = spark.sparkContext.broadcast(subwords.ranks_of(ranks_path))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     path = path or shared_dir(spark) + "-shards"
-    manifest = written(texts.mapInArrow(partial(_manifest, ranks=ranks, length=length), "part int, number long, doc_ids array<long>, n_tokens int, crc long"))
-    counts = manifest.groupBy("part").count().collect()  # one number for each partition of the input
+    columns = "doc_ids array<long>, n_tokens int, crc long"
+    sequences = written(texts.mapInArrow(partial(_rows, ranks=ranks, length=length), f"part int, number long, {columns}, record binary"), "zstd")
+    counts = sequences.groupBy("part").count().collect()  # one number for each partition of the input
     size = np.zeros(max([c["part"] for c in counts], default=-1) + 1, np.int64)
     for c in counts:
         size[c["part"]] = c["count"]
     total = int(size.sum())
-    # partitions after the last with sequences are empty
-    padded = np.concatenate([size, np.zeros(max(0, texts.rdd.getNumPartitions() - len(size)), np.int64)])
-    offsets = spark.sparkContext.broadcast((np.cumsum(padded) - padded, padded))
+    offsets = spark.sparkContext.broadcast(np.cumsum(size) - size)
+    place = partial(_placed, offsets=offsets, total=total, key=key)
+    stride, shards = 2 * length + 1, -(-total // per_shard)
     if total:
-        records = texts.mapInArrow(partial(_records, ranks=ranks, length=length, offsets=offsets, total=total, key=key), "slot long, record binary")
-        dealt = records.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int")).repartition("shard").sortWithinPartitions("shard", "slot")  # a shard is a range of slots; the ranges are known, so none are sampled
+        tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * stride // TASK_BYTES))
+        records = sequences.select("part", "number", "record").mapInArrow(place, "slot long, record binary")
+        records = records.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
+        dealt = records.repartitionById(tasks, F.floor(F.col("shard").cast("long") * tasks / shards).cast("int")).sortWithinPartitions("shard", "slot")
         dealt.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
-    placed = manifest.mapInArrow(partial(_placed, offsets=offsets, total=total, key=key), "slot long, doc_ids array<long>, n_tokens int, crc long")
-    stride = 2 * length + 1
-    return placed.select("slot", F.floor(F.col("slot") / per_shard).cast("int").alias("shard"), (F.col("slot") % per_shard * stride).alias("byte_offset"), "doc_ids", "n_tokens", "crc"), path
+    manifest = sequences.drop("record").mapInArrow(place, f"slot long, {columns}")
+    return manifest.select("slot", F.floor(F.col("slot") / per_shard).cast("int").alias("shard"), (F.col("slot") % per_shard * stride).alias("byte_offset"), "doc_ids", "n_tokens", "crc"), path
 
 
 def read_records(data: bytes, length: int = LENGTH, first: int = 0) -> np.ndarray:
