@@ -16,7 +16,7 @@ Parsing goes on span - 1 words before the factor's end, so that windows across a
 words are the duplicate spans. A block that many pieces refer to is parsed by several tasks, each with the index and
 some of the pieces; pieces of a block with equal words are sent once, with all their places.
 
-Words are compared by 64-bit hashes.
+Windows are compared by 64-bit hashes of their words, and the words of pieces by 48 bits of theirs.
 
 Defined cases: null text has no words; a text shorter than span loses nothing; rows that share doc_id and text are
 one document and each get its result; rows that share only the doc_id are ordered by a hash of the text; a null doc_id
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import load, run_hashes, small_batches, text_bytes, text_hash, total_bytes, with_block, word_hashes, word_spans
+from .common import broadcast_up_to, load, run_hashes, small_batches, text_bytes, text_hash, total_bytes, with_block, word_hashes, word_spans
 
 ANCHOR = 10
 BLOCK_BYTES = 8 << 20
@@ -70,6 +70,17 @@ def _keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return table["doc_id"].fill_null(LAST).to_numpy(), table["h"].to_numpy()
 
 
+def _first_places(hashes: np.ndarray, ids: np.ndarray, h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows stand at their hash's first place, one for each hash; and the number of that window for each."""
+    order = np.lexsort((start, h, ids, hashes))
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[order][1:] != hashes[order][:-1]
+    lead, of = np.zeros(len(order), bool), np.empty(len(order), np.int64)
+    lead[order[new]] = True
+    of[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return lead, of
+
+
 def _is_in(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     if not len(ordered):
         return np.zeros(len(x), bool)
@@ -95,26 +106,62 @@ def _send_anchors(table: pa.Table, span: int) -> pa.Table:
 
 def _send_windows(docs: pa.Table, anchors: pa.Table, span: int) -> pa.Table:
     """The first place in the block of each distinct window around a repeated anchor, and whether the block has a second."""
-    schema = pa.schema([("hash", pa.int64()), ("block", pa.int32()), ("id", pa.int64()), ("h", pa.int32()), ("start", pa.int32()), ("twice", pa.bool_())])
+    schema = pa.schema([("hash", pa.int64()), ("block", pa.int32()), ("id", pa.int64()), ("place", pa.int64()), ("twice", pa.bool_())])
     if not docs.num_rows or not anchors.num_rows:
         return schema.empty_table()
     hashes, doc, start, first, words = _window_hashes(docs["text"], span)
     live = _is_in(_anchors(words, first[doc] + start, span), np.sort(anchors["anchor"].to_numpy().view(np.uint64)))
     hashes, doc, start = hashes[live], doc[live], start[live]
     ids, h = _keys(docs)
-    order = np.lexsort((start, h[doc], ids[doc], hashes))
-    hashes, ids, h, start = hashes[order], ids[doc[order]], h[doc[order]], start[order]
-    lead = np.ones(len(hashes), bool)
-    lead[1:] = hashes[1:] != hashes[:-1]
-    group = np.cumsum(lead) - 1
-    head = np.flatnonzero(lead)
-    of = head[group]  # repeats of a row stand at its own place
-    twice = np.bincount(group, weights=(ids != ids[of]) | (h != h[of]) | (start != start[of]), minlength=len(head)) > 0
-    block = np.full(len(head), docs["block"][0].as_py(), np.int32)
-    return pa.table([_long(hashes[lead]), block, ids[lead], h[lead], start[lead].astype(np.int32), twice], schema=schema)
+    ids, h = ids[doc], h[doc]
+    lead, of = _first_places(hashes, ids, h, start)
+    again = (ids != ids[of]) | (h != h[of]) | (start != start[of])  # repeats of a row stand at its own place
+    twice = np.bincount(of, weights=again, minlength=len(of)) > 0
+    at = np.flatnonzero(lead)  # in the order of the texts, so that neighbouring rows are alike and pack well
+    block = np.full(len(at), docs["block"][0].as_py(), np.int32)
+    return pa.table([_long(hashes[at]), block, ids[at], (h[at].astype(np.int64) << 32) + start[at], twice[at]], schema=schema)
+
+
+def _pack(batches, at_once: int = 1 << 20):
+    """Rows (block, hash, source) as one row for each block of many: the hashes and their sources' blocks as bytes."""
+    held, rows = [], 0
+
+    def out():
+        table = pa.Table.from_batches(held)
+        block, source, hashes = (table[c].to_numpy() for c in ("block", "source", "hash"))
+        order = np.lexsort((source, block))
+        cuts = np.flatnonzero(np.diff(block[order])) + 1
+        parts = np.split(order, cuts)
+        return pa.RecordBatch.from_arrays([pa.array([block[p[0]] for p in parts], pa.int32()), pa.array([hashes[p].tobytes() for p in parts], pa.binary()), pa.array([source[p].tobytes() for p in parts], pa.binary())], names=["block", "hashes", "sources"])
+
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= at_once:
+            yield out()
+            held, rows = [], 0
+    if rows:
+        yield out()
+
+
+def _count_sources(batches):
+    for b in batches:
+        block, n = np.unique(np.frombuffer(b"".join(b.column("sources").to_pylist()), np.int32), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(n)], names=["source", "n"])
+
+
+def _short(words: np.ndarray) -> bytes:
+    """Word hashes cut to 48 bits: pieces whose windows are known to be equal elsewhere are compared by them."""
+    return words.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long_words(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
 
-PIECE = "source int, parts int, home int, is_source boolean, id long, h int, start int, words binary, places binary"
+PIECE = "source int, home int, is_source boolean, id long, h int, start int, words binary, places binary"
 
 
 def _runs(windows: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,38 +176,37 @@ def _runs(windows: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _send_pieces(docs: pa.Table, known: pa.Table, span: int) -> pa.Table:
     """The block's passages that are sources, and for each reference block the block's pieces that it is to parse."""
-    schema = pa.schema([("source", pa.int32()), ("parts", pa.int32()), ("home", pa.int32()), ("is_source", pa.bool_()), ("id", pa.int64()), ("h", pa.int32()), ("start", pa.int32()), ("words", pa.binary()), ("places", pa.binary())])
+    schema = pa.schema([("source", pa.int32()), ("home", pa.int32()), ("is_source", pa.bool_()), ("id", pa.int64()), ("h", pa.int32()), ("start", pa.int32()), ("words", pa.binary()), ("places", pa.binary())])
     if not docs.num_rows or not known.num_rows:
         return schema.empty_table()
     block = docs["block"][0].as_py()
     hashes, doc, start, first, words = _window_hashes(docs["text"], span)
-    found = known["hash"].to_numpy().view(np.uint64)
+    found, source = (np.frombuffer(b"".join(known[c].to_pylist()), t) for c, t in (("hashes", np.uint64), ("sources", np.int32)))
     order = np.argsort(found)
     live = np.flatnonzero(_is_in(hashes, found[order]))
     hit = order[np.searchsorted(found[order], hashes[live])]
-    to, parts, at_id, at_h, at_start = (known[c].to_numpy()[hit] for c in ("source", "parts", "id", "h", "at"))
-    doc, start = doc[live], start[live]
+    to, hashes, doc, start = source[hit], hashes[live], doc[live], start[live]
     ids, h = _keys(docs)
-    own = (to == block) & (at_id == ids[doc]) & (at_h == h[doc]) & (at_start == start)  # the first place in the corpus
+    _, of = _first_places(hashes, ids[doc], h[doc], start)
+    own = (to == block) & (ids[doc] == ids[doc[of]]) & (h[doc] == h[doc[of]]) & (start == start[of])  # the first place in the corpus
     rows, seen = [], {}
     place = first[doc] + start
     for chosen, is_source in ((own, True), (~own, False)):
         pick = np.flatnonzero(chosen)
         head, tail = _runs(start[pick], doc[pick], to[pick])
         for a, b in zip(pick[head].tolist(), pick[tail - 1].tolist(), strict=True):
-            text = words[place[a] : place[b] + span].tobytes()
+            text = _short(words[place[a] : place[b] + span])
             where = (int(ids[doc[a]]), int(h[doc[a]]), int(start[a]))
             key = (is_source, int(to[a]), text)
             if key in seen:
-                seen[key][2].append(where)
+                seen[key].append(where)
             else:
-                seen[key] = (int(parts[a]), text, [where])
+                seen[key] = [where]
                 rows.append(key)
     out = []
     for is_source, source, text in rows:
-        n, _, where = seen[(is_source, source, text)]
-        where = sorted(set(where))
-        out.append((source, n, block, is_source, *where[0], text, b"" if is_source else np.array(where, np.int64).tobytes()))
+        where = sorted(set(seen[(is_source, source, text)]))
+        out.append((source, block, is_source, *where[0], text, b"" if is_source else np.array(where, np.int64).tobytes()))
     return pa.table([list(c) for c in zip(*out, strict=True)] or [[] for _ in schema], schema=schema)
 
 
@@ -224,7 +270,7 @@ def _factors(table: pa.Table, span: int) -> pa.Table:
     is_source = table["is_source"].to_numpy(zero_copy_only=False).astype(bool)
     if is_source.all() or not is_source.any():
         return schema.empty_table()
-    parts = [np.frombuffer(x, np.uint64) for x in table["words"].to_pylist()]
+    parts = [_long_words(x) for x in table["words"].to_pylist()]
     size = np.array([len(p) for p in parts])
     words, piece = np.concatenate(parts), np.repeat(np.arange(len(parts)), size)
     begin = np.cumsum(size) - size
@@ -297,42 +343,45 @@ def _cut(docs: pa.Table, factors: pa.Table, digest: bool) -> pa.Table:
     return pa.table([docs["doc_id"], docs["h"], counts, spans, kept], schema=schema)
 
 
-def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _dealt(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """The texts with their blocks, and the number of blocks."""
     small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("h"), F.col(text_col).alias("text"))
-    return with_block(narrow, max(1, math.ceil(total_bytes(docs, text_col) / BLOCK_BYTES)), "doc_id", "h")
+    blocks = max(1, math.ceil(total_bytes(docs, text_col) / BLOCK_BYTES))
+    return with_block(narrow, blocks, "doc_id", "h"), blocks
 
 
-def _factored(dealt: DataFrame, span: int) -> DataFrame:
+def _factored(dealt: DataFrame, blocks: int, span: int) -> DataFrame:
     """(home, id, h, begin, end, source_id, source_begin) of all factors."""
     by_block = dealt.groupBy("block")
     anchors = by_block.applyInArrow(lambda t: _send_anchors(t, span), "block int, anchor long, twice boolean")
     same = Window.partitionBy("anchor")
     known = anchors.select("block", "anchor", (F.count("*").over(same) > 1).alias("many"), F.max("twice").over(same).alias("again")).where("many OR again").select("block", "anchor")
-    windows = by_block.cogroup(known.groupBy("block")).applyInArrow(lambda d, a: _send_windows(d, a, span), "hash long, block int, id long, h int, start int, twice boolean")
+    windows = by_block.cogroup(known.groupBy("block")).applyInArrow(lambda d, a: _send_windows(d, a, span), "hash long, block int, id long, place long, twice boolean")
     same = Window.partitionBy("hash")
-    first = F.min(F.struct("id", "h", "start", "block")).over(same)
+    first = F.min(F.struct("id", "place", "block")).over(same)
     placed = windows.select("hash", "block", first.alias("first"), F.count("*").over(same).alias("n"), F.max("twice").over(same).alias("again")).where("n > 1 OR again")
-    placed = placed.select("hash", "block", F.col("first.block").alias("source"), F.col("first.id").alias("id"), F.col("first.h").alias("h"), F.col("first.start").alias("at"))
-    # how many tasks share the pieces of a reference block
-    shares = placed.groupBy("source").agg(F.ceil(F.count("*") / PARSED).cast("int").alias("parts"))
-    sources = placed.join(shares, "source")
-    pieces = by_block.cogroup(sources.groupBy("block")).applyInArrow(lambda d, s: _send_pieces(d, s, span), PIECE)
+    placed = placed.select("block", "hash", F.col("first.block").alias("source"))
+    known = placed.mapInArrow(_pack, "block int, hashes binary, sources binary")
+    pieces = by_block.cogroup(known.groupBy("block")).applyInArrow(lambda d, s: _send_pieces(d, s, span), PIECE)
+    # how many tasks share the pieces of a reference block; both uses of known read the exchange of windows once
+    shares = known.mapInArrow(_count_sources, "source int, n long").groupBy("source").agg(F.ceil(F.sum("n") / PARSED).cast("int").alias("parts"))
+    pieces = pieces.join(broadcast_up_to(shares, blocks), "source")  # a row for each block at most
     part = F.when(F.col("is_source"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("home", "id", "start"), F.col("parts")).cast("int")))
-    return pieces.withColumn("part", F.explode(part)).groupBy("source", "part").applyInArrow(lambda t: _factors(t, span), "home int, id long, h int, begin int, end int, source_id long, source_begin int")
+    return pieces.withColumn("part", F.explode(part)).repartition("source", "part").groupBy("source", "part").applyInArrow(lambda t: _factors(t, span), "home int, id long, h int, begin int, end int, source_id long, source_begin int")
 
 
 def factors(docs: DataFrame, span: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, h, begin, end, source_id, source_begin): the factors of at least span words that occur earlier too, and where."""
-    found = _factored(_dealt(docs, id_col, text_col), span)
+    found = _factored(*_dealt(docs, id_col, text_col), span)
     known = lambda c: F.when(F.col(c) < LAST, F.col(c))
     return found.select(known("id").alias("doc_id"), "h", "begin", "end", known("source_id").alias("source_id"), "source_begin")
 
 
 def duplicate_spans(docs: DataFrame, span: int = 20, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """(doc_id, h, n_words, spans, kept) for each row: spans are begin and end word of each removed span, one after another; kept is the rest, or its SHA-256 with digest."""
-    dealt = _dealt(docs, id_col, text_col)
-    found = _factored(dealt, span).select("home", "id", "h", "begin", "end")
+    dealt, blocks = _dealt(docs, id_col, text_col)
+    found = _factored(dealt, blocks, span).select("home", "id", "h", "begin", "end")
     return dealt.groupBy("block").cogroup(found.groupBy("home")).applyInArrow(lambda d, f: _cut(d, f, digest), "doc_id long, h int, n_words long, spans array<int>, kept string")
 
 
