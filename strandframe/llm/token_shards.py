@@ -1,14 +1,14 @@
 """Token-ID output in training order.
 
-Every partition of the documents is one stream of subword ids, each text followed by the end id, cut into sequences of
-LENGTH ids; the last is filled up with end ids. The sequences are written once, as a table in the shared folder, and
-numbered from what stands there: a partition's number and the sequence's place in it. So it doesn't matter whether the
-input comes out of a scan or of a shuffle, or how often a task ran. A keyed Feistel permutation with cycle-walking
-sends each number to its slot in training order: four rounds over the least even number of bits that holds all
-numbers, repeated while the image is none of them. Slots are partitioned by range (slots are uniform and their
-number is known, so the ranges need no sampling) and written as shards of PER_SHARD records by Spark's own
-committing text writer, each record LENGTH little-endian 16-bit ids and one closing newline byte, so record r of a
-shard begins at r times the fixed stride, and reading resumes at any slot by seeking.
+Every partition of the documents, in the order of doc_ids, is one stream of subword ids, each text followed by the end
+id, cut into sequences of LENGTH ids; the last is filled up with end ids. A sequence's number (its partition, and its
+place there) goes through a keyed Feistel permutation with cycle-walking: four rounds over the least even number of
+bits that holds all numbers below DOMAIN, repeated while the image is none of them. Sequences are ordered by the
+images, so a sequence's global slot is the rank of its image, and the numbers of sequences needn't be known beforehand: texts are
+tokenised once, and what one job makes goes through one shuffle. Equal ranges of images (they are uniform, so ranges need no sampling)
+are shards: range partitions write them by Spark's own committing text writer, each record LENGTH little-endian
+16-bit ids and one closing newline byte, so record r of a shard begins at r times the fixed stride, and reading
+resumes at any slot by seeking. The manifest's lines are written by the same job, beside the records.
 
 Defined cases: null or empty text is a lone end id; rows that share a doc_id are texts of their own; null doc_ids stay
 out of a sequence's list of doc_ids but not out of its ids; doc_id must be a whole number; columns beside doc_id and
@@ -23,14 +23,17 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import subwords
-from .common import load, mix64, pieces, shared_dir, small_batches, written
+from .common import load, mix64, pieces, shared_dir, small_batches, text_hash, total_bytes
 
-LENGTH, PER_SHARD, KEY = 1024, 4096, 0x5EED
-TASK_BYTES = 256 << 20  # a task writes about so much where there are more bytes than tasks
+LENGTH, KEY = 1024, 0x5EED
+#: Numbers to permute: up to a billion partitions of up to 2**32 sequences.
+DOMAIN = 10**9 << 32
+#: About so much text goes into a shard; a task writes several where there are more shards than shuffle partitions and tasks would be small.
+SHARD_BYTES, TASK_BYTES = 16 << 20, 256 << 20
 
 
 def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -79,15 +82,20 @@ def _listed(docs: list) -> list:
     return list(dict.fromkeys(d for d in docs if d is not None))
 
 
-ROW = pa.schema([("part", pa.int32()), ("number", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.int32()), ("crc", pa.int64()), ("record", pa.binary())])
+ROW = pa.schema([("shard", pa.int32()), ("place", pa.int64()), ("about", pa.string()), ("record", pa.binary())])
 
 
-def _rows(batches, ranks, length: int, at_once: int = 1024):
-    pid, rows = TaskContext.get().partitionId(), []
-    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), ROW, strict=True)], schema=ROW)
+def _rows(batches, ranks, length: int, shards: int, key: int, at_once: int = 1024):
+    """The sequences with their shard, their place in order and a line for the manifest."""
+    part, width, rows = TaskContext.get().partitionId(), -(-DOMAIN // shards), []
+
+    def batch():
+        places = feistel((part << 32) + np.array([n for n, _, _ in rows], np.int64), DOMAIN, key)
+        return pa.RecordBatch.from_arrays([pa.array((places // width).astype(np.int32)), pa.array(places), pa.array([a for _, a, _ in rows]), pa.array([r for _, _, r in rows], pa.binary())], schema=ROW)
+
     for number, ids, docs, own in _sequences(batches, ranks, length):
         record = ids.astype("<u2").tobytes()
-        rows.append((pid, number, _listed(docs), own, zlib.crc32(record), record))
+        rows.append((number, f"{own}\t{zlib.crc32(record)}\t{','.join(map(str, _listed(docs)))}", record))
         if len(rows) == at_once:
             yield batch()
             rows = []
@@ -95,17 +103,8 @@ def _rows(batches, ranks, length: int, at_once: int = 1024):
         yield batch()
 
 
-def _placed(batches, offsets, total: int, key: int):
-    """part and number become the slot; the other columns stay."""
-    before = offsets.value
-    for b in batches:
-        slots = feistel(before[b.column("part").to_numpy()] + b.column("number").to_numpy(), total, key)
-        rest = b.schema.names[2:]
-        yield pa.RecordBatch.from_arrays([pa.array(slots), *(b.column(c) for c in rest)], names=["slot", *rest])
-
-
-def write_shards(docs: DataFrame, path: str | None = None, ranks_path: str = subwords.RANKS, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
-    """Writes the shards below path (a new shared folder by default). Returns the manifest and the path.
+def write_shards(docs: DataFrame, path: str | None = None, ranks_path: str = subwords.RANKS, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """Writes the shards below path (a new shared folder by default). Returns the manifest and the folder of the shards, shard=0 and so on.
 
     Manifest: slot, shard, byte_offset in the shard's file, doc_ids, n_tokens without filling, crc32 of the record's ids.
     """
@@ -114,24 +113,27 @@ def write_shards(docs: DataFrame, path: str | None = None, ranks_path: str = sub
     ranks = spark.sparkContext.broadcast(subwords.ranks_of(ranks_path))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     path = path or shared_dir(spark) + "-shards"
-    columns = "doc_ids array<long>, n_tokens int, crc long"
-    sequences = written(texts.mapInArrow(partial(_rows, ranks=ranks, length=length), f"part int, number long, {columns}, record binary"), "zstd")
-    counts = sequences.groupBy("part").count().collect()  # one number for each partition of the input
-    size = np.zeros(max([c["part"] for c in counts], default=-1) + 1, np.int64)
-    for c in counts:
-        size[c["part"]] = c["count"]
-    total = int(size.sum())
-    offsets = spark.sparkContext.broadcast(np.cumsum(size) - size)
-    place = partial(_placed, offsets=offsets, total=total, key=key)
-    stride, shards = 2 * length + 1, -(-total // per_shard)
-    if total:
-        tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * stride // TASK_BYTES))
-        records = sequences.select("part", "number", "record").mapInArrow(place, "slot long, record binary")
-        records = records.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
-        dealt = records.repartitionById(tasks, F.floor(F.col("shard").cast("long") * tasks / shards).cast("int")).sortWithinPartitions("shard", "slot")
-        dealt.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
-    manifest = sequences.drop("record").mapInArrow(place, f"slot long, {columns}")
-    return manifest.select("slot", F.floor(F.col("slot") / per_shard).cast("int").alias("shard"), (F.col("slot") % per_shard * stride).alias("byte_offset"), "doc_ids", "n_tokens", "crc"), path
+    if texts.isEmpty():
+        return spark.createDataFrame([], "slot long, shard int, byte_offset long, doc_ids array<long>, n_tokens int, crc long"), path
+    size = total_bytes(texts)
+    shards = max(1, -(-size // shard_bytes))
+    tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES))
+    # in a fixed order, so that a task that runs again makes the same sequences
+    fixed = texts.sortWithinPartitions("doc_id", text_hash())
+    rows = fixed.mapInArrow(partial(_rows, ranks=ranks, length=length, shards=shards, key=key), "shard int, place long, about string, record binary")
+    dealt = rows.repartitionById(tasks, F.floor(F.col("shard").cast("long") * tasks / shards).cast("int"))
+    line = lambda manifest, value: F.struct(F.lit(manifest).alias("manifest"), value.alias("value"))
+    about = F.concat_ws("\t", F.col("place").cast("string"), F.col("about"))
+    lines = dealt.select("shard", "place", F.inline(F.array(line(False, F.col("record").cast("string")), line(True, about)))).sortWithinPartitions("manifest", "shard", "place")
+    lines.select("manifest", "shard", "value").write.partitionBy("manifest", "shard").option("lineSep", "\n").text(path)
+    cell = F.split("value", "\t", -1)
+    known = spark.read.schema("value string, shard int").text(f"{path}/manifest=true").select("shard", *(cell[i].cast("long").alias(n) for i, n in enumerate(("place", "n_tokens", "crc"))), cell[3].alias("ids"))
+    # the slots before each shard, from one row for each shard
+    before = known.groupBy("shard").agg(F.count("*").alias("n")).select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
+    record = F.row_number().over(Window.partitionBy("shard").orderBy("place")) - 1
+    ids = F.transform(F.filter(F.split("ids", ","), lambda i: i != ""), lambda i: i.cast("long"))
+    manifest = known.withColumn("record", record).join(before, "shard")
+    return manifest.select((F.col("before") + F.col("record")).alias("slot"), "shard", (F.col("record").cast("long") * (2 * length + 1)).alias("byte_offset"), ids.alias("doc_ids"), F.col("n_tokens").cast("int").alias("n_tokens"), "crc"), f"{path}/manifest=false"
 
 
 def read_records(data: bytes, length: int = LENGTH, first: int = 0) -> np.ndarray:
