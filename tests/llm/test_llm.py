@@ -188,11 +188,12 @@ def test_mixing(spark):
 
 def test_shards(spark, tmp_path):
     docs = corpus(spark)
-    manifest, path = token_shards.write_shards(docs, f"file://{tmp_path}/s", length=64, per_shard=16)
+    manifest, path = token_shards.write_shards(docs, f"file://{tmp_path}/s", length=64, shard_bytes=4000)
     rows = sorted(manifest.collect(), key=lambda r: r.slot)
-    assert [r.slot for r in rows] == list(range(len(rows)))
+    assert [r.slot for r in rows] == list(range(len(rows))) and max(r.shard for r in rows) > 4
+    assert [r.shard for r in rows] == sorted(r.shard for r in rows)
     for r in rows:
-        (name,) = glob.glob(f"{tmp_path}/s/shard={r.shard}/part*")
+        (name,) = glob.glob(f"{path[7:]}/shard={r.shard}/part*")
         with open(name, "rb") as f:
             f.seek(r.byte_offset)
             ids = token_shards.read_records(f.read(129), 64)[0]
@@ -200,12 +201,13 @@ def test_shards(spark, tmp_path):
     enc = subwords.encoder(subwords.ranks_of())
     assert sum(r.n_tokens for r in rows) == sum(len(enc.encode_ordinary(r.text or "")) + 1 for r in docs.collect())
     assert token_shards.write_shards(docs.limit(0))[0].count() == 0
-    shuffled, path = token_shards.write_shards(docs.repartition(7, "source", "n_chars"), f"file://{tmp_path}/t", length=64, per_shard=4)  # the order of rows is any
+    shuffled, path = token_shards.write_shards(docs.repartition(7, "source", "n_chars"), f"file://{tmp_path}/t", length=64, shard_bytes=900)  # the order of rows is any
     rows = sorted(shuffled.collect(), key=lambda r: r.slot)
-    records = np.concatenate([token_shards.read_records(open(glob.glob(f"{tmp_path}/t/shard={k}/part*")[0], "rb").read(), 64) for k in range(-(-len(rows) // 4))])
+    records = np.concatenate([token_shards.read_records(open(glob.glob(f"{path[7:]}/shard={k}/part*")[0], "rb").read(), 64) for k in sorted({r.shard for r in rows})])
     assert [r.slot for r in rows] == list(range(len(rows))) and [zlib.crc32(x.tobytes()) for x in records] == [r.crc for r in rows]
     words = lambda ids: collections.Counter(x for x in ids if x != subwords.END)
     assert words(records.ravel().tolist()) == words(x for r in docs.collect() for x in subwords.encoder(subwords.ranks_of()).encode_ordinary(r.text or ""))
+    assert len(set(token_shards.feistel((np.arange(1000) << 32) + 5, token_shards.DOMAIN).tolist())) == 1000
     for n in (1, 2, 3, 1000):
         assert sorted(token_shards.feistel(np.arange(n), n)) == list(range(n))
     odd = ["a  b", " x", "y ", "q \n r", "é  z", "don't stop", "a\n\nb c"]
@@ -275,7 +277,8 @@ def test_rare_languages(spark, monkeypatch):
 def test_lm(spark, empty, monkeypatch):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(lm.Network, "train", lambda self, x, y, live, topic: None)
+    monkeypatch.setattr(lm, "train", lambda rows, scorer: None)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 8000)  # counts of a word come from many blocks
     docs = corpus(spark, empty)
     got = lm.score(docs, F.col("doc_id") % 3 != 0, F.col("doc_id") % 3 == 0).collect()
     fold = lambda t: [w.lower() for w in split(t)]
@@ -290,6 +293,33 @@ def test_lm(spark, empty, monkeypatch):
     assert all(r.score <= 0 for r in got)
 
 
+def test_lm_learns(spark, monkeypatch):
+    """Trained on Spark over all rows, attention alone scores held-out texts above the word counts, and each id is a target once."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lm, "MIX", 1.0)
+    monkeypatch.setattr(lm, "ROUNDS", (8, 24, 32))
+    monkeypatch.setattr(lm, "RATES", (0.03, 0.02, 0.01))
+    rng = random.Random(4)
+    after = {w: [rng.choice(WORDS) for _ in range(2)] for w in WORDS}
+    rows = []
+    for i in range(400):
+        w = [rng.choice(WORDS)]
+        while len(w) < 60:
+            w.append(rng.choice(after[w[-1]]))
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    seen = []
+    real = lm._mean_move
+    monkeypatch.setattr(lm, "_mean_move", lambda rows, share, step: (seen.append(real(rows, share, step)), seen[-1])[1])
+    got = lm.score(docs, F.col("doc_id") % 10 != 0, F.col("doc_id") % 10 == 0).where("held_out").collect()
+    per = lambda c: sum(r[c] for r in got) / sum(r.n_tokens for r in got)
+    assert len(got) == 40 and per("score") > per("base_score") + 0.05
+    enc = subwords.encoder(subwords.ranks_of())
+    ids = sum(len(enc.encode_ordinary(" " + t)) + 1 for i, t in rows if i % 10)
+    assert sum(n for _, n in seen[len(lm.TOPIC_ROUNDS) :]) == ids
+
+
 def test_windows():
     """Each id is scored once; in later windows at least 8 ids come before it, and the attention has the main weight."""
     lengths = np.array([1, 7, 32, 33, 500])
