@@ -33,9 +33,10 @@ class Dataset:
         return [c for c in self.regions.columns if c not in ("sample_id", "chrom", "start", "stop", "strand")]
 
     def samples(self) -> DataFrame:
-        """The ids in the metadata, or of the regions if there is no metadata."""
+        """The ids in the metadata, or of the regions if there is no metadata. Lazily: whether there is any is a one-row table of the plan."""
         listed = self.meta.select("sample_id").distinct()
-        return self.regions.select("sample_id").distinct() if self.meta.isEmpty() else listed
+        none = self.meta.agg((F.count("*") == 0).alias("_none")).where("_none")
+        return listed.unionByName(self.regions.select("sample_id").distinct().join(F.broadcast(none), F.col("_none"), "left_semi"))
 
     # --- one dataset -------------------------------------------------------------------------------------------
 
@@ -106,7 +107,7 @@ class Dataset:
 
     def map(self, other: Dataset, aggregates: dict | None = None, attributes=(), count: str = "count", **options) -> Dataset:
         pairs = self.pairs(other, attributes)
-        return self._paired(genometric.map_regions(self.regions, other.regions, pairs, aggregates, count, **options), metadata.combine(self.meta, other.meta, pairs))
+        return self._paired(genometric.map_regions(self.regions, other.regions, pairs, aggregates, count, every=not attributes, **options), metadata.combine(self.meta, other.meta, pairs))
 
     def difference(self, other: Dataset, attributes=(), exact: bool = False, keep_unmatched: bool = False) -> Dataset:
         pairs = self.pairs(other, attributes) if attributes else None

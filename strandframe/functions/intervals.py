@@ -23,7 +23,9 @@ def distance(a_start: Column, a_stop: Column, b_start: Column, b_stop: Column) -
 
 
 def bins(start: Column, stop: Column, size: int) -> Column:
-    """Numbers of the bins that [start, stop) meets; one bin for an empty interval."""
+    """Numbers of the bins that [start, stop) meets; one bin for an empty interval, and one bin in all if size is 0."""
+    if not size:
+        return F.array(F.lit(0).cast("long"))
     low = F.floor(F.greatest(start, F.lit(0)) / size).cast("long")
     high = F.floor(F.greatest(stop - 1, start, F.lit(0)) / size).cast("long")
     return F.sequence(low, high)
@@ -31,7 +33,7 @@ def bins(start: Column, stop: Column, size: int) -> Column:
 
 def first_shared_bin(a_start: Column, b_start: Column, size: int) -> Column:
     """The lowest bin in which two intervals that share one can meet, so a pair is made once."""
-    return F.floor(F.greatest(a_start, b_start, F.lit(0)) / size).cast("long")
+    return F.floor(F.greatest(a_start, b_start, F.lit(0)) / size).cast("long") if size else F.lit(0).cast("long")
 
 
 def upstream(r_start: Column, r_stop: Column, r_strand: Column, e_start: Column, e_stop: Column) -> Column:

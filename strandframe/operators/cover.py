@@ -40,11 +40,11 @@ def segments(rows: DataFrame) -> DataFrame:
 
 
 def _bounds(rows: DataFrame, groups: DataFrame | None, least, most) -> tuple[Column, Column, DataFrame | None]:
-    """Columns for both bounds, and the samples of each group, if a bound is ALL."""
+    """Columns for both bounds, and the samples of each group, if a bound is ALL or a function of it."""
     sizes = None
-    if ALL in (least, most):
+    if any(callable(b) or b == ALL for b in (least, most)):
         sizes = (rows if groups is None else groups).groupBy(*([] if groups is None else ["group_id"])).agg(F.count_distinct("sample_id").alias("_samples"))
-    column = lambda b, free: F.col("_samples") if b == ALL else F.lit(free) if b == ANY else F.lit(b)
+    column = lambda b, free: F.floor(b(F.col("_samples"))) if callable(b) else F.col("_samples") if b == ALL else F.lit(free) if b == ANY else F.lit(b)
     return column(least, 1), column(most, 2**31 - 1), sizes
 
 
@@ -61,7 +61,8 @@ def _islands(runs: DataFrame) -> DataFrame:
 def cover(regions: DataFrame, kind: str = "COVER", least=1, most=ANY, groups: DataFrame | None = None, aggregates: dict[str, tuple[Aggregate, str]] | None = None, jaccard: bool = False, bin_size: int = BIN) -> DataFrame:
     """(sample_id = group or 0, coordinates, accumulation, aggregates, and with jaccard jaccard_intersect and jaccard_result).
 
-    least and most are numbers, ANY (1 and no bound) or ALL (the group's number of samples).
+    least and most are numbers, ANY (1 and no bound), ALL (the group's number of samples) or a function of ALL's column, such as
+    lambda n: n / 2; its value is rounded down.
     """
     rows = _grouped(regions, groups)
     low, high, sizes = _bounds(regions, groups, least, most)
@@ -82,14 +83,13 @@ def cover(regions: DataFrame, kind: str = "COVER", least=1, most=ANY, groups: Da
     out = out.select(F.col("group_id").alias("sample_id"), "chrom", "start", "stop", "strand", F.col("depth").alias("accumulation"))
     if kind.upper() != "FLAT" and not aggregates and not jaccard:
         return out
-    tagged = out.withColumn("_row", F.monotonically_increasing_id())
     inputs = rows.drop("sample_id").withColumnRenamed("group_id", "sample_id").select("sample_id", *(c for c in regions.columns if c != "sample_id"))
     overlap = I.overlaps(F.col("start"), F.col("stop"), F.col("e_start"), F.col("e_stop")) & (F.col("sample_id") == F.col("exp_id"))
-    found = interval_pairs(tagged, inputs, 0, overlap, bin_size=bin_size)
+    found = interval_pairs(out, inputs, 0, overlap, bin_size=bin_size)
     own = [c for c in out.columns if c not in ("start", "stop")]
     spans = [F.min("e_start").alias("_lo"), F.max("e_stop").alias("_hi"), F.max("e_start").alias("_in_lo"), F.min("e_stop").alias("_in_hi")]
     sums = [aggregate(k, F.col(f"e_{v}")).alias(n) for n, (k, v) in (aggregates or {}).items()]
-    met = found.groupBy("_row", *own, "start", "stop").agg(*spans, *sums)
+    met = found.groupBy(*own, "start", "stop").agg(*spans, *sums)
     span = F.col("_hi") - F.col("_lo")
     shares = [((F.col("stop") - F.col("start")) / span).alias("jaccard_intersect"), F.when(F.col("_in_hi") > F.col("_in_lo"), (F.col("_in_hi") - F.col("_in_lo")) / span).otherwise(F.lit(0.0)).alias("jaccard_result")] if jaccard else []
     ends = [F.col("_lo").alias("start"), F.col("_hi").alias("stop")] if kind.upper() == "FLAT" else [F.col("start"), F.col("stop")]

@@ -18,6 +18,7 @@ from ..functions.aggregates import Aggregate, aggregate
 
 BIN = 10_000
 HORIZON = 100_000
+WIDEN = 8
 
 
 @dataclass(frozen=True)
@@ -79,10 +80,11 @@ def _and(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, columns, F.lit(True))
 
 
-def interval_pairs(ref: DataFrame, exp: DataFrame, reach: int, condition: Column, pairs: DataFrame | None = None, how: str = "inner", bin_size: int = BIN, equal: list[tuple[str, str]] = ()) -> DataFrame:
+def interval_pairs(ref: DataFrame, exp: DataFrame, reach: int, condition: Column, pairs: DataFrame | None = None, how: str = "inner", bin_size: int = BIN, equal: list[tuple[str, str]] = (), paired: bool = False) -> DataFrame:
     """Rows of ref beside rows of exp (columns e_*) on the same chromosome that come within reach and satisfy condition.
 
-    pairs (ref_id, exp_id) restricts and multiplies the samples; equal lists further equal columns (left, right).
+    pairs (ref_id, exp_id) restricts and multiplies the samples; with paired, each row of ref names its partner already, in
+    pair_exp. equal lists further equal columns (left, right).
     """
     left = ref
     if pairs is not None:
@@ -92,7 +94,7 @@ def interval_pairs(ref: DataFrame, exp: DataFrame, reach: int, condition: Column
     right = _right(exp)
     right = right.withColumn("e_bin", F.explode(I.bins(F.col("e_start"), F.col("e_stop"), bin_size)))
     on = [F.col("chrom") == F.col("e_chrom"), F.col("bin") == F.col("e_bin")]
-    if pairs is not None:
+    if pairs is not None or paired:
         on.append(F.col("pair_exp") == F.col("exp_id"))
     on += [F.col(a) == F.col(f"e_{b}") for a, b in equal]
     rest = [F.col("bin") == I.first_shared_bin(wide_start, F.col("e_start"), bin_size), I.strands_agree(F.col("strand"), F.col("e_strand")), condition]
@@ -162,51 +164,96 @@ def _join_once(ref, exp, atoms, builder, pairs, on, bin_size, horizon) -> DataFr
         late = min([a.n for a in after if isinstance(a, DistLess)], default=0)
         reach = max(lower + horizon if lower > 0 else horizon, late)
         bounds.append(I.distance(F.col("start"), F.col("stop"), F.col("e_start"), F.col("e_stop")) <= reach)
-    source = ref.withColumn("_row", F.monotonically_increasing_id()) if cut < len(atoms) else ref
     # bins meet only if the widened left interval reaches into the right one, so a distance of exactly reach needs one more
-    found = interval_pairs(source, exp, reach + 1, _and(bounds), pairs, bin_size=bin_size, equal=[(c, c) for c in on])
     if cut < len(atoms):
-        rank = F.dense_rank().over(Window.partitionBy("_row", "exp_id").orderBy(I.distance(F.col("start"), F.col("stop"), F.col("e_start"), F.col("e_stop"))))
-        found = found.withColumn("_rank", rank).where((F.col("_rank") <= atoms[cut].k) & _and([_atom(a) for a in after]))
+        found = _nearest(ref, exp, atoms[cut].k, reach, _and(bounds), pairs, on, bin_size).where(_and([_atom(a) for a in after]))
+    else:
+        found = interval_pairs(ref, exp, reach + 1, _and(bounds), pairs, bin_size=bin_size, equal=[(c, c) for c in on])
     return _outcome(found, ref, exp, builder)
 
 
-def map_regions(ref: DataFrame, exp: DataFrame, pairs: DataFrame, aggregates: dict[str, tuple[Aggregate, str]] | None = None, count: str = "count", bin_size: int = BIN) -> DataFrame:
+def _nearest(ref: DataFrame, exp: DataFrame, k: int, reach: int, condition: Column, pairs: DataFrame | None, on: list[str], bin_size: int) -> DataFrame:
+    """Pairs of ref and exp rows whose distance is among the k least of the ref region in the exp sample, up to reach.
+
+    What is near a region hangs on its coordinates (and on, and its sample where pairs restricts), so equal regions are
+    searched for once. The search widens: whoever has k distances within a narrow reach is done, and only the other
+    (region, sample) go on to a reach WIDEN times as wide, so dense places never make all pairs within the horizon.
+    """
+    keys = [*I.COORDS, *on, *(["sample_id"] if pairs is not None else [])]
+    gap = I.distance(F.col("start"), F.col("stop"), F.col("e_start"), F.col("e_stop"))
+    least = Window.partitionBy(*keys, "exp_id").orderBy("_gap")
+    places = ref.select(*keys).distinct()
+    if pairs is None:
+        ids = exp.select(F.col("sample_id").alias("exp_id")).distinct()
+        todo = places.crossJoin(F.broadcast(ids))  # a row for each region and exp sample
+    else:
+        todo = places.join(pairs.select(F.col("ref_id").alias("sample_id"), "exp_id"), "sample_id")
+    limits, near = [], min(reach, bin_size)
+    while near < reach:
+        limits.append(near)
+        near *= WIDEN
+    done = None
+    for limit in [*limits, reach]:
+        met = interval_pairs(todo.withColumnRenamed("exp_id", "pair_exp"), exp, limit + 1, condition & (gap <= limit), bin_size=max(bin_size, limit // 4), equal=[(c, c) for c in on], paired=True)
+        ranked = met.withColumn("_gap", gap).withColumn("_rank", F.dense_rank().over(least)).where(F.col("_rank") <= k)
+        if limit == reach:
+            final = ranked
+        else:
+            full = ranked.where(F.col("_rank") == k).select(*keys, "exp_id").distinct()
+            final = ranked.join(full, [*keys, "exp_id"], "left_semi")
+            todo = todo.join(full, [*keys, "exp_id"], "left_anti")
+        final = final.select(*keys, *(c for c in _right(exp).columns))
+        done = final if done is None else done.unionByName(final)
+    return ref.join(done, keys)
+
+
+def map_regions(ref: DataFrame, exp: DataFrame, pairs: DataFrame, aggregates: dict[str, tuple[Aggregate, str]] | None = None, count: str = "count", bin_size: int = BIN, every: bool = False) -> DataFrame:
     """Each ref region for each paired sample, with the number of overlapping exp regions and aggregates of their values.
 
-    Rows are preserved: equal ref regions stay apart, and regions without a hit have count 0. One outer join and one
-    aggregation; the bins of a region without hits vanish in the count.
+    Rows are preserved: equal ref regions stay apart, and regions without a hit have count 0 and the aggregates of no
+    rows. Hits hang on the coordinates (and the sample where pairs restricts), so each place is matched once; with every,
+    pairs are all combinations of samples and the places aren't multiplied by them before the match. A place gathers
+    one entry for each exp sample that hits it; the samples that don't are filled in where rows are made.
     """
-    tagged = ref.withColumn("_row", F.monotonically_increasing_id())
+    keys = [*I.COORDS, *([] if every else ["sample_id"])]
+    places = ref.select(*keys).distinct()
+    right = exp.join(pairs.select(F.col("exp_id").alias("sample_id")).distinct(), "sample_id", "left_semi")
     overlap = I.overlaps(F.col("start"), F.col("stop"), F.col("e_start"), F.col("e_stop"))
-    found = interval_pairs(tagged, exp, 0, overlap, pairs, "left", bin_size)
-    own = [c for c in ref.columns if c != "sample_id"]
-    hit = F.col("exp_id").isNotNull()
-    sums = [F.count(F.when(hit, 1)).alias(count)]
+    found = interval_pairs(places, right, 0, overlap, None if every else pairs, bin_size=bin_size)
+    sums = [F.count(F.lit(1)).alias(count)]
     for name, (kind, value) in (aggregates or {}).items():
-        if kind == "COUNT":
-            sums.append(F.count(F.when(hit, 1)).alias(name))
-        else:
-            sums.append(aggregate(kind, F.col(f"e_{value}")).alias(name))
-    grouped = found.groupBy("_row", F.col("sample_id").alias("ref_id"), F.col("pair_exp").alias("exp_id")).agg(F.first(F.struct(*own)).alias("_own"), *sums)
-    return grouped.select("ref_id", "exp_id", *(F.col(f"_own.{c}").alias(c) for c in own), count, *(aggregates or {}))
+        sums.append(F.count(F.lit(1)).alias(name) if kind == "COUNT" else aggregate(kind, F.col(f"e_{value}")).alias(name))
+    names = [count, *(aggregates or {})]
+    nothing = _right(exp).limit(0).agg(*sums).select(F.struct(*names).alias("_nothing"))  # one row
+    hits = found.groupBy(*keys, "exp_id").agg(*sums).groupBy(*keys).agg(F.collect_list(F.struct(F.col("exp_id").alias("id"), F.struct(*names).alias("sums"))).alias("_hits"))
+    partners = pairs.groupBy(F.col("ref_id").alias("sample_id")).agg(F.collect_list("exp_id").alias("_partners")).crossJoin(F.broadcast(nothing))  # one row for each ref sample
+    own = [c for c in ref.columns if c != "sample_id"]
+    whole = ref.join(hits, keys, "left").join(F.broadcast(partners), "sample_id")
+    hit = F.coalesce("_hits", F.array())
+    missed = F.transform(F.array_except("_partners", F.transform(hit, lambda h: h["id"])), lambda i: F.struct(i.alias("id"), F.col("_nothing").alias("sums")))
+    rows = whole.select(F.col("sample_id").alias("ref_id"), *own, F.inline(F.concat(hit, missed)))
+    return rows.select("ref_id", F.col("id").alias("exp_id"), *own, *(F.col(f"sums.{n}").alias(n) for n in names))
 
 
 def difference(ref: DataFrame, exp: DataFrame, pairs: DataFrame | None = None, exact: bool = False, keep_unmatched: bool = False, bin_size: int = BIN) -> DataFrame:
     """The ref regions that no strand-compatible exp region overlaps, or with exact, none with the same coordinates.
 
-    With pairs only paired samples count; ref samples without a partner are dropped, unless keep_unmatched.
+    With pairs only paired samples count; ref samples without a partner are dropped, unless keep_unmatched. Whether a
+    region goes hangs on its coordinates (and its sample, with pairs) alone, so these are matched and anti-joined.
     """
-    tagged = ref.withColumn("_row", F.monotonically_increasing_id())
+    kept = ref
     if pairs is not None and not keep_unmatched:
-        tagged = tagged.join(pairs.select(F.col("ref_id").alias("sample_id")).distinct(), "sample_id", "left_semi")
+        kept = ref.join(pairs.select(F.col("ref_id").alias("sample_id")).distinct(), "sample_id", "left_semi")
+    keys = [*I.COORDS, *(["sample_id"] if pairs is not None else [])]
+    places = ref.select(*keys).distinct()
     if exact:
-        right = _right(exp)
-        on = [F.col(c) == F.col(f"e_{c}") for c in ("chrom", "start", "stop")] + [I.strands_agree(F.col("strand"), F.col("e_strand"))]
-        found = tagged.join(right, _and(on))
+        right = _right(exp.select("sample_id", *I.COORDS).distinct())
         if pairs is not None:
-            found = found.join(pairs.select(F.col("ref_id").alias("_r"), F.col("exp_id").alias("_e")), (F.col("sample_id") == F.col("_r")) & (F.col("exp_id") == F.col("_e")), "left_semi")
+            places = places.join(pairs.select(F.col("ref_id").alias("sample_id"), F.col("exp_id").alias("pair_exp")), "sample_id")
+        on = [F.col(c) == F.col(f"e_{c}") for c in ("chrom", "start", "stop")] + [I.strands_agree(F.col("strand"), F.col("e_strand"))]
+        on += [F.col("pair_exp") == F.col("exp_id")] if pairs is not None else []
+        found = places.join(right, _and(on))
     else:
         overlap = I.overlaps(F.col("start"), F.col("stop"), F.col("e_start"), F.col("e_stop"))
-        found = interval_pairs(tagged, exp, 0, overlap, pairs, bin_size=bin_size)
-    return tagged.join(found.select("_row").distinct(), "_row", "left_anti").select(*ref.columns)
+        found = interval_pairs(places, exp.select("sample_id", *I.COORDS).distinct(), 0, overlap, pairs, bin_size=bin_size)
+    return kept.join(found.select(*keys).distinct(), keys, "left_anti").select(*ref.columns)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ids
 from ..functions import intervals as I
 from .genometric import BIN, Condition, _atom, _and, DistLess, interval_pairs
 
@@ -22,7 +23,7 @@ def to_matrix(regions: DataFrame, column: str = "cells") -> DataFrame:
 
 def to_rows(matrix: DataFrame, column: str = "cells") -> DataFrame:
     cells = matrix.select(*I.COORDS, F.inline(column))
-    named = isinstance(cells.schema["vals"].dataType.typeName(), str) and cells.schema["vals"].dataType.typeName() == "struct"
+    named = cells.schema["vals"].dataType.typeName() == "struct"
     return cells.select("sample_id", *I.COORDS, *(["vals.*"] if named else []))
 
 
@@ -31,7 +32,7 @@ def matrix_map(ref: DataFrame, exp: DataFrame, column: str = "counts", bin_size:
 
     Zeros are filled in from the exp samples' ids, an array of one entry each.
     """
-    tagged = ref.select(*I.COORDS).withColumn("sample_id", F.lit(0).cast("long")).withColumn("_row", F.monotonically_increasing_id())
+    tagged = ref.select(*I.COORDS)
     flat = exp.select(*I.COORDS, F.explode(F.col("cells.sample_id")).alias("sample_id")).groupBy("sample_id", *I.COORDS).agg(F.count("*").alias("n"))
     overlap = I.overlaps(F.col("start"), F.col("stop"), F.col("e_start"), F.col("e_stop"))
     hits = interval_pairs(tagged, flat, 0, overlap, bin_size=bin_size).groupBy(*I.COORDS, "exp_id").agg(F.sum("e_n").alias("n"))
@@ -62,6 +63,32 @@ def matrix_join(left: DataFrame, right: DataFrame, conditions: list[Condition] =
     return found.select(*coords, *(F.col(c) for c in left.columns if c not in I.COORDS), F.col("e_cells").alias(column))
 
 
+def regrouped(joined: DataFrame, left: str = "cells", right: str = "right_cells") -> DataFrame:
+    """A join's matches as a matrix again, one row for each coordinate of the builder, so that it can be mapped and joined further.
+
+    Each combination of cells is one cell: its id is that of the pair, its values are the left ones and then the right
+    ones, whose names get right_ before them where the left has them too.
+    """
+    vals = lambda c: [f.name for f in getattr(joined.schema[c].dataType.elementType["vals"].dataType, "fields", [])]
+    lv, rv = vals(left), vals(right)
+
+    def cell(a, b):
+        values = [a["vals"][v].alias(v) for v in lv] + [b["vals"][v].alias(f"right_{v}" if v in lv else v) for v in rv]
+        return F.struct(ids.pair_id(a["sample_id"], b["sample_id"]).alias("sample_id"), (F.struct(*values) if values else F.lit(None).cast("string")).alias("vals"))
+
+    pairs = F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: cell(a, b))))
+    return joined.groupBy(*I.COORDS).agg(F.array_sort(F.flatten(F.collect_list(pairs))).alias("cells"))
+
+
+def to_rows_multi(matrix: DataFrame, operands: list[str]) -> DataFrame:
+    """Rows of a multi matrix under one id each: the operands' ids are paired from the left on; columns operand_value."""
+    rows = crossed(matrix, operands)
+    one = F.col(f"{operands[0]}_sample_id")
+    for o in operands[1:]:
+        one = ids.pair_id(one, F.col(f"{o}_sample_id"))
+    return rows.select(one.alias("sample_id"), *I.COORDS, *(f"{o}_value" for o in operands))
+
+
 def crossed(matrix: DataFrame, operands: list[str]) -> DataFrame:
     """Rows of a multi matrix: one for each combination of the operands' cells, with columns operand_sample_id and operand_vals."""
     out = matrix

@@ -11,6 +11,7 @@ from ..operators import genometric as G
 from ..operators import matrix as X
 from ..operators import metadata as M
 from ..operators import regions as R
+from ..sources import files
 
 BIN = 1000
 COORDS = ["chrom", "start", "stop", "strand"]
@@ -88,7 +89,7 @@ FROM ref r JOIN {pairs} p ON p.a = r.sample_id LEFT JOIN ex e ON e.sample_id = p
 
 def _mapped(spark, d, aggregates=None, attributes=()) -> DataFrame:
     a, b = ref(spark, d), exp(spark, d)
-    return G.map_regions(a.regions, b.regions, a.pairs(b, attributes), aggregates, bin_size=BIN)
+    return G.map_regions(a.regions, b.regions, a.pairs(b, attributes), aggregates, bin_size=BIN, every=not attributes)
 
 
 @query(_map_sql(""))
@@ -165,9 +166,10 @@ def _nearest_sql(before: str, k: int, after: str = "true") -> str:
 FROM ref r JOIN ex e ON r.chrom = e.chrom AND {STRAND} AND {before}) WHERE k <= {k} AND {after}"""
 
 
-@query(_nearest_sql(f"{DIST} <= 500", 2))
+@query(f""", gaps AS (SELECT r.rid, e.sample_id AS s, {DIST} AS gap FROM ref r JOIN ex e ON r.chrom = e.chrom AND {STRAND} AND {DIST} <= 100000 GROUP BY 1, 2, 3), cut AS (SELECT rid, s, list_max(min(gap, 2)) AS most FROM gaps GROUP BY 1, 2)
+SELECT {LEFT} FROM ref r JOIN cut ON cut.rid = r.rid JOIN ex e ON e.sample_id = cut.s AND r.chrom = e.chrom AND {STRAND} AND {DIST} <= cut.most""")
 def join_min_distance(spark, d):
-    return _joined(spark, d, [G.MinDistance(2)], horizon=500)
+    return _joined(spark, d, [G.MinDistance(2)])
 
 
 @query(_nearest_sql(f"{DIST} < 300", 1, "dist > 5"))
@@ -204,6 +206,12 @@ def difference(spark, d):
     return G.difference(ref(spark, d).regions, exp(spark, d).regions, bin_size=BIN)
 
 
+@query(f"SELECT {REGION} FROM ref r WHERE NOT EXISTS (SELECT 1 FROM ex e WHERE r.chrom = e.chrom AND {OVERLAP} AND {STRAND})")
+def difference_shuffled(spark, d):
+    """The ref comes out of a shuffle, whose rows have no fixed place."""
+    return G.difference(ref(spark, d).regions.repartition("start"), exp(spark, d).regions, bin_size=BIN)
+
+
 @query(f"SELECT {REGION} FROM ref r WHERE NOT EXISTS (SELECT 1 FROM ex e WHERE r.chrom = e.chrom AND r.start = e.start AND r.stop = e.stop AND {STRAND})")
 def difference_exact(spark, d):
     return G.difference(ref(spark, d).regions, exp(spark, d).regions, exact=True)
@@ -359,6 +367,154 @@ def order_meta_topg(spark, d):
     return M.order(meta_table(spark, d), [("third", True), ("acctbal", False)], top=1, within_leading=True).where("attribute = '_order'").select("sample_id", F.col("value").cast("long").alias("position"))
 
 
+# --- datasets as a whole: new ids, in SQL from the MD5 of both ids' bytes, and the metadata of the result ---
+
+
+def _sql_id(data: str) -> str:
+    """The first eight bytes of the MD5, read in little-endian order."""
+    u = f"CAST('0x' || {' || '.join(f'substr(md5({data}), {i}, 2)' for i in range(15, 0, -2))} AS UBIGINT)"
+    return f"CAST(CASE WHEN {u} > 9223372036854775807 THEN CAST({u} AS HUGEINT) - 18446744073709551616 ELSE {u} END AS BIGINT)"
+
+
+def _sql_bytes(*ids: str) -> str:
+    """Ids below 10 as the bytes of longs."""
+    return "unhex(" + " || ".join(f"'0' || CAST({i} AS VARCHAR) || '00000000000000'" for i in ids) + ")"
+
+
+PAIR = _sql_id(_sql_bytes("r.sample_id", "e.sample_id"))
+SINGLE = _sql_id(_sql_bytes("sample_id"))
+FILE = _sql_id("encode('S_0000' || CAST(sample_id AS VARCHAR) || '.{0}')")
+
+
+@query(f", pairs AS (SELECT DISTINCT {PAIR} AS id, r.sample_id AS a, e.sample_id AS b FROM ref r, (SELECT DISTINCT sample_id FROM ex) e), m AS ({_map_sql('')}) SELECT id AS sample_id, chrom, start, stop, strand, score, x, count FROM m JOIN pairs ON a = ref_id AND b = exp_id")
+def dataset_map(spark, d):
+    return ref(spark, d).map(exp(spark, d), bin_size=BIN).regions
+
+
+META_PAIRS = "SELECT DISTINCT r.sample_id AS a, e.sample_id AS b, {0} AS id FROM (SELECT DISTINCT sample_id FROM meta WHERE sample_id < 2) r, (SELECT DISTINCT sample_id FROM meta WHERE sample_id >= 2) e".format(PAIR)
+
+
+@query(f", p AS ({META_PAIRS}) SELECT DISTINCT id AS sample_id, 'left.' || attribute AS attribute, value FROM p JOIN meta ON sample_id = a UNION SELECT DISTINCT id, 'right.' || attribute, value FROM p JOIN meta ON sample_id = b")
+def dataset_map_meta(spark, d):
+    return ref(spark, d).map(exp(spark, d)).meta
+
+
+@query(f", p AS ({META_PAIRS}) SELECT DISTINCT id AS sample_id, attribute, value FROM p JOIN meta ON sample_id = a")
+def dataset_join_meta(spark, d):
+    """A DISTINCT builder keeps one side's metadata, without a prefix."""
+    return ref(spark, d).join(exp(spark, d), [G.DistLess(0)], "LEFT_DISTINCT").meta
+
+
+@query(f"SELECT {SINGLE} AS sample_id, chrom, start, stop, strand, score, x FROM ref r WHERE sample_id = 0 AND NOT EXISTS (SELECT 1 FROM ex e WHERE e.sample_id = 3 AND r.chrom = e.chrom AND {OVERLAP} AND {STRAND})")
+def difference_unpaired(spark, d):
+    """A ref sample without a partner goes."""
+    return ref(spark, d).difference(dataset(spark, d, 3), ["third"]).regions
+
+
+@query(f"SELECT {SINGLE} AS sample_id, 'left.' || attribute AS attribute, value FROM meta WHERE sample_id = 0")
+def difference_meta(spark, d):
+    return ref(spark, d).difference(dataset(spark, d, 3), ["third"]).meta
+
+
+@query(f", u AS (SELECT 0 AS side, * FROM regions WHERE sample_id < 2 UNION ALL SELECT 1, * FROM regions WHERE sample_id >= 2) SELECT {_sql_id(_sql_bytes('side', 'sample_id'))} AS sample_id, chrom, start, stop, strand, score, x FROM u")
+def union_ids(spark, d):
+    return ref(spark, d).union(exp(spark, d)).regions
+
+
+@query("SELECT DISTINCT sample_id, attribute, value FROM meta WHERE sample_id < 2 OR sample_id IN (3, 4)")
+def union_meta_aggregated(spark, d):
+    return ref(spark, d).union_meta(dataset(spark, d, 1, 3, 4)).meta
+
+
+@query("SELECT DISTINCT CAST(sample_id % 3 + 1 AS BIGINT) AS sample_id, attribute, value FROM meta")
+def cover_meta(spark, d):
+    return dataset(spark, d).cover(attributes=["third"]).meta
+
+
+@query("SELECT sample_id, attribute, value FROM meta WHERE sample_id IN (SELECT sample_id FROM regions WHERE chrom = 'chr7' AND x > 0.09 AND sample_id < 4)")
+def purge_meta(spark, d):
+    ds = dataset(spark, d)
+    return Dataset(ds.regions.where("chrom = 'chr7' AND x > 0.09 AND sample_id < 4"), ds.meta).purge().meta
+
+
+@query(_map_sql(", round(quantile_cont(e.score, 0.5), 4) AS median, round(quantile_cont(e.score, 0.25), 4) AS q1, round(quantile_cont(e.score, 0.75), 4) AS q3, round(stddev_samp(e.score), 4) AS std, coalesce((string_agg(DISTINCT CAST(CAST(round(e.x * 100) AS INT) AS VARCHAR), ' ' ORDER BY CAST(CAST(round(e.x * 100) AS INT) AS VARCHAR))), '') AS bag"))
+def map_quantiles(spark, d):
+    a, b = ref(spark, d), exp(spark, d)
+    rows = b.regions.withColumn("p", F.round(F.col("x") * 100).cast("int"))
+    aggs = {"median": ("MEDIAN", "score"), "q1": ("Q1", "score"), "q3": ("Q3", "score"), "std": ("STD", "score"), "bag": ("BAGD", "p")}
+    return G.map_regions(a.regions, rows, a.pairs(b), aggs, bin_size=BIN, every=True).withColumns({n: F.round(n, 4) for n in ("median", "q1", "q3", "std")})
+
+
+@query(f"SELECT {REGION}, row_number() OVER (PARTITION BY sample_id ORDER BY score ASC NULLS LAST, chrom, start, stop, strand, x) AS \"order\" FROM regions")
+def order_all(spark, d):
+    return dataset(spark, d).order([("score", True)]).regions
+
+
+@query("SELECT sample_id, chrom, start, stop, strand, score, y, row_number() OVER (PARTITION BY sample_id, chrom ORDER BY y DESC NULLS LAST, start, stop, strand, score) AS \"order\" FROM (SELECT *, CASE WHEN x > 0.03 THEN x END AS y FROM regions)")
+def order_nulls(spark, d):
+    rows = dataset(spark, d).regions.withColumn("y", F.when(F.col("x") > 0.03, F.col("x"))).drop("x")
+    return R.order(rows, [("chrom", True), ("y", False)], within_leading=True)
+
+
+@query(f"SELECT {REGION}, row_number() OVER (PARTITION BY sample_id ORDER BY chrom DESC NULLS LAST, score, start, stop, strand, x) AS \"order\" FROM regions")
+def order_strings(spark, d):
+    return dataset(spark, d).order([("chrom", False), ("score", True)]).regions
+
+
+@query("SELECT sample_id, value FROM (SELECT DISTINCT sample_id, CAST(sample_id % 3 + 1 AS VARCHAR) AS value FROM meta)")
+def order_meta_group_id(spark, d):
+    return M.order(meta_table(spark, d), [("third", True), ("acctbal", False)], within_leading=True).where("attribute = 'acctbal_groupId'").select("sample_id", "value")
+
+
+@query("SELECT sample_id, row_number() OVER (ORDER BY v ASC NULLS FIRST, sample_id) AS position FROM (SELECT sample_id, min(CASE WHEN attribute = 'acctbal' AND sample_id <> 4 THEN CAST(value AS DOUBLE) END) AS v FROM meta GROUP BY 1) QUALIFY position <= floor(count(*) OVER () * 50 / 100)")
+def order_meta_missing(spark, d):
+    """A sample without the key comes first ascending; half of the samples stay."""
+    meta = meta_table(spark, d).where("NOT (sample_id = 4 AND attribute = 'acctbal')")
+    return M.order(meta, [("acctbal", True)], percent=50).where("attribute = '_order'").select("sample_id", F.col("value").cast("long").alias("position"))
+
+
+# --- files: what is written to the shared folder is read again ---
+
+
+def _stored(spark, d, kind: str, **options) -> Dataset:
+    folder = files.scratch(spark)
+    files.write(dataset(spark, d), folder, kind)
+    return files.read(spark, f"{folder}/files", **options) if options else files.read_written(spark, folder, kind)
+
+
+@query(f"SELECT {FILE.format('gdm')} AS sample_id, chrom, start, stop, strand, score, x FROM regions")
+def files_tab(spark, d):
+    return _stored(spark, d, "tab").regions
+
+
+@query(f"SELECT {FILE.format('gdm')} AS sample_id, attribute, value FROM meta")
+def files_meta(spark, d):
+    return _stored(spark, d, "tab").meta
+
+
+@query(f"SELECT {FILE.format('gtf')} AS sample_id, chrom, start, stop, strand, score, x FROM regions")
+def files_gtf(spark, d):
+    return _stored(spark, d, "gtf").regions
+
+
+@query(f"SELECT {REGION} FROM regions")
+def files_parquet(spark, d):
+    return _stored(spark, d, "parquet").regions.select(*REGION.split(", "))
+
+
+@query(f"SELECT {FILE.format('gdm')} AS sample_id, chrom, start, stop, strand, score, x FROM regions WHERE sample_id % 3 = 1")
+def files_select(spark, d):
+    """Only the files of samples that satisfy the predicate are opened."""
+    return _stored(spark, d, "tab", where=M.attribute("third") == 1).regions
+
+
+@query("SELECT sample_id, count(*) AS lines FROM regions GROUP BY 1")
+def files_matrix(spark, d):
+    folder = files.scratch(spark)
+    files.write_matrix(dataset(spark, d).to_matrix(), folder)
+    return spark.read.text(folder).groupBy(F.split("value", "\t")[0].cast("long").alias("sample_id")).agg(F.count("*").alias("lines"))
+
+
 # --- coverage: in SQL by a running sum over all events, without stripes ---
 
 
@@ -392,6 +548,12 @@ def cover_groupby(spark, d):
     return dataset(spark, d).cover("COVER", C.ANY, C.ALL, ["third"]).regions
 
 
+@query(_cover_sql("COVER", "3", "2147483647"))
+def cover_half(spark, d):
+    """At least half of the samples."""
+    return dataset(spark, d).cover("COVER", lambda n: n / 2, C.ANY).regions
+
+
 @query(_cover_sql("HISTOGRAM", "1", "2147483647"))
 def histogram(spark, d):
     return dataset(spark, d).cover("HISTOGRAM").regions
@@ -433,10 +595,33 @@ def matrix_map(spark, d):
 @query(_join_sql(OVERLAP))
 def matrix_join(spark, d):
     joined = X.matrix_join(ref(spark, d).to_matrix(), exp(spark, d).to_matrix(), bin_size=BIN)
+    return _matrix_rows(joined)
+
+
+def _matrix_rows(joined: DataFrame) -> DataFrame:
     rows = X.crossed(joined, ["cells", "right_cells"])
     return rows.select(F.col("cells_sample_id").alias("ref_id"), F.col("right_cells_sample_id").alias("exp_id"), *COORDS, "cells_value.vals.score", "cells_value.vals.x", F.col("right_cells_value.vals.score").alias("right_score"), F.col("right_cells_value.vals.x").alias("right_x"))
 
 
+@query(_join_sql(OVERLAP, f"{IDS}, e.start, e.stop, e.strand, {VALUES}"))
+def matrix_join_right(spark, d):
+    return _matrix_rows(X.matrix_join(ref(spark, d).to_matrix(), exp(spark, d).to_matrix(), builder="RIGHT", bin_size=BIN))
+
+
+@query(_join_sql(OVERLAP, f"{PAIR} AS sample_id, r.chrom, least(r.start, e.start) AS start, greatest(r.stop, e.stop) AS stop, {JOINT}, {VALUES}"))
+def matrix_join_regrouped(spark, d):
+    """The matches as a matrix by the builder's coordinates, under the pairs' ids."""
+    joined = X.matrix_join(ref(spark, d).to_matrix(), exp(spark, d).to_matrix(), builder="CONTIG", bin_size=BIN)
+    return X.to_rows(X.regrouped(joined))
+
+
+@query(f", j AS ({_join_sql(OVERLAP, f'{PAIR} AS sample_id, r.chrom, least(r.start, e.start) AS start, greatest(r.stop, e.stop) AS stop, {JOINT}')}) SELECT c.chrom, c.start, c.stop, c.strand, CAST(count(e.start) AS BIGINT) AS hits FROM (SELECT DISTINCT chrom, start, stop, strand FROM j) c LEFT JOIN (SELECT * FROM regions WHERE sample_id = 5) e ON e.chrom = c.chrom AND c.start < e.stop AND e.start < c.stop AND (c.strand = '*' OR e.strand = '*' OR c.strand = e.strand) GROUP BY ALL")
+def matrix_chain(spark, d):
+    """A join's matrix, mapped further."""
+    joined = X.regrouped(X.matrix_join(ref(spark, d).to_matrix(), exp(spark, d).to_matrix(), builder="CONTIG", bin_size=BIN))
+    return X.matrix_map(joined, dataset(spark, d, 5).to_matrix(), bin_size=BIN).select(*COORDS, F.col("counts")[0]["count"].alias("hits"))
+
+
 # --- chains of MAP and JOIN over the samples A to F ---
 
 
@@ -446,7 +631,7 @@ def _one(spark, d, sample: int) -> DataFrame:
 
 def _chain_map(a: DataFrame, b: DataFrame, aggregates=None, count="count") -> DataFrame:
     pairs = M.sample_pairs(a, b)
-    return G.map_regions(a, b, pairs, aggregates, count, bin_size=BIN).drop("exp_id").withColumnRenamed("ref_id", "sample_id")
+    return G.map_regions(a, b, pairs, aggregates, count, bin_size=BIN, every=True).drop("exp_id").withColumnRenamed("ref_id", "sample_id")
 
 
 def _chain_join(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+import warnings
+from collections.abc import Callable
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dataset import Dataset
 from ..functions import ids
-from .schema import PRESETS, RegionSchema, read_schema, to_xml
+from ..operators import metadata
+from .schema import ALIASES, PRESETS, RegionSchema, from_xml, read_schema, to_xml
+
+#: What reads lines (sample_id, value) into regions: a preset's name, a schema, or a function of one's own.
+Parser = str | RegionSchema | Callable[[DataFrame], DataFrame]
 
-NO_DATA = ("*.meta", "*.xml", "*.schema")
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name below spark.checkpoint.dir, which driver and executors share; where that is unset, a local one, in local mode only."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def _typed(text: Column, kind: str) -> Column:
@@ -18,57 +37,101 @@ def _typed(text: Column, kind: str) -> Column:
     return F.lit(None).cast("string") if kind == "void" else F.trim(text)
 
 
+def _cell(i: int) -> Column:
+    return F.try_element_at(F.split("value", "\t", -1), F.lit(i + 1))
+
+
+def _start(schema: RegionSchema) -> Column:
+    return _cell(schema.start).try_cast("long") - (1 if schema.one_based else 0)
+
+
+def _readable(schema: RegionSchema) -> Column:
+    """Whether a line has all columns, and numbers where they should be."""
+    good = _cell(schema.chrom).isNotNull() & (F.trim(_cell(schema.chrom)) != "") & _start(schema).isNotNull() & _cell(schema.stop).try_cast("long").isNotNull()
+    for _, i, kind in schema.values:
+        good = good & _cell(i).isNotNull()
+        if kind == "double":
+            good = good & (F.lower(F.trim(_cell(i))).isin("null", ".") | _cell(i).try_cast("double").isNotNull())
+    return F.coalesce(good, F.lit(False))
+
+
+def _content(lines: DataFrame) -> DataFrame:
+    return lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+
+
 def parsed(lines: DataFrame, schema: RegionSchema, strict: bool = False) -> DataFrame:
-    """Regions from (sample_id, value) lines. # lines are skipped; lines that can't be read are dropped, or with strict fail the query."""
-    cell = F.split("value", "\t", -1)
-    at = lambda i: F.try_element_at(cell, F.lit(i + 1))
-    start = at(schema.start).try_cast("long") - (1 if schema.one_based else 0)
-    strand = F.lit("*") if schema.strand is None else F.when(F.trim(at(schema.strand)).isin("+", "-"), F.trim(at(schema.strand))).otherwise("*")
-    values = [_typed(at(i), t).alias(n) for n, i, t in schema.values]
-    needed = [at(i).isNotNull() for _, i, _ in schema.values] + [F.lower(F.trim(at(i))).isin("null", ".") | at(i).try_cast("double").isNotNull() for _, i, t in schema.values if t == "double"]
+    """Regions from (sample_id, value) lines. # lines are skipped; lines that can't be read are dropped (bad_lines has them), or with strict fail the query."""
+    strand = F.lit("*") if schema.strand is None else F.when(F.trim(_cell(schema.strand)).isin("+", "-"), F.trim(_cell(schema.strand))).otherwise("*")
+    values = [_typed(_cell(i), t).alias(n) for n, i, t in schema.values]
     for name, t in schema.attributes:  # k "v"; pairs, names in any case
-        value = F.regexp_extract(at(8), rf'(?i)(?:^|;)\s*{name}\s+"?([^";]*)"?', 1)
+        value = F.regexp_extract(_cell(8), rf'(?i)(?:^|;)\s*{re.escape(name)}\s+"?([^";]*)"?', 1)
         values.append(F.when(value == "", None).otherwise(_typed(value, t)).alias(name))
-    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    good = at(schema.chrom).isNotNull() & (F.trim(at(schema.chrom)) != "") & start.isNotNull() & at(schema.stop).try_cast("long").isNotNull()
-    for n in needed:
-        good = good & F.coalesce(n, F.lit(False))
-    if strict:
-        rows = rows.where(F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("unreadable line: "), "value"))))
-    else:
-        rows = rows.where(F.coalesce(good, F.lit(False)))
-    return rows.select("sample_id", F.trim(at(schema.chrom)).alias("chrom"), start.alias("start"), at(schema.stop).try_cast("long").alias("stop"), strand.alias("strand"), *values)
+    good = _readable(schema)
+    rows = _content(lines)
+    rows = rows.where(F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("unreadable line: "), "value")))) if strict else rows.where(good)
+    return rows.select("sample_id", F.trim(_cell(schema.chrom)).alias("chrom"), _start(schema).alias("start"), _cell(schema.stop).try_cast("long").alias("stop"), strand.alias("strand"), *values)
+
+
+def unknown_attributes(lines: DataFrame, schema: RegionSchema) -> DataFrame:
+    """(attribute, lines): names in the last column of GTF lines that the schema doesn't have."""
+    names = F.regexp_extract_all(F.concat(F.lit(";"), _cell(8)), F.lit(r';\s*([^\s";]+)\s'), F.lit(1))
+    known = [n.lower() for n, _ in schema.attributes]
+    found = _content(lines).select(F.explode(F.array_distinct(names)).alias("attribute"))
+    return found.where(~F.lower("attribute").isin(known)).groupBy("attribute").agg(F.count("*").alias("lines"))
 
 
-def _lines(spark: SparkSession, folder: str, glob: str, recursive: bool) -> DataFrame:
+def _lines(spark: SparkSession, paths: str | list[str], glob: str, recursive: bool) -> DataFrame:
     reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
-    return reader.text(folder).select(F.col("_metadata.file_name").alias("_file"), "value")
+    named = reader.text(paths).select(F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_path").alias("_path"), "value")
+    return named.withColumn("sample_id", ids.file_id(F.col("_file")))
 
 
-def read(spark: SparkSession, folder: str, parser: str | RegionSchema | None = None, strict: bool = False, with_meta_only: bool = True, recursive: bool = False) -> Dataset:
-    """A dataset from a folder. parser: a preset's name, a schema, or None for the folder's own XML.
+def _region_lines(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
+    """Lines of all files that aren't metadata or a schema; Spark prunes the others by their names."""
+    name = F.col("_file")
+    return _lines(spark, paths, "*", recursive).where(~name.endswith(".meta") & ~name.endswith(".xml") & ~name.endswith(".schema"))
 
-    Without with_meta_only, region files need no .meta beside them. Small files are combined by Spark's file splits.
-    """
+
+def _schema_of(spark: SparkSession, folder: str, parser: Parser | None) -> RegionSchema | Callable[[DataFrame], DataFrame]:
     if isinstance(parser, str):
-        try:
-            parser = PRESETS[parser.lower()]
-        except KeyError:
-            raise ValueError(f"unknown parser {parser!r}; one of {', '.join(PRESETS)}") from None
-    schema = parser or read_schema(spark, folder)
-    text = _lines(spark, folder, "*", recursive)
-    is_meta = F.col("_file").endswith(".meta")
-    named = text.withColumn("sample_id", ids.file_id(F.col("_file")))
-    data = named.where(~is_meta & ~F.col("_file").endswith(".xml") & ~F.col("_file").endswith(".schema"))
-    meta_lines = named.where(is_meta)
-    if with_meta_only:
-        data = data.join(meta_lines.select("sample_id").distinct(), "sample_id", "left_semi")
+        name = ALIASES.get(parser.lower(), parser.lower())
+        if name not in PRESETS and name != "custom":
+            warnings.warn(f"unknown parser {parser!r}: the folder's own schema is used; there are {', '.join(PRESETS)}", stacklevel=3)
+        parser = PRESETS.get(name)
+    return parser or read_schema(spark, folder)
+
+
+def read(spark: SparkSession, folder: str, parser: Parser | None = None, strict: bool = False, with_meta_only: bool = True, recursive: bool = False, where: metadata.Predicate | None = None) -> Dataset:
+    """A dataset from a folder. parser: a preset's name, a schema, a function from lines to regions, or None for the folder's own XML.
+
+    Without with_meta_only, region files need no .meta beside them. Small files are combined by Spark's file splits. With
+    where, the metadata are read first, and only the region files of the samples that satisfy it are opened.
+    """
+    schema = _schema_of(spark, folder, parser)
+    meta_lines = _lines(spark, folder, "*.meta", recursive)
     pair = F.split("value", "\t", -1)
     meta = meta_lines.where(~F.col("value").startswith("#"))
     if strict:
         meta = meta.where(F.when((F.size(pair) == 2) | (F.trim("value") == ""), True).otherwise(F.raise_error(F.concat(F.lit("unreadable metadata: "), "value"))))
     meta = meta.where(F.size(pair) == 2).select("sample_id", pair[0].alias("attribute"), pair[1].alias("value"))
-    return Dataset(parsed(data, schema, strict), meta)
+    if where is not None:
+        chosen = metadata.samples_where(meta, where)
+        meta = metadata.restricted(meta, chosen)
+        files = metadata.restricted(meta_lines.select("sample_id", "_path").distinct(), chosen).collect()  # one name for each sample
+        data = _region_lines(spark, [unquote(r["_path"]).removesuffix(".meta") for r in files]) if files else meta_lines.limit(0)
+    else:
+        data = _region_lines(spark, folder, recursive)
+        if with_meta_only:
+            listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.meta").option("recursiveFileLookup", str(recursive).lower()).load(folder)  # names alone
+            data = data.join(listed.select(ids.file_id(F.element_at(F.split("path", "/"), -1)).alias("sample_id")).distinct(), "sample_id", "left_semi")
+    data = data.select("sample_id", "value")
+    return Dataset(parsed(data, schema, strict) if isinstance(schema, RegionSchema) else schema(data), meta)
+
+
+def bad_lines(spark: SparkSession, folder: str, parser: str | RegionSchema | None = None, recursive: bool = False) -> DataFrame:
+    """(file, value): the lines that read drops."""
+    schema = _schema_of(spark, folder, parser)
+    return _content(_region_lines(spark, folder, recursive)).where(~_readable(schema)).select(F.col("_file").alias("file"), "value")
 
 
 def _text(value: Column) -> Column:
@@ -91,28 +154,59 @@ def gtf_lines(ds: Dataset, one_based: bool = True) -> DataFrame:
     return ds.regions.select("sample_id", F.concat_ws("\t", *cells).alias("value"))
 
 
+def _one_file_a_sample(lines: DataFrame, folder: str) -> None:
+    """Text below folder/sample_id=..., each sample by one task, since the format has one file for each."""
+    lines.repartition("sample_id").write.partitionBy("sample_id").text(folder)
+
+
 def write(ds: Dataset, folder: str, kind: str = "parquet") -> None:
-    """parquet: regions partitioned by sample, so a selection of samples prunes files. tab, gtf: text, a folder for each sample. Metadata and schema beside them."""
+    """Writes the dataset; read_written reads it again.
+
+    parquet: regions partitioned by sample, so a selection of samples prunes files; for data of any size. tab, gtf: the
+    exchange format, folder/files with S_00000.gdm (or .gtf) and its .meta for each sample, in the order of their ids, and
+    schema.xml. Spark writes the files, and the driver then only names them: one rename a sample.
+    """
     spark = ds.regions.sparkSession
     if kind == "parquet":
-        ds.regions.write.partitionBy("sample_id").parquet(f"{folder}/regions")
+        ds.regions.repartition("sample_id", F.pmod(F.xxhash64("chrom", "start"), F.lit(32))).write.partitionBy("sample_id").parquet(f"{folder}/regions")
         ds.meta.write.parquet(f"{folder}/meta")
         return
-    lines = {"tab": tab_lines, "gtf": gtf_lines}[kind](ds)
-    lines.write.partitionBy("sample_id").text(f"{folder}/files")
-    ds.meta.select("sample_id", F.concat_ws("\t", "attribute", "value").alias("value")).write.partitionBy("sample_id").text(f"{folder}/meta")
+    lines, ending = {"tab": (tab_lines, "gdm"), "gtf": (gtf_lines, "gtf")}[kind]
+    _one_file_a_sample(lines(ds), f"{folder}/_regions")
+    _one_file_a_sample(ds.meta.select("sample_id", F.concat_ws("\t", "attribute", "value").alias("value")), f"{folder}/_meta")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[int, dict[str, object]] = {}
+    for part in ("_regions", "_meta"):
+        for p in fs.globStatus(path(f"{folder}/{part}/sample_id=*/part-*")) or []:
+            found.setdefault(int(p.getPath().getParent().getName().partition("=")[2]), {})[part] = p.getPath()
+    fs.mkdirs(path(f"{folder}/files"))
+    for n, sample in enumerate(sorted(found)):
+        for part, name in (("_regions", f"S_{n:05d}.{ending}"), ("_meta", f"S_{n:05d}.{ending}.meta")):
+            to = path(f"{folder}/files/{name}")
+            if part in found[sample]:
+                fs.rename(found[sample][part], to)
+            else:  # a sample without regions or without metadata
+                fs.create(to).close()
+    for part in ("_regions", "_meta"):
+        fs.delete(path(f"{folder}/{part}"), True)
     types = dict(ds.regions.dtypes)
-    spark.createDataFrame([(to_xml([(v, types[v]) for v in ds.values], kind=kind),)], "value string").coalesce(1).write.text(f"{folder}/schema")
+    out = fs.create(path(f"{folder}/files/schema.xml"))
+    out.write(to_xml([(v, types[v]) for v in ds.values], kind=kind).encode())
+    out.close()
 
 
 def read_written(spark: SparkSession, folder: str, kind: str = "parquet") -> Dataset:
-    """What write made."""
+    """What write made. From text, samples have the ids of their file names."""
     if kind == "parquet":
         return Dataset(spark.read.parquet(f"{folder}/regions"), spark.read.parquet(f"{folder}/meta"))
-    from .schema import from_xml
+    return read(spark, f"{folder}/files")
+
+
+def write_matrix(matrix: DataFrame, folder: str, column: str = "cells") -> None:
+    """Text: the sample, the coordinates and the comma-joined values of each cell."""
+    from ..operators.matrix import to_rows
 
-    schema = from_xml("\n".join(r["value"] for r in spark.read.text(f"{folder}/schema").collect()))
-    lines = spark.read.text(f"{folder}/files").select(F.col("sample_id").cast("long").alias("sample_id"), "value")
-    pair = F.split("value", "\t", 2)
-    meta = spark.read.text(f"{folder}/meta").select(F.col("sample_id").cast("long").alias("sample_id"), pair[0].alias("attribute"), pair[1].alias("value"))
-    return Dataset(parsed(lines, schema), meta)
+    rows = to_rows(matrix, column)
+    values = [_text(F.col(c)) for c in rows.columns[5:]]
+    rows.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in rows.columns[:5]), F.concat_ws(", ", *values)).alias("value")).write.text(folder)

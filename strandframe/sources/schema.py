@@ -9,6 +9,12 @@ from pyspark.sql import SparkSession
 
 #: Names that mark a coordinate column, and types by their schema names.
 SYNONYMS = {"chrom": {"CHROM", "CHROMOSOME", "CHR"}, "start": {"START", "LEFT"}, "stop": {"STOP", "RIGHT", "END"}, "strand": {"STRAND", "STR"}}
+#: The elements and attributes of a schema file, and further names of the presets; custom is the folder's own schema.
+COLLECTION, SCHEMA, FIELD, COORDINATES = "gmqlSchemaCollection", "gmqlSchema", "field", "coordinate_system"
+ALIASES = {
+    "bedscoreparser": "bedscore", "annparser": "annotation", "broadpeaksparser": "broadpeaks", "narrowpeakparser": "narrowpeak", "narrow": "narrowpeak", "bedtabseparatedparser": "bed",
+    "rnaseqparser": "rnaseq", "broadprojparser": "broadprojection", "basicparser": "basic", "customparser": "custom", "default": "custom",
+}
 TYPES = {"STRING": "string", "CHAR": "string", "INTEGER": "double", "INT": "double", "LONG": "double", "DOUBLE": "double", "NULL": "void"}
 
 
@@ -55,18 +61,18 @@ def from_fields(fields: list[tuple[str, str]], kind: str = "tab", coordinates: s
 def from_xml(text: str) -> RegionSchema:
     root = ET.fromstring(text)
     tag = lambda e: e.tag.rpartition("}")[2]
-    top = root if tag(root) == "gmqlSchema" else next((e for e in root.iter() if tag(e) == "gmqlSchema"), root)
-    fields = [((e.text or "").strip(), e.get("type", "STRING")) for e in top.iter() if tag(e) == "field"]
-    return from_fields(fields, top.get("type", "tab"), top.get("coordinate_system"))
+    top = root if tag(root) == SCHEMA else next((e for e in root.iter() if tag(e) == SCHEMA), root)
+    fields = [((e.text or "").strip(), e.get("type", "STRING")) for e in top.iter() if tag(e) == FIELD]
+    return from_fields(fields, top.get("type", "tab"), top.get(COORDINATES))
 
 
 def to_xml(values: list[tuple[str, str]], name: str = "dataset", kind: str = "tab") -> str:
     """XML for a dataset with these values (name, Spark type) after its coordinates."""
-    collection = ET.Element("gmqlSchemaCollection", {"name": name})
-    top = ET.SubElement(collection, "gmqlSchema", {"type": kind, "coordinate_system": "1-based" if kind == "gtf" else "0-based"})
+    collection = ET.Element(COLLECTION, {"name": name})
+    top = ET.SubElement(collection, SCHEMA, {"type": kind, COORDINATES: "1-based" if kind == "gtf" else "0-based"})
     names = {"string": "STRING", "double": "DOUBLE", "float": "DOUBLE", "int": "INTEGER", "bigint": "LONG", "void": "NULL"}
     for n, t in [("chr", "string"), ("left", "bigint"), ("right", "bigint"), ("strand", "string"), *values]:
-        ET.SubElement(top, "field", {"type": names.get(t, "STRING")}).text = n
+        ET.SubElement(top, FIELD, {"type": names.get(t, "STRING")}).text = n
     return ET.tostring(collection, encoding="unicode")
 
 
