@@ -97,9 +97,9 @@ def _bucket(regions: DataFrame, part: list[str], key: str, ascending: bool) -> t
     Numbers fall into BUCKETS equal steps between the group's least and largest, strings go by their first two characters.
     """
     kind = dict(regions.dtypes)[key]
-    value, last = F.col(key), 1 << 40
+    value, last = F.col(key), 1 << 50
     if kind == "string":
-        step = F.ascii(value) * (1 << 21) + F.ascii(F.substring(value, 2, 1))
+        step = F.ascii(value).cast("long") * (1 << 21) + F.ascii(F.substring(value, 2, 1))
     elif kind in ("double", "float", "tinyint", "smallint", "int", "bigint") or kind.startswith("decimal"):
         number = value.cast("double")
         finite = F.when(F.abs(number) < float("inf"), number)

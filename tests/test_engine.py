@@ -1,16 +1,21 @@
 """The interval engine against the fixture scenarios and plain Python definitions."""
 
+import hashlib
 import random
+import struct
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from strandframe import Dataset
 from strandframe.operators import cover as C
 from strandframe.operators import genometric as G
 from strandframe.operators import matrix as X
 from strandframe.operators import metadata as M
-from strandframe.sources import files
+from strandframe.operators import regions as R
+from strandframe.sources import files, schema
 
 SCHEMA = "sample_id long, chrom string, start long, stop long, strand string, x double, y double"
 #: Scenarios on chr1, strand *: {sample: rows of start, stop, x, y}.
@@ -132,3 +137,123 @@ def test_files_and_metadata(spark, tmp_path):
     assert {r.attribute for r in ds.map(ds).meta.collect()} == {"left.cell", "right.cell", "left.left.age", "right.left.age"}
     with pytest.raises(ValueError):
         Dataset.of(spark.range(1))
+
+
+def little(data):
+    return int.from_bytes(hashlib.md5(data).digest()[:8], "little", signed=True)
+
+
+def test_shuffled_refs(spark):
+    """Refs out of a shuffle, whose partitions differ from one plan to another, under small adaptive partitions."""
+    left, right = random_rows(300, 3), random_rows(40, 4)
+    r = spark.createDataFrame(left * 2, SCHEMA).repartition(16, "start")
+    e = spark.createDataFrame(right, SCHEMA)
+    hits = lambda a, s=None: [b for b in right if agree(a, b) and a[2] < b[3] and b[2] < a[3] and s in (None, b[0])]
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1k")
+    try:
+        gone = G.difference(r, e, bin_size=7)
+        assert Counter(map(tuple, gone.collect())) == Counter(a for a in left * 2 if not hits(a)) and gone.count() == sum(not hits(a) for a in left * 2)
+        counts = G.map_regions(r, e, M.sample_pairs(r, e), {"total": ("SUM", "x")}, bin_size=7, every=True)
+        got = counts.select("ref_id", *X.I.COORDS, "exp_id", "count", "total").collect()
+        total = lambda a, s: sum(b[5] for b in hits(a, s)) if hits(a, s) else None
+        assert Counter(map(tuple, got)) == Counter((*a[:5], s, len(hits(a, s)), total(a, s)) for a in left * 2 for s in range(2))
+        near = G.join(r, e, [G.MinDistance(1)], "BOTH", bin_size=2, horizon=60).collect()
+        want = Counter()
+        for a in left * 2:
+            for s in range(2):
+                own = [b for b in right if b[0] == s and agree(a, b) and dist(a, b) <= 60]
+                want.update((a[:5], b[:5]) for b in own if dist(a, b) == min(dist(a, c) for c in own))
+        assert Counter(((q.ref_id, q.chrom, q.start, q.stop, q.strand), (q.exp_id, q.right_chrom, q.right_start, q.right_stop, q.right_strand)) for q in near) == want
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_one_bin_and_half(spark):
+    left, right = random_rows(30, 6), random_rows(30, 7)
+    r, e = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)
+    shape = lambda df: Counter(map(tuple, df.collect()))
+    assert shape(G.map_regions(r, e, M.sample_pairs(r, e), bin_size=0)) == shape(G.map_regions(r, e, M.sample_pairs(r, e), bin_size=5))
+    assert shape(G.join(r, e, [G.DistLess(4)], bin_size=0)) == shape(G.join(r, e, [G.DistLess(4)], bin_size=5))
+    four = spark.createDataFrame(random_rows(80, 8, 4), SCHEMA)
+    assert shape(C.cover(four, "COVER", lambda n: n / 2, lambda n: n + 1)) == shape(C.cover(four, "COVER", 2, 5))
+
+
+@pytest.mark.parametrize("name", SCENARIOS)
+def test_golden_ids(spark, name, tmp_path):
+    """Scenarios read from files, with the values of mixed types and the broken lines that such files have; ids are the MD5 of names and of pairs of ids."""
+    left, right, joined, mapped = SCENARIOS[name]
+    fields = [("chr", "STRING"), ("left", "LONG"), ("right", "LONG"), ("strand", "STRING")]
+    for side, rows, mixed in (("ref", left, "a string\t2213\t"), ("exp", right, "")):
+        (tmp_path / side).mkdir()
+        for k, own in rows.items():
+            (tmp_path / side / f"S_{k:05d}.gdm").write_text("\n".join(f"chr1\t{a}\t{b}\t*\t{mixed}{x}\t{y}" for a, b, x, y in own) + ("\n\ta string\t2213\t\n\n" if mixed else "\n"))
+            (tmp_path / side / f"S_{k:05d}.gdm.meta").write_text("cell\tKBM7\n")
+        more = [("string", "STRING"), ("int", "INTEGER")] if mixed else []
+        (tmp_path / side / "test.schema").write_text(f'<{schema.COLLECTION}><{schema.SCHEMA} type="TAB">' + "".join(f'<field type="{t}">{n}</field>' for n, t in [*fields, *more, ("x", "DOUBLE"), ("y", "DOUBLE")]) + f"</{schema.SCHEMA}></{schema.COLLECTION}>")
+    r, e = (files.read(spark, f"file://{tmp_path}/{side}") for side in ("ref", "exp"))
+    name_id = lambda k: little(f"S_{k:05d}.gdm".encode())
+    pair = lambda s, t: little(struct.pack("<qq", name_id(s), name_id(t)))
+    hit = lambda a, b, c, d: a < d and c < b
+    want = Counter((pair(s, t), a, b, "a string", 2213.0, x, y, sum(hit(a, b, c, d) for c, d, _, _ in others)) for s, rows in left.items() for a, b, x, y in rows for t, others in right.items())
+    got = Counter((q.sample_id, q.start, q.stop, q.string, q.int, q.x, q.y, q["count"]) for q in r.map(e, bin_size=3).regions.collect())
+    assert got == want and sum(got.values()) == mapped
+    want = Counter((pair(s, t), a, b, u, v) for s, rows in left.items() for a, b, _, _ in rows for t, others in right.items() for c, d, u, v in others if hit(a, b, c, d))
+    got = Counter((q.sample_id, q.start, q.stop, q.right_x, q.right_y) for q in r.join(e, [G.DistLess(0)], bin_size=3).regions.collect())
+    assert got == want and sum(got.values()) == joined
+    bad = files.bad_lines(spark, f"file://{tmp_path}/ref").collect()
+    assert len(bad) == len(left) and all(q.value == "\ta string\t2213\t" for q in bad)
+    with pytest.raises(Exception, match="unreadable line"):
+        files.read(spark, f"file://{tmp_path}/ref", strict=True).regions.collect()
+
+
+def test_formats(spark, tmp_path):
+    def lines(*text):
+        return spark.createDataFrame([(7, t) for t in text], "sample_id long, value string")
+
+    vcf = schema.from_fields([("id", "STRING"), ("ref", "STRING"), ("qual", "DOUBLE")], "vcf")
+    assert [tuple(q) for q in files.parsed(lines("#CHROM", "chr1\t100\trs1\tA\t9.5"), vcf).collect()] == [(7, "chr1", 99, 100, "*", "rs1", "A", 9.5)]
+    gtf = schema.from_fields([("chr", "STRING"), ("source", "STRING"), ("feature", "STRING"), ("score", "DOUBLE"), ("gene.id", "STRING"), ("n", "INTEGER")], "gtf")
+    row = 'chr1\tsrc\texon\t11\t20\t.\t-\t.\tgene_id "x"; gene.id "G1"; N "4"; other "o";'
+    assert [tuple(q) for q in files.parsed(lines(row), gtf).collect()] == [(7, "chr1", 10, 20, "-", "src", "exon", None, "G1", 4.0)]
+    assert {q.attribute for q in files.unknown_attributes(lines(row), gtf).collect()} == {"gene_id", "other"}
+    cells = ["chr1", "1", "9", "n", "5", "+", "6", "7", "8", "9"]
+    for preset, known in schema.PRESETS.items():
+        own = cells[:3] + ["+"] + cells[3:] if preset == "rnaseq" else cells if preset != "bedscore" else cells[:3] + ["5"]
+        (got,) = files.parsed(lines("\t".join(own)), known).collect()
+        assert (got.chrom, got.start, got.stop) == ("chr1", 1, 9) and got.strand == ("*" if known.strand is None else "+"), preset
+        assert got.asDict().get("score", 5.0) == 5.0 and len(got) == 5 + len(known.values)
+    (tmp_path / "d").mkdir()
+    for k in range(2):
+        (tmp_path / f"d/a{k}.bed").write_text("chr1\t1\t9\n")
+        (tmp_path / f"d/a{k}.bed.meta").write_text(f"k\t{k}\nbroken line\n")
+    folder = f"file://{tmp_path}/d"
+    assert files.read(spark, folder, "BasicParser").regions.count() == 2
+    chosen = files.read(spark, folder, "basic", where=M.attribute("k") == 1)
+    assert chosen.regions.inputFiles() == [f"{folder}/a1.bed"] and chosen.meta.count() == 1
+    assert files.read(spark, folder, "basic", where=M.attribute("k") == 9).regions.count() == 0
+    own = files.read(spark, folder, lambda rows: files.parsed(rows, schema.PRESETS["basic"]).withColumn("one", F.lit(1)))
+    assert own.values == ["one"] and [q.one for q in own.collect()[0]] == [1, 1] and own.collect()[2] == ["one"]
+    with pytest.raises(Exception, match="unreadable metadata"):
+        files.read(spark, folder, "basic", strict=True).meta.collect()
+    with pytest.warns(UserWarning, match="unknown parser"), pytest.raises(ValueError, match="no schema"):
+        files.read(spark, folder, "nosuch")
+
+
+@pytest.mark.parametrize("buckets", [2, 256])
+def test_order(spark, monkeypatch, buckets):
+    """Nulls and NaN, infinities, strings, ties; in two levels as in one."""
+    monkeypatch.setattr(R, "BUCKETS", buckets)
+    rng = random.Random(9)
+    odd = [None, float("nan"), float("inf"), float("-inf"), -0.0, 1e300]
+    rows = [(rng.randrange(2), "c", i, i + 1, "*", rng.choice([*odd, rng.uniform(-5, 5)]), rng.choice([None, "", "a", "ab", "\u00e9", "\U0001f600z"])) for i in range(200)]
+    df = spark.createDataFrame(rows, "sample_id long, chrom string, start long, stop long, strand string, v double, s string")
+    for keys in ([("v", True)], [("v", False)], [("s", True), ("v", False)], [("s", False)]):
+        whole = Window.partitionBy("sample_id").orderBy(*(F.col(k).asc_nulls_last() if up else F.col(k).desc_nulls_last() for k, up in keys), "start")
+        want = {(q.start, q.n) for q in df.withColumn("n", F.row_number().over(whole)).collect()}
+        assert {(q.start, q.order) for q in R.order(df, keys).collect()} == want, keys
+        half = {(q.start, q.order) for q in R.order(df, keys, percent=50).collect()}
+        sizes = Counter(r[0] for r in rows)
+        assert half == {(q.start, q.n) for q in df.withColumn("n", F.row_number().over(whole)).collect() if q.n <= sizes[q.sample_id] // 2}
+    assert R.order(df.limit(0), [("v", True)]).count() == 0
