@@ -58,7 +58,7 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int
     by_rarity = Window.partitionBy("_win").orderBy("_tf", "_term", "_off")
     ranked = spread.withColumn("_least", F.min(F.coalesce("_tf", F.lit(0))).over(Window.partitionBy("_win"))).withColumn("_slot", F.row_number().over(by_rarity))
     anchors = checkpointed(ranked.where("_least > 0 AND _slot <= 2").select("_win", "_len", "_off", "_term", "_slot"))
-    rare = checkpointed(anchors.select("_term").distinct().union(docs.sparkSession.createDataFrame([("",)], "_term string")))
+    rare = checkpointed(anchors.select("_term").distinct().union(docs.sparkSession.range(1).select(F.lit("").alias("_term"))))
     postings = written(_places(docs, id_col, text_col).join(broadcast_up_to(rare, rare.count()), "_term"))
     sizes = postings.where("_term = ''").select("_id", "_h", F.col("_pos").cast("long").alias("_n_words"))
     lists = postings.where("_term <> ''").join(broadcast_up_to(anchors, anchors.count()), "_term").withColumn("_start", F.col("_pos") - F.col("_off"))

@@ -19,8 +19,9 @@ together, so that a set isn't sent once a tree. A block has the full sets and go
 pairs is either refuted or within one component; only the links that join two components leave it.
 
 Defined cases: null or blank text has an empty set and is linked with nothing; equal sets have similarity 1 and are
-linked whatever the texts; rows that share a doc_id share a component; a null doc_id has a null component and is kept;
-an empty table gives an empty result.
+linked whatever the texts; rows that share a doc_id share a component; a null doc_id has a null component; doc_id must
+be a whole number; columns beside doc_id and text don't matter; an empty table gives an empty result. keep_one tells rows without a doc_id apart
+by their text, and of rows that share a doc_id (versions of one document) keeps that of the least text hash.
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, load, mix64, pieces, run_hashes, small_batches, text_bytes, text_hash, word_hashes, word_spans, written
+from .common import checkpointed, load, mix64, packed, pieces, run_hashes, small_batches, text_bytes, text_hash, unpacked, word_hashes, word_spans, written
 
 TREES, DEPTH, MIN_DEPTH, REACH = 16, 4, 3, 6
 SIDE, SIDE_SHINGLES = 1024, 1 << 20  # about so many classes and shingles on each side of a block of a large region
+HUB = 16  # tasks that share the edges of a node in a step
+NULLS = 1 << 62  # internal ids of rows without a doc_id are above
 N_HASHES = TREES * DEPTH
 _A = np.random.default_rng(7919).integers(1, 1 << 63, N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -181,6 +184,12 @@ def _sets(batches, k: int):
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["node", "set"])
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges beside their u's least. A hub's edges are spread over HUB tasks, each of which gets the one number that it needs."""
+    spread = least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(HUB - 1))))
+    return edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(HUB)).cast("int")).join(spread, ["u", "_s"]).drop("_s")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that can be reached over edges (a, b). Large-star and small-star steps in turn until nothing changes."""
     edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -188,9 +197,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = _with_least(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = checkpointed(small)
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.count_distinct("u")).first()
         if tuple(now) == state and now[0] == now[2]:
@@ -263,18 +272,33 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         chosen = texts.join(further, texts["doc_id"] == further["node"], "left_semi")
         sets = sets.unionByName(written(chosen.mapInArrow(partial(_sets, k=k), "node long, set array<long>")))
         links = links.unionByName(checkpointed(_left_links(inside, classes, sets, least, percent)))
-    # equal sets: every row's doc_id hangs on its class; rows that share a doc_id and not a text meet in it
-    copies = full.join(classes.where("rows > 1"), ["n", "s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
-    roots = components(links.unionByName(copies))
-    out = signed.select("doc_id", "h", F.col("n").alias("n_shingles")).join(roots, signed["doc_id"] == roots["node"], "left")
-    return out.select("doc_id", "h", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    # equal sets: each row has its class's root; Spark splits the rows of a class with very many
+    rooted = classes.join(components(links), "node", "left").select("n", "s1", "s2", "rows", "node", F.coalesce("root", "node").alias("root")).where("rows > 1 OR root <> node")
+    own = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
+    out = written(signed.join(rooted.select("n", "s1", "s2", "root"), ["n", "s1", "s2"], "left").select("doc_id", "h", F.col("n").alias("n_shingles"), own.alias("component_id")))
+    # rows that share a doc_id and not a class join their components
+    split = out.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.max("component_id").alias("most")).where("least <> most")
+    if split.isEmpty():
+        return out
+    met = components(out.join(split.select("doc_id", "least"), "doc_id").select(F.col("component_id").alias("a"), F.col("least").alias("b")))
+    joined = out.join(met, out["component_id"] == met["node"], "left")
+    return joined.select("doc_id", "h", "n_shingles", F.coalesce("root", "component_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the least doc_id of each component alone; null doc_ids stay."""
-    found = near_components(docs, k, percent, id_col, text_col)
+    """One row of docs for each component, that of the least doc_id; rows without a doc_id come after all others."""
+    inner = F.coalesce(F.col(id_col).cast("long"), F.lit(NULLS) + F.pmod(F.xxhash64(text_col), F.lit(NULLS - 1)))
+    found = written(near_components(docs.select(inner.alias("_inner"), F.col(text_col).alias("_text")), k, percent, "_inner", "_text"))
+    rows = packed(docs, _inner=inner, _h=text_hash(text_col))
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti").select(*docs.columns)
+    kept = rows.join(gone, F.col("_inner") == F.col("_gone"), "left_anti")
+    again = found.where("component_id = doc_id").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1")
+    if not again.isEmpty():  # Spark keeps one row of each in each task before it shuffles
+        several = kept.join(again, F.col("_inner") == F.col("_again"), "left_semi")
+        first = F.row_number().over(Window.partitionBy("_inner").orderBy("_h", F.to_json("_row")))
+        once = several.withColumn("_k", first).where("_k = 1").drop("_k")
+        kept = kept.join(again, F.col("_inner") == F.col("_again"), "left_anti").unionByName(once)
+    return unpacked(kept, docs)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

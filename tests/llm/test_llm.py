@@ -103,7 +103,11 @@ def test_near(spark, empty):
         assert [by[i].component_id for i in range(9)] == [0, 0, 0, 0, 4, 5, 6, 7, 8]
         assert by[4].n_shingles == by[6].n_shingles == 0 and by[8].n_shingles == 1 and by[13].n_shingles == 1 and by[None].component_id is None
         kept = [r.doc_id for r in near_dedup.keep_one(docs).collect()]
-        assert 1 not in kept and None in kept and kept.count(0) == 2
+        assert 1 not in kept and None not in kept and kept.count(0) == 1 and sorted(kept) == [0, *range(4, 15)]
+        odd = spark.createDataFrame([(5, "a b c d e f", "x"), (5, "p q r s t u v", "y"), (5, "p q r s t u v", "y"), (9, "p q r s t u v", "z"), (None, "k l m n o", "n"), (None, "k l m n o", "n"), (7, None, "z")], "doc_id long, text string, _h string")
+        assert {(r.doc_id, r.component_id) for r in near_dedup.near_components(odd, k=4).collect()} == {(5, 5), (9, 5), (None, None), (7, 7)}
+        once = near_dedup.keep_one(odd)
+        assert once.columns == odd.columns and sorted((r.doc_id or 0, r._h) for r in once.collect())[0::2] == [(0, "n"), (7, "z")] and once.count() == 3
 
 
 def test_near_star(spark):
@@ -264,12 +268,12 @@ def test_rare_languages(spark, monkeypatch):
     monkeypatch.setattr(language_id, "SAMPLE", 20)
     monkeypatch.setattr(language_id, "STEPS", 60)
     seen = []
-    monkeypatch.setattr(language_id, "train", lambda x, y, classes, train=language_id.train: (seen.append(np.bincount(y)), train(x, y, classes, language_id.STEPS))[1])
+    monkeypatch.setattr(language_id, "train", lambda x, o, y, classes, train=language_id.train: (seen.append(np.bincount(y)), train(x, o, y, classes))[1])
     rare = {"cc": "xxvq wqxv", "dd": "oooo oioo", "ee": "ßßßß ßüßß"}
     rows = [(i, "the then that tho " * (1 + i % 3), "aa") for i in range(1000)] + [(2000 + 10 * k + j, t * 5, lang) for k, (lang, t) in enumerate(rare.items()) for j in range(2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     net, langs = language_id.fit(docs)
-    assert langs == ["aa", "cc", "dd", "ee"] and seen[0].min() > 0 and seen[0][0] <= 5 * language_id.WINDOWS
+    assert langs == ["aa", "cc", "dd", "ee"] and seen[0].tolist() == [5, 2, 2, 2]
     assert {r.doc_id: r.lang_pred for r in language_id.identify(docs.where("doc_id >= 990"), net, langs).collect()} == {i: lang for i, _, lang in rows if i >= 990}
 
 
@@ -297,7 +301,6 @@ def test_lm_learns(spark, monkeypatch):
     """Trained on Spark over all rows, attention alone scores held-out texts above the word counts, and each id is a target once."""
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(lm, "MIX", 1.0)
     monkeypatch.setattr(lm, "ROUNDS", (8, 24, 32))
     monkeypatch.setattr(lm, "RATES", (0.03, 0.02, 0.01))
     rng = random.Random(4)
@@ -312,7 +315,7 @@ def test_lm_learns(spark, monkeypatch):
     seen = []
     real = lm._mean_move
     monkeypatch.setattr(lm, "_mean_move", lambda rows, share, step: (seen.append(real(rows, share, step)), seen[-1])[1])
-    got = lm.score(docs, F.col("doc_id") % 10 != 0, F.col("doc_id") % 10 == 0).where("held_out").collect()
+    got = lm.score(docs, F.col("doc_id") % 10 != 0, F.col("doc_id") % 10 == 0, mix=1.0).where("held_out").collect()
     per = lambda c: sum(r[c] for r in got) / sum(r.n_tokens for r in got)
     assert len(got) == 40 and per("score") > per("base_score") + 0.05
     enc = subwords.encoder(subwords.ranks_of())
