@@ -6,8 +6,9 @@ logits. The document's probabilities are the softmax of the mean of its position
 POOL, over positions with letters nearby. Each cell has one gate: h = h + z * (tanh(c) - h), z = sigmoid(g), with g
 and c linear in the byte's embedding and the last state. All windows of a batch run side by side.
 
-The network learns from a bounded, documented sample, WINDOWS windows of each row: an equal part of SAMPLE for each
-language of the labelled rows, one row at least, and of each language its rows of least hash.
+The network learns from a bounded, documented sample of labelled rows: an equal part of SAMPLE for each language of the
+labelled rows, one row at least, and of each language its rows of least hash. Of these rows the whole texts are learned
+from: a batch has as many texts of each language as of any other, and of a text any of its windows, all as likely.
 
 Defined cases: null text, and text without a letter, is `und` with score 0; a null lang is not learned from; with no
 labelled row at all every text is `und`; rows that share a doc_id are separate; an empty table gives an empty result.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, load, pieces, small_batches, text_bytes
 
 HIDDEN, WINDOW, MARGIN = 8, 96, 16
-SAMPLE, WINDOWS, STEPS, BATCH = 1_200, 6, 500, 128
+SAMPLE, STEPS, BATCH = 1_200, 500, 128
 POOL = 6.0
 
 
@@ -96,31 +97,37 @@ def _gradient(p: dict, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     return g
 
 
-def train(windows: np.ndarray, labels: np.ndarray, classes: int, steps: int = STEPS, rate: float = 0.02, seed: int = 11) -> dict[str, np.ndarray]:
-    """Adam over batches of windows (number, bytes), with as many of each language in a batch as of any other."""
-    p, rng = fresh(classes), np.random.default_rng(seed)
+def train(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, classes: int, steps: int | None = None, rate: float = 0.02, seed: int = 11) -> dict[str, np.ndarray]:
+    """Adam over batches of windows of the texts, with as many of each language in a batch as of any other."""
+    p, rng, steps = fresh(classes), np.random.default_rng(seed), steps or STEPS
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     own = [np.flatnonzero(labels == c) for c in range(classes)]
+    windows = -(-np.diff(offsets) // WINDOW)
     for step in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(o, max(1, BATCH // classes)) for o in own])
-        for k, g in _gradient(p, np.ascontiguousarray(windows[pick].T), labels[pick]).items():
+        text = np.concatenate([rng.choice(o, max(1, BATCH // classes)) for o in own])
+        x, _ = _windows_at(data, offsets, text, rng.integers(0, windows[text]))
+        for k, g in _gradient(p, np.ascontiguousarray(x.T), labels[text]).items():
             m[k] += 0.1 * (g - m[k])
             v[k] += 0.01 * (g * g - v[k])
             p[k] -= (rate * min(1, 2 * (1 - step / steps) + 0.02) / (1 - 0.9**step)) * m[k] / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
     return p
 
 
-def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of the texts with their margins, filled with zero bytes outside the text; each one's text; how many of its own bytes are text."""
-    sizes = np.diff(offsets)
-    per = -(-sizes // WINDOW)
-    doc = np.repeat(np.arange(len(sizes)), per)
-    k = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+def _windows_at(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Window k of each text doc with its margins, filled with zero bytes outside the text; how many of its own bytes are text."""
     begin = offsets[doc] + k * WINDOW - MARGIN
     at = begin[:, None] + np.arange(WINDOW + 2 * MARGIN)
     inside = (at >= offsets[doc][:, None]) & (at < offsets[doc + 1][:, None])
     x = np.where(inside, data[np.clip(at, 0, max(0, len(data) - 1))], 0).astype(np.uint8) if len(data) else np.zeros(at.shape, np.uint8)
-    return x, doc, np.minimum(WINDOW, sizes[doc] - k * WINDOW)
+    return x, np.minimum(WINDOW, np.diff(offsets)[doc] - k * WINDOW)
+
+
+def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of the texts with their margins; each one's text; how many of its own bytes are text."""
+    per = -(-np.diff(offsets) // WINDOW)
+    doc = np.repeat(np.arange(len(per)), per)
+    x, own = _windows_at(data, offsets, doc, np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per))
+    return x, doc, own
 
 
 def document_scores(p: dict, texts: pa.Array, at_once: int = 4096) -> np.ndarray:
@@ -167,7 +174,7 @@ def _predict(batches, p: dict | None, langs: list[str]):
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[dict | None, list[str]]:
-    """The network and the languages, from a bounded sample of the labelled rows."""
+    """The network and the languages, from a bounded sample of the labelled rows, whose whole texts reach the driver."""
     sample = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     langs = sorted(r["l"] for r in sample.select("l").distinct().collect())
     if not langs:
@@ -179,11 +186,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     # few texts pass the bound, so none of the others is sorted
     rows = sorted(first(hashed.join(F.broadcast(last), "l").where("_hash <= _last")).select("i", "t", "l", "_hash").collect(), key=lambda r: (r["_hash"], repr(r)))
     data, offsets = text_bytes(pa.array([r["t"] for r in rows]))
-    x, doc, _ = _cut(data, offsets)
-    y = np.array([langs.index(r["l"]) for r in rows])
-    rng = np.random.default_rng(1)
-    pick = np.concatenate([rng.permutation(np.flatnonzero(doc == i))[:WINDOWS] for i in range(len(rows))])
-    return train(x[pick], y[doc[pick]], len(langs)), langs
+    return train(data, offsets, np.array([langs.index(r["l"]) for r in rows]), len(langs)), langs
 
 
 def identify(docs: DataFrame, network: dict | None, langs: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
