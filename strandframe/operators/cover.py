@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import intervals as I
 from ..functions.aggregates import Aggregate, aggregate
 from .genometric import BIN, interval_pairs
+from .metadata import per_sample
 
 ANY, ALL = "ANY", "ALL"
 STRIPE = 1 << 22
@@ -21,7 +22,7 @@ AXIS = ["group_id", "chrom", "strand"]
 
 def _grouped(regions: DataFrame, groups: DataFrame | None) -> DataFrame:
     """Regions with group_id; if any region is unstranded, all are."""
-    rows = regions.withColumn("group_id", F.lit(0).cast("long")) if groups is None else regions.join(groups, "sample_id")
+    rows = regions.withColumn("group_id", F.lit(0).cast("long")) if groups is None else regions.join(per_sample(groups), "sample_id")
     unstranded = regions.agg(F.coalesce(F.bool_or(F.col("strand") == "*"), F.lit(False)).alias("_any"))  # one row
     return rows.crossJoin(F.broadcast(unstranded)).withColumn("strand", F.when(F.col("_any"), F.lit("*")).otherwise(F.col("strand"))).drop("_any")
 
@@ -68,7 +69,7 @@ def cover(regions: DataFrame, kind: str = "COVER", least=1, most=ANY, groups: Da
     low, high, sizes = _bounds(regions, groups, least, most)
     runs = segments(rows)
     if sizes is not None:
-        runs = runs.crossJoin(F.broadcast(sizes)) if groups is None else runs.join(sizes, "group_id")
+        runs = runs.crossJoin(F.broadcast(sizes)) if groups is None else runs.join(per_sample(sizes), "group_id")
     ok = lambda c: (F.col(c) > 0) & (F.col(c) >= low) & (F.col(c) <= high)
     runs = runs.withColumns({"_ok": ok("depth"), "_ok_before": ok("before"), "_ok_after": ok("after")}).where("_ok")
     match kind.upper():

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals as I
 from ..functions.aggregates import Aggregate, aggregate
+from .metadata import per_sample
 
 BIN = 10_000
 HORIZON = 100_000
@@ -88,7 +89,7 @@ def interval_pairs(ref: DataFrame, exp: DataFrame, reach: int, condition: Column
     """
     left = ref
     if pairs is not None:
-        left = left.join(pairs.withColumnRenamed("ref_id", "sample_id").withColumnRenamed("exp_id", "pair_exp"), "sample_id")
+        left = left.join(per_sample(pairs.select(F.col("ref_id").alias("sample_id"), F.col("exp_id").alias("pair_exp"))), "sample_id")
     wide_start, wide_stop = F.col("start") - reach, F.col("stop") + reach
     left = left.withColumn("bin", F.explode(I.bins(wide_start, wide_stop, bin_size)))
     right = _right(exp)
@@ -187,7 +188,7 @@ def _nearest(ref: DataFrame, exp: DataFrame, k: int, reach: int, condition: Colu
         ids = exp.select(F.col("sample_id").alias("exp_id")).distinct()
         todo = places.crossJoin(F.broadcast(ids))  # a row for each region and exp sample
     else:
-        todo = places.join(pairs.select(F.col("ref_id").alias("sample_id"), "exp_id"), "sample_id")
+        todo = places.join(per_sample(pairs.select(F.col("ref_id").alias("sample_id"), "exp_id")), "sample_id")
     limits, near = [], min(reach, bin_size)
     while near < reach:
         limits.append(near)
@@ -217,7 +218,8 @@ def map_regions(ref: DataFrame, exp: DataFrame, pairs: DataFrame, aggregates: di
     """
     keys = [*I.COORDS, *([] if every else ["sample_id"])]
     places = ref.select(*keys).distinct()
-    right = exp.join(pairs.select(F.col("exp_id").alias("sample_id")).distinct(), "sample_id", "left_semi")
+    partner_ids = pairs.select("exp_id").distinct()
+    right = exp.join(per_sample(partner_ids.withColumnRenamed("exp_id", "sample_id")), "sample_id", "left_semi")
     overlap = I.overlaps(F.col("start"), F.col("stop"), F.col("e_start"), F.col("e_stop"))
     found = interval_pairs(places, right, 0, overlap, None if every else pairs, bin_size=bin_size)
     sums = [F.count(F.lit(1)).alias(count)]
@@ -226,9 +228,13 @@ def map_regions(ref: DataFrame, exp: DataFrame, pairs: DataFrame, aggregates: di
     names = [count, *(aggregates or {})]
     nothing = _right(exp).limit(0).agg(*sums).select(F.struct(*names).alias("_nothing"))  # one row
     hits = found.groupBy(*keys, "exp_id").agg(*sums).groupBy(*keys).agg(F.collect_list(F.struct(F.col("exp_id").alias("id"), F.struct(*names).alias("sums"))).alias("_hits"))
-    partners = pairs.groupBy(F.col("ref_id").alias("sample_id")).agg(F.collect_list("exp_id").alias("_partners")).crossJoin(F.broadcast(nothing))  # one row for each ref sample
     own = [c for c in ref.columns if c != "sample_id"]
-    whole = ref.join(hits, keys, "left").join(F.broadcast(partners), "sample_id")
+    whole = ref.join(hits, keys, "left").crossJoin(F.broadcast(nothing))
+    if every:  # all ref samples have the same partners, in one row
+        known = pairs.select(F.col("ref_id").alias("sample_id")).distinct()
+        whole = whole.join(per_sample(known), "sample_id", "left_semi").crossJoin(F.broadcast(partner_ids.agg(F.collect_list("exp_id").alias("_partners"))))
+    else:
+        whole = whole.join(per_sample(pairs.groupBy(F.col("ref_id").alias("sample_id")).agg(F.collect_list("exp_id").alias("_partners"))), "sample_id")
     hit = F.coalesce("_hits", F.array())
     missed = F.transform(F.array_except("_partners", F.transform(hit, lambda h: h["id"])), lambda i: F.struct(i.alias("id"), F.col("_nothing").alias("sums")))
     rows = whole.select(F.col("sample_id").alias("ref_id"), *own, F.inline(F.concat(hit, missed)))
@@ -243,13 +249,13 @@ def difference(ref: DataFrame, exp: DataFrame, pairs: DataFrame | None = None, e
     """
     kept = ref
     if pairs is not None and not keep_unmatched:
-        kept = ref.join(pairs.select(F.col("ref_id").alias("sample_id")).distinct(), "sample_id", "left_semi")
+        kept = ref.join(per_sample(pairs.select(F.col("ref_id").alias("sample_id")).distinct()), "sample_id", "left_semi")
     keys = [*I.COORDS, *(["sample_id"] if pairs is not None else [])]
     places = ref.select(*keys).distinct()
     if exact:
         right = _right(exp.select("sample_id", *I.COORDS).distinct())
         if pairs is not None:
-            places = places.join(pairs.select(F.col("ref_id").alias("sample_id"), F.col("exp_id").alias("pair_exp")), "sample_id")
+            places = places.join(per_sample(pairs.select(F.col("ref_id").alias("sample_id"), F.col("exp_id").alias("pair_exp"))), "sample_id")
         on = [F.col(c) == F.col(f"e_{c}") for c in ("chrom", "start", "stop")] + [I.strands_agree(F.col("strand"), F.col("e_strand"))]
         on += [F.col("pair_exp") == F.col("exp_id")] if pairs is not None else []
         found = places.join(right, _and(on))

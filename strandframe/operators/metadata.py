@@ -105,8 +105,13 @@ def samples_where(meta: DataFrame, predicate: Predicate) -> DataFrame:
     return flagged.where(predicate.holds([F.col(n) for n in flags])).select("sample_id")
 
 
+def per_sample(df: DataFrame) -> DataFrame:
+    """A table of one short row for each sample, broadcast: samples are files, ten million of them take some 200 MB, and a shuffle of regions by sample would have as many tasks at work as there are large samples."""
+    return F.broadcast(df)
+
+
 def restricted(df: DataFrame, ids: DataFrame) -> DataFrame:
-    return df.join(ids.select("sample_id").distinct(), "sample_id", "left_semi")
+    return df.join(per_sample(ids.select("sample_id").distinct()), "sample_id", "left_semi")
 
 
 def first_value(meta: DataFrame, name: str, alias: str) -> DataFrame:
@@ -140,7 +145,7 @@ def _bys(attributes) -> list[By]:
 def sample_pairs(left: DataFrame, right: DataFrame, attributes=()) -> DataFrame:
     """(ref_id, exp_id): samples that share a value of every attribute; all pairs of samples without attributes."""
     if not attributes:
-        return left.select(F.col("sample_id").alias("ref_id")).distinct().crossJoin(right.select(F.col("sample_id").alias("exp_id")).distinct())
+        return left.select(F.col("sample_id").alias("ref_id")).distinct().crossJoin(per_sample(right.select(F.col("sample_id").alias("exp_id")).distinct()))
     out = None
     for by in _bys(attributes):
         a = by.rows(left).withColumnRenamed("sample_id", "ref_id")

@@ -47,7 +47,7 @@ def _scoped(regions: DataFrame, meta: DataFrame | None, scope: Scope) -> DataFra
     for name, alias in scope.used.items():
         if meta is None:
             raise ValueError(f"metadata attribute {name!r} is asked for, but there is no metadata")
-        regions = regions.join(metadata.first_value(meta, name, alias), "sample_id", "left")
+        regions = regions.join(metadata.per_sample(metadata.first_value(meta, name, alias)), "sample_id", "left")
     return regions
 
 
@@ -160,4 +160,4 @@ def merge(regions: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """All samples as one, with id 1, or one for each group."""
     if groups is None:
         return regions.withColumn("sample_id", F.lit(1).cast("long"))
-    return regions.join(groups, "sample_id").withColumn("sample_id", F.col("group_id")).drop("group_id")
+    return regions.join(metadata.per_sample(groups), "sample_id").withColumn("sample_id", F.col("group_id")).drop("group_id")

@@ -262,41 +262,52 @@ def select_meta_accessor(spark, d):
     return dataset(spark, d).select(region=lambda r: r.value("score") > 10 * r.meta("acctbal")).regions
 
 
-def _ids(ds: Dataset) -> DataFrame:
-    return ds.meta.groupBy("sample_id").agg(F.count("*").alias("n"))
-
-
 def _meta_sql(having: str) -> str:
-    return f"SELECT sample_id, count(*) AS n FROM meta GROUP BY sample_id HAVING {having}"
+    return f"SELECT sample_id, attribute, value FROM meta WHERE sample_id IN (SELECT sample_id FROM meta GROUP BY sample_id HAVING {having})"
 
 
 @query(_meta_sql("bool_or(attribute = 'parity' AND TRY_CAST(value AS DOUBLE) = 1) AND NOT bool_or(attribute = 'third' AND value = '2') OR bool_or(attribute = 'acctbal' AND TRY_CAST(value AS DOUBLE) > 9980)"))
 def meta_select(spark, d):
     a = M.attribute
-    return _ids(dataset(spark, d).select(meta=(a("parity") == 1) & ~(a("third") == 2) | (a("acctbal") > 9980)))
+    return dataset(spark, d).select(meta=(a("parity") == 1) & ~(a("third") == 2) | (a("acctbal") > 9980)).meta
 
 
 @query(_meta_sql("bool_or((attribute = 'region' OR attribute LIKE '%.region') AND lower(value) = 'asia') AND NOT bool_or(attribute = 'absent')"))
 def meta_suffix_text(spark, d):
-    return _ids(dataset(spark, d).select(meta=(M.attribute("region") == "Asia") & M.attribute("absent").missing()))
+    return dataset(spark, d).select(meta=(M.attribute("region") == "Asia") & M.attribute("absent").missing()).meta
 
 
 @query(_meta_sql("bool_or(attribute = 'third' AND TRY_CAST(value AS DOUBLE) <> 1)"))
 def meta_neq_exists(spark, d):
-    return _ids(dataset(spark, d).select(meta=M.attribute("third") != 1))
+    return dataset(spark, d).select(meta=M.attribute("third") != 1).meta
 
 
 SEMI = "SELECT sample_id FROM meta m WHERE attribute = 'third' AND value IN (SELECT value FROM meta WHERE attribute = 'third' AND sample_id < 2)"
 
 
-@query(f"SELECT sample_id, count(*) AS n FROM regions WHERE sample_id >= 2 AND sample_id IN ({SEMI}) GROUP BY 1")
+@query(f"SELECT {REGION} FROM regions WHERE sample_id >= 2 AND sample_id IN ({SEMI})")
 def semijoin(spark, d):
-    return exp(spark, d).select_in(ref(spark, d), ["third"]).regions.groupBy("sample_id").agg(F.count("*").alias("n"))
+    return exp(spark, d).select_in(ref(spark, d), ["third"]).regions
 
 
-@query(f"SELECT sample_id, count(*) AS n FROM regions WHERE sample_id >= 2 AND sample_id NOT IN ({SEMI}) GROUP BY 1")
+@query(f"SELECT {REGION} FROM regions WHERE sample_id >= 2 AND sample_id NOT IN ({SEMI})")
 def antijoin(spark, d):
-    return exp(spark, d).select_in(ref(spark, d), ["third"], negated=True).regions.groupBy("sample_id").agg(F.count("*").alias("n"))
+    return exp(spark, d).select_in(ref(spark, d), ["third"], negated=True).regions
+
+
+@query("""SELECT DISTINCT 'default' AS how, r.sample_id AS ref_id, e.sample_id AS exp_id FROM meta r JOIN meta e ON r.value = e.value AND (r.attribute = 'region' OR r.attribute LIKE '%.region') AND (e.attribute = 'region' OR e.attribute LIKE '%.region') AND e.sample_id >= 2
+UNION ALL SELECT DISTINCT 'full', r.sample_id, e.sample_id FROM meta r JOIN meta e ON r.value = e.value AND r.attribute = e.attribute AND r.attribute LIKE '%.region' AND e.sample_id >= 2
+UNION ALL SELECT DISTINCT 'exact', r.sample_id, e.sample_id FROM meta r JOIN meta e ON r.value = e.value AND r.attribute = 'geo.region' AND e.attribute = 'geo.region' AND e.sample_id >= 2""")
+def sample_pairs(spark, d):
+    """The three ways in which attributes' names agree."""
+    meta = meta_table(spark, d)
+    right = meta.where("sample_id >= 2")
+    ways = {"default": M.By("region"), "full": M.By("region", "full"), "exact": M.By("geo.region", "exact")}
+    out = None
+    for how, by in ways.items():
+        one = M.sample_pairs(meta, right, [by]).select(F.lit(how).alias("how"), "ref_id", "exp_id")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SELECT sample_id, chrom, start, stop, strand, score FROM regions WHERE sample_id IN (SELECT sample_id FROM meta WHERE attribute = 'parity' AND value = '1') AND chrom IN ('chr6', 'chr7')")
