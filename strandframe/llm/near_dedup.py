@@ -37,7 +37,7 @@ from .common import checkpointed, load, mix64, packed, pieces, run_hashes, small
 
 TREES, DEPTH, MIN_DEPTH, REACH = 16, 4, 3, 6
 SIDE, SIDE_SHINGLES = 1024, 1 << 20  # about so many classes and shingles on each side of a block of a large region
-HUB = 16  # tasks that share the edges of a node in a step
+HUB = 8  # tasks that share the edges of a node in a step
 NULLS = 1 << 62  # internal ids of rows without a doc_id are above
 N_HASHES = TREES * DEPTH
 _A = np.random.default_rng(7919).integers(1, 1 << 63, N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -185,8 +185,8 @@ def _sets(batches, k: int):
 
 
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """Edges beside their u's least. A hub's edges are spread over HUB tasks, each of which gets the one number that it needs."""
-    spread = least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(HUB - 1))))
+    """Edges beside their u's least. A hub's edges are spread over HUB tasks, each of which gets the one number that it needs. Spark doesn't see that explode makes rows, so it is told not to broadcast them."""
+    spread = least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(HUB - 1)))).hint("merge")
     return edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(HUB)).cast("int")).join(spread, ["u", "_s"]).drop("_s")
 
 
