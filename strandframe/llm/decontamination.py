@@ -70,16 +70,18 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int
         near = met.where(F.col("_met") >= needed).withColumn("_start", F.explode("_ones"))
     else:
         near = lists.where("_start >= 0").groupBy("_win", "_len", "_id", "_h", "_start").agg(F.count_distinct("_slot").alias("_met")).where(F.col("_met") >= needed)
-    found = near.join(broadcast_up_to(windows, windows.count()), "_win").groupBy("_id", "_h").agg(F.collect_set(F.struct("_win", "_start", "_window")).alias("_found"))
-    found = checkpointed(found)
+    found = checkpointed(near.groupBy("_id", "_h").agg(F.collect_set(F.struct("_win", "_start", "_len")).alias("_found")))  # numbers alone
     texts = docs.select(F.col(id_col).alias("_d"), text_hash(text_col).alias("_dh"), F.col(text_col).alias("_text"))
     held = texts.join(found, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_dh") == F.col("_h")))
     placed = held.select("_id", "_h", terms_of(F.col("_text")).alias("_terms"), "_found")
-    exact = lambda x: (x["_start"] >= 0) & (F.slice(F.col("_terms"), F.greatest(x["_start"], F.lit(0)) + 1, F.size(x["_window"])) == x["_window"])
-    around = lambda x: F.slice(F.col("_terms"), F.greatest(x["_start"] - slop, F.lit(0)) + 1, F.size(x["_window"]) + 2 * slop)
-    close = (lambda x: exact(x) | (F.size(F.array_except(x["_window"], around(x))) == 0)) if slop else exact
-    sure = placed.select("_id", "_h", F.explode(F.transform(F.filter("_found", close), lambda x: F.struct(x["_win"].alias("_win"), x["_start"].alias("_start"), F.size(x["_window"]).alias("_len"), exact(x).alias("_exact")))).alias("_m"))
-    return sure.select("_id", "_h", "_m.*"), items.select("_win", "_item"), sizes
+    cut = lambda x, more: F.slice(F.col("_terms"), F.greatest(x["_start"] - more, F.lit(0)) + 1, x["_len"] + 2 * more)
+    around = [lambda x: cut(x, slop).alias("_around")] if slop else []
+    part = lambda x: F.struct(x["_win"].alias("_win"), x["_start"].alias("_start"), x["_len"].alias("_len"), cut(x, 0).alias("_here"), *(f(x) for f in around))
+    slices = placed.select("_id", "_h", F.explode(F.transform("_found", part)).alias("_m")).select("_id", "_h", "_m.*")
+    exact = (F.col("_start") >= 0) & (F.col("_here") == F.col("_window"))
+    close = (exact | (F.size(F.array_except("_window", "_around")) == 0)) if slop else exact
+    sure = slices.join(broadcast_up_to(windows, windows.count()), "_win").where(close).select("_id", "_h", "_win", "_start", "_len", exact.alias("_exact"))
+    return sure, items.select("_win", "_item"), sizes
 
 
 def _union_size(spans: Column) -> Column:

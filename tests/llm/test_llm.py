@@ -9,8 +9,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 
-from strandframe.llm import ann, decontamination, language_id, line_dedup, lm, mixing, near_dedup, quality, subwords, substring_dedup, token_shards
+from strandframe.llm import ann, common, decontamination, language_id, line_dedup, lm, mixing, near_dedup, quality, subwords, substring_dedup, token_shards
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block string, h string, _id string"
 WORDS = [f"w{i}" for i in range(300)]
@@ -359,14 +360,210 @@ def test_attention_gradient():
     assert np.allclose(before, net.forward(x)[0][:, :5])
 
 
+def brute_pipeline(docs, labels, bench, model):
+    """The stages in plain Python: ids after each, and (copies, targets) of the mix. The classifier's vote is the model's, text by text."""
+    text = {r.doc_id: r.text or "" for r in docs}
+    source = {r.doc_id: r.source for r in docs}
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    first = [i for i in text if quality.vote(model, pa.array([text[i]]))[0] >= quality.THRESHOLD]
+    shingles = {}
+    for i in first:
+        w = [x.decode().translate(fold) for x in split(text[i])]
+        shingles[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    root = {i: i for i in first}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in first:
+        for j in first:
+            a, b = shingles[i], shingles[j]
+            if j < i and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    second = [i for i in first if find(i) == i]
+    word = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = set()
+    for r in bench:
+        w = word.findall((r.text or "").translate(fold))
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(x) for x in windows}
+
+    def dirty(t):
+        w = word.findall(t.translate(fold))
+        return any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))
+
+    third = [i for i in second if not dirty(text[i])]
+    size = {i: len(split(text[i])) for i in third}
+    total = collections.Counter()
+    for i in third:
+        total[source[i]] += size[i]
+    names = sorted(total, key=lambda x: (x is None, x))
+    weight = {x: (1, 2, 3)[k % 3] for k, x in enumerate(names)}
+    target, free, left = {}, set(names), float(sum(total.values()))
+    while True:  # what a full source can't take is shared again
+        over = {x for x in free if left * weight[x] / sum(weight[y] for y in free) > 3 * total[x] + 1e-9}
+        if not over:
+            break
+        for x in over:
+            target[x] = 3.0 * total[x]
+            left -= target[x]
+        free -= over
+    target |= {x: left * weight[x] / sum(weight[y] for y in free) for x in free}
+    copies = {}
+    for i in third:
+        rate = min(3.0, target[source[i]] / total[source[i]]) if total[source[i]] else 0.0
+        u = int(hashlib.md5(f"17:{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        copies[i] = int(rate) + (u < rate - int(rate))
+    return first, second, third, copies
+
+
 def test_pipeline(spark):
+    """run() against the stages in plain Python, over all of a small table with null and repeated texts besides."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    n = docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = lm.written(stage(spark, docs, d))
-        assert out.columns == docs.columns and out.count() > 0, name
-        docs = out
-    assert docs.select("doc_id").distinct().count() < n
-    assert hashlib.sha256(b"").hexdigest() and corpus_pipeline.STAGES[-1][1](spark, docs, d).count() > 0
+    docs, labels, bench = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    odd = spark.createDataFrame([(10**9, None, None, None, None), (10**9 + 1, "", "en", "s", 0)], docs.schema)
+    docs = lm.written(docs.unionByName(odd))
+    model = quality.fit(quality.training_rows(docs, labels))
+    first, second, third, copies = brute_pipeline(docs.collect(), labels.collect(), bench.collect(), model)
+    now = docs
+    for (name, stage), want in zip(corpus_pipeline.STAGES[:-1], (first, second, third, [i for i, n in copies.items() for _ in range(n)]), strict=True):
+        now = lm.written(stage(spark, now, d))
+        assert now.columns == docs.columns and sorted(r.doc_id for r in now.select("doc_id").collect()) == sorted(want), name
+    assert len(third) < len(second) < len(first) < docs.count()
+    manifest = corpus_pipeline.STAGES[-1][1](spark, now, d).collect()
+    enc = subwords.encoder(subwords.ranks_of())
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert sum(r.n_tokens for r in manifest) == sum(n * (len(enc.encode_ordinary(text[i])) + 1) for i, n in copies.items())
+    assert {x for r in manifest for x in r.doc_ids} == {i for i, n in copies.items() if n} and sorted(r.slot for r in manifest) == list(range(len(manifest)))
+
+
+def test_pipeline_empty(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, d)
+        assert out.count() == 0
+        docs = out if out.columns == docs.columns else docs
+
+
+def test_language_brute(spark):
+    """Document probabilities against a position-by-position loop in double precision, and held-out accuracy."""
+    rng = random.Random(2)
+    net = {k: x.astype(np.float64) for k, x in language_id.fresh(3, 7).items()}
+    texts = ["".join(rng.choice("abc \u00e9\u00df.,1") for _ in range(n)) for n in (1, 40, 96, 97, 400)]
+
+    def states(data, x, h):
+        out, s = [], np.zeros(language_id.HIDDEN)
+        for byte in data:
+            a = x[byte] + h @ s
+            z, c = 1 / (1 + np.exp(-a[: language_id.HIDDEN])), np.tanh(a[language_id.HIDDEN :])
+            s = s + z * (c - s)
+            out.append(s)
+        return out
+
+    want = []
+    for t in texts:
+        data, total, count = t.encode(), np.zeros(3), 0
+        for w in range(0, len(data), language_id.WINDOW):
+            cut = [data[i] if 0 <= i < len(data) else 0 for i in range(w - language_id.MARGIN, w + language_id.WINDOW + language_id.MARGIN)]
+            f, b = states(cut, net["xf"], net["hf"]), states(cut[::-1], net["xb"], net["hb"])[::-1]
+            for k in range(language_id.MARGIN, language_id.MARGIN + min(language_id.WINDOW, len(data) - w)):
+                if chr(cut[k]).isascii() and not chr(cut[k]).isalpha():
+                    continue
+                e = net["out"] @ np.concatenate([f[k], b[k]]) + net["bias"][:, 0]
+                total, count = total + e - np.log(np.exp(e).sum()), count + 1
+        p = np.exp(language_id.POOL * total / max(1, count))
+        want.append(p / p.sum())
+    assert np.allclose(language_id.document_scores(language_id.fresh(3, 7), pa.array(texts), 3), want, atol=1e-3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    got = language_id.query(spark, "/root/testdata/sf0.01").where("held_out AND lang_pred <> 'und'").collect()
+    assert len(got) > 250 and np.mean([r.lang_pred == lang[r.doc_id] for r in got]) > 0.95
+
+
+def test_quality_brute(spark):
+    """Votes against a plain loop over all labelled vectors, defined cases, and held-out accuracy."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(quality.training_rows(docs, labels))
+    texts = [r.text for r in docs.limit(40).collect()] + [None, "", "  ", "x"]
+    z = quality._unit(quality._weighted(quality.features(pa.array(texts, pa.string())), model["idf"]) @ model["axes"])
+    for v, got in zip(z, quality.vote(model, pa.array(texts, pa.string())), strict=True):
+        cosine = [float(v @ u) for u in model["vectors"]]
+        near = sorted(range(len(cosine)), key=lambda k: -cosine[k])[: quality.NEIGHBOURS]
+        weight = [max(cosine[k], 1e-3) ** quality.SHARP for k in near]
+        assert abs(got - sum(w * model["labels"][k] for w, k in zip(weight, near, strict=True)) / sum(weight)) < 1e-3
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    got = [r for r in quality.query(spark, d).where("held_out").collect() if known.get(r.doc_id) is not None]
+    assert len(got) > 30 and np.mean([r.predicted == known[r.doc_id] for r in got]) > 0.9
+    odd = spark.createDataFrame([(1, "a b c", "x", "y"), (1, "a b c", "x", "z"), (None, None, None, None)], "doc_id long, text string, score string, held_out string")
+    assert [(r.doc_id, r.score) for r in quality.score(odd, None).collect()] == [(1, 0.5), (1, 0.5), (None, 0.5)] and quality.score(odd.limit(0), model).count() == 0
+    one = spark.createDataFrame([(1, "a b", 1), (2, "c d", 1)], "doc_id long, text string, quality int")
+    assert {r.score for r in quality.score(odd, quality.fit(one)).collect()} == {1.0}
+
+
+def test_nearest_blocks(spark, monkeypatch):
+    """Several blocks of rows and of queries, ids that occur twice, columns besides; against all inner products."""
+    monkeypatch.setattr(ann, "BLOCK", 90)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 24)).round(3)
+    rows = [(i, v.tolist(), "b", 1) for i, v in enumerate(x)] + [(7, x[8].tolist(), "b", 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block string, part int")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), radius=40).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    ids, all_x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    hit = 0
+    for q in range(0, 400, 20):
+        s = all_x @ x[q]
+        best = [(int(ids[k]), s[k]) for k in np.lexsort((ids, -s)) if ids[k] != q][:20]
+        hit += sum(any(i == j and abs(a - b) < 1e-9 for j, b in best) for i, a in got[q])
+    assert len(got) == 20 and hit >= 0.9 * 400
+
+
+def test_decontamination_shuffled(spark, monkeypatch):
+    """Without broadcasts, empty documents, a word in every text: against a plain search."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["the", "of", *WORDS[:12]]) for _ in range(rng.randint(0, 60)))) for i in range(150)] + [(200, ""), (201, None), (202, "the " * 30)]
+    bench = [(k, " ".join(rng.choice(["the", *WORDS[:12]]) for _ in range(n))) for k, n in enumerate((1, 2, 3, 3, 12, 0))] + [(9, " ".join(rows[3][1].split()[5:20])), (10, "the the the")]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    want = {}
+    for i, t in rows:
+        w, hit, found = (t or "").split(), set(), set()
+        for k, b in bench:
+            v = b.split()
+            n = min(10, len(v))
+            for at in range(len(v) - n + 1) if n else ():
+                for s in range(len(w) - n + 1):
+                    if w[s : s + n] == v[at : at + n]:
+                        hit |= set(range(s, s + n))
+                        found.add(str(k))
+        if hit:
+            want[i] = (len(hit), sorted(found))
+    for limit in (200_000, 0):
+        monkeypatch.setattr(decontamination, "broadcast_up_to", lambda df, rows, limit=limit: common.broadcast_up_to(df, rows, limit))
+        hits, sizes = decontamination.contamination(docs, items)
+        assert {r._id: (r._n_hit, r._items) for r in hits.collect()} == want
+        assert {r._id: r._n_words for r in sizes.collect()} == {i: len((t or "").split()) for i, t in rows}
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    """The join by shuffle gives what the broadcast gives, and taken words stray from the target by chance only."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    first = mixing.assign_copies(docs).collect()
+    monkeypatch.setattr(mixing, "BROADCAST", 0)
+    key = lambda r: (r._row.doc_id, r._size, r._target, r._copies)
+    assert sorted(map(key, first)) == sorted(map(key, mixing.assign_copies(docs).collect()))
+    taken, variance, target = collections.Counter(), collections.Counter(), {}
+    for r in first:
+        rate = min(3.0, r._target / r._source_size) if r._source_size else 0.0
+        taken[r._row.source] += r._size * r._copies
+        variance[r._row.source] += r._size**2 * (rate % 1) * (1 - rate % 1)
+        target[r._row.source] = r._target
+    assert all(abs(taken[s] - t) <= 4 * variance[s] ** 0.5 + 1 for s, t in target.items())
