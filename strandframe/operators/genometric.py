@@ -19,7 +19,7 @@ from .metadata import per_sample
 
 BIN = 10_000
 HORIZON = 100_000
-WIDEN = 8
+WIDEN = 64
 
 
 @dataclass(frozen=True)
@@ -189,13 +189,13 @@ def _nearest(ref: DataFrame, exp: DataFrame, k: int, reach: int, condition: Colu
         todo = places.crossJoin(F.broadcast(ids))  # a row for each region and exp sample
     else:
         todo = places.join(per_sample(pairs.select(F.col("ref_id").alias("sample_id"), "exp_id")), "sample_id")
-    limits, near = [], min(reach, bin_size)
+    limits, near = [], min(reach, max(1, bin_size // 4))
     while near < reach:
         limits.append(near)
         near *= WIDEN
     done = None
     for limit in [*limits, reach]:
-        met = interval_pairs(todo.withColumnRenamed("exp_id", "pair_exp"), exp, limit + 1, condition & (gap <= limit), bin_size=max(bin_size, limit // 4), equal=[(c, c) for c in on], paired=True)
+        met = interval_pairs(todo.withColumnRenamed("exp_id", "pair_exp"), exp, limit + 1, condition & (gap <= limit), bin_size=max(bin_size, limit), equal=[(c, c) for c in on], paired=True)
         ranked = met.withColumn("_gap", gap).withColumn("_rank", F.dense_rank().over(least)).where(F.col("_rank") <= k)
         if limit == reach:
             final = ranked
