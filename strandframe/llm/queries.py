@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontamination, language_id, line_dedup, lm, mixing, near_dedup, quality, substring_dedup, token_shards
+from . import ann, decontamination, language_id, line_dedup, lm, mixing, near_dedup, packing, quality, substring_dedup, token_shards
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": language_id.query,
     "op9_quality": quality.query,
     "op10_substring_dedup": substring_dedup.query,
+    "op11_pack": packing.query,
 }
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
