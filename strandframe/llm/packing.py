@@ -39,9 +39,9 @@ from .subwords import spread
 
 CAPACITY, END = 4096, 1
 #: Pieces of a packing problem; islands of each, epochs between migrations, groupings of an island, children of an epoch.
-BLOCK, ISLANDS, EPOCHS, POPULATION, CHILDREN = 8192, 2, 3, 6, 24
+BLOCK, ISLANDS, EPOCHS, POPULATION, CHILDREN = 8192, 2, 3, 20, 60
 #: One bin of so many goes round again, and one in so many of a parent's bins is injected.
-RELEASED, INJECTED = 64, 12
+RELEASED, INJECTED = 64, 4
 #: Distinct words whose ids a worker keeps.
 CACHED, LONGEST = 400_000, 256
 #: A special token's text can't be cut; texts with its first characters are encoded whole.
@@ -182,7 +182,7 @@ def best_fit(order: np.ndarray, sizes: list[int], bins: np.ndarray, free: list[i
 
 def decreasing(sizes: np.ndarray, capacity: int, rng=None) -> np.ndarray:
     bins = np.empty(len(sizes), np.int32)
-    weight = sizes if rng is None else sizes * (1 + 0.2 * rng.random(len(sizes)))
+    weight = sizes if rng is None else sizes * (1 + 2 * rng.random(len(sizes)))
     best_fit(np.argsort(-weight, kind="stable"), sizes.tolist(), bins, [], capacity)
     return bins
 
