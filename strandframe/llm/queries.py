@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontamination, language_id, line_dedup, lm, mixing, near_dedup, packing, quality, substring_dedup, token_shards
+from . import ann, decontamination, language_id, line_dedup, lm, manifest, mixing, near_dedup, negatives, packing, quality, substring_dedup, token_shards
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -16,9 +16,13 @@ QUERIES = {
     "op9_quality": quality.query,
     "op10_substring_dedup": substring_dedup.query,
     "op11_pack": packing.query,
+    "op12_manifest": manifest.query,
+    "op13_hard_negatives": negatives.query,
 }
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
+    "op12_manifest": manifest.ORACLE,
+    "op13_hard_negatives": negatives.ORACLE,
 }
