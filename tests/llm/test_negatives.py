@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from strandframe.llm import negatives
 
 SCHEMA = "vec_id long, embedding array<double>, label int, id long, vec string, block int, anchor int, windows int"
-RELABEL = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+
+
+def relabel():
+    return F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
 
 
 def brute(rows, every):
@@ -46,14 +49,14 @@ def test_negatives(spark, monkeypatch, block):
     monkeypatch.setattr(negatives, "ANCHOR_BLOCK", 5 if block == 37 else 16_384)
     rows = table()
     df = spark.createDataFrame([(*r, 1, "v", 2, 3, 4) for r in rows], SCHEMA).repartition(3)
-    got = negatives.mine(df, F.col("vec_id") % 10 == 0, RELABEL)
+    got = negatives.mine(df, F.col("vec_id") % 10 == 0, relabel())
     assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
     got = sorted(map(tuple, got.collect()))
     assert got == brute(rows, 10) and len(got) > 50
 
 
 def test_empty(spark):
-    assert negatives.mine(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 50 == 0, RELABEL).isEmpty()
+    assert negatives.mine(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 50 == 0, relabel()).isEmpty()
 
 
 def test_bounds_hold_and_narrow():
