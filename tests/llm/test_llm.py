@@ -323,7 +323,7 @@ def test_lm_learns(spark, monkeypatch):
     seen = []
     real = lm._mean_move
     monkeypatch.setattr(lm, "_mean_move", lambda rows, share, step: (seen.append(real(rows, share, step)), seen[-1])[1])
-    got = lm.score(docs, F.col("doc_id") % 10 != 0, F.col("doc_id") % 10 == 0, mix=1.0).where("held_out").collect()
+    got = lm.score(docs, F.col("doc_id") % 10 != 0, F.col("doc_id") % 10 == 0, use=(False, True, True)).where("held_out").collect()
     per = lambda c: sum(r[c] for r in got) / sum(r.n_tokens for r in got)
     assert len(got) == 40 and per("score") > per("base_score") + 0.05
     enc = subwords.encoder(subwords.ranks_of())
@@ -331,7 +331,7 @@ def test_lm_learns(spark, monkeypatch):
     assert sum(n for _, n in seen[len(lm.TOPIC_ROUNDS) :]) == ids
 
 
-def scorer_of(rows, mix):
+def scorer_of(rows):
     """A scorer from plain counts, its texts as one topic."""
     ranks, counts, heads = subwords.ranks_of(), collections.Counter(), np.zeros((subwords.END + 1, lm.TOPICS))
     enc, words = subwords.encoder(ranks), collections.Counter(w for _, t in rows for w in t.split())
@@ -346,11 +346,11 @@ def scorer_of(rows, mix):
     totals = np.zeros(lm.TOPICS)
     totals[0] = sum(words.values()) + len(rows)
     i, n = map(np.array, zip(*sorted(counts.items()), strict=True))
-    return lm.Scorer(ranks, i, n.astype(float), totals, len(words) + 1, ends, heads, np.zeros((1 << 16, lm.TOPICS), np.float32), mix), enc, words
+    return lm.Scorer(ranks, i, n.astype(float), totals, len(words) + 1, ends, heads, np.zeros((1 << 16, lm.TOPICS), np.float32)), enc, words
 
 
-def brute_score(scorer, enc, words, text, mix):
-    """One position at a time: softmax over what stands before it in the window that scores it."""
+def brute_parts(scorer, enc, words, text):
+    """The three probabilities of each word, one position at a time: softmax over what stands before it in the window that scores it. Also the share without its own occurrence."""
     p, soft = scorer.net.p, lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
     ids, starts = [], []
     for w in text.split():
@@ -361,40 +361,54 @@ def brute_score(scorer, enc, words, text, mix):
     entry = scorer.entry[ids]
     classes = np.exp(p["out"].astype(float) - p["out"].max(1, keepdims=True))
     classes /= classes.sum(1, keepdims=True)
-    total, unseen = 0.0, 0.1 * (scorer.distinct + 1)
-    for w, at in zip([*text.split(), None], starts, strict=True):
+    unseen = 0.1 * (scorer.distinct + 1)
+
+    def at(k):
         # the first window reaches LENGTH ids; later ones begin LENGTH - OVERLAP apart and score what comes after their overlap
-        first = 0 if at < lm.LENGTH else (at - lm.OVERLAP) // (lm.LENGTH - lm.OVERLAP) * (lm.LENGTH - lm.OVERLAP)
-        before = [scorer.end if k == 0 else entry[k - 1] for k in range(first, at + 1)]
+        first = 0 if k < lm.LENGTH else (k - lm.OVERLAP) // (lm.LENGTH - lm.OVERLAP) * (lm.LENGTH - lm.OVERLAP)
+        before = [scorer.end if j == 0 else entry[j - 1] for j in range(first, k + 1)]
         e = p["emb"][before].astype(float) + p["pos"][: len(before)]
         c = soft(e @ (e[-1] @ p["att"]) * lm.DIM**-0.5) @ e
-        g, z = soft(p["last"][before[-1]] + c @ p["ctx"]), soft(c @ p["topic"] + p["prior"])
-        given = (g @ classes[:, entry[at]]) / (g @ classes[:, scorer.border].sum(1))
-        n = np.zeros(lm.TOPICS)
+        g = soft(p["last"][before[-1]] + c @ p["ctx"])
+        return g @ classes[:, entry[k]], g @ classes[:, scorer.border].sum(1), soft(c @ p["topic"] + p["prior"])
+
+    seen, out = [at(k) for k in range(len(ids))], []
+    for w, begin, end in zip([*text.split(), None], starts, [*starts[1:], len(ids)], strict=True):
+        (given, border, z), n = seen[begin], np.zeros(lm.TOPICS)
         n[0] = words[w] if w is not None else scorer.ends[0]
-        own, head = z @ ((n + 0.1) / (scorer.totals + unseen)), z @ scorer.first[entry[at]]
-        total += min(0.0, np.log10(own * (1 - mix + mix * min(1, given) / head)))
-    return total
+        share = lambda n: z @ ((n + 0.1) / (scorer.totals + unseen))  # noqa: B023, E731
+        own, head = share(n), z @ scorer.first[entry[begin]]
+        spelled = np.prod([seen[k][0] * 10.0 ** scorer.within[ids[k]] for k in range(begin, end)]) / border * (seen[end][1] if end < len(ids) else 1)
+        out.append((own, min(1, own * min(1, given / border) / head), min(1, spelled), share(n - np.eye(lm.TOPICS)[0]) / own))
+    return np.array(out)
 
 
 @pytest.mark.parametrize("seed", range(5))
 def test_lm_score_brute(seed, monkeypatch):
     """score against a loop, by a network that has taken steps: they stay finite and help whatever the seed."""
     rows = following(seed, 60)
-    scorer, enc, words = scorer_of(rows, 0.4)
+    scorer, enc, words = scorer_of(rows)
     learner = lm.Learner(scorer.net, 0.03)
     monkeypatch.setattr(lm, "WINDOWS", 1)
     for _ in range(12):
         learner.learn(*scorer.windows(enc, pa.array([t for _, t in rows])))
     assert all(np.isfinite(x).all() for x in scorer.net.p.values())
     scorer.seal()
-    texts = [*[t for _, t in rows[:3]], "", "unknownword w1", "w5 " * 70, "x" * 300]
+    texts = [*[t for _, t in rows[:8]], "", "unknownword w1", "w5 " * 70, "x" * 300]
     coded, _ = lm._words(pa.array(texts))
     counts = np.zeros((len(coded.dictionary), lm.TOPICS))
     counts[:, 0] = [words[w] for w in coded.dictionary.to_pylist()]
     ids, begin = subwords.encode_words(enc, [" " + w for w in coded.dictionary.to_pylist()])
-    got = scorer.score(pa.array(texts), coded.dictionary, counts, ids, begin)[3]
-    assert np.allclose(got, [brute_score(scorer, enc, words, t, 0.4) for t in texts], rtol=1e-4)
+    train = np.arange(len(texts)) < 8
+    got = scorer.score(pa.array(texts), train, coded.dictionary, counts, ids, begin)[3]
+    parts = [brute_parts(scorer, enc, words, t) for t in texts]
+    own = np.concatenate(parts[:8])
+    own[:, :2] *= own[:, 3:]
+    weights = np.array(lm.START)
+    for _ in range(25):
+        r = own[:, :3] * weights / (own[:, :3] @ weights)[:, None]
+        weights = (r.sum(0) + lm.FAITH * np.array(lm.START)) / (len(own) + lm.FAITH)
+    assert np.allclose(got, [np.log10(np.minimum(1, x[:, :3] @ weights)).sum() for x in parts], rtol=1e-4)
 
 
 def test_lm_large_logits():
@@ -413,14 +427,15 @@ def test_lm_large_logits():
 
 
 def test_lm_gain_is_attention_s(spark):
-    """Held out, sf0.01: attention alone above the base, and its share above none."""
+    """Held out, sf0.01: attention without the plain shares above the base, and the whole above the shares alone."""
     docs = common.load(spark, "/root/testdata/sf0.01", "documents")
     per = {}
-    for mix in (0.0, lm.MIX, 1.0):
-        got = lm.score(docs, common.crc_mod("doc_id", 10) != 0, common.crc_mod("doc_id", 10) == 0, mix=mix).where("held_out").collect()
+    for use in ((True, False, False), (False, True, True), (True, True, True)):
+        got = lm.score(docs, common.crc_mod("doc_id", 10) != 0, common.crc_mod("doc_id", 10) == 0, use=use).where("held_out").collect()
         n = sum(r.n_tokens for r in got)
-        per[mix], base = sum(r.score for r in got) / n, sum(r.base_score for r in got) / n
-    assert per[1.0] > base + 0.2 and per[lm.MIX] > per[0.0]
+        per[use], base = sum(r.score for r in got) / n, sum(r.base_score for r in got) / n
+    print(base, per)
+    assert per[False, True, True] > base + 0.2 and per[True, True, True] > per[True, False, False]
 
 
 def test_windows():
