@@ -11,8 +11,10 @@ blocks too, visit every block; each meeting yields the k best of the block, and
 vector that thousands of rows share is spread like any others. A block with fewer than k codes within RADIUS widens
 the radius for this query until it has k or all rows.
 
-Defined cases: vectors that are null, empty, zero, of another length than the first id's, or hold null, NaN or
-infinite components take no part; a null id takes no part; rows that share an id are separate candidates but never
+Vectors of different lengths can't be compared: a query meets the rows of its own length, and each length has a rotation
+of its own, learned from its part of the sample, or from a block's rows where the sample has none.
+
+Defined cases: vectors that are null, empty, zero, or hold null, NaN or infinite components take no part; a null id takes no part; rows that share an id are separate candidates but never
 the query's own; fewer than k candidates give all of them; ties go to the smaller id; an empty table gives an empty result.
 """
 
@@ -87,11 +89,12 @@ def _vectors(table: pa.Table) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
 
 
-def _meet(rows: pa.Table, asked: pa.Table, mean: np.ndarray, axes: np.ndarray, k: int, radius: int) -> pa.Table:
+def _meet(rows: pa.Table, asked: pa.Table, rotations: dict, k: int, radius: int) -> pa.Table:
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     if not rows.num_rows or not asked.num_rows:
         return schema.empty_table()
     ids, x, qids, q = rows["id"].to_numpy(), _vectors(rows), asked["id"].to_numpy(), _vectors(asked)
+    mean, axes = rotations.get(x.shape[1]) or learn_rotation(x[np.lexsort((x[:, 0], ids))[:SAMPLE]])
     index, codes = ChunkIndex(codes_of(x, mean, axes)), codes_of(q, mean, axes)
     bits, out = codes.shape[1] * 8, []
     for qid, code, v in zip(qids, codes, q, strict=True):
@@ -115,7 +118,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, radius: int = R
     """(query_id, rank, vec_id, score): for each row of queries the k rows of vectors found with the largest inner product, its own id's aside."""
     spark = vectors.sparkSession
     small_batches(spark)
-    schema = "query_id long, rank int, vec_id long, score double"
 
     def sound(df: DataFrame) -> DataFrame:
         v = F.col("vec")
@@ -123,17 +125,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, radius: int = R
         return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull() & fine)
 
     rows, asked = sound(vectors), sound(queries)
-    first = rows.orderBy("id", F.xxhash64("vec")).select(F.size("vec").alias("n")).first()
-    if first is None:
-        return spark.createDataFrame([], schema)
-    rows, asked = rows.where(F.size("vec") == first["n"]), asked.where(F.size("vec") == first["n"])
-    mean, axes = learn_rotation(np.array([r["vec"] for r in sampled(rows, SAMPLE, "id", "vec")], dtype=np.float64))
+    by_length: dict[int, list] = {}
+    for r in sampled(rows, SAMPLE, "id", "vec"):
+        by_length.setdefault(len(r["vec"]), []).append(r["vec"])
+    rotations = {n: learn_rotation(np.array(v, np.float64)) for n, v in by_length.items()}
     blocks, parts = max(1, math.ceil(rows.count() / BLOCK)), max(1, math.ceil(asked.count() / QUERY_BLOCK))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = rows.select("id", "vec", block(blocks).alias("block"), every(parts).alias("part"))
     asked = asked.select("id", "vec", every(blocks).alias("block"), block(parts).alias("part"))
-    met = rows.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(lambda a, b: _meet(a, b, mean, axes, k, radius), "query_id long, vec_id long, score double")
+    keys = [F.size("vec").alias("length"), "block", "part"]
+    met = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(lambda a, b: _meet(a, b, rotations, k, radius), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -640,6 +640,24 @@ def test_nearest_blocks(spark, monkeypatch):
     assert len(got) == 20 and hit >= 0.9 * 400
 
 
+def test_nearest_lengths(spark):
+    """Each query meets all rows of its own length, whichever length comes first; null ids, components and vectors take no part."""
+    rng = np.random.default_rng(4)
+    rows = [(0, [1.0])] + [(i, rng.normal(size=3).round(3).tolist()) for i in range(1, 61)] + [(100 + i, rng.normal(size=5).round(3).tolist()) for i in range(30)]
+    odd = [(None, [9.0, 9.0, 9.0]), (200, [9.0, None, 9.0]), (220, None), (240, []), (260, [float("inf"), 1.0, 1.0])]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), k=70).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, round(r.score, 9)))
+    want = {}
+    for q, v in rows:
+        if q % 20 == 0:
+            found = sorted(((i, round(float(np.dot(v, w)), 9)) for i, w in rows if i != q and len(w) == len(v)), key=lambda p: (-p[1], p[0]))
+            if found:
+                want[q] = found
+    assert dict(got) == want and set(want) == {20, 40, 60, 100, 120}
+
+
 def test_decontamination_shuffled(spark, monkeypatch):
     """Without broadcasts, empty documents, a word in every text: against a plain search."""
     rng = random.Random(6)
