@@ -2,7 +2,8 @@
 
 Both sides are cut into bins of the coordinate, so Spark plans a plain equi-join on (chromosome, bin) with the rest as
 a residual condition: an interval join without a Cartesian product. A pair is made in its first shared bin only,
-so no distinct is needed. Results don't hang on the bin size.
+so no distinct is needed. Results don't hang on the bin size. Where no pairs are wanted (MAP that only counts) or only the
+nearest (MinDistance), sorted positions are swept instead.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals as I
 from ..functions.aggregates import Aggregate, aggregate
+from . import sweep
 from .metadata import per_sample
 
 BIN = 10_000
 HORIZON = 100_000
-WIDEN = 64
 
 
 @dataclass(frozen=True)
@@ -167,45 +168,42 @@ def _join_once(ref, exp, atoms, builder, pairs, on, bin_size, horizon) -> DataFr
         bounds.append(I.distance(F.col("start"), F.col("stop"), F.col("e_start"), F.col("e_stop")) <= reach)
     # bins meet only if the widened left interval reaches into the right one, so a distance of exactly reach needs one more
     if cut < len(atoms):
-        found = _nearest(ref, exp, atoms[cut].k, reach, _and(bounds), pairs, on, bin_size).where(_and([_atom(a) for a in after]))
+        found = _nearest(ref, exp, atoms[cut].k, reach, _and(bounds), pairs, on, bin_size, [a.n for a in before if isinstance(a, DistGreater)]).where(_and([_atom(a) for a in after]))
     else:
         found = interval_pairs(ref, exp, reach + 1, _and(bounds), pairs, bin_size=bin_size, equal=[(c, c) for c in on])
     return _outcome(found, ref, exp, builder)
 
 
-def _nearest(ref: DataFrame, exp: DataFrame, k: int, reach: int, condition: Column, pairs: DataFrame | None, on: list[str], bin_size: int) -> DataFrame:
+def _nearest(ref: DataFrame, exp: DataFrame, k: int, reach: int, condition: Column, pairs: DataFrame | None, on: list[str], bin_size: int, greater: list[int]) -> DataFrame:
     """Pairs of ref and exp rows whose distance is among the k least of the ref region in the exp sample, up to reach.
 
     What is near a region hangs on its coordinates (and on, and its sample where pairs restricts), so equal regions are
-    searched for once. The search widens: whoever has k distances within a narrow reach is done, and only the other
-    (region, sample) go on to a reach WIDEN times as wide, so dense places never make all pairs within the horizon.
+    searched for once. Regions apart from it come from a sweep: the k nearest positions on each side, beyond the largest
+    of the bounds in greater, whatever the distance; only regions at those positions are paired. Overlapping ones come
+    from an interval join, unless a bound rules them out. A condition beside such bounds rules out a whole side, or all from some distance on.
     """
     keys = [*I.COORDS, *on, *(["sample_id"] if pairs is not None else [])]
-    gap = I.distance(F.col("start"), F.col("stop"), F.col("e_start"), F.col("e_stop"))
-    least = Window.partitionBy(*keys, "exp_id").orderBy("_gap")
     places = ref.select(*keys).distinct()
     if pairs is None:
         ids = exp.select(F.col("sample_id").alias("exp_id")).distinct()
         todo = places.crossJoin(F.broadcast(ids))  # a row for each region and exp sample
     else:
         todo = places.join(per_sample(pairs.select(F.col("ref_id").alias("sample_id"), "exp_id")), "sample_id")
-    limits, near = [], min(reach, max(1, bin_size // 4))
-    while near < reach:
-        limits.append(near)
-        near *= WIDEN
-    done = None
-    for limit in [*limits, reach]:
-        met = interval_pairs(todo.withColumnRenamed("exp_id", "pair_exp"), exp, limit + 1, condition & (gap <= limit), bin_size=max(bin_size, limit), equal=[(c, c) for c in on], paired=True)
-        ranked = met.withColumn("_gap", gap).withColumn("_rank", F.dense_rank().over(least)).where(F.col("_rank") <= k)
-        if limit == reach:
-            final = ranked
-        else:
-            full = ranked.where(F.col("_rank") == k).select(*keys, "exp_id").distinct()
-            final = ranked.join(full, [*keys, "exp_id"], "left_semi")
-            todo = todo.join(full, [*keys, "exp_id"], "left_anti")
-        final = final.select(*keys, *(c for c in _right(exp).columns))
-        done = final if done is None else done.unionByName(final)
-    return ref.join(done, keys)
+    apart = max([0, *(n + 1 for n in greater)])
+    gap = I.distance(F.col("start"), F.col("stop"), F.col("e_start"), F.col("e_stop"))
+    spots = sweep.neighbours(todo, exp, k, apart, on).withColumnRenamed("exp_id", "pair_exp")
+    far = F.when(F.col("_side") == 0, F.col("start") - F.col("_pos")).otherwise(-F.col("_pos") - F.col("stop"))
+    right = _right(exp).withColumn("_there", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("e_stop").cast("long").alias("pos")), F.struct(F.lit(1).alias("side"), (-F.col("e_start")).cast("long").alias("pos")))))
+    at = [F.col("pair_exp") == F.col("exp_id"), F.col("chrom") == F.col("e_chrom"), F.col("_side") == F.col("_there.side"), F.col("_pos") == F.col("_there.pos"), *(F.col(c) == F.col(f"e_{c}") for c in on)]
+    once = (F.col("_side") == 0) | (F.col("e_stop") > F.col("start") - apart)  # an empty region beside an empty one is on both sides
+    met = spots.where(far <= reach).join(right, _and([*at, I.strands_agree(F.col("strand"), F.col("e_strand")), once, condition])).drop("_side", "_pos", "_there")
+    if not greater or max(greater) < 0:
+        over = I.overlaps(F.col("start"), F.col("stop"), F.col("e_start"), F.col("e_stop"))
+        asked = todo.withColumnRenamed("exp_id", "pair_exp")
+        met = met.unionByName(interval_pairs(asked, exp, 0, over & condition, bin_size=bin_size, equal=[(c, c) for c in on], paired=True))
+    least = Window.partitionBy(*keys, "exp_id").orderBy("_gap")
+    done = met.withColumn("_gap", gap).where(F.col("_gap") <= reach).withColumn("_rank", F.dense_rank().over(least)).where(F.col("_rank") <= k)
+    return ref.join(done.select(*keys, *_right(exp).columns), keys)
 
 
 def map_regions(ref: DataFrame, exp: DataFrame, pairs: DataFrame, aggregates: dict[str, tuple[Aggregate, str]] | None = None, count: str = "count", bin_size: int = BIN, every: bool = False) -> DataFrame:
@@ -214,8 +212,11 @@ def map_regions(ref: DataFrame, exp: DataFrame, pairs: DataFrame, aggregates: di
     Rows are preserved: equal ref regions stay apart, and regions without a hit have count 0 and the aggregates of no
     rows. Hits hang on the coordinates (and the sample where pairs restricts), so each place is matched once; with every,
     pairs are all combinations of samples and the places aren't multiplied by them before the match. A place gathers
-    one entry for each exp sample that hits it; the samples that don't are filled in where rows are made.
+    one entry for each exp sample that hits it; the samples that don't are filled in where rows are made. Without
+    aggregates beside counts no pair is made: hits are counted from sorted starts and stops.
     """
+    if all(kind == "COUNT" for kind, _ in (aggregates or {}).values()):
+        return _map_counts(ref, exp, pairs, [count, *(aggregates or {})], every)
     keys = [*I.COORDS, *([] if every else ["sample_id"])]
     places = ref.select(*keys).distinct()
     partner_ids = pairs.select("exp_id").distinct()
@@ -241,6 +242,20 @@ def map_regions(ref: DataFrame, exp: DataFrame, pairs: DataFrame, aggregates: di
     return rows.select("ref_id", F.col("id").alias("exp_id"), *own, *(F.col(f"sums.{n}").alias(n) for n in names))
 
 
+def _map_counts(ref: DataFrame, exp: DataFrame, pairs: DataFrame, names: list[str], every: bool) -> DataFrame:
+    keys = [*I.COORDS, *([] if every else ["sample_id"])]
+    rows, places = ref, ref.select(*keys).distinct()
+    if every:
+        rows = ref.join(per_sample(pairs.select(F.col("ref_id").alias("sample_id")).distinct()), "sample_id", "left_semi")
+        asked = places.crossJoin(F.broadcast(pairs.select("exp_id").distinct()))  # a short row for each sample
+    else:
+        asked = places.join(per_sample(pairs.select(F.col("ref_id").alias("sample_id"), "exp_id")), "sample_id")
+    counted = sweep.overlap_counts(asked, exp, "_hits").select(*(F.col(c).alias(f"_k_{c}") for c in keys), "exp_id", "_hits")
+    own = [c for c in ref.columns if c != "sample_id"]
+    met = rows.join(counted, _and([F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys]))
+    return met.select(F.col("sample_id").alias("ref_id"), "exp_id", *own, *(F.col("_hits").alias(n) for n in names))
+
+
 def difference(ref: DataFrame, exp: DataFrame, pairs: DataFrame | None = None, exact: bool = False, keep_unmatched: bool = False, bin_size: int = BIN) -> DataFrame:
     """The ref regions that no strand-compatible exp region overlaps, or with exact, none with the same coordinates.
 
