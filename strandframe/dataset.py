@@ -61,6 +61,10 @@ class Dataset:
         meta = metadata.project(self.meta, meta_keep) if meta_keep is not None else metadata.project(self.meta, meta_drop, keep=False) if meta_drop is not None else self.meta
         return Dataset(out, meta)
 
+    def project_rows(self, function, returns: str, meta: list[str] = ()) -> Dataset:
+        """Values from a function of one's own: pandas columns in, pandas columns out (see regions.project_rows)."""
+        return Dataset(regions.project_rows(self.regions, function, returns, self.meta, meta), self.meta)
+
     def project_meta(self, name: str, inputs: list[str], value: Callable[..., Column]) -> Dataset:
         return Dataset(self.regions, metadata.extend(self.meta, name, inputs, value))
 
@@ -71,12 +75,16 @@ class Dataset:
         meta = metadata.group(self.meta, attributes, group_name, meta_aggregates) if attributes else self.meta
         return Dataset(regions.group(self.regions, by, aggregates) if by is not None or aggregates else self.regions, meta)
 
-    def order(self, keys: list[tuple[str, bool]] | None = None, meta_keys: list[tuple[str, bool]] | None = None, **cut) -> Dataset:
-        """Orders regions within samples by keys, or samples by meta_keys; cut: top, percent, within_leading, position."""
+    def order(self, keys: list[tuple[str, bool]] | None = None, meta_keys: list[tuple[str, bool]] | None = None, meta_cut: dict | None = None, **cut) -> Dataset:
+        """Orders regions within samples by keys, and samples by meta_keys; cut: top, percent, within_leading, position.
+
+        With both, meta_cut cuts samples and cut the regions of those that are left; with meta_keys alone, cut is theirs.
+        """
+        out = self
         if meta_keys:
-            meta = metadata.order(self.meta, meta_keys, **cut)
-            return Dataset(metadata.restricted(self.regions, meta), meta)
-        return Dataset(regions.order(self.regions, keys, **cut), self.meta)
+            meta = metadata.order(self.meta, meta_keys, **(meta_cut or ({} if keys else cut)))
+            out = Dataset(metadata.restricted(self.regions, meta), meta)
+        return Dataset(regions.order(out.regions, keys, **cut), out.meta) if keys or not meta_keys else out
 
     def merge(self, attributes=()) -> Dataset:
         groups = metadata.sample_groups(self.meta, attributes) if attributes else None

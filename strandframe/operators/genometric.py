@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import intervals as I
-from ..functions.aggregates import Aggregate, aggregate
+from ..functions.aggregates import Aggregate, Merging, aggregate, merged, partly
 from . import sweep
-from .metadata import per_sample
+from .metadata import per_pair, per_sample
 
 BIN = 10_000
 HORIZON = 100_000
@@ -90,7 +90,7 @@ def interval_pairs(ref: DataFrame, exp: DataFrame, reach: int, condition: Column
     """
     left = ref
     if pairs is not None:
-        left = left.join(per_sample(pairs.select(F.col("ref_id").alias("sample_id"), F.col("exp_id").alias("pair_exp"))), "sample_id")
+        left = left.join(per_pair(pairs.select(F.col("ref_id").alias("sample_id"), F.col("exp_id").alias("pair_exp"))), "sample_id")
     wide_start, wide_stop = F.col("start") - reach, F.col("stop") + reach
     left = left.withColumn("bin", F.explode(I.bins(wide_start, wide_stop, bin_size)))
     right = _right(exp)
@@ -188,7 +188,7 @@ def _nearest(ref: DataFrame, exp: DataFrame, k: int, reach: int, condition: Colu
         ids = exp.select(F.col("sample_id").alias("exp_id")).distinct()
         todo = places.crossJoin(F.broadcast(ids))  # a row for each region and exp sample
     else:
-        todo = places.join(per_sample(pairs.select(F.col("ref_id").alias("sample_id"), "exp_id")), "sample_id")
+        todo = places.join(per_pair(pairs.select(F.col("ref_id").alias("sample_id"), "exp_id")), "sample_id")
     apart = max([0, *(n + 1 for n in greater)])
     gap = I.distance(F.col("start"), F.col("stop"), F.col("e_start"), F.col("e_stop"))
     spots = sweep.neighbours(todo, exp, k, apart, on).withColumnRenamed("exp_id", "pair_exp")
@@ -242,6 +242,18 @@ def map_regions(ref: DataFrame, exp: DataFrame, pairs: DataFrame, aggregates: di
     return rows.select("ref_id", F.col("id").alias("exp_id"), *own, *(F.col(f"sums.{n}").alias(n) for n in names))
 
 
+def map_merging(ref: DataFrame, exp: DataFrame, pairs: DataFrame, value: str, kind: Merging, name: str, count: str = "count", bin_size: int = BIN, every: bool = False) -> DataFrame:
+    """MAP with an aggregate of the user's own over a value of the exp regions; null for regions without a hit."""
+    keys = [*I.COORDS, *([] if every else ["sample_id"]), "exp_id"]
+    counted = map_regions(ref, exp, pairs, None, count, bin_size, every)
+    overlap = I.overlaps(F.col("start"), F.col("stop"), F.col("e_start"), F.col("e_stop"))
+    right = exp.join(per_sample(pairs.select(F.col("exp_id").alias("sample_id")).distinct()), "sample_id", "left_semi")
+    found = interval_pairs(ref.select(*(k for k in keys if k != "exp_id")).distinct(), right, 0, overlap, None if every else pairs, bin_size=bin_size)
+    outcome = merged(partly(found, keys, f"e_{value}", kind), keys, kind, name)
+    on = keys if every else [k for k in keys if k != "sample_id"] + ["ref_id"]
+    return counted.join(outcome if every else outcome.withColumnRenamed("sample_id", "ref_id"), on, "left").select(*counted.columns, name)
+
+
 def _map_counts(ref: DataFrame, exp: DataFrame, pairs: DataFrame, names: list[str], every: bool) -> DataFrame:
     keys = [*I.COORDS, *([] if every else ["sample_id"])]
     rows, places = ref, ref.select(*keys).distinct()
@@ -249,7 +261,7 @@ def _map_counts(ref: DataFrame, exp: DataFrame, pairs: DataFrame, names: list[st
         rows = ref.join(per_sample(pairs.select(F.col("ref_id").alias("sample_id")).distinct()), "sample_id", "left_semi")
         asked = places.crossJoin(F.broadcast(pairs.select("exp_id").distinct()))  # a short row for each sample
     else:
-        asked = places.join(per_sample(pairs.select(F.col("ref_id").alias("sample_id"), "exp_id")), "sample_id")
+        asked = places.join(per_pair(pairs.select(F.col("ref_id").alias("sample_id"), "exp_id")), "sample_id")
     counted = sweep.overlap_counts(asked, exp, "_hits").select(*(F.col(c).alias(f"_k_{c}") for c in keys), "exp_id", "_hits")
     own = [c for c in ref.columns if c != "sample_id"]
     met = rows.join(counted, _and([F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys]))
@@ -270,7 +282,7 @@ def difference(ref: DataFrame, exp: DataFrame, pairs: DataFrame | None = None, e
     if exact:
         right = _right(exp.select("sample_id", *I.COORDS).distinct())
         if pairs is not None:
-            places = places.join(per_sample(pairs.select(F.col("ref_id").alias("sample_id"), F.col("exp_id").alias("pair_exp"))), "sample_id")
+            places = places.join(per_pair(pairs.select(F.col("ref_id").alias("sample_id"), F.col("exp_id").alias("pair_exp"))), "sample_id")
         on = [F.col(c) == F.col(f"e_{c}") for c in ("chrom", "start", "stop")] + [I.strands_agree(F.col("strand"), F.col("e_strand"))]
         on += [F.col("pair_exp") == F.col("exp_id")] if pairs is not None else []
         found = places.join(right, _and(on))

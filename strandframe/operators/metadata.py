@@ -110,6 +110,15 @@ def per_sample(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
+#: So many pairs of samples are broadcast; more are joined by a shuffle.
+PAIRS = 1_000_000
+
+
+def per_pair(pairs: DataFrame) -> DataFrame:
+    """A table with a row for each pair of samples: broadcast if there are at most PAIRS of them (they are counted, from metadata alone), since pairs may grow as the square of samples."""
+    return F.broadcast(pairs) if pairs.limit(PAIRS + 1).count() <= PAIRS else pairs
+
+
 def restricted(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(per_sample(ids.select("sample_id").distinct()), "sample_id", "left_semi")
 

@@ -73,6 +73,30 @@ def project(regions: DataFrame, keep: list[str] | None = None, extend: dict[str,
     return out.select("sample_id", *COORDS, *kept, *added)
 
 
+def project_rows(regions: DataFrame, function: Callable, returns: str, meta: DataFrame | None = None, names: list[str] = ()) -> DataFrame:
+    """The coordinates with the values that a function of the user's gives, in place of the old ones.
+
+    function gets a pandas frame of some rows (coordinates, values, and metadata attributes names of the rows' samples as
+    meta_<name>) and returns a frame of as many rows with the columns of returns, a DDL string. Rows go in Arrow batches.
+    """
+    import pandas as pd
+
+    for n in names:
+        regions = regions.join(metadata.per_sample(metadata.first_value(meta, n, f"meta_{n}")), "sample_id", "left")
+    fixed = ["sample_id", *COORDS]
+    kinds = ", ".join(f"{c} {regions.schema[c].dataType.simpleString()}" for c in fixed)
+
+    def apply(frames):
+        for f in frames:
+            got = function(f)
+            if len(got) != len(f):
+                raise ValueError(f"the function gave {len(got)} rows for {len(f)}")
+            yield pd.concat([f[fixed].reset_index(drop=True), got.reset_index(drop=True)], axis=1)
+
+    return regions.mapInPandas(apply, f"{kinds}, {returns}")
+
+
+
 def group(regions: DataFrame, by: list[str] | None = None, aggregates: dict[str, tuple[Aggregate, str]] | None = None) -> DataFrame:
     """One row for each sample, coordinate and value of by, with aggregates {name: (kind, value)}."""
     keys = ["sample_id", *COORDS, *(by or [])]

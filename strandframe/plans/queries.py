@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dataset import Dataset
+from ..functions.aggregates import Merging
 from ..operators import cover as C
 from ..operators import genometric as G
 from ..operators import matrix as X
 from ..operators import metadata as M
 from ..operators import regions as R
 from ..sources import files
+from . import flow
 
 BIN = 1000
 COORDS = ["chrom", "start", "stop", "strand"]
@@ -107,6 +109,27 @@ def map_joinby(spark, d):
     return _mapped(spark, d, attributes=["third"])
 
 
+@query(_map_sql(", round(sum(e.score) / nullif(count(e.score), 0), 4) AS mean"))
+def map_user_aggregate(spark, d):
+    """An aggregate of the user's own, from a merge and an outcome."""
+    a, b = ref(spark, d), exp(spark, d)
+    kind = Merging(lambda s: s.sum(), lambda total, rows, full: total / full if full else None)
+    out = G.map_merging(a.regions, b.regions, a.pairs(b), "score", kind, "mean", bin_size=BIN, every=True)
+    return out.withColumn("mean", F.round("mean", 4))
+
+
+@query("SELECT sample_id, chrom, start, stop, strand, round(score * (stop - start), 2) AS weight, upper((SELECT min(value) FROM meta m WHERE m.sample_id = regions.sample_id AND attribute = 'third')) AS third FROM regions")
+def project_rows(spark, d):
+    """Values from the user's own function of rows and metadata."""
+
+    def weigh(f):
+        import pandas as pd
+
+        return pd.DataFrame({"weight": (f["score"] * (f["stop"] - f["start"])).round(2), "third": f["meta_third"].str.upper()})
+
+    return dataset(spark, d).project_rows(weigh, "weight double, third string", ["third"]).regions.withColumn("weight", F.round("weight", 2))
+
+
 def _joined(spark, d, conditions, builder="LEFT", **more) -> DataFrame:
     return G.join(ref(spark, d).regions, exp(spark, d).regions, conditions, builder, bin_size=BIN, **more)
 
@@ -358,6 +381,12 @@ def order_top(spark, d):
     return dataset(spark, d).order([("score", False)], top=5).regions
 
 
+@query(f"SELECT {REGION}, n AS \"order\" FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC NULLS LAST, chrom, start, stop, strand, x) AS n FROM regions WHERE sample_id IN (SELECT sample_id FROM meta WHERE attribute = 'acctbal' GROUP BY 1 ORDER BY max(CAST(value AS DOUBLE)) DESC, 1 LIMIT 4)) WHERE n <= 5")
+def order_both(spark, d):
+    """Samples and regions ordered in one call."""
+    return dataset(spark, d).order([("score", False)], [("acctbal", False)], {"top": 4}, top=5).regions
+
+
 @query(f"SELECT {REGION}, n AS \"order\" FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, chrom ORDER BY score DESC NULLS LAST, start, stop, strand, x) AS n FROM regions) WHERE n <= 2")
 def order_topg(spark, d):
     return dataset(spark, d).order([("chrom", True), ("score", False)], top=2, within_leading=True).regions
@@ -640,13 +669,23 @@ def _one(spark, d, sample: int) -> DataFrame:
     return region_table(spark, d).where(F.col("sample_id") == sample).select("sample_id", *COORDS)
 
 
-def _chain_map(a: DataFrame, b: DataFrame, aggregates=None, count="count") -> DataFrame:
-    pairs = M.sample_pairs(a, b)
-    return G.map_regions(a, b, pairs, aggregates, count, bin_size=BIN, every=True).drop("exp_id").withColumnRenamed("ref_id", "sample_id")
+def _source(spark, d, sample: int) -> flow.Step:
+    return flow.Step(lambda: _one(spark, d, sample))
+
+
+def _chain_map(a: flow.Step, b: flow.Step, ids: tuple[int, int], aggregates=None, count="count") -> flow.Step:
+    """ids: the sample on each side; a chain keeps the left one's."""
+
+    def make(ref: DataFrame, exp: DataFrame) -> DataFrame:
+        pairs = ref.sparkSession.range(1).select(*(F.lit(i).cast("long").alias(n) for i, n in zip(ids, ("ref_id", "exp_id"), strict=True)))
+        return G.map_regions(ref, exp, pairs, aggregates, count, bin_size=BIN, every=True).drop("exp_id").withColumnRenamed("ref_id", "sample_id")
+
+    return a.then(make, b, reads=flow.READS["map"])
 
 
-def _chain_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    return G.join(a, b, [G.DistLess(0)], bin_size=BIN).drop("exp_id").withColumnRenamed("ref_id", "sample_id")
+def _chain_join(a: flow.Step, b: flow.Step) -> flow.Step:
+    make = lambda ref, exp: G.join(ref, exp, [G.DistLess(0)], bin_size=BIN).drop("exp_id").withColumnRenamed("ref_id", "sample_id")
+    return a.then(make, b, reads=flow.READS["join"])
 
 
 def _t(sample: int) -> str:
@@ -664,21 +703,40 @@ def _sql_join(a: str, b: str, values: str) -> str:
 
 @query(f"SELECT * FROM {_sql_map(_t(0), _sql_map(_t(1), _t(2)), extra=', CAST(sum(e.count) AS BIGINT) AS inner_hits')}")
 def complex_1(spark, d):
-    return _chain_map(_one(spark, d, 0), _chain_map(_one(spark, d, 1), _one(spark, d, 2)), {"inner_hits": ("SUM", "count")})
+    a, b, c = (_source(spark, d, k) for k in range(3))
+    return flow.run([_chain_map(a, _chain_map(b, c, (1, 2)), (0, 1), {"inner_hits": ("SUM", "count")})])[0]
 
 
 @query(f"SELECT * FROM {_sql_join(_sql_map(_t(0), _t(1)), _t(2), ', r.count')}")
 def complex_2(spark, d):
-    return _chain_join(_chain_map(_one(spark, d, 0), _one(spark, d, 1)), _one(spark, d, 2))
+    a, b, c = (_source(spark, d, k) for k in range(3))
+    return flow.run([_chain_join(_chain_map(a, b, (0, 1)), c)])[0]
 
 
 @query(f"SELECT * FROM {_sql_map(_sql_join(_sql_map(_t(0), _t(1), count='n1'), _t(2), ', r.n1'), _t(3), ', r.n1', count='n2')}")
 def complex_3(spark, d):
-    return _chain_map(_chain_join(_chain_map(_one(spark, d, 0), _one(spark, d, 1), count="n1"), _one(spark, d, 2)), _one(spark, d, 3), count="n2")
+    a, b, c, e = (_source(spark, d, k) for k in range(4))
+    return flow.run([_chain_map(_chain_join(_chain_map(a, b, (0, 1), count="n1"), c), e, (0, 3), count="n2")])[0]
 
 
 @query(f"SELECT * FROM {_sql_join(_sql_join(_sql_map(_t(0), _t(1), count='n1'), _sql_map(_t(2), _t(3), count='n2'), ', r.n1, e.n2'), _sql_map(_t(4), _t(5), count='n3'), ', r.n1, r.n2, e.n3')}")
 def complex_4(spark, d):
-    one = lambda k: _one(spark, d, k)
-    first = _chain_join(_chain_map(one(0), one(1), count="n1"), _chain_map(one(2), one(3), count="n2"))
-    return _chain_join(first, _chain_map(one(4), one(5), count="n3"))
+    a, b, c, e, f, g = (_source(spark, d, k) for k in range(6))
+    first = _chain_join(_chain_map(a, b, (0, 1), count="n1"), _chain_map(c, e, (2, 3), count="n2"))
+    return flow.run([_chain_join(first, _chain_map(f, g, (4, 5), count="n3"))])[0]
+
+
+@query(_map_sql(", round(sum(e.score), 2) AS total").replace("SELECT r.sample_id AS ref_id, p.b AS exp_id", "SELECT 'map' AS part, r.sample_id * 10 + p.b AS sample_id").replace("r.score, r.x, count(e.start) AS count", "count(e.start) AS count") + f" UNION ALL SELECT 'difference', r.sample_id, r.chrom, r.start, r.stop, r.strand, NULL, NULL FROM ref r WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM ex WHERE sample_id = 5) e WHERE e.chrom = r.chrom AND {OVERLAP} AND {STRAND})")
+def several_results(spark, d):
+    """A MAP and a DIFFERENCE of the same selection, which is computed once."""
+    source = flow.Step(lambda: dataset(spark, d))
+    left = source.then(lambda ds: ds.select(meta=M.attribute("third") < 3))
+    ours = left.then(lambda ds: Dataset(ds.regions.where("sample_id < 2"), ds.meta.where("sample_id < 2")))
+    theirs = left.then(lambda ds: Dataset(ds.regions.where("sample_id >= 2"), ds.meta.where("sample_id >= 2")))
+    last = left.then(lambda ds: Dataset(ds.regions.where("sample_id = 5"), ds.meta.where("sample_id = 5")))
+    mapped = ours.then(lambda a, b: G.map_regions(a.regions, b.regions, a.pairs(b), {"total": (lambda c: F.round(F.sum(c), 2), "score")}, bin_size=BIN, every=True), theirs, reads=flow.READS["map"])
+    other = ours.then(lambda a, b: G.difference(a.regions, b.regions, bin_size=BIN), last, reads=flow.READS["difference"])
+    hits, rest = flow.run([mapped, other])
+    none = F.lit(None)
+    first = hits.select(F.lit("map").alias("part"), (F.col("ref_id") * 10 + F.col("exp_id")).alias("sample_id"), *COORDS, "count", "total")
+    return first.unionByName(rest.select(F.lit("difference").alias("part"), "sample_id", *COORDS, none.cast("long").alias("count"), none.cast("double").alias("total")))

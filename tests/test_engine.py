@@ -257,3 +257,121 @@ def test_order(spark, monkeypatch, buckets):
         sizes = Counter(r[0] for r in rows)
         assert half == {(q.start, q.n) for q in df.withColumn("n", F.row_number().over(whole)).collect() if q.n <= sizes[q.sample_id] // 2}
     assert R.order(df.limit(0), [("v", True)]).count() == 0
+
+
+# --- sweeps, shared steps, functions of the user's own --------------------------------------------------------------------
+
+
+def odd_regions(seed, n, samples, wide=300):
+    """Regions of all strands with ties, empty ones, copies and nested ones, over several stripes."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        start = rng.choice([rng.randint(0, wide), rng.randint(0, wide) + 50_000_000])
+        rows.append((rng.choice(samples), rng.choice(["c1", "c2"]), start, start + rng.choice([0, 0, 1, 5, 40, 200]), rng.choice("+-*"), float(rng.randint(0, 9))))
+    return rows + rows[:5]
+
+
+def strands_fit(a, b):
+    return a == "*" or b == "*" or a == b
+
+
+def test_counts_without_pairs(spark):
+    a, b = odd_regions(1, 120, [0, 1]), odd_regions(2, 150, [2, 3])
+    b += [(2, "c1", 0, 60_000_000, "*", 1.0), (2, "c1", 77, 77, "+", 1.0)]
+    a += [(0, "c1", 77, 77, "*", 1.0), (1, None, 5, 9, "+", 1.0), (1, "c3", 5, 9, "+", 1.0)]
+    schema = "sample_id long, chrom string, start long, stop long, strand string, v double"
+    ref, exp = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    for every, chosen in ((True, [(i, j) for i in (0, 1) for j in (2, 3)]), (False, [(0, 2), (1, 2), (1, 3)])):
+        pairs = spark.createDataFrame(chosen, "ref_id long, exp_id long")
+        out = G.map_regions(ref, exp, pairs, {"again": ("COUNT", "v")}, every=every)
+        plan = out._jdf.queryExecution().toString()
+        assert "first_shared_bin" not in plan and "sequence(" not in plan
+        want = sorted((i, j, str(c), s, e, t, v, *[sum(x[0] == j and x[1] == c and x[2] < e and s < x[3] and strands_fit(t, x[4]) for x in b)] * 2) for i, c, s, e, t, v in a for r, j in chosen if r == i)
+        assert sorted((r[0], r[1], str(r[2]), *r[3:]) for r in out.collect()) == want
+
+
+def test_count_under_many(spark):
+    """A region under 100,000 others costs no pairs."""
+    exp = spark.range(100_000).select(F.lit(2).cast("long").alias("sample_id"), F.lit("c").alias("chrom"), F.col("id").alias("start"), (F.col("id") + 10_000_000).alias("stop"), F.lit("+").alias("strand"))
+    ref = spark.range(200).select(F.lit(1).cast("long").alias("sample_id"), F.lit("c").alias("chrom"), (F.col("id") + 5_000_000).alias("start"), (F.col("id") + 5_000_100).alias("stop"), F.lit("*").alias("strand"))
+    out = G.map_regions(ref, exp, spark.createDataFrame([(1, 2)], "ref_id long, exp_id long"), every=True)
+    assert out.select("count").distinct().collect() == [(100_000,)]
+
+
+@pytest.mark.parametrize("conditions", [[G.MinDistance(1)], [G.MinDistance(3)], [G.DistGreater(7), G.MinDistance(2)], [G.Upstream(), G.MinDistance(2)], [G.Downstream(), G.DistLess(500), G.MinDistance(1)], [G.DistGreater(-30), G.MinDistance(2), G.DistLess(40)]])
+def test_nearest_by_sweep(spark, conditions):
+    a, b = odd_regions(3, 60, [0, 1], 3000), odd_regions(4, 130, [2, 3], 3000)
+    schema = "sample_id long, chrom string, start long, stop long, strand string, v double"
+    out = G.join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), conditions, "BOTH", horizon=1000)
+    cut = next(i for i, c in enumerate(conditions) if isinstance(c, G.MinDistance))
+
+    def holds(c, r, e):
+        gap = max(r[2] - e[3], e[2] - r[3])
+        up, down = (e[2] >= r[3], e[3] <= r[2]) if r[4] == "-" else (e[3] <= r[2], e[2] >= r[3])
+        return gap < c.n if isinstance(c, G.DistLess) else gap > c.n if isinstance(c, G.DistGreater) else up if isinstance(c, G.Upstream) else down
+
+    lower = max([c.n for c in conditions[:cut] if isinstance(c, G.DistGreater)], default=0)
+    limits = [c.n for c in conditions[:cut] if isinstance(c, G.DistLess)]
+    reach = min(limits) if limits else max(1000, lower + 1000) if lower > 0 else 1000
+    want = []
+    for r in a:
+        for j in (2, 3):
+            near = [(max(r[2] - e[3], e[2] - r[3]), e) for e in b if e[0] == j and e[1] == r[1] and strands_fit(r[4], e[4])]
+            near = [(g, e) for g, e in near if g <= reach and all(holds(c, r, e) for c in conditions[:cut])]
+            least = sorted({g for g, _ in near})[: conditions[cut].k]
+            want += [(r[0], j, *r[1:5], r[5], *e[1:5], e[5]) for g, e in near if g in least and all(holds(c, r, e) for c in conditions[cut + 1 :])]
+    got = [tuple(x) for x in out.select("ref_id", "exp_id", "chrom", "start", "stop", "strand", "v", "right_chrom", "right_start", "right_stop", "right_strand", "right_v").collect()]
+    assert sorted(got) == sorted(want) and want
+
+
+def test_shared_steps(spark, tmp_path):
+    """What two results read is computed once, and read from a table by both; a step that is read once stays a plan."""
+    from strandframe.plans import flow
+    from strandframe.sources import files
+
+    schema = "sample_id long, chrom string, start long, stop long, strand string, v double"
+    spark.createDataFrame(odd_regions(5, 50, [1, 2]), schema).write.parquet(f"{tmp_path}/in")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    source = flow.Step(lambda: Dataset.of(spark.read.parquet(f"{tmp_path}/in")))
+    shared = source.then(lambda ds: Dataset(ds.regions.mapInPandas(counted, schema), ds.meta))
+    left, right = shared.then(lambda ds: ds.select(region=lambda r: r.value("v") > 4)), shared.then(lambda ds: ds.merge())
+    flow.write({f"{tmp_path}/a": left, f"{tmp_path}/b": right})
+    assert seen.value == 55 and files.read_written(spark, f"{tmp_path}/b").regions.count() == 55
+    of = lambda ds: ds.regions._jdf.queryExecution().executedPlan().toString()
+    assert all("MapInPandas" not in of(x) for x in flow.run([left, right])) and "MapInPandas" in of(flow.run([left])[0])
+
+
+def test_merging_aggregate(spark):
+    """The user's merge over many batches and partitions, nulls, and regions without a hit."""
+    from strandframe.functions.aggregates import Merging
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        schema = "sample_id long, chrom string, start long, stop long, strand string, v double"
+        ref = spark.createDataFrame([(1, "c", 0, 100, "*", 0.0), (1, "c", 0, 100, "*", 1.0), (1, "d", 0, 9, "+", 0.0)], schema)
+        exp = spark.createDataFrame([(2, "c", k, k + 1, "+", None if k % 4 == 0 else float(k)) for k in range(40)] + [(2, "d", 1, 2, "*", None)], schema).repartition(5)
+        pairs = spark.createDataFrame([(1, 2)], "ref_id long, exp_id long")
+        for every in (True, False):
+            got = G.map_merging(ref, exp, pairs, "v", Merging(lambda s: s.max(), lambda m, rows, full: None if m is None else m + 1000 * rows + full), "x", every=every)
+            rows = [(r["chrom"], r["count"], r["x"]) for r in got.collect()]
+            assert sorted(rows, key=str) == sorted([("c", 40, 39.0 + 40_000 + 30)] * 2 + [("d", 1, None)], key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_many_pairs_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(M, "PAIRS", 2)
+    schema = "sample_id long, chrom string, start long, stop long, strand string, v double"
+    a, b = spark.createDataFrame(odd_regions(6, 30, [0, 1]), schema), spark.createDataFrame(odd_regions(7, 30, [2, 3]), schema)
+    few, many = [(0, 2), (1, 3)], [(0, 2), (0, 3), (1, 2)]
+    for chosen in (few, many):
+        out = G.join(a, b, [G.DistLess(5)], pairs=spark.createDataFrame(chosen, "ref_id long, exp_id long"))
+        assert ("ResolvedHint" in out._jdf.queryExecution().analyzed().toString()) == (chosen is few)
+        assert {(r.ref_id, r.exp_id) for r in out.collect()} <= set(chosen)
