@@ -143,6 +143,27 @@ def test_near_star(spark):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
+def test_near_meetings(spark):
+    """20,000 unlike classes with most of their shingles in common never meet; those that are alike do, whichever shingles they share."""
+    from pyspark.sql import functions as F
+
+    common_part = F.sequence(F.lit(1), F.lit(70))
+    own = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: F.lit(1000) + F.col("node") * 30 + k)
+    unlike = spark.range(20_000).select(F.col("id").alias("node"), F.col("id").alias("root")).withColumn("set", F.concat(common_part, own).cast("array<long>"))
+    inside, sets = unlike.select("node", "root"), unlike.select("node", "set")
+    assert near_dedup._meetings(inside, sets, 80).isEmpty()
+    rng, rows = random.Random(2), []
+    for i in range(60):  # chains of sets that differ in a few entries
+        base = list(range(70)) + [1000 + 100 * (i // 6) + k for k in range(30)]
+        for _ in range(rng.randint(0, 12)):
+            base[rng.randrange(100)] = 10_000 + rng.randrange(500)
+        rows.append((i, i, sorted(set(base))))
+    df = spark.createDataFrame(rows, "node long, root long, set array<long>")
+    met = {frozenset(p) for r in near_dedup._meetings(df.select("node", "root"), df.select("node", "set"), 80).groupBy("shingle").agg(F.collect_list("node").alias("g")).collect() for p in [(a, b) for a in r.g for b in r.g if a < b]}
+    alike = {frozenset((a, b)) for a, _, x in rows for b, _, y in rows if a < b and 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y))}
+    assert alike and alike <= met
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_lines(spark, empty):
     docs = corpus(spark, empty)
