@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -183,6 +185,13 @@ def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
+def give_back() -> None:
+    """Hands memory that a finished task no longer needs to the system; workers live on and would hold the most that any task had."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(table: pa.Table | pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
     """Slices of the table with at most so many bytes of text each (one row at least), so that numpy's arrays stay small."""
     sizes = np.diff(text_bytes(table.column(column))[1])

@@ -12,12 +12,14 @@ and small-star steps, a join and an aggregate each.
 Confirming goes in two rounds: first the best pair of each class, then only pairs that still join two components, so
 groups of thousands of near copies cost a few confirmations each and no group's pairs are all made.
 
-In a region of more than REACH + 2 classes the stream leaves pairs out, so what it didn't link is looked for afterwards, among
-the classes of all regions that aren't one component, by an index of rare shingles. Shingles are ordered by how many of these classes have
-them, fewest first; two sets with percent of their union in common share one of the first n - ceil(n percent / 100) + 1 of
-each, n being the set's size. So classes meet only in groups that have such a shingle in common and aren't one component: a
-region of many classes that have only frequent passages in common gives none. In a group each
-class outside its largest component meets, block by block, every class in another component. A block has the full sets and goes on until each of its
+In a region of more than REACH + 2 classes the stream leaves pairs out, so what it didn't link is paired afterwards: each
+class outside the region's largest component meets every class of the region in another component. Any
+two classes of a region in different components are such a pair. Regions with the same largest component are taken
+together, so that a set isn't sent once a tree; up to SIDE classes are one block. Of more, only those meet that have a rare shingle in common:
+shingles are ordered by how many of these classes have them, fewest first, and two sets with percent of their union in
+common share one of the first n - ceil(n percent / 100) + 1 of each, n being the set's size. So a region of many classes
+that have only frequent passages in common makes no pairs. Groups with such a shingle that aren't one component are paired like regions, block by block where
+they are large. A block has the full sets and goes on until each of its
 pairs is either refuted or within one component; only the links that join two components leave it.
 
 Defined cases: null or blank text has an empty set and is linked with nothing; equal sets have similarity 1 and are
@@ -210,13 +212,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _split_regions(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, root): the classes of all large regions that aren't one component."""
+    """(main, node, root): the classes of all large regions that aren't one component and have main as their largest."""
     member = classes.select("node", "sig").mapInArrow(_regions, "region long, node long")
     large = member.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > REACH + 2)
     named = roots.select(F.col("node").alias("_node"), "root")
     rooted = written(member.join(large.select("region"), "region").join(named, F.col("node") == F.col("_node"), "left").select("region", "node", F.coalesce("root", "node").alias("root")))
-    split = rooted.groupBy("region").agg((F.min("root") < F.max("root")).alias("split")).where("split")
-    return checkpointed(rooted.join(split.select("region"), "region").select("node", "root").distinct())
+    each = rooted.groupBy("region", "root").agg(F.count("*").alias("c"))
+    main = each.groupBy("region").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("c")).where("most.c < c")
+    return checkpointed(rooted.join(main.select("region", F.col("most.root").alias("main")), "region").select("main", "node", "root").distinct())
+
+
+def _groups(inside: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, main, node, root, n): what has to be paired; shingle is 0 for the whole of a main that is one block."""
+    crowded = inside.groupBy("main").agg(F.count("*").alias("c")).where(F.col("c") > SIDE).select("main")
+    sizes = classes.groupBy("node").agg(F.sum("n").alias("n"))
+    few = inside.join(crowded, "main", "left_anti").join(sizes, "node").select(F.lit(0).cast("long").alias("shingle"), "main", "node", "root", "n")
+    many = inside.join(crowded, "main", "left_semi").select("node", "root").distinct()
+    return checkpointed(few.unionByName(_meetings(many, sets, percent)))
 
 
 def _meetings(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -229,20 +241,20 @@ def _meetings(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rare = written(rare.select("shingle", "node", "root", "n"))
     each = rare.groupBy("shingle", "root").agg(F.count("*").alias("c"))
     main = each.groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("c")).where("most.c < c")
-    return checkpointed(rare.join(main.select("shingle", F.col("most.root").alias("main")), "shingle"))
+    return rare.join(main.select("shingle", F.col("most.root").alias("main")), "shingle").select("shingle", "main", "node", "root", "n")
 
 
 def _left_links(inside: DataFrame, classes: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
     """Links (a, b) between components, from groups of classes that may be alike."""
     about = written(inside.select("node").distinct().join(classes.select("node", "sig"), "node").join(sets, "node"))
     blocks = lambda live: F.greatest(F.lit(1), F.ceil(F.greatest(F.count_if(live) / SIDE, F.sum(F.when(live, F.col("n")).otherwise(0)) / SIDE_SHINGLES))).cast("int")
-    split = inside.groupBy("shingle").agg(blocks(F.col("root") != F.col("main")).alias("rows"), blocks(F.lit(True)).alias("columns"))
-    dealt = inside.drop("n").join(split, "shingle")
+    split = inside.groupBy("shingle", "main").agg(blocks(F.col("root") != F.col("main")).alias("rows"), blocks(F.lit(True)).alias("columns"))
+    dealt = inside.drop("n").join(split, ["shingle", "main"])
     side = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     across = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     lone = dealt.where("root <> main").select("shingle", "node", "root", "main", side(F.col("rows")).alias("i"), across("columns").alias("j")).join(about, "node")
     rest = dealt.select("shingle", "node", "root", "main", across("rows").alias("i"), side(F.col("columns")).alias("j")).join(about, "node")
-    keys = ["shingle", "i", "j"]
+    keys = ["shingle", "main", "i", "j"]
     rest = rest.toDF(*rest.columns)  # columns of its own: both sides come from the same tables
     return lone.groupBy(*keys).cogroup(rest.groupBy(*keys)).applyInArrow(lambda x, y: _block_links(x, y, least, percent), "a long, b long")
 
@@ -277,7 +289,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         further = inside.select("node").distinct().join(wanted, "node", "left_anti")
         chosen = texts.join(further, texts["doc_id"] == further["node"], "left_semi")
         sets = sets.unionByName(written(chosen.mapInArrow(partial(_sets, k=k), "node long, set array<long>")))
-        links = links.unionByName(checkpointed(_left_links(_meetings(inside, sets, percent), classes, sets, least, percent)))
+        links = links.unionByName(checkpointed(_left_links(_groups(inside, classes, sets, percent), classes, sets, least, percent)))
     # equal sets: each row has its class's root; Spark splits the rows of a class with very many
     rooted = classes.join(components(links), "node", "left").select("n", "s1", "s2", "rows", "node", F.coalesce("root", "node").alias("root")).where("rows > 1 OR root <> node")
     own = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))

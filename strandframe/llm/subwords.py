@@ -19,7 +19,7 @@ _GAP = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{2
 _KNOTTY = rf"^ | $|{_GAP} | {_GAP}|\x00"
 _CUTS = [(r"([a-zA-Z])([.,])", "\\1\x00\\2"), (r"([a-zA-Z.,])\n([a-zA-Z])", "\\1\x00\n\x00\\2")]
 LONGEST = 512  # characters of one piece in the cache
-CACHED = 200_000
+CACHED = 100_000
 
 _encoders: dict = {}
 _cache: dict[str, bytes] = {}

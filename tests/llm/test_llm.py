@@ -143,6 +143,28 @@ def test_near_star(spark):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
+def test_near_crowded(spark, monkeypatch):
+    """Regions beyond one block, by rare shingles, give the components of brute force."""
+    monkeypatch.setattr(near_dedup, "SIDE", 3)
+    rng, rows = random.Random(12), []
+    for g in range(4):
+        base = [rng.choice(WORDS) for _ in range(120)]
+        for _ in range(25):
+            text = list(base)
+            for _ in range(rng.randint(0, 6)):
+                text[rng.randrange(120)] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text)))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i, x in enumerate(sets):
+            for j in range(i):
+                if 100 * len(x & sets[j]) >= 80 * len(x | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    assert got == dict(enumerate(root)) and 4 < len(set(root)) < 100
+
+
 def test_near_meetings(spark):
     """20,000 unlike classes with most of their shingles in common never meet; those that are alike do, whichever shingles they share."""
     from pyspark.sql import functions as F
