@@ -31,8 +31,33 @@ def bins(start: Column, stop: Column, size: int) -> Column:
     return F.sequence(low, high)
 
 
-def first_shared_bin(a_start: Column, b_start: Column, size: int) -> Column:
+#: As a bin size: nested bins, for tables that mix short and very long intervals.
+NESTED = "nested"
+#: The sizes of nested bins, level by level; the last holds everything.
+SIZES = [1000 * 32**level for level in range(5)] + [1 << 62]
+
+
+def level(start: Column, stop: Column) -> Column:
+    """The first level whose bins are no shorter than the interval, which so meets one or two of them."""
+    out = F.lit(len(SIZES) - 1)
+    for n in reversed(range(len(SIZES) - 1)):
+        out = F.when(stop - start <= SIZES[n], n).otherwise(out)
+    return out
+
+
+def nested_bins(start: Column, stop: Column, own: Column, others: Column) -> Column:
+    """(level, bin) on the interval's own level, and on each coarser one that others, an array of levels, holds."""
+    def on(n: int) -> Column:
+        placed = F.transform(bins(start, stop, SIZES[n]), lambda b: F.struct(F.lit(n).alias("level"), b.alias("bin")))
+        return F.when((own == n) | ((own < n) & F.array_contains(others, n)), placed).otherwise(F.array().cast("array<struct<level:int,bin:bigint>>"))
+
+    return F.concat(*(on(n) for n in range(len(SIZES))))
+
+
+def first_shared_bin(a_start: Column, b_start: Column, size: int | Column) -> Column:
     """The lowest bin in which two intervals that share one can meet, so a pair is made once."""
+    if isinstance(size, Column):
+        return F.floor(F.greatest(a_start, b_start, F.lit(0)) / size).cast("long")
     return F.floor(F.greatest(a_start, b_start, F.lit(0)) / size).cast("long") if size else F.lit(0).cast("long")
 
 

@@ -82,25 +82,38 @@ def _and(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, columns, F.lit(True))
 
 
-def interval_pairs(ref: DataFrame, exp: DataFrame, reach: int, condition: Column, pairs: DataFrame | None = None, how: str = "inner", bin_size: int = BIN, equal: list[tuple[str, str]] = (), paired: bool = False) -> DataFrame:
+def interval_pairs(ref: DataFrame, exp: DataFrame, reach: int, condition: Column, pairs: DataFrame | None = None, how: str = "inner", bin_size: int | str = BIN, equal: list[tuple[str, str]] = (), paired: bool = False) -> DataFrame:
     """Rows of ref beside rows of exp (columns e_*) on the same chromosome that come within reach and satisfy condition.
 
     pairs (ref_id, exp_id) restricts and multiplies the samples; with paired, each row of ref names its partner already, in
-    pair_exp. equal lists further equal columns (left, right).
+    pair_exp. equal lists further equal columns (left, right). bin_size: a number, 0 for one bin, or NESTED, where a row is copied
+    at most twice for each level of bins that the other side's lengths need, however long it is.
     """
     left = ref
     if pairs is not None:
         left = left.join(per_pair(pairs.select(F.col("ref_id").alias("sample_id"), F.col("exp_id").alias("pair_exp"))), "sample_id")
     wide_start, wide_stop = F.col("start") - reach, F.col("stop") + reach
-    left = left.withColumn("bin", F.explode(I.bins(wide_start, wide_stop, bin_size)))
     right = _right(exp)
-    right = right.withColumn("e_bin", F.explode(I.bins(F.col("e_start"), F.col("e_stop"), bin_size)))
     on = [F.col("chrom") == F.col("e_chrom"), F.col("bin") == F.col("e_bin")]
+    if bin_size == I.NESTED:  # a pair meets on the longer one's level, in its one or two bins
+        e_start, e_stop = F.col("e_start"), F.col("e_stop")
+        known = right.agg(F.collect_set(I.level(e_start, e_stop)).alias("_levels"))  # one row each
+        e_known = ref.agg(F.collect_set(I.level(wide_start, wide_stop)).alias("_levels"))
+        left = left.withColumn("_own", I.level(wide_start, wide_stop)).crossJoin(F.broadcast(known))
+        left = left.select("*", F.inline(I.nested_bins(wide_start, wide_stop, F.col("_own"), F.col("_levels")))).drop("_levels")
+        right = right.withColumn("e_own", I.level(e_start, e_stop)).crossJoin(F.broadcast(e_known))
+        right = right.select("*", F.inline(I.nested_bins(e_start, e_stop, F.col("e_own"), F.col("_levels"))).alias("e_level", "e_bin")).drop("_levels")
+        size = F.element_at(F.array(*(F.lit(s).cast("long") for s in I.SIZES)), F.col("level") + 1)
+        on += [F.col("level") == F.col("e_level"), F.col("level") == F.greatest("_own", "e_own")]
+    else:
+        left = left.withColumn("bin", F.explode(I.bins(wide_start, wide_stop, bin_size)))
+        right = right.withColumn("e_bin", F.explode(I.bins(F.col("e_start"), F.col("e_stop"), bin_size)))
+        size = bin_size
     if pairs is not None or paired:
         on.append(F.col("pair_exp") == F.col("exp_id"))
     on += [F.col(a) == F.col(f"e_{b}") for a, b in equal]
-    rest = [F.col("bin") == I.first_shared_bin(wide_start, F.col("e_start"), bin_size), I.strands_agree(F.col("strand"), F.col("e_strand")), condition]
-    return left.join(right, _and(on + rest), how).drop("bin", "e_bin")
+    rest = [F.col("bin") == I.first_shared_bin(wide_start, F.col("e_start"), size), I.strands_agree(F.col("strand"), F.col("e_strand")), condition]
+    return left.join(right, _and(on + rest), how).drop("bin", "e_bin", "level", "e_level", "_own", "e_own")
 
 
 def _outcome(found: DataFrame, ref: DataFrame, exp: DataFrame, builder: str) -> DataFrame:
@@ -132,7 +145,7 @@ def _outcome(found: DataFrame, ref: DataFrame, exp: DataFrame, builder: str) ->
     raise ValueError(f"unknown builder {builder!r}")
 
 
-def join(ref: DataFrame, exp: DataFrame, conditions: list[Condition] | list[list[Condition]] = (), builder: str = "LEFT", pairs: DataFrame | None = None, on: list[str] = (), bin_size: int = BIN, horizon: int = HORIZON) -> DataFrame:
+def join(ref: DataFrame, exp: DataFrame, conditions: list[Condition] | list[list[Condition]] = (), builder: str = "LEFT", pairs: DataFrame | None = None, on: list[str] = (), bin_size: int | str = BIN, horizon: int = HORIZON) -> DataFrame:
     """(ref_id, exp_id, coordinates, values) of matching regions. Several lists of conditions give the union of their results.
 
     on lists columns that must be equal on both sides; without conditions it is an equi-join. Without an upper bound on the
@@ -206,7 +219,7 @@ def _nearest(ref: DataFrame, exp: DataFrame, k: int, reach: int, condition: Colu
     return ref.join(done.select(*keys, *_right(exp).columns), keys)
 
 
-def map_regions(ref: DataFrame, exp: DataFrame, pairs: DataFrame, aggregates: dict[str, tuple[Aggregate, str]] | None = None, count: str = "count", bin_size: int = BIN, every: bool = False) -> DataFrame:
+def map_regions(ref: DataFrame, exp: DataFrame, pairs: DataFrame, aggregates: dict[str, tuple[Aggregate, str]] | None = None, count: str = "count", bin_size: int | str = BIN, every: bool = False) -> DataFrame:
     """Each ref region for each paired sample, with the number of overlapping exp regions and aggregates of their values.
 
     Rows are preserved: equal ref regions stay apart, and regions without a hit have count 0 and the aggregates of no
@@ -242,7 +255,7 @@ def map_regions(ref: DataFrame, exp: DataFrame, pairs: DataFrame, aggregates: di
     return rows.select("ref_id", F.col("id").alias("exp_id"), *own, *(F.col(f"sums.{n}").alias(n) for n in names))
 
 
-def map_merging(ref: DataFrame, exp: DataFrame, pairs: DataFrame, value: str, kind: Merging, name: str, count: str = "count", bin_size: int = BIN, every: bool = False) -> DataFrame:
+def map_merging(ref: DataFrame, exp: DataFrame, pairs: DataFrame, value: str, kind: Merging, name: str, count: str = "count", bin_size: int | str = BIN, every: bool = False) -> DataFrame:
     """MAP with an aggregate of the user's own over a value of the exp regions; null for regions without a hit."""
     keys = [*I.COORDS, *([] if every else ["sample_id"]), "exp_id"]
     counted = map_regions(ref, exp, pairs, None, count, bin_size, every)
@@ -268,7 +281,7 @@ def _map_counts(ref: DataFrame, exp: DataFrame, pairs: DataFrame, names: list[st
     return met.select(F.col("sample_id").alias("ref_id"), "exp_id", *own, *(F.col("_hits").alias(n) for n in names))
 
 
-def difference(ref: DataFrame, exp: DataFrame, pairs: DataFrame | None = None, exact: bool = False, keep_unmatched: bool = False, bin_size: int = BIN) -> DataFrame:
+def difference(ref: DataFrame, exp: DataFrame, pairs: DataFrame | None = None, exact: bool = False, keep_unmatched: bool = False, bin_size: int | str = BIN) -> DataFrame:
     """The ref regions that no strand-compatible exp region overlaps, or with exact, none with the same coordinates.
 
     With pairs only paired samples count; ref samples without a partner are dropped, unless keep_unmatched. Whether a

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import Aggregate, aggregate
+from ..functions.shared import stored
 from . import metadata
 
 COORDS = ["chrom", "start", "stop", "strand"]
@@ -54,7 +55,7 @@ def _scoped(regions: DataFrame, meta: DataFrame | None, scope: Scope) -> DataFra
 def select(regions: DataFrame, predicate: Callable[[Scope], Column], meta: DataFrame | None = None) -> DataFrame:
     scope = Scope()
     condition = predicate(scope)
-    return _scoped(regions, meta, scope).where(holds(condition)).select(*regions.columns)
+    return _scoped(regions, meta, scope).where(condition).select(*regions.columns)  # bare, so that its parts reach the scan
 
 
 def project(regions: DataFrame, keep: list[str] | None = None, extend: dict[str, Callable[[Scope], Column]] | None = None, meta: DataFrame | None = None) -> DataFrame:
@@ -112,52 +113,31 @@ def extend_metadata(regions: DataFrame, meta: DataFrame, aggregates: dict[str, t
     return meta.unionByName(long)
 
 
-BUCKETS = 256
-
-
-def _bucket(regions: DataFrame, part: list[str], key: str, ascending: bool) -> tuple[DataFrame, Column]:
-    """regions with the range of their group's keys beside them, and a number that grows along the order of the key, nulls last.
-
-    Numbers fall into BUCKETS equal steps between the group's least and largest, strings go by their first two characters.
-    """
-    kind = dict(regions.dtypes)[key]
-    value, last = F.col(key), 1 << 50
-    if kind == "string":
-        step = F.ascii(value).cast("long") * (1 << 21) + F.ascii(F.substring(value, 2, 1))
-    elif kind in ("double", "float", "tinyint", "smallint", "int", "bigint") or kind.startswith("decimal"):
-        number = value.cast("double")
-        finite = F.when(F.abs(number) < float("inf"), number)
-        ends = regions.groupBy(*part).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
-        on = [F.col(p).eqNullSafe(F.col(f"_of_{p}")) for p in part]
-        regions = regions.join(ends.withColumnsRenamed({p: f"_of_{p}" for p in part}), on, "left")
-        share = F.coalesce(F.try_divide(number - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-        step = F.when(F.isnan(number), BUCKETS).otherwise(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(BUCKETS - 1.0), share * BUCKETS))))
-    else:
-        step = F.lit(0)
-    return regions, F.when(value.isNull(), last).otherwise(step if ascending else -step).cast("long")
-
-
-def _numbered(regions: DataFrame, part: list[str], first: tuple[str, bool], sorts: list[Column], position: str) -> DataFrame:
+def _numbered(regions: DataFrame, part: list[str], sorts: list[Column], position: str) -> DataFrame:
     """regions with their number in the group (part) and the group's size, _all.
 
-    In two levels, so that a group is as many tasks as its key has buckets: a rank inside each bucket, and the rows of
-    all buckets before it, from a count of each bucket.
+    One range exchange along groups and sorts, with borders that Spark samples from the rows themselves, so values in any
+    scale, common prefixes and a group of any size spread alike; only rows equal in every column stay together. The sorted rows are
+    stored with their places, since a recomputed exchange might draw other borders. A place less its stretch's first (a stretch is
+    a group's rows in one range) plus the rows in the group's earlier stretches is the number, so no row is sorted again.
     """
-    columns = regions.columns
-    placed, bucket = _bucket(regions, part, *first)
-    placed = placed.select(*columns, bucket.alias("_bucket"))
-    along = Window.partitionBy(*part).orderBy("_bucket")
-    sizes = placed.groupBy(*part, "_bucket").agg(F.count("*").alias("_n"))
-    sizes = sizes.select(*(F.col(c).alias(f"_at_{c}") for c in [*part, "_bucket"]), F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*part)).alias("_all"))
-    inside = F.row_number().over(Window.partitionBy(*part, "_bucket").orderBy(*sorts))
-    ranked = placed.withColumn("_k", inside).join(sizes, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in [*part, "_bucket"]])
-    return ranked.select(*columns, (F.col("_before") + F.col("_k")).cast("long").alias(position), "_all")
+    groups = [F.col(p).asc_nulls_last() for p in part]
+    line = regions.repartitionByRange(*groups, *sorts).sortWithinPartitions(*groups, *sorts)
+    line = stored(line.withColumn("_at", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_at", 33))
+    stretches = line.groupBy(*part, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    whole = Window.partitionBy(*part)
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keys = [*part, "_range"]
+    sizes = stretches.select(*(F.col(c).alias(f"_of_{c}") for c in keys), (before - F.col("_first") + 1).alias("_shift"), F.sum("_n").over(whole).alias("_all"))
+    met = line.join(sizes, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys])
+    return met.select(*regions.columns, (F.col("_at") + F.col("_shift")).cast("long").alias(position), "_all")
 
 
 def order(regions: DataFrame, keys: list[tuple[str, bool]], top: int | None = None, percent: float | None = None, within_leading: bool = False, position: str = "order") -> DataFrame:
     """Numbers each sample's regions by the keys, (column, ascending) each, nulls last and ties by coordinates.
 
     top keeps the first of each sample, percent that share; within_leading restarts for each value of all keys but the last.
+    Without top, sorting runs at once and its result is stored in the shared folder (see _numbered).
     """
     lead = [k for k, _ in keys[:-1]] if within_leading else []
     sorts = [F.col(k).asc_nulls_last() if up else F.col(k).desc_nulls_last() for k, up in keys[len(lead) :]]
@@ -166,7 +146,7 @@ def order(regions: DataFrame, keys: list[tuple[str, bool]], top: int | None = No
     if top is not None and percent is None:  # Spark keeps the first of each task before it shuffles
         rank = F.row_number().over(Window.partitionBy(*part).orderBy(*sorts, *ties))
         return regions.withColumn(position, rank).where(F.col(position) <= top).withColumn(position, F.col(position).cast("long"))
-    out = _numbered(regions, part, keys[len(lead)], [*sorts, *ties], position)
+    out = _numbered(regions, part, [*sorts, *ties], position)
     if top is not None:
         out = out.where(F.col(position) <= top)
     if percent is not None:

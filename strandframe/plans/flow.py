@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..dataset import Dataset
+from ..functions import shared
 from ..sources import files
 
 #: How often the operators of the library read an input.
@@ -52,9 +53,7 @@ def stored(result: Dataset | DataFrame) -> Dataset | DataFrame:
     """The result as a table in the shared folder."""
     if isinstance(result, Dataset):
         return Dataset(stored(result.regions), stored(result.meta))
-    path = files.scratch(result.sparkSession)
-    result.write.parquet(path)
-    return result.sparkSession.read.schema(result.schema).parquet(path)
+    return shared.stored(result)
 
 
 def run(wanted: list[Step]) -> list:

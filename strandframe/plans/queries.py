@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dataset import Dataset
+from ..functions import intervals as I
 from ..functions.aggregates import Merging
 from ..operators import cover as C
 from ..operators import genometric as G
@@ -104,6 +105,17 @@ def map_aggs(spark, d):
     return _mapped(spark, d, {"total": (lambda c: F.round(F.sum(c), 2), "score"), "best": ("MAX", "x"), "least": ("MIN", "score"), "mean": (lambda c: F.round(F.avg(c), 6), "x"), "n": ("COUNT_NON_NULL", "x")})
 
 
+@query(f"""SELECT r.sample_id AS ref_id, p.b AS exp_id, r.chrom, r.start, r.far AS stop, r.strand, r.score, r.x, count(e.start) AS count, max(e.score) AS best
+FROM (SELECT *, stop + CASE WHEN start % 97 = 0 THEN 40000 ELSE 0 END AS far FROM ref) r JOIN (SELECT DISTINCT r.sample_id AS a, e.sample_id AS b FROM ref r, ex e) p ON p.a = r.sample_id
+LEFT JOIN (SELECT *, stop + CASE WHEN start % 89 = 0 THEN 2000000 ELSE 0 END AS far FROM ex) e ON e.sample_id = p.b AND e.chrom = r.chrom AND r.start < e.far AND e.start < r.far AND {STRAND}
+GROUP BY r.rid, r.sample_id, p.b, r.chrom, r.start, r.far, r.strand, r.score, r.x""")
+def map_nested(spark, d):
+    """Short regions and very long ones in one table: bins by length."""
+    a, b = ref(spark, d), exp(spark, d)
+    longer = lambda ds, n, by: ds.regions.withColumn("stop", F.col("stop") + F.when(F.col("start") % n == 0, by).otherwise(0))
+    return G.map_regions(longer(a, 97, 40_000), longer(b, 89, 2_000_000), a.pairs(b), {"best": ("MAX", "score")}, bin_size=I.NESTED, every=True)
+
+
 @query(_map_sql("", "(SELECT DISTINCT r.sample_id AS a, e.sample_id AS b FROM meta r JOIN meta e ON r.attribute = 'third' AND e.attribute = 'third' AND r.value = e.value WHERE r.sample_id < 2 AND e.sample_id >= 2)"))
 def map_joinby(spark, d):
     return _mapped(spark, d, attributes=["third"])
@@ -548,6 +560,14 @@ def files_select(spark, d):
     return _stored(spark, d, "tab", where=M.attribute("third") == 1).regions
 
 
+@query(f"SELECT {REGION} FROM regions WHERE sample_id % 3 = 1 AND chrom = 'chr2' AND start < 50000")
+def files_where(spark, d):
+    """Of a stored dataset, the folders of some samples and the row groups of some places are read."""
+    folder = files.scratch(spark)
+    files.write(dataset(spark, d), folder)
+    return files.read_written(spark, folder, where=M.attribute("third") == 1, region=lambda r: (r.chrom == "chr2") & (r.left < 50_000)).regions.select(*REGION.split(", "))
+
+
 @query("SELECT sample_id, count(*) AS lines FROM regions GROUP BY 1")
 def files_matrix(spark, d):
     folder = files.scratch(spark)

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 import warnings
 from collections.abc import Callable
 from urllib.parse import unquote
@@ -14,23 +12,15 @@ from pyspark.sql import functions as F
 
 from ..dataset import Dataset
 from ..functions import ids
+from ..functions.shared import scratch as scratch
 from ..operators import metadata
+from ..operators.regions import Scope
 from .schema import ALIASES, PRESETS, RegionSchema, from_xml, read_schema, to_xml
 
 #: What reads lines (sample_id, value) into regions: a preset's name, a schema, or a function of one's own.
 Parser = str | RegionSchema | Callable[[DataFrame], DataFrame]
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, which driver and executors share; where that is unset, a local one, in local mode only."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _typed(text: Column, kind: str) -> Column:
     if kind == "double":
         return F.when(F.lower(F.trim(text)).isin("null", "."), None).otherwise(text.try_cast("double"))
@@ -162,13 +152,15 @@ def _one_file_a_sample(lines: DataFrame, folder: str) -> None:
 def write(ds: Dataset, folder: str, kind: str = "parquet") -> None:
     """Writes the dataset; read_written reads it again.
 
-    parquet: regions partitioned by sample, so a selection of samples prunes files; for data of any size. tab, gtf: the
+    parquet: regions partitioned by sample and sorted by place, so that a selection of samples prunes folders, and one of places
+    files and row groups by their statistics; ranges of places, not samples, are tasks, so a large sample is several files. tab, gtf: the
     exchange format, folder/files with S_00000.gdm (or .gtf) and its .meta for each sample, in the order of their ids, and
     schema.xml. Spark writes the files, and the driver then only names them: one rename a sample.
     """
     spark = ds.regions.sparkSession
     if kind == "parquet":
-        ds.regions.repartition("sample_id", F.pmod(F.xxhash64("chrom", "start"), F.lit(32))).write.partitionBy("sample_id").parquet(f"{folder}/regions")
+        line = ["sample_id", "chrom", "start"]
+        ds.regions.repartitionByRange(*line).sortWithinPartitions(*line).write.partitionBy("sample_id").parquet(f"{folder}/regions")
         ds.meta.write.parquet(f"{folder}/meta")
         return
     lines, ending = {"tab": (tab_lines, "gdm"), "gtf": (gtf_lines, "gtf")}[kind]
@@ -196,11 +188,17 @@ def write(ds: Dataset, folder: str, kind: str = "parquet") -> None:
     out.close()
 
 
-def read_written(spark: SparkSession, folder: str, kind: str = "parquet") -> Dataset:
-    """What write made. From text, samples have the ids of their file names."""
+def read_written(spark: SparkSession, folder: str, kind: str = "parquet", where: metadata.Predicate | None = None, region: Callable[[Scope], Column] | None = None) -> Dataset:
+    """What write made. From text, samples have the ids of their file names.
+
+    where selects samples, region their regions. Of Parquet, Spark then opens the folders of these samples alone (their ids prune the
+    scan while the query runs; no path passes through the driver), and skips row groups outside the predicate's places.
+    """
     if kind == "parquet":
-        return Dataset(spark.read.parquet(f"{folder}/regions"), spark.read.parquet(f"{folder}/meta"))
-    return read(spark, f"{folder}/files")
+        ds = Dataset(spark.read.parquet(f"{folder}/regions"), spark.read.parquet(f"{folder}/meta"))
+        return ds.select(meta=where, region=region) if where is not None or region is not None else ds
+    ds = read(spark, f"{folder}/files", where=where)
+    return ds.select(region=region) if region is not None else ds
 
 
 def write_matrix(matrix: DataFrame, folder: str, column: str = "cells") -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandframe import Dataset
+from strandframe.functions import intervals as I
 from strandframe.operators import cover as C
 from strandframe.operators import genometric as G
 from strandframe.operators import matrix as X
@@ -33,7 +34,7 @@ def frame(spark, rows, schema=SCHEMA):
 
 
 @pytest.mark.parametrize("name", SCENARIOS)
-@pytest.mark.parametrize("size", [3, 1000])
+@pytest.mark.parametrize("size", [3, 1000, I.NESTED])
 def test_scenarios(spark, name, size):
     left, right, joined, mapped = SCENARIOS[name]
     r, e = frame(spark, left), frame(spark, right)
@@ -241,10 +242,33 @@ def test_formats(spark, tmp_path):
         files.read(spark, folder, "nosuch")
 
 
-@pytest.mark.parametrize("buckets", [2, 256])
-def test_order(spark, monkeypatch, buckets):
-    """Nulls and NaN, infinities, strings, ties; in two levels as in one."""
-    monkeypatch.setattr(R, "BUCKETS", buckets)
+def test_order_spreads(spark):
+    """Numbers over many powers, and strings with a common prefix, fall into even ranges; nothing is sorted by sample."""
+    rows = spark.range(40_000).select(F.lit(0).cast("long").alias("sample_id"), F.lit("c").alias("chrom"), F.col("id").alias("start"), (F.col("id") + 1).alias("stop"), F.lit("*").alias("strand"), F.exp(F.rand(3) * 200).alias("v"), F.concat(F.lit("common"), F.hex(F.hash("id"))).alias("s"))
+    for key in ("v", "s"):
+        out = R.order(rows, [(key, True)])
+        assert out.agg(F.min("order"), F.max("order"), F.count_distinct("order")).first()[:] == (1, 40_000, 40_000)
+        spread = [r["count"] for r in rows.repartitionByRange(4, key).groupBy(F.spark_partition_id()).count().collect()]
+        assert max(spread) < 2 * sorted(spread)[len(spread) // 2]
+        last = Window.orderBy("order")
+        assert out.withColumn("p", F.lag(key).over(last)).where(F.col("p") > F.col(key)).count() == 0
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "row_number" not in plan
+
+
+@pytest.mark.parametrize("ranges", [2, 7])
+def test_order(spark, ranges):
+    """Nulls and NaN, infinities, strings, ties; in several ranges as in one."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        _check_order(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def _check_order(spark):
     rng = random.Random(9)
     odd = [None, float("nan"), float("inf"), float("-inf"), -0.0, 1e300]
     rows = [(rng.randrange(2), "c", i, i + 1, "*", rng.choice([*odd, rng.uniform(-5, 5)]), rng.choice([None, "", "a", "ab", "\u00e9", "\U0001f600z"])) for i in range(200)]
@@ -259,6 +283,49 @@ def test_order(spark, monkeypatch, buckets):
     assert R.order(df.limit(0), [("v", True)]).count() == 0
 
 
+def test_nested_bins(spark):
+    """Lengths of 1 to 10^9 in one table: as with one bin, and few copies of a row."""
+    rng = random.Random(12)
+    def rows(sample, n):
+        out = []
+        for _ in range(n):
+            a = rng.randint(0, 2_000_000_000)
+            out.append((sample, rng.choice("cd"), a, a + rng.randint(0, 10 ** rng.choice([0, 2, 4, 6, 8, 9])), rng.choice("+-*"), float(rng.randint(0, 9))))
+        return out
+    schema = "sample_id long, chrom string, start long, stop long, strand string, v double"
+    a, b = spark.createDataFrame(rows(1, 150), schema), spark.createDataFrame(rows(2, 150) + rows(3, 50), schema)
+    for conditions in ([G.DistLess(0)], [G.DistLess(5_000_000)], [G.DistGreater(10), G.DistLess(100_000_000), G.Upstream()]):
+        want, got = (Counter(map(tuple, G.join(a, b, conditions, bin_size=size).collect())) for size in (0, I.NESTED))
+        assert want == got and want
+    pairs = M.sample_pairs(a, b)
+    want, got = (Counter(map(tuple, G.map_regions(a, b, pairs, {"m": ("MAX", "v")}, bin_size=size, every=True).collect())) for size in (0, I.NESTED))
+    assert want == got
+    levels = F.array(*(F.lit(n) for n in range(len(I.SIZES))))
+    copies = F.size(I.nested_bins(F.col("start"), F.col("stop"), I.level(F.col("start"), F.col("stop")), levels))
+    assert a.unionByName(b).agg(F.max(copies)).first()[0] <= 2 * len(I.SIZES)
+    assert G.join(a.limit(0), b, [G.DistLess(0)], bin_size=I.NESTED).count() == G.join(a, b.limit(0), [G.DistLess(0)], bin_size=I.NESTED).count() == 0
+
+
+def test_pruned_store(spark, tmp_path):
+    """Samples prune folders, places go down to the scan, a large sample is several files, and rows are those of a plain filter."""
+    schema = "sample_id long, chrom string, start long, stop long, strand string, v double"
+    regions = spark.createDataFrame(odd_regions(8, 400, [1, 2, 3]), schema)
+    meta = spark.createDataFrame([(s, "cell", "K562" if s != 2 else "HeLa") for s in (1, 2, 3)], "sample_id long, attribute string, value string")
+    folder, place = f"file://{tmp_path}/store", lambda r: (r.chrom == "c1") & (r.left >= 50) & (r.left < 200)
+    files.write(Dataset(regions, meta), folder)
+    got = files.read_written(spark, folder, where=M.attribute("cell") == "K562", region=place)
+    want = regions.where("sample_id <> 2 AND chrom = 'c1' AND start >= 50 AND start < 200")
+    key = lambda rows, names: Counter(tuple(r[n] for n in names) for r in rows)
+    assert key(got.regions.collect(), regions.columns) == key(want.collect(), regions.columns)
+    assert {r.sample_id for r in got.meta.collect()} == {1, 3}
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    try:
+        plan = got.regions.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "dynamicpruning" in plan and "GreaterThanOrEqual(start,50)" in plan and "EqualTo(chrom,c1)" in plan
+
+
 # --- sweeps, shared steps, functions of the user's own --------------------------------------------------------------------
 
 
