@@ -658,6 +658,18 @@ def matrix_join(spark, d):
     return _matrix_rows(joined)
 
 
+@query(f"""SELECT r.sample_id AS ref_id, e.sample_id AS exp_id, t.sample_id AS third_id, r.chrom, r.start, r.stop, r.strand, r.score, e.score AS right_score, t.score AS third_score
+FROM ref r JOIN ex e ON e.sample_id < 4 AND r.chrom = e.chrom AND {STRAND} AND {OVERLAP}
+JOIN ex t ON t.sample_id >= 4 AND r.chrom = t.chrom AND {STRAND.replace("e.", "t.")} AND {OVERLAP.replace("e.", "t.")}""")
+def matrix_join_three(spark, d):
+    """Three operands; their cross product is only made where rows are."""
+    two = X.matrix_join(ref(spark, d).to_matrix(), dataset(spark, d, 2, 3).to_matrix(), bin_size=BIN)
+    three = X.matrix_join(two, dataset(spark, d, 4, 5).to_matrix(), column="third_cells", bin_size=BIN)
+    rows = X.crossed(three, ["cells", "right_cells", "third_cells"])
+    cells = {"ref_id": "cells_sample_id", "exp_id": "right_cells_sample_id", "third_id": "third_cells_sample_id", "score": "cells_value.vals.score", "right_score": "right_cells_value.vals.score", "third_score": "third_cells_value.vals.score"}
+    return rows.select(*COORDS, *(F.col(c).alias(n) for n, c in cells.items()))
+
+
 def _matrix_rows(joined: DataFrame) -> DataFrame:
     rows = X.crossed(joined, ["cells", "right_cells"])
     return rows.select(F.col("cells_sample_id").alias("ref_id"), F.col("right_cells_sample_id").alias("exp_id"), *COORDS, "cells_value.vals.score", "cells_value.vals.x", F.col("right_cells_value.vals.score").alias("right_score"), F.col("right_cells_value.vals.x").alias("right_x"))

@@ -326,6 +326,42 @@ def test_pruned_store(spark, tmp_path):
     assert "dynamicpruning" in plan and "GreaterThanOrEqual(start,50)" in plan and "EqualTo(chrom,c1)" in plan
 
 
+def test_mixed_values_order(spark):
+    """Numbers by value, texts after them, samples without the key first ascending and last descending."""
+    meta = spark.createDataFrame([(1, "age", "12"), (2, "age", "abc"), (3, "age", "5"), (4, "sex", "f"), (5, "age", "1e1")], "sample_id long, attribute string, value string")
+    for ascending, want in ((True, [4, 3, 5, 1, 2]), (False, [2, 1, 5, 3, 4])):
+        got = M.order(meta, [("age", ascending)]).where("attribute = '_order'").select("sample_id", F.col("value").cast("int").alias("n")).collect()
+        assert [r.sample_id for r in sorted(got, key=lambda r: r.n)] == want
+
+
+def test_rows_of_many_operands(spark):
+    """A chain of three matrices as rows: one id for each three samples, paired from the left on."""
+    from strandframe.functions import ids
+
+    schema = "sample_id long, chrom string, start long, stop long, strand string, v double"
+    a, b, c = (spark.createDataFrame([(s, "c", 0, 10, "*", float(s)) for s in samples], schema) for samples in ([1, 2], [3], [4, 5]))
+    joined = X.matrix_join(X.matrix_join(X.to_matrix(a), X.to_matrix(b)), X.to_matrix(c), column="third")
+    got = X.to_rows_multi(joined, ["cells", "right_cells", "third"]).collect()
+    trios = spark.createDataFrame([(x, 3, z) for x in (1, 2) for z in (4, 5)], "a long, b long, c long")
+    named = trios.select("a", "c", ids.pair_id(ids.pair_id(F.col("a"), F.col("b")), F.col("c")).alias("id")).collect()
+    assert {(r.sample_id, r.cells_value.vals.v, r.third_value.vals.v) for r in got} == {(r.id, float(r.a), float(r.c)) for r in named}
+    assert len(got) == 4
+
+
+def test_folders_and_regions_without_metadata(spark, tmp_path):
+    """Files in folders below are read if asked for; regions without a .meta are too, if asked for."""
+    (tmp_path / "in/deep").mkdir(parents=True)
+    for name in ("A", "deep/B", "C"):
+        (tmp_path / f"in/{name}.bed").write_text(f"chr1\t1\t20\t{name[-1]}\n")
+        if name != "C":
+            (tmp_path / f"in/{name}.bed.meta").write_text("cell\tK562\n")
+    assert files.read(spark, f"file://{tmp_path}/in", "basic").regions.count() == 1
+    assert files.read(spark, f"file://{tmp_path}/in", "basic", with_meta_only=False).regions.count() == 2
+    both = files.read(spark, f"file://{tmp_path}/in", "basic", recursive=True)
+    assert both.regions.count() == 2 and both.meta.count() == 2
+    assert files.read(spark, f"file://{tmp_path}/in", "basic", recursive=True, with_meta_only=False).regions.count() == 3
+
+
 # --- sweeps, shared steps, functions of the user's own --------------------------------------------------------------------
 
 
