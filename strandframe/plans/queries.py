@@ -568,6 +568,17 @@ def files_where(spark, d):
     return files.read_written(spark, folder, where=M.attribute("third") == 1, region=lambda r: (r.chrom == "chr2") & (r.left < 50_000)).regions.select(*REGION.split(", "))
 
 
+@query(f"SELECT {REGION} FROM regions")
+def files_matrix_values(spark, d):
+    """Every cell of the written matrix, read back from its line."""
+    folder = files.scratch(spark)
+    files.write_matrix(dataset(spark, d).to_matrix(), folder)
+    cell = F.split("value", "\t")
+    values = F.split(cell[5], ", ")
+    kinds = {"sample_id": (cell[0], "long"), "chrom": (cell[1], "string"), "start": (cell[2], "long"), "stop": (cell[3], "long"), "strand": (cell[4], "string"), "score": (values[0], "double"), "x": (values[1], "double")}
+    return spark.read.text(folder).select(*(c.cast(t).alias(n) for n, (c, t) in kinds.items()))
+
+
 @query("SELECT sample_id, count(*) AS lines FROM regions GROUP BY 1")
 def files_matrix(spark, d):
     folder = files.scratch(spark)
