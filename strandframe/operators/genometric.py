@@ -82,23 +82,46 @@ def _and(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, columns, F.lit(True))
 
 
-def interval_pairs(ref: DataFrame, exp: DataFrame, reach: int, condition: Column, pairs: DataFrame | None = None, how: str = "inner", bin_size: int | str = BIN, equal: list[tuple[str, str]] = (), paired: bool = False) -> DataFrame:
+def windows(reach: int, apart: int = 0, side: type | None = None) -> Column:
+    """Where partners of a region lie, as an array of (w_start, w_stop, w_side): all within reach of it (side 0), or the stretches before (-1) and after it (1).
+
+    With apart (a least gap of 1 or more) the region and what is closer to it is left out between these; with side, Upstream or Downstream, only
+    the stretch on that side of the region's strand is there.
+    """
+    start, stop = F.col("start"), F.col("stop")
+    window = lambda a, b, n: F.struct(a.alias("w_start"), b.alias("w_stop"), F.lit(n).alias("w_side"))
+    before, after = window(start - reach, start - apart + 1, -1), window(stop + apart, stop + reach, 1)
+    if side is not None:
+        left, right = (after, before) if side is Upstream else (before, after)
+        return F.when(F.col("strand") == "-", F.array(left)).otherwise(F.array(right))
+    return F.array(before, after) if apart > 0 else F.array(window(start - reach, stop + reach, 0))
+
+
+def _apart_and_side(conditions: list[Condition]) -> tuple[int, type | None]:
+    """The least gap that the conditions ask for, and the one side that they allow."""
+    sides = {type(c) for c in conditions if isinstance(c, Upstream | Downstream)}
+    return max([0, *(c.n + 1 for c in conditions if isinstance(c, DistGreater))]), sides.pop() if len(sides) == 1 else None
+
+
+def interval_pairs(ref: DataFrame, exp: DataFrame, reach: int, condition: Column, pairs: DataFrame | None = None, how: str = "inner", bin_size: int | str = BIN, equal: list[tuple[str, str]] = (), paired: bool = False, apart: int = 0, side: type | None = None) -> DataFrame:
     """Rows of ref beside rows of exp (columns e_*) on the same chromosome that come within reach and satisfy condition.
 
     pairs (ref_id, exp_id) restricts and multiplies the samples; with paired, each row of ref names its partner already, in
     pair_exp. equal lists further equal columns (left, right). bin_size: a number, 0 for one bin, or NESTED, where a row is copied
-    at most twice for each level of bins that the other side's lengths need, however long it is.
+    at most twice for each level of bins that the other side's lengths need, however long it is. apart and side: what condition
+    rules out already (see windows), so that ref rows aren't copied to bins where no partner can be.
     """
     left = ref
     if pairs is not None:
         left = left.join(per_pair(pairs.select(F.col("ref_id").alias("sample_id"), F.col("exp_id").alias("pair_exp"))), "sample_id")
-    wide_start, wide_stop = F.col("start") - reach, F.col("stop") + reach
+    left = left.select("*", F.inline(windows(reach, apart, side)))
+    wide_start, wide_stop = F.col("w_start"), F.col("w_stop")
     right = _right(exp)
     on = [F.col("chrom") == F.col("e_chrom"), F.col("bin") == F.col("e_bin")]
     if bin_size == I.NESTED:  # a pair meets on the longer one's level, in its one or two bins
         e_start, e_stop = F.col("e_start"), F.col("e_stop")
         known = right.agg(F.collect_set(I.level(e_start, e_stop)).alias("_levels"))  # one row each
-        e_known = ref.agg(F.collect_set(I.level(wide_start, wide_stop)).alias("_levels"))
+        e_known = ref.select(F.inline(windows(reach, apart, side))).agg(F.collect_set(I.level(wide_start, wide_stop)).alias("_levels"))
         left = left.withColumn("_own", I.level(wide_start, wide_stop)).crossJoin(F.broadcast(known))
         left = left.select("*", F.inline(I.nested_bins(wide_start, wide_stop, F.col("_own"), F.col("_levels")))).drop("_levels")
         right = right.withColumn("e_own", I.level(e_start, e_stop)).crossJoin(F.broadcast(e_known))
@@ -113,7 +136,9 @@ def interval_pairs(ref: DataFrame, exp: DataFrame, reach: int, condition: Column
         on.append(F.col("pair_exp") == F.col("exp_id"))
     on += [F.col(a) == F.col(f"e_{b}") for a, b in equal]
     rest = [F.col("bin") == I.first_shared_bin(wide_start, F.col("e_start"), size), I.strands_agree(F.col("strand"), F.col("e_strand")), condition]
-    return left.join(right, _and(on + rest), how).drop("bin", "e_bin", "level", "e_level", "_own", "e_own")
+    if apart or side is not None:  # in its own window, so a pair is made once
+        rest.append(F.when(F.col("w_side") < 0, F.col("e_stop") <= F.col("start") - apart).otherwise(F.col("e_start") >= F.col("stop") + apart))
+    return left.join(right, _and(on + rest), how).drop("bin", "e_bin", "level", "e_level", "_own", "e_own", "w_start", "w_stop", "w_side")
 
 
 def _outcome(found: DataFrame, ref: DataFrame, exp: DataFrame, builder: str) -> DataFrame:
@@ -168,6 +193,11 @@ def _join_once(ref, exp, atoms, builder, pairs, on, bin_size, horizon) -> DataFr
         if pairs is not None:
             found = found.join(pairs.select(F.col("ref_id").alias("_r"), F.col("exp_id").alias("_e")), (F.col("sample_id") == F.col("_r")) & (F.col("exp_id") == F.col("_e")), "left_semi")
         return _outcome(found, ref, exp, builder)
+    return _outcome(matches(ref, exp, atoms, pairs, on, bin_size, horizon), ref, exp, builder)
+
+
+def matches(ref: DataFrame, exp: DataFrame, atoms: list[Condition], pairs: DataFrame | None = None, on: list[str] = (), bin_size: int | str = BIN, horizon: int = HORIZON) -> DataFrame:
+    """Rows of ref beside the rows of exp (columns e_*) that satisfy the conditions in their order."""
     cut = next((i for i, a in enumerate(atoms) if isinstance(a, MinDistance)), len(atoms))
     before, after = atoms[:cut], atoms[cut + 1 :]
     limits = [a.n for a in before if isinstance(a, DistLess)]
@@ -181,10 +211,9 @@ def _join_once(ref, exp, atoms, builder, pairs, on, bin_size, horizon) -> DataFr
         bounds.append(I.distance(F.col("start"), F.col("stop"), F.col("e_start"), F.col("e_stop")) <= reach)
     # bins meet only if the widened left interval reaches into the right one, so a distance of exactly reach needs one more
     if cut < len(atoms):
-        found = _nearest(ref, exp, atoms[cut].k, reach, _and(bounds), pairs, on, bin_size, [a.n for a in before if isinstance(a, DistGreater)]).where(_and([_atom(a) for a in after]))
-    else:
-        found = interval_pairs(ref, exp, reach + 1, _and(bounds), pairs, bin_size=bin_size, equal=[(c, c) for c in on])
-    return _outcome(found, ref, exp, builder)
+        return _nearest(ref, exp, atoms[cut].k, reach, _and(bounds), pairs, on, bin_size, [a.n for a in before if isinstance(a, DistGreater)]).where(_and([_atom(a) for a in after]))
+    apart, side = _apart_and_side(before)
+    return interval_pairs(ref, exp, reach + 1, _and(bounds), pairs, bin_size=bin_size, equal=[(c, c) for c in on], apart=apart, side=side)
 
 
 def _nearest(ref: DataFrame, exp: DataFrame, k: int, reach: int, condition: Column, pairs: DataFrame | None, on: list[str], bin_size: int, greater: list[int]) -> DataFrame:

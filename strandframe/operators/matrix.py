@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import intervals as I
-from .genometric import BIN, Condition, _atom, _and, DistLess, interval_pairs
+from .genometric import BIN, HORIZON, Condition, DistLess, interval_pairs, matches
 
 
 def to_matrix(regions: DataFrame, column: str = "cells") -> DataFrame:
@@ -27,30 +27,47 @@ def to_rows(matrix: DataFrame, column: str = "cells") -> DataFrame:
     return cells.select("sample_id", *I.COORDS, *(["vals.*"] if named else []))
 
 
-def matrix_map(ref: DataFrame, exp: DataFrame, column: str = "counts", bin_size: int = BIN) -> DataFrame:
-    """The ref matrix with a further operand: for each exp sample seen in the data, its number of overlapping regions.
+def matrix_map(ref: DataFrame, exp: DataFrame, column: str = "counts", bin_size: int | str = BIN, zeros: bool = True) -> DataFrame:
+    """The ref matrix with a further operand: (sample_id, count) of the exp samples, by id, that have regions over the coordinate.
 
-    Zeros are filled in from the exp samples' ids, an array of one entry each.
+    With zeros every sample of the data has a cell; without, the samples that hit the coordinate alone, so that a row grows with its
+    hits and not with the number of samples. with_zeros makes the one from the other.
     """
     tagged = ref.select(*I.COORDS)
     flat = exp.select(*I.COORDS, F.explode(F.col("cells.sample_id")).alias("sample_id")).groupBy("sample_id", *I.COORDS).agg(F.count("*").alias("n"))
     overlap = I.overlaps(F.col("start"), F.col("stop"), F.col("e_start"), F.col("e_stop"))
     hits = interval_pairs(tagged, flat, 0, overlap, bin_size=bin_size).groupBy(*I.COORDS, "exp_id").agg(F.sum("e_n").alias("n"))
-    counted = hits.groupBy(*I.COORDS).agg(F.map_from_entries(F.collect_list(F.struct("exp_id", "n"))).alias("_hits"))
-    ids = flat.agg(F.array_sort(F.collect_set("sample_id")).alias("_ids"))
-    whole = ref.join(counted, I.COORDS, "left").crossJoin(F.broadcast(ids))
-    cells = F.transform("_ids", lambda i: F.struct(i.alias("sample_id"), F.coalesce(F.try_element_at(F.col("_hits"), i), F.lit(0)).alias("count")))
-    return whole.select(*ref.columns, cells.alias(column))
-
-
-def matrix_join(left: DataFrame, right: DataFrame, conditions: list[Condition] = (DistLess(0),), builder: str = "LEFT", column: str = "right_cells", bin_size: int = BIN) -> DataFrame:
-    """Matched coordinates, by the builder LEFT, RIGHT or CONTIG, with each match's operands side by side: cells and right_cells."""
-    limits = [c.n for c in conditions if isinstance(c, DistLess)]
-    if not limits:
-        raise ValueError("a matrix join needs an upper bound on the distance")
+    cell = F.struct(F.col("exp_id").alias("sample_id"), F.col("n").alias("count"))
+    counted = hits.groupBy(*I.COORDS).agg(F.array_sort(F.collect_list(cell)).alias("_hits"))
+    sparse = ref.join(counted, I.COORDS, "left").select(*ref.columns, F.coalesce("_hits", F.array()).alias(column))
+    return with_zeros(sparse, exp.select(F.explode("cells.sample_id").alias("sample_id")), column) if zeros else sparse
+
+
+def with_zeros(matrix: DataFrame, samples: DataFrame, column: str = "counts") -> DataFrame:
+    """A count of 0 for each of the samples (a column sample_id) that a coordinate's cells lack; the samples are one array."""
+    ids = samples.agg(F.array_sort(F.collect_set("sample_id")).alias("_ids"))
+    lacking = F.transform(F.array_except("_ids", F.col(column)["sample_id"]), lambda i: F.struct(i.alias("sample_id"), F.lit(0).cast("long").alias("count")))
+    filled = F.array_sort(F.concat(F.col(column), lacking)).alias(column)
+    return matrix.crossJoin(F.broadcast(ids)).select(*(filled if c == column else F.col(c) for c in matrix.columns))
+
+
+def sample_totals(matrix: DataFrame, column: str = "counts") -> DataFrame:
+    """(sample_id, coordinates, hits): the coordinates where each sample has a count above 0, and its counts' sum. Cells of 0 may be left out or not."""
+    cells = matrix.select(F.inline(column)).where("count > 0")
+    return cells.groupBy("sample_id").agg(F.count(F.lit(1)).alias("coordinates"), F.sum("count").alias("hits"))
+
+
+def matrix_join(left: DataFrame, right: DataFrame, conditions: list[Condition] = (DistLess(0),), builder: str = "LEFT", column: str = "right_cells", bin_size: int | str = BIN, horizon: int = HORIZON) -> DataFrame:
+    """Matched coordinates, by the builder LEFT, RIGHT or CONTIG, with each match's operands side by side: cells and right_cells.
+
+    Conditions are those of the join of rows, between coordinates: MinDistance(k) takes the right matrix's k least distances, whichever
+    samples have them, and without an upper bound coordinates up to horizon are looked for.
+    """
+    if not conditions:
+        raise ValueError("a matrix join needs conditions")
     a = left.withColumn("sample_id", F.lit(0).cast("long"))
     b = right.select(*I.COORDS, F.col("cells").alias("cells"), F.lit(0).cast("long").alias("sample_id"))
-    found = interval_pairs(a, b, max(0, min(limits)) + 1, _and([_atom(c) for c in conditions]), bin_size=bin_size)
+    found = matches(a, b, list(conditions), bin_size=bin_size, horizon=horizon)
     match builder.upper():
         case "LEFT":
             coords = [F.col(c) for c in I.COORDS]

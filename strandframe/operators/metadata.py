@@ -23,14 +23,16 @@ def as_number(value: Column) -> Column:
 
 @dataclass(frozen=True)
 class Predicate:
-    """A condition on a whole sample. leaves: conditions on a metadata row; holds: the tree over their flags."""
+    """A condition on a whole sample. leaves: conditions on a metadata row; entries: the same on a row of a metadata index; names: the attributes that they ask for; holds: the tree over their flags."""
 
     leaves: tuple[Column, ...]
+    entries: tuple[Column, ...]
+    names: tuple[str, ...]
     holds: Callable[[list[Column]], Column]
 
     def _with(self, other: Predicate, join: Callable[[Column, Column], Column]) -> Predicate:
         n = len(self.leaves)
-        return Predicate(self.leaves + other.leaves, lambda f: join(self.holds(f[:n]), other.holds(f[n:])))
+        return Predicate(self.leaves + other.leaves, self.entries + other.entries, self.names + other.names, lambda f: join(self.holds(f[:n]), other.holds(f[n:])))
 
     def __and__(self, other: Predicate) -> Predicate:
         return self._with(other, lambda a, b: a & b)
@@ -39,11 +41,14 @@ class Predicate:
         return self._with(other, lambda a, b: a | b)
 
     def __invert__(self) -> Predicate:
-        return Predicate(self.leaves, lambda f: ~self.holds(f))
+        return Predicate(self.leaves, self.entries, self.names, lambda f: ~self.holds(f))
 
 
-def _leaf(condition: Column) -> Predicate:
-    return Predicate((F.coalesce(condition, F.lit(False)),), lambda f: f[0])
+def _leaf(name: str, value: Column | None = None, entry: Column | None = None) -> Predicate:
+    """The name on a row whose value satisfies value, or on an entry of an index that satisfies entry; without these, on any."""
+    row, known = named(name), F.col("name") == name
+    row, known = (row if value is None else row & value), (known if entry is None else known & entry)
+    return Predicate((F.coalesce(row, F.lit(False)),), (known,), (name,), lambda f: f[0])
 
 
 class Attribute:
@@ -52,26 +57,30 @@ class Attribute:
     def __init__(self, name: str):
         self.name = name
 
-    def _equal(self, literal) -> Column:
+    def _equal(self, literal, number: Column, text: Column) -> Column:
         if str(literal) == "*":
             return F.lit(True)
         try:
-            return F.coalesce(as_number(F.col("value")) == float(literal), F.lit(False))
+            return number == float(literal)
         except ValueError:
-            return F.lower("value") == str(literal).lower()
+            return text == str(literal).lower()
+
+    def _compared(self, compare: Callable[[Column, Column], Column]) -> Predicate:
+        """compare takes the value as a number and in lower case."""
+        return _leaf(self.name, compare(as_number(F.col("value")), F.lower("value")), compare(F.col("number"), F.col("text")))
 
     def _ordered(self, compare: Callable[[Column, float], Column], literal) -> Predicate:
         try:
             number = float(literal)
         except ValueError:
             raise ValueError(f"order comparisons need a number, not {literal!r}") from None
-        return _leaf(named(self.name) & compare(as_number(F.col("value")), number))
+        return self._compared(lambda v, _: compare(v, number))
 
     def __eq__(self, literal):
-        return _leaf(named(self.name) & self._equal(literal))
+        return self._compared(lambda n, t: self._equal(literal, n, t))
 
     def __ne__(self, literal):
-        return _leaf(named(self.name) & ~F.coalesce(self._equal(literal), F.lit(False)))
+        return self._compared(lambda n, t: ~F.coalesce(self._equal(literal, n, t), F.lit(False)))
 
     __hash__ = None
 
@@ -88,7 +97,7 @@ class Attribute:
         return self._ordered(lambda v, n: v <= n, literal)
 
     def exists(self) -> Predicate:
-        return _leaf(named(self.name))
+        return _leaf(self.name)
 
     def missing(self) -> Predicate:
         return ~self.exists()

@@ -13,7 +13,7 @@ from ..operators import genometric as G
 from ..operators import matrix as X
 from ..operators import metadata as M
 from ..operators import regions as R
-from ..sources import files
+from ..sources import files, meta_index
 from . import flow
 
 BIN = 1000
@@ -186,6 +186,17 @@ def join_distgreater(spark, d):
     return _joined(spark, d, [G.DistGreater(30), G.DistLess(60)])
 
 
+@query(_join_sql(f"{DIST} > 30000 AND {DIST} < 30040"))
+def join_far(spark, d):
+    """Partners far away on either side: a region goes to the bins of two windows, not to those between them."""
+    return _joined(spark, d, [G.DistGreater(30_000), G.DistLess(30_040)])
+
+
+@query(_join_sql(f"{DIST} > 5000 AND {DIST} < 5050 AND ({UP})"))
+def join_far_upstream(spark, d):
+    return _joined(spark, d, [G.DistGreater(5000), G.DistLess(5050), G.Upstream()])
+
+
 @query(_join_sql(f"{DIST} < 50 AND ({UP})"))
 def join_upstream(spark, d):
     return _joined(spark, d, [G.DistLess(50), G.Upstream()])
@@ -307,6 +318,15 @@ def meta_select(spark, d):
     return dataset(spark, d).select(meta=(a("parity") == 1) & ~(a("third") == 2) | (a("acctbal") > 9980)).meta
 
 
+@query(_meta_sql("NOT bool_or(attribute = 'parity' AND coalesce(TRY_CAST(value AS DOUBLE) <> 1, true)) OR bool_or((attribute = 'region' OR attribute LIKE '%.region') AND lower(value) = 'europe') AND bool_or(attribute = 'acctbal' AND TRY_CAST(value AS DOUBLE) < -900)"))
+def meta_index_select(spark, d):
+    """A selection from an index of the metadata, by ranges of its entries."""
+    a, ds, folder = M.attribute, dataset(spark, d), files.scratch(spark)
+    meta_index.build(ds.meta, folder)
+    found = meta_index.samples_where(spark, folder, ~(a("parity") != 1) | (a("region") == "europe") & (a("acctbal") < -900))
+    return M.restricted(ds.meta, found)
+
+
 @query(_meta_sql("bool_or((attribute = 'region' OR attribute LIKE '%.region') AND lower(value) = 'asia') AND NOT bool_or(attribute = 'absent')"))
 def meta_suffix_text(spark, d):
     return dataset(spark, d).select(meta=(M.attribute("region") == "Asia") & M.attribute("absent").missing()).meta
@@ -560,6 +580,14 @@ def files_select(spark, d):
     return _stored(spark, d, "tab", where=M.attribute("third") == 1).regions
 
 
+@query(f"SELECT {REGION} FROM regions WHERE sample_id % 3 <> 1 AND chrom = 'chr2'")
+def files_index(spark, d):
+    """A stored dataset with an index of its metadata, by which samples are chosen."""
+    folder = files.scratch(spark)
+    files.write(dataset(spark, d), folder, index=True)
+    return files.read_written(spark, folder, where=~(M.attribute("third") == 1), region=lambda r: r.chrom == "chr2", index=True).regions.select(*REGION.split(", "))
+
+
 @query(f"SELECT {REGION} FROM regions WHERE sample_id % 3 = 1 AND chrom = 'chr2' AND start < 50000")
 def files_where(spark, d):
     """Of a stored dataset, the folders of some samples and the row groups of some places are read."""
@@ -681,6 +709,21 @@ def matrix_join_three(spark, d):
     return rows.select(*COORDS, *(F.col(c).alias(n) for n, c in cells.items()))
 
 
+@query(f"""SELECT e.sample_id, CAST(count(DISTINCT (r.chrom, r.start, r.stop, r.strand)) AS BIGINT) AS coordinates, CAST(count(*) AS BIGINT) AS hits
+FROM (SELECT DISTINCT chrom, start, stop, strand FROM ref) r JOIN ex e ON e.chrom = r.chrom AND {OVERLAP} AND {STRAND} GROUP BY 1""")
+def matrix_sparse(spark, d):
+    """Cells of the samples that hit a coordinate alone, summed by sample."""
+    return X.sample_totals(X.matrix_map(ref(spark, d).to_matrix(), exp(spark, d).to_matrix(), bin_size=BIN, zeros=False))
+
+
+@query(f"""SELECT r.sample_id AS ref_id, e.sample_id AS exp_id, r.chrom, r.start, r.stop, r.strand, {VALUES} FROM ref r JOIN (SELECT *, dense_rank() OVER (PARTITION BY chrom, start, stop, strand ORDER BY gap) AS k
+FROM (SELECT r.chrom, r.start, r.stop, r.strand, e.start AS e_start, e.stop AS e_stop, e.strand AS e_strand, {DIST} AS gap FROM (SELECT DISTINCT chrom, start, stop, strand FROM ref) r JOIN (SELECT DISTINCT chrom, start, stop, strand FROM ex) e ON r.chrom = e.chrom AND {STRAND} AND {DIST} < 300)) n
+ON n.k = 1 AND r.chrom = n.chrom AND r.start = n.start AND r.stop = n.stop AND r.strand = n.strand JOIN ex e ON e.chrom = n.chrom AND e.start = n.e_start AND e.stop = n.e_stop AND e.strand = n.e_strand""")
+def matrix_nearest(spark, d):
+    """The nearest coordinates of the right matrix."""
+    return _matrix_rows(X.matrix_join(ref(spark, d).to_matrix(), exp(spark, d).to_matrix(), [G.DistLess(300), G.MinDistance(1)], bin_size=BIN))
+
+
 def _matrix_rows(joined: DataFrame) -> DataFrame:
     rows = X.crossed(joined, ["cells", "right_cells"])
     return rows.select(F.col("cells_sample_id").alias("ref_id"), F.col("right_cells_sample_id").alias("exp_id"), *COORDS, "cells_value.vals.score", "cells_value.vals.x", F.col("right_cells_value.vals.score").alias("right_score"), F.col("right_cells_value.vals.x").alias("right_x"))

@@ -15,6 +15,7 @@ from ..functions import ids
 from ..functions.shared import scratch as scratch
 from ..operators import metadata
 from ..operators.regions import Scope
+from . import meta_index
 from .schema import ALIASES, PRESETS, RegionSchema, from_xml, read_schema, to_xml
 
 #: What reads lines (sample_id, value) into regions: a preset's name, a schema, or a function of one's own.
@@ -149,19 +150,23 @@ def _one_file_a_sample(lines: DataFrame, folder: str) -> None:
     lines.repartition("sample_id").write.partitionBy("sample_id").text(folder)
 
 
-def write(ds: Dataset, folder: str, kind: str = "parquet") -> None:
+def write(ds: Dataset, folder: str, kind: str = "parquet", index: bool = False) -> None:
     """Writes the dataset; read_written reads it again.
 
     parquet: regions partitioned by sample and sorted by place, so that a selection of samples prunes folders, and one of places
     files and row groups by their statistics; ranges of places, not samples, are tasks, so a large sample is several files. tab, gtf: the
     exchange format, folder/files with S_00000.gdm (or .gtf) and its .meta for each sample, in the order of their ids, and
-    schema.xml. Spark writes the files, and the driver then only names them: one rename a sample.
+    schema.xml. Spark writes the files, and the driver then only names them: one rename a sample. index: an index of the metadata too (Parquet only).
     """
+    if index and kind != "parquet":
+        raise ValueError("only the Parquet layout has an index")
     spark = ds.regions.sparkSession
     if kind == "parquet":
         line = ["sample_id", "chrom", "start"]
         ds.regions.repartitionByRange(*line).sortWithinPartitions(*line).write.partitionBy("sample_id").parquet(f"{folder}/regions")
         ds.meta.write.parquet(f"{folder}/meta")
+        if index:
+            meta_index.build(ds.meta, f"{folder}/meta_index")
         return
     lines, ending = {"tab": (tab_lines, "gdm"), "gtf": (gtf_lines, "gtf")}[kind]
     _one_file_a_sample(lines(ds), f"{folder}/_regions")
@@ -188,14 +193,18 @@ def write(ds: Dataset, folder: str, kind: str = "parquet") -> None:
     out.close()
 
 
-def read_written(spark: SparkSession, folder: str, kind: str = "parquet", where: metadata.Predicate | None = None, region: Callable[[Scope], Column] | None = None) -> Dataset:
+def read_written(spark: SparkSession, folder: str, kind: str = "parquet", where: metadata.Predicate | None = None, region: Callable[[Scope], Column] | None = None, index: bool = False) -> Dataset:
     """What write made. From text, samples have the ids of their file names.
 
     where selects samples, region their regions. Of Parquet, Spark then opens the folders of these samples alone (their ids prune the
-    scan while the query runs; no path passes through the driver), and skips row groups outside the predicate's places.
+    scan while the query runs; no path passes through the driver), and skips row groups outside the predicate's places. With index, where reads ranges of the index
+    that write made, instead of all metadata.
     """
     if kind == "parquet":
         ds = Dataset(spark.read.parquet(f"{folder}/regions"), spark.read.parquet(f"{folder}/meta"))
+        if index and where is not None:
+            found = meta_index.samples_where(spark, f"{folder}/meta_index", where)
+            ds, where = Dataset(metadata.restricted(ds.regions, found), metadata.restricted(ds.meta, found)), None
         return ds.select(meta=where, region=region) if where is not None or region is not None else ds
     ds = read(spark, f"{folder}/files", where=where)
     return ds.select(region=region) if region is not None else ds

@@ -379,6 +379,12 @@ def strands_fit(a, b):
     return a == "*" or b == "*" or a == b
 
 
+def holds(c, r, e):
+    gap = max(r[2] - e[3], e[2] - r[3])
+    up, down = (e[2] >= r[3], e[3] <= r[2]) if r[4] == "-" else (e[3] <= r[2], e[2] >= r[3])
+    return gap < c.n if isinstance(c, G.DistLess) else gap > c.n if isinstance(c, G.DistGreater) else up if isinstance(c, G.Upstream) else down
+
+
 def test_counts_without_pairs(spark):
     a, b = odd_regions(1, 120, [0, 1]), odd_regions(2, 150, [2, 3])
     b += [(2, "c1", 0, 60_000_000, "*", 1.0), (2, "c1", 77, 77, "+", 1.0)]
@@ -409,11 +415,6 @@ def test_nearest_by_sweep(spark, conditions):
     out = G.join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), conditions, "BOTH", horizon=1000)
     cut = next(i for i, c in enumerate(conditions) if isinstance(c, G.MinDistance))
 
-    def holds(c, r, e):
-        gap = max(r[2] - e[3], e[2] - r[3])
-        up, down = (e[2] >= r[3], e[3] <= r[2]) if r[4] == "-" else (e[3] <= r[2], e[2] >= r[3])
-        return gap < c.n if isinstance(c, G.DistLess) else gap > c.n if isinstance(c, G.DistGreater) else up if isinstance(c, G.Upstream) else down
-
     lower = max([c.n for c in conditions[:cut] if isinstance(c, G.DistGreater)], default=0)
     limits = [c.n for c in conditions[:cut] if isinstance(c, G.DistLess)]
     reach = min(limits) if limits else max(1000, lower + 1000) if lower > 0 else 1000
@@ -478,3 +479,85 @@ def test_many_pairs_are_not_broadcast(spark, monkeypatch):
         out = G.join(a, b, [G.DistLess(5)], pairs=spark.createDataFrame(chosen, "ref_id long, exp_id long"))
         assert ("ResolvedHint" in out._jdf.queryExecution().analyzed().toString()) == (chosen is few)
         assert {(r.ref_id, r.exp_id) for r in out.collect()} <= set(chosen)
+
+
+def test_windows(spark):
+    """Bins between and beside the windows get no rows; the pairs are those of all regions, for every size of bins."""
+    schema = "sample_id long, chrom string, start long, stop long, strand string, v double"
+    a, b = odd_regions(21, 60, [0, 1]), odd_regions(22, 60, [2, 3])
+    left, right = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    for conditions in ([G.DistGreater(3), G.DistLess(12)], [G.DistGreater(0), G.Upstream(), G.DistLess(9)], [G.Downstream(), G.DistLess(7)], [G.Upstream(), G.Downstream(), G.DistLess(5)], [G.DistGreater(-1), G.DistLess(4)], [G.DistGreater(30), G.DistLess(3)]):
+        want = sorted((*r[:6], *e[:6]) for r in a for e in b if e[1] == r[1] and strands_fit(r[4], e[4]) and all(holds(c, r, e) for c in conditions))
+        for size in (7, I.NESTED):
+            found = G.matches(left, right, conditions, bin_size=size)
+            assert sorted(map(tuple, found.select(*left.columns, *(c.replace("e_sample_id", "exp_id") for c in (f"e_{x}" for x in right.columns))).collect()), key=str) == sorted(want, key=str), (conditions, size)
+    one = spark.createDataFrame([(1, "c", 10**6, 10**6 + 500, "+", 0.0)], schema)
+    rows = lambda *more: one.select(F.inline(G.windows(*more))).select(F.explode(I.bins(F.col("w_start"), F.col("w_stop"), 1000))).count()
+    assert rows(60_001) == 122 and rows(60_001, 50_001) <= 24 and rows(60_001, 50_001, G.Upstream) <= 12 and rows(60_001, 0, G.Downstream) <= 62
+
+
+def test_metadata_index(spark, tmp_path):
+    """The index finds the samples that reading all metadata finds, over a million samples and with odd names and values."""
+    from strandframe.sources import files, meta_index
+
+    a = M.attribute
+    rows = [(1, "cell", "K562"), (1, "x.cell", "hela"), (2, "x.y.cell", "k562"), (2, "n", "3"), (3, "n", "3.0"), (3, "n", "abc"), (4, "n", None), (5, "cells", "K562"), (6, "", "v"), (7, "n", "NaN"), (7, "cell.", "k562"), (8, "a.n", "-7"), (9, ".n", "5")]
+    meta = spark.createDataFrame(rows, "sample_id long, attribute string, value string")
+    meta_index.build(meta, f"{tmp_path}/odd")
+    predicates = [a("cell") == "k562", a("cell") != "K562", a("n") == 3, a("n") == "3.00", a("n") != 3, a("n") > 2, a("n") <= -7, a("n").exists(), a("n").missing(), a("y.cell") == "*", a("none").missing() & (a("n") < 10), ~(a("cell") == "k562") | (a("n") >= 3), a("") == "v", a("cell.").exists()]
+    for i, p in enumerate(predicates):
+        found, plain = meta_index.samples_where(spark, f"{tmp_path}/odd", p), M.samples_where(meta, p)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())), i
+    empty = meta.limit(0)
+    meta_index.build(empty, f"{tmp_path}/none")
+    assert meta_index.samples_where(spark, f"{tmp_path}/none", a("n").missing()).isEmpty()
+    many = spark.range(1_000_000).select(F.col("id").alias("sample_id"), F.inline(F.array(*(F.struct(F.lit(n).alias("attribute"), v.cast("string").alias("value")) for n, v in {"lab.size": F.col("id") % 5000, "cell": F.concat(F.lit("c"), F.col("id") % 300), "batch": F.col("id") % 7}.items()))))
+    meta_index.build(many, f"{tmp_path}/many")
+    p = (a("size") < 2) & ~(a("batch") == 3) | (a("cell") == "C17") & (a("batch") == 1)
+    found = meta_index.samples_where(spark, f"{tmp_path}/many", p)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "In(name, [" in plan and "EqualTo(text,c17)" in plan
+    assert found.exceptAll(M.samples_where(many, p)).isEmpty() and found.count() == M.samples_where(many, p).count() > 0
+    ds = Dataset.of(spark.createDataFrame([(s, "c", 0, 5, "+") for s in range(1, 9)], "sample_id long, chrom string, start long, stop long, strand string"), meta)
+    files.write(ds, f"{tmp_path}/ds", index=True)
+    chosen = files.read_written(spark, f"{tmp_path}/ds", where=a("n") == 3, index=True)
+    assert {r.sample_id for r in chosen.regions.collect()} == {r.sample_id for r in chosen.meta.collect()} == {2, 3}
+
+
+def test_sparse_cells(spark):
+    """Ten thousand samples: cells grow with hits; zeros can be filled in later."""
+    coords = "chrom string, start long, stop long, strand string"
+    ref = spark.range(200).select(F.lit(1).cast("long").alias("sample_id"), F.lit("c").alias("chrom"), (F.col("id") * 100).alias("start"), (F.col("id") * 100 + 50).alias("stop"), F.lit("*").alias("strand"))
+    exp = spark.range(10_000).select(F.col("id").alias("sample_id"), F.lit("c").alias("chrom"), (F.col("id") % 200 * 100 + 10).alias("start"), (F.col("id") % 200 * 100 + 20).alias("stop"), F.lit("+").alias("strand"))
+    a, b = X.to_matrix(ref), X.to_matrix(exp)
+    sparse = X.matrix_map(a, b, bin_size=100, zeros=False)
+    assert sparse.agg(F.max(F.size("counts")), F.sum(F.size("counts"))).first()[:] == (50, 10_000)
+    full = X.with_zeros(sparse.limit(3), exp.select("sample_id"))
+    assert {r[0] for r in full.select(F.size("counts")).collect()} == {10_000} and full.where(F.expr("counts != array_sort(counts)")).isEmpty()
+    dense = X.matrix_map(a.limit(3), b, bin_size=100)
+    assert dense.select(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c["count"])).distinct().collect()[0][0] == 50
+    for m in (sparse, X.with_zeros(sparse, exp.select("sample_id"))):
+        assert X.sample_totals(m).where("coordinates <> 1 OR hits <> 1").isEmpty()
+    none = X.matrix_map(a, X.to_matrix(exp.limit(0)), bin_size=100)
+    assert none.count() == 200 and none.where(F.size("counts") > 0).isEmpty()
+    assert X.matrix_map(X.to_matrix(spark.createDataFrame([], "sample_id long, " + coords)), b, bin_size=100).isEmpty()
+
+
+def test_matrix_nearest(spark):
+    """Nearest coordinates, and conditions without an upper bound."""
+    schema = "sample_id long, chrom string, start long, stop long, strand string, v double"
+    a, b = odd_regions(31, 30, [0, 1]), odd_regions(32, 30, [2, 3])
+    left, right = X.to_matrix(spark.createDataFrame(a, schema)), X.to_matrix(spark.createDataFrame(b, schema))
+    ours, theirs = {r[:5] for r in [(0, *x[1:5]) for x in a]}, {(0, *x[1:5]) for x in b}
+    for conditions, reach in (([G.MinDistance(2)], 1000), ([G.DistGreater(2), G.MinDistance(1)], 1002), ([G.Upstream()], 1000), ([G.MinDistance(1), G.Downstream()], 1000)):
+        cut = next((i for i, c in enumerate(conditions) if isinstance(c, G.MinDistance)), len(conditions))
+        want = set()
+        for r in ours:
+            near = [(max(r[2] - e[3], e[2] - r[3]), e) for e in theirs if e[1] == r[1] and strands_fit(r[4], e[4]) and all(holds(c, r, e) for c in conditions[:cut])]
+            near = [(g, e) for g, e in near if g <= reach]
+            least = sorted({g for g, _ in near})[: conditions[cut].k] if cut < len(conditions) else {g for g, _ in near}
+            want |= {r[1:5] for g, e in near if g in least and all(holds(c, r, e) for c in conditions[cut + 1 :])}
+        got = X.matrix_join(left, right, conditions, bin_size=50, horizon=1000)
+        assert {tuple(x) for x in got.select(*I.COORDS).collect()} == want and want
