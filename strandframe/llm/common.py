@@ -60,6 +60,20 @@ def broadcast_up_to(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame
     return F.broadcast(df) if rows <= limit else df
 
 
+def likely(rows: DataFrame, key: str, ids: DataFrame, column: str, buckets: int = 4096) -> DataFrame:
+    """The rows whose key is among ids.column and a few others, without a shuffle of rows.
+
+    Hashes of the ids set bits in at most buckets bitmaps of 4 KB, which are broadcast (16 MB, whatever the number of ids); rows whose
+    bit isn't set are dropped where they are read. With far more ids than bits most rows stay. A join then leaves the others out.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets * 32768))
+    bit = place(F.col(column)).alias("_bit")
+    maps = ids.select(bit).groupBy(F.floor(F.col("_bit") / 32768).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_bit") % 32768).alias("_map"))
+    at = place(F.col(key))
+    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.floor(at % 32768 / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return rows.join(F.broadcast(maps), F.floor(at / 32768) == F.col("_bucket")).where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("_bucket", "_map")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone. lower() agrees on pure ASCII and is faster there."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

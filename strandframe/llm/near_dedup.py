@@ -19,7 +19,7 @@ together, so that a set isn't sent once a tree; up to SIDE classes are one block
 shingles are ordered by how many of these classes have them, fewest first, and two sets with percent of their union in
 common share one of the first n - ceil(n percent / 100) + 1 of each, n being the set's size. So a region of many classes
 that have only frequent passages in common makes no pairs. Groups with such a shingle that aren't one component are paired like regions, block by block where
-they are large. A block has the full sets and goes on until each of its
+they are large. Between tasks go compressed texts, whose sets are made where they are compared. A block has the full sets and goes on until each of its
 pairs is either refuted or within one component; only the links that join two components leave it.
 
 Defined cases: null or blank text has an empty set and is linked with nothing; equal sets have similarity 1 and are
@@ -34,10 +34,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, load, mix64, packed, pieces, run_hashes, small_batches, text_bytes, text_hash, unpacked, word_hashes, word_spans, written
+from .common import checkpointed, likely, load, mix64, packed, pieces, run_hashes, small_batches, text_bytes, text_hash, unpacked, word_hashes, word_spans, written
 
 TREES, DEPTH, MIN_DEPTH, REACH = 16, 4, 3, 6
 SIDE, SIDE_SHINGLES = 1024, 1 << 20  # about so many classes and shingles on each side of a block of a large region
@@ -148,7 +149,7 @@ def _regions(batches):
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("node")], names=["region", "node"])
 
 
-def _block_links(lone: pa.Table, rest: pa.Table, least: float, percent: int) -> pa.Table:
+def _block_links(lone: pa.Table, rest: pa.Table, k: int, least: float, percent: int) -> pa.Table:
     """Links that join components of a block's classes."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     if not lone.num_rows or not rest.num_rows:
@@ -159,8 +160,9 @@ def _block_links(lone: pa.Table, rest: pa.Table, least: float, percent: int) ->
     roots, place = np.unique(np.concatenate([lone["root"].to_numpy(), rest["root"].to_numpy()]), return_inverse=True)
     root, rest_root = place[: len(node)], place[len(node) :]
     component = np.arange(len(roots))
-    sizes = [np.array([len(x) for x in t["set"]]) for t in (lone, rest)]
-    number, ids = np.unique(np.concatenate([c.flatten().to_numpy() for t in (lone, rest) for c in t["set"].chunks]), return_inverse=True)
+    found, begins = zip(*(_body_sets(t["body"], k) for t in (lone, rest)), strict=True)
+    sizes = [np.diff(x) for x in begins]
+    number, ids = np.unique(np.concatenate(found), return_inverse=True)
     begin = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
     sets = [ids[x:y] for x, y in zip(begin[:-1], begin[1:], strict=True)]
     mark, out = np.zeros(len(number), bool), []
@@ -180,11 +182,54 @@ def _block_links(lone: pa.Table, rest: pa.Table, least: float, percent: int) ->
     return pa.table([[int(a) for a, _ in out], [int(b) for _, b in out]], schema=schema)
 
 
+def _bodies(batches):
+    """Texts in zstd: a fraction of what their sets of hashes would take, which don't compress."""
+    pack = zstandard.ZstdCompressor()
+    for batch in batches:
+        body = [pack.compress(t.as_buffer()) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(body, pa.binary())], names=["node", "body"])
+
+
+def _body_sets(bodies: pa.Array, k: int, most_bytes: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets of the texts in bodies; so many bytes of text are unpacked at a time (one text at least)."""
+    unpack, sets, sizes, texts, held = zstandard.ZstdDecompressor(), [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], [], 0
+    for i, body in enumerate(bodies):
+        texts.append(unpack.decompress(body.as_buffer()))
+        held += len(texts[-1])
+        if held >= most_bytes or i == len(bodies) - 1:
+            found, begin = shingle_sets(pa.array(texts, pa.binary()).cast(pa.string()), k)
+            sets.append(found)
+            sizes.append(np.diff(begin))
+            texts, held = [], 0
+    return np.concatenate(sets), np.cumsum(np.concatenate(sizes))
+
+
 def _sets(batches, k: int):
     for batch in batches:
-        for piece in pieces(batch, "text"):
-            sets, begin = shingle_sets(piece.column("text"), k)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["node", "set"])
+        for i in range(0, batch.num_rows, 100):
+            part = batch.slice(i, 100)
+            sets, begin = _body_sets(part.column("body"), k)
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["node", "set"])
+
+
+def _alike(batches, k: int, percent: int):
+    """The pairs (a, b, x, y) whose bodies x and y have percent of the union of their sets in common."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 100):
+            part = batch.slice(i, 100)
+            row, sets, sizes = [], [], []
+            for side in ("x", "y"):
+                found, begin = _body_sets(part.column(side), k)
+                sizes.append(np.diff(begin))
+                sets.append(found)
+                row.append(np.repeat(np.arange(part.num_rows), sizes[-1]))
+            row, sets = np.concatenate(row), np.concatenate(sets)
+            order = np.lexsort((sets, row))
+            row, sets = row[order], sets[order]
+            twice = (row[1:] == row[:-1]) & (sets[1:] == sets[:-1])
+            common = np.bincount(row[1:][twice], minlength=part.num_rows)
+            good = pa.array(100 * common >= percent * (sizes[0] + sizes[1] - common))
+            yield pa.RecordBatch.from_arrays([part.column(c).filter(good) for c in "ab"], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -204,11 +249,11 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(now)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose full sets have percent of their union in common."""
-    left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("_x")), sets.select(F.col("node").alias("b"), F.col("set").alias("_y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("_common", F.size(F.array_intersect("_x", "_y")))
-    return both.where(F.lit(100) * F.col("_common") >= F.lit(percent) * (F.size("_x") + F.size("_y") - F.col("_common"))).select("a", "b")
+    left, right = bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), bodies.select(F.col("node").alias("b"), F.col("body").alias("y"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return both.mapInArrow(partial(_alike, k=k, percent=percent), "a long, b long")
 
 
 def _split_regions(classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -244,9 +289,9 @@ def _meetings(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rare.join(main.select("shingle", F.col("most.root").alias("main")), "shingle").select("shingle", "main", "node", "root", "n")
 
 
-def _left_links(inside: DataFrame, classes: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+def _left_links(inside: DataFrame, classes: DataFrame, bodies: DataFrame, k: int, least: float, percent: int) -> DataFrame:
     """Links (a, b) between components, from groups of classes that may be alike."""
-    about = written(inside.select("node").distinct().join(classes.select("node", "sig"), "node").join(sets, "node"))
+    about = written(inside.select("node").distinct().join(classes.select("node", "sig"), "node").join(bodies, "node"))
     blocks = lambda live: F.greatest(F.lit(1), F.ceil(F.greatest(F.count_if(live) / SIDE, F.sum(F.when(live, F.col("n")).otherwise(0)) / SIDE_SHINGLES))).cast("int")
     split = inside.groupBy("shingle", "main").agg(blocks(F.col("root") != F.col("main")).alias("rows"), blocks(F.lit(True)).alias("columns"))
     dealt = inside.drop("n").join(split, ["shingle", "main"])
@@ -256,7 +301,7 @@ def _left_links(inside: DataFrame, classes: DataFrame, sets: DataFrame, least: f
     rest = dealt.select("shingle", "node", "root", "main", across("rows").alias("i"), side(F.col("columns")).alias("j")).join(about, "node")
     keys = ["shingle", "main", "i", "j"]
     rest = rest.toDF(*rest.columns)  # columns of its own: both sides come from the same tables
-    return lone.groupBy(*keys).cogroup(rest.groupBy(*keys)).applyInArrow(lambda x, y: _block_links(x, y, least, percent), "a long, b long")
+    return lone.groupBy(*keys).cogroup(rest.groupBy(*keys)).applyInArrow(lambda x, y: _block_links(x, y, k, least, percent), "a long, b long")
 
 
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -277,19 +322,18 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     ordered = classes.select("node", "sig").mapInArrow(_labels, "tree int, label binary, node long").repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
     near = checkpointed(ordered.mapInArrow(partial(_neighbours, least=least), "a long, b long, alike float").where("a <> b").groupBy("a", "b").agg(F.max("alike").alias("alike")))
     wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    chosen = texts.join(wanted, texts["doc_id"] == wanted["node"], "left_semi")
-    sets = written(chosen.mapInArrow(partial(_sets, k=k), "node long, set array<long>"))
+    packed_texts = lambda ids: written(likely(texts, "doc_id", ids, "node").mapInArrow(_bodies, "node long, body binary").join(ids, "node", "left_semi"))
+    bodies = packed_texts(wanted)
     best = near.groupBy("b").agg(F.max(F.struct("alike", "a")).alias("_best")).select(F.col("_best.a").alias("a"), "b")
-    links = checkpointed(_confirmed(best, sets, percent))
+    links = checkpointed(_confirmed(best, bodies, k, percent))
     roots = components(links)
     open_pairs = _across(near, roots).join(best, ["a", "b"], "left_anti")
-    links = links.unionByName(checkpointed(_confirmed(open_pairs, sets, percent)))
+    links = links.unionByName(checkpointed(_confirmed(open_pairs, bodies, k, percent)))
     inside = _split_regions(classes, components(links))
     if not inside.isEmpty():
-        further = inside.select("node").distinct().join(wanted, "node", "left_anti")
-        chosen = texts.join(further, texts["doc_id"] == further["node"], "left_semi")
-        sets = sets.unionByName(written(chosen.mapInArrow(partial(_sets, k=k), "node long, set array<long>")))
-        links = links.unionByName(checkpointed(_left_links(_groups(inside, classes, sets, percent), classes, sets, least, percent)))
+        bodies = bodies.unionByName(packed_texts(inside.select("node").distinct().join(wanted, "node", "left_anti")))
+        sets = bodies.mapInArrow(partial(_sets, k=k), "node long, set array<long>")
+        links = links.unionByName(checkpointed(_left_links(_groups(inside, classes, sets, percent), classes, bodies, k, least, percent)))
     # equal sets: each row has its class's root; Spark splits the rows of a class with very many
     rooted = classes.join(components(links), "node", "left").select("n", "s1", "s2", "rows", "node", F.coalesce("root", "node").alias("root")).where("rows > 1 OR root <> node")
     own = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))

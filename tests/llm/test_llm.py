@@ -741,3 +741,25 @@ def test_mixing_many_sources(spark, monkeypatch):
         variance[r._row.source] += r._size**2 * (rate % 1) * (1 - rate % 1)
         target[r._row.source] = r._target
     assert all(abs(taken[s] - t) <= 4 * variance[s] ** 0.5 + 1 for s, t in target.items())
+
+
+def test_likely(spark):
+    """Bitmaps of any size keep all rows that are asked for, of negative and repeated ids too, and drop most others."""
+    rows = spark.range(-500, 500).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).unionByName(spark.createDataFrame([(7, "y"), (None, "z")], "doc_id long, text string"))
+    ids = rows.where("doc_id % 7 = 0").select(F.col("doc_id").alias("node")).distinct()
+    want = set(map(tuple, rows.where("doc_id % 7 = 0").collect()))
+    for buckets in (1, 4096):
+        got = list(map(tuple, common.likely(rows, "doc_id", ids, "node", buckets).collect()))
+        assert want <= set(got) and len(got) == len(set(got)) <= len(want) + 10
+    assert common.likely(rows, "doc_id", ids.limit(0), "node").isEmpty()
+
+
+def test_body_sets(spark):
+    """Sets of compressed texts are those of the texts, a text at a time or all at once."""
+    texts = ["a b c d e f", "", "one", "é " * 50 + "x", "A b C d e F"]
+    packed = next(near_dedup._bodies([pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], names=["doc_id", "text"])])).column("body")
+    want = near_dedup.shingle_sets(pa.array(texts), 4)
+    for most in (1, 1 << 20):
+        got = near_dedup._body_sets(packed, 4, most)
+        assert all((x == y).all() for x, y in zip(got, want, strict=True))
+    assert near_dedup._body_sets(packed.slice(0, 0), 4)[1].tolist() == [0]
