@@ -455,6 +455,25 @@ def test_lm_score_brute(seed, monkeypatch):
     assert np.allclose(got, [np.log10(np.minimum(1, x[:, :3] @ weights)).sum() for x in parts], rtol=1e-4)
 
 
+def test_lm_looks_at_all(monkeypatch):
+    """As set, each id of a training text is a target once, and each training token counts in the mixture's weights."""
+    rows = following(1, 12)
+    scorer, enc, words = scorer_of(rows)
+    texts = pa.array([*[t for _, t in rows], "", "w5 " * 300])
+    x, y, live, topic = scorer.windows(enc, texts)
+    ids = np.concatenate([[*enc.encode_ordinary(" " + t.strip()), subwords.END] if t else [subwords.END] for t in texts.to_pylist()])
+    assert len(topic) == len(x) and np.array_equal(np.sort(y[live]), np.sort(scorer.entry[ids]))
+    scorer.seal()
+    coded, per = lm._words(texts)
+    counts = np.zeros((len(coded.dictionary), lm.TOPICS))
+    counts[:, 0] = [words[w] for w in coded.dictionary.to_pylist()]
+    fitted, real = [], lm.fit_mixture
+    monkeypatch.setattr(lm, "fit_mixture", lambda parts, use: (fitted.append(len(parts)), real(parts, use))[1])
+    train = np.arange(len(texts)) % 3 > 0
+    scorer.score(texts, train, coded.dictionary, counts, *subwords.encode_words(enc, [" " + w for w in coded.dictionary.to_pylist()]))
+    assert fitted == [(per[train] + 1).sum()]
+
+
 def test_lm_large_logits():
     """Logits of any size give weights, not 0 / 0, and a gradient that isn't finite is never learned from unnoticed."""
     net = lm.Network(np.full(9, 1 / 9))
