@@ -30,6 +30,7 @@ by their text, and of rows that share a doc_id (versions of one document) keeps
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 import numpy as np
@@ -42,6 +43,7 @@ from .common import checkpointed, likely, load, mix64, packed, pieces, run_hashe
 
 TREES, DEPTH, MIN_DEPTH, REACH = 16, 4, 3, 6
 SIDE, SIDE_SHINGLES = 1024, 1 << 20  # about so many classes and shingles on each side of a block of a large region
+TASK_EDGES = 200_000  # about so many edges are read by a task
 NULLS = 1 << 62  # internal ids of rows without a doc_id are above
 N_HASHES = TREES * DEPTH
 _A = np.random.default_rng(7919).integers(1, 1 << 63, N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -232,21 +234,33 @@ def _alike(batches, k: int, percent: int):
             yield pa.RecordBatch.from_arrays([part.column(c).filter(good) for c in "ab"], names=["a", "b"])
 
 
+def _ends(edges: DataFrame, tasks: int) -> DataFrame:
+    """(node, other, above): each edge (u, v) from both of its ends, above at u, read in so many tasks."""
+    end = lambda node, other, above: F.struct(F.col(node).alias("node"), F.col(other).alias("other"), F.lit(above).alias("above"))
+    return edges.coalesce(tasks).select(F.explode(F.array(end("u", "v", 1), end("v", "u", 0))).alias("_end")).select("_end.*")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node that can be reached over edges (a, b). Large-star and small-star steps in turn until nothing changes."""
+    """(node, root): the least node that can be reached over edges (a, b). Large-star and small-star steps in turn until every edge leads from a node of no other edge to its root.
+
+    A step's edges are read in as many tasks as their number asks for: each shuffle has small files for every task that writes it.
+    """
     edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    tasks = max(1, math.ceil(edges.count() / TASK_EDGES))
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = checkpointed(small)
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.count_distinct("u")).first()
-        if tuple(now) == state and now[0] == now[2]:
+        ends = _ends(edges, tasks)
+        seen = ends.groupBy("node").agg(F.sum("above").alias("up"), F.min("above").alias("least"))
+        n, unfinished = seen.agg(F.sum("up"), F.count_if(F.expr("up > 1 OR up = 1 AND least = 0"))).first()
+        if not unfinished:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = tuple(now)
+        tasks = max(1, math.ceil(n / TASK_EDGES))
+        ends = _ends(edges, tasks)
+        least = ends.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("m"))
+        large = ends.join(least, "node").where("other > node").select(F.col("other").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # a node's edge to its least neighbour stays, the others go to that neighbour
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = checkpointed(small.distinct())
 
 
 def _confirmed(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
@@ -325,17 +339,17 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     packed_texts = lambda ids: written(likely(texts, "doc_id", ids, "node").mapInArrow(_bodies, "node long, body binary").join(ids, "node", "left_semi"))
     bodies = packed_texts(wanted)
     best = near.groupBy("b").agg(F.max(F.struct("alike", "a")).alias("_best")).select(F.col("_best.a").alias("a"), "b")
-    links = checkpointed(_confirmed(best, bodies, k, percent))
-    roots = components(links)
+    as_links = lambda roots: roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    roots = components(_confirmed(best, bodies, k, percent))
     open_pairs = _across(near, roots).join(best, ["a", "b"], "left_anti")
-    links = links.unionByName(checkpointed(_confirmed(open_pairs, bodies, k, percent)))
-    inside = _split_regions(classes, components(links))
+    roots = components(as_links(roots).unionByName(_confirmed(open_pairs, bodies, k, percent)))
+    inside = _split_regions(classes, roots)
     if not inside.isEmpty():
         bodies = bodies.unionByName(packed_texts(inside.select("node").distinct().join(wanted, "node", "left_anti")))
         sets = bodies.mapInArrow(partial(_sets, k=k), "node long, set array<long>")
-        links = links.unionByName(checkpointed(_left_links(_groups(inside, classes, sets, percent), classes, bodies, k, least, percent)))
+        roots = components(as_links(roots).unionByName(_left_links(_groups(inside, classes, sets, percent), classes, bodies, k, least, percent)))
     # equal sets: each row has its class's root; Spark splits the rows of a class with very many
-    rooted = classes.join(components(links), "node", "left").select("n", "s1", "s2", "rows", "node", F.coalesce("root", "node").alias("root")).where("rows > 1 OR root <> node")
+    rooted = classes.join(roots, "node", "left").select("n", "s1", "s2", "rows", "node", F.coalesce("root", "node").alias("root")).where("rows > 1 OR root <> node")
     own = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     out = written(signed.join(rooted.select("n", "s1", "s2", "root"), ["n", "s1", "s2"], "left").select("doc_id", "h", F.col("n").alias("n_shingles"), own.alias("component_id")))
     # rows that share a doc_id and not a class join their components

@@ -455,6 +455,25 @@ def test_lm_score_brute(seed, monkeypatch):
     assert np.allclose(got, [np.log10(np.minimum(1, x[:, :3] @ weights)).sum() for x in parts], rtol=1e-4)
 
 
+def test_components_steps(spark, monkeypatch):
+    """Components of chains, hubs and random graphs against union by hand; finished stars take no further step, and a step's edges are read in few tasks."""
+    rng, taken, real = np.random.default_rng(5), [], near_dedup.checkpointed
+    monkeypatch.setattr(near_dedup, "checkpointed", lambda df: (taken.append(real(df)), taken[-1])[1])
+    chain, hub = [(i, i + 1) for i in range(100, 140)], [(300, i) for i in range(200, 260)]
+    edges = [*chain, *hub, *((400 + int(a), 400 + int(b)) for a, b in rng.integers(0, 60, (45, 2)))]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = near_dedup.components(spark.createDataFrame(edges, "a long, b long").repartition(7))
+    assert dict(got.collect()) == {x: r for x, r in root.items() if x != r}
+    assert near_dedup._ends(taken[0], 1).rdd.getNumPartitions() == 1
+    taken.clear()
+    again = near_dedup.components(got.toDF("a", "b"))
+    assert len(taken) == 1 and sorted(again.collect()) == sorted(got.collect())
+    assert near_dedup.components(got.toDF("a", "b").limit(0)).isEmpty()
+
+
 def test_lm_looks_at_all(monkeypatch):
     """As set, each id of a training text is a target once, and each training token counts in the mixture's weights."""
     rows = following(1, 12)
