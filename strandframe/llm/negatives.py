@@ -40,6 +40,8 @@ BLOCK, ANCHOR_BLOCK = 8_192, 16_384
 SEGMENTS = (16, 8, 4, 2)
 #: Bounds are refined and pairs scored for so many pairs at a time.
 CELLS = 1 << 19
+#: Where more than one in so many of the pairs is open, all are computed, as one product of matrices.
+DENSE = 32
 LIMIT = 1 << 24
 
 
@@ -84,6 +86,8 @@ def exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndar
     if not len(i):
         return np.zeros(0, np.int64)
     if a.shape[1] * np.abs(a).max(initial=0) * np.abs(b).max(initial=0) < 2**53:
+        if DENSE * len(i) > len(a) * len(b):
+            return (a @ b.T)[i, j].astype(np.int64)
         return np.concatenate([np.einsum("ij,ij->i", a[i[k : k + CELLS // 8]], b[j[k : k + CELLS // 8]]) for k in range(0, len(i), CELLS // 8)]).astype(np.int64)
     a, b = a.astype(np.int64), b.astype(np.int64)
     return np.concatenate([(a[i[k : k + CELLS // 8]] * b[j[k : k + CELLS // 8]]).sum(1) for k in range(0, len(i), CELLS // 8)])
@@ -91,12 +95,13 @@ def exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndar
 
 def kth_best(owner: np.ndarray, value: np.ndarray, groups: int, k: int) -> np.ndarray:
     """The k-th largest value of each owner, minus infinity where it has fewer."""
-    order = np.lexsort((-value, owner))
-    begin = np.searchsorted(owner[order], np.arange(groups))
-    out = np.full(groups, -np.inf)
-    has = np.flatnonzero(np.bincount(owner, minlength=groups) >= k)
-    out[has] = value[order][begin[has] + k - 1]
-    return out
+    if (owner[1:] < owner[:-1]).any():
+        order = np.argsort(owner, kind="stable")
+        owner, value = owner[order], value[order]
+    counts = np.bincount(owner, minlength=groups)
+    each = np.full((groups, max(k, counts.max(initial=0))), -np.inf)
+    each[owner, np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]] = value
+    return np.partition(each, each.shape[1] - k, axis=1)[:, -k]
 
 
 def survivors(a: Summary, b: Summary, allowed: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,23 +110,27 @@ def survivors(a: Summary, b: Summary, allowed: np.ndarray, low: np.ndarray, high
     for level in range(len(SEGMENTS)):
         if not len(i):
             break
-        if 4 * len(i) > allowed.size:
+        if DENSE * len(i) > allowed.size:
             below, above = bounds(a, b, level)
             below, above = below[i, j], above[i, j]
         else:
             below, above = pair_bounds(a, b, i, j, level)
-        open_ = np.zeros(len(i), bool)
+        open_, counts = np.zeros(len(i), bool), np.bincount(i, minlength=len(low))
         for w in range(low.shape[1]):
-            sure = (below >= low[i, w]) & (above <= high[i, w])
+            fits = below <= np.repeat(high[:, w], counts)  # i ascends
+            sure = np.flatnonzero((below >= np.repeat(low[:, w], counts)) & (above <= np.repeat(high[:, w], counts)))
             enough = np.maximum(low[:, w], kth_best(i[sure], below[sure], len(low), k))
-            open_ |= (above >= enough[i]) & (below <= high[i, w])
+            open_ |= (above >= np.repeat(enough, counts)) & fits
         i, j = i[open_], j[open_]
     return i, j
 
 
 def best(owner: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Which entries are among the k best of their owner, ties by the smaller id."""
-    order = np.lexsort((ids, -score, owner))
+    if not len(owner):
+        return np.zeros(0, np.int64)
+    few = np.flatnonzero(score.astype(np.float64) >= kth_best(owner, score.astype(np.float64), owner.max() + 1, k)[owner])
+    order = few[np.lexsort((ids[few], -score[few], owner[few]))]
     place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
     return order[place < k]
 

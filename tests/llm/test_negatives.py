@@ -90,3 +90,17 @@ def test_few_pairs_reach_exact_scores():
 def test_exact_in_whole_numbers():
     a, b = np.full((1, 64), float(2**24)), np.full((1, 64), float(2**24 - 1))
     assert negatives.exact(a, b, np.array([0]), np.array([0]))[0] == 64 * 2**24 * (2**24 - 1)
+
+
+def test_many_open_pairs():
+    """Where many pairs are open they are scored by one product, exactly, and the k best are found by partition: against a loop, with ties and owners out of order."""
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(-300, 300, (20, 9)).astype(float), rng.integers(-300, 300, (50, 9)).astype(float)
+    for share in (1.0, 0.5, 1 / (2 * negatives.DENSE)):
+        i, j = np.nonzero(rng.random((20, 50)) < share)
+        assert np.array_equal(negatives.exact(a, b, i, j), [int(a[x] @ b[y]) for x, y in zip(i, j, strict=True)])
+    owner, value, ids = rng.integers(0, 6, 200), rng.integers(0, 9, 200), rng.permutation(200)
+    for k in (1, 3, 60):
+        by = [sorted(((-v, n, at) for at, (o, v, n) in enumerate(zip(owner, value, ids, strict=True)) if o == g)) for g in range(7)]
+        assert negatives.kth_best(owner, value.astype(float), 7, k).tolist() == [-float(x[k - 1][0]) if len(x) >= k else -np.inf for x in by]
+        assert negatives.best(owner, value, ids, k).tolist() == [at for x in by for _, _, at in x[:k]]
