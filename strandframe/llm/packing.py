@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from functools import partial
 
 import numpy as np
@@ -49,7 +50,7 @@ _SPECIAL, _GAP = "<|", "<|startoftext|>"
 #: The tokenizer parts letters from any ASCII character that is neither letter nor white space.
 _CUT = r"([a-z])([.,;:!?()\"/-])"
 
-_cache: dict[str, np.ndarray] = {}
+_cache: dict[str, bytes] = {}
 _tokenizers: dict = {}
 
 
@@ -70,8 +71,8 @@ def tokenizer(content: str):
     return _tokenizers[content]
 
 
-def _learn_words(tok, words: list[str]) -> list[np.ndarray]:
-    """The ids of words without white space. Words of ASCII letters need only the merges; others share calls, parted by a special token."""
+def _learn_words(tok, words: list[str]) -> list[bytes]:
+    """The ids of words without white space, as 16-bit numbers. Words of ASCII letters need only the merges; others share calls, parted by a special token."""
     if len(_cache) + len(words) > CACHED:
         _cache.clear()
     out, rest, model = [_cache.get(w) for w in words], [], tok.model
@@ -79,7 +80,9 @@ def _learn_words(tok, words: list[str]) -> list[np.ndarray]:
         if known is not None:
             continue
         if w.isascii() and w.isalpha():
-            out[i] = np.array([t.id for t in model.tokenize(w)], np.uint16)
+            out[i] = array("H", [t.id for t in model.tokenize(w)]).tobytes()
+            if len(w) <= LONGEST:
+                _cache[w] = out[i]
         else:
             rest.append(i)
     gap = tok.token_to_id(_GAP)
@@ -88,11 +91,11 @@ def _learn_words(tok, words: list[str]) -> list[np.ndarray]:
         groups = [some[i : i + 64] for i in range(0, len(some), 64)]
         for group, e in zip(groups, tok.encode_batch_fast([_GAP.join(words[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint16)
-            for i, own in zip(group, np.split(ids, np.flatnonzero(ids == gap)), strict=True):
-                out[i] = own[1:] if len(own) and own[0] == gap else own
-    for w, ids in zip(words, out, strict=True):
-        if len(w) <= LONGEST:
-            _cache[w] = ids
+            raw, at = ids.tobytes(), (2 * np.flatnonzero(ids == gap)).tolist()
+            for i, start, end in zip(group, [0, *(x + 2 for x in at)], [*at, len(raw)], strict=True):
+                out[i] = raw[start:end]
+                if len(words[i]) <= LONGEST:
+                    _cache[words[i]] = out[i]
     return out
 
 
@@ -106,8 +109,8 @@ def encode(tok, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     coded = words.flatten().dictionary_encode()
     known = _learn_words(tok, coded.dictionary.to_pylist())
     begin = np.zeros(len(known) + 1, np.int64)
-    np.cumsum([len(x) for x in known], out=begin[1:])
-    stream, size = spread(np.concatenate([*known, np.zeros(0, np.uint16)]), begin, coded.indices.to_numpy())
+    np.cumsum(np.fromiter(map(len, known), np.int64, len(known)) // 2, out=begin[1:])
+    stream, size = spread(np.frombuffer(b"".join(known), np.uint16), begin, coded.indices.to_numpy())
     per = np.bincount(np.repeat(np.arange(len(texts)), counts), weights=size, minlength=len(texts)).astype(np.int64)
     ends = np.cumsum(per)
     if not whole.any():

@@ -38,6 +38,15 @@ def test_ids(tok):
     assert at == len(ids)
 
 
+def test_words_kept_as_bytes(tok):
+    """Ids of words are bytes, whether learned, kept or too long to keep, and those of the tokenizer."""
+    own = packing.tokenizer(open(packing.tokenizer_file(), encoding="utf-8").read())
+    words = ["token", "é", "x1", "é" * 300, "z" * 300, ",", "naïve", *(f"{i}é" for i in range(70))]
+    for _ in range(2):
+        assert packing._learn_words(own, words) == [np.array(tok.encode(w, add_special_tokens=False).ids, np.uint16).tobytes() for w in words]
+    assert {"token", "é", "69é"} <= set(packing._cache) and not {"é" * 300, "z" * 300} & set(packing._cache)
+
+
 def check(rows, docs, tok, capacity):
     """Each document's pieces cover its ids once; sequences are gapless and within capacity. Returns the number of sequences."""
     want = collections.Counter()
