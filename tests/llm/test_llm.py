@@ -802,3 +802,52 @@ def test_body_sets(spark):
         got = near_dedup._body_sets(packed, 4, most)
         assert all((x == y).all() for x, y in zip(got, want, strict=True))
     assert near_dedup._body_sets(packed.slice(0, 0), 4)[1].tolist() == [0]
+
+
+def test_lm_encodes_spaced_words():
+    """Words encoded in one call are as word by word, also where other white space could join the space between them; the tokenizer is called once for plain ones."""
+    enc, calls = subwords.encoder(subwords.ranks_of()), []
+
+    class Counted:
+        def encode_to_numpy(self, text):
+            calls.append(text)
+            return enc.encode_to_numpy(text)
+
+        def __getattr__(self, name):
+            return getattr(enc, name)
+
+    plain = ["foo", "'s", "don't", "1234abc", "é", "日本語", "\U0001f600", "a" * 700, "\x1c", "\x00", "'ll'", "..."]
+    gaps = ["a ", " x", "　", " y ", "x\u0085y"]
+    for words in (plain, gaps, plain + gaps + plain, gaps[:1], []):
+        want = subwords.encode_words(enc, [" " + w for w in words])
+        assert all(map(np.array_equal, subwords.encode_spaced(enc, pa.array(words, pa.string())), want)), words
+    scorer, _, _ = scorer_of(following(1, 12))
+    scorer.windows(Counted(), pa.array(["w1 w2 w3 new1", "w4 new2", None]))
+    assert len(calls) == 1
+
+
+def test_lm_step_by_rows(monkeypatch):
+    """Sums of rows are as one by one; a step moves the embeddings of entries in its windows alone; and windows whose targets are the next inputs have the gradient of any others."""
+    rng = np.random.default_rng(3)
+    index, rows = np.minimum(rng.zipf(1.3, 3000) - 1, 400), rng.normal(size=(3000, 5))
+    want = np.zeros((401, 5))
+    np.add.at(want, index, rows)
+    entries, total = lm._sums_by(index, rows)
+    assert sorted(entries) == sorted(set(index.tolist())) and np.allclose(total, want[entries])
+    net = lm.Network(np.full(50, 1 / 50))
+    ids = rng.integers(0, 20, (6, lm.LENGTH + 1))
+    x, y, live, topic = ids[:, :-1], ids[:, 1:], rng.random((6, lm.LENGTH)) < 0.9, rng.integers(0, lm.TOPICS, 6)
+    both = net.gradient(x, y, live, topic)
+    monkeypatch.setattr(np, "array_equal", lambda a, b: False)
+    apart = net.gradient(x, y, live, topic)
+    monkeypatch.undo()
+    assert all(np.allclose(both[k], apart[k], atol=1e-6) for k in both)
+    learner = lm.Learner(net, 0.03)
+    for part in (slice(0, 3), slice(3, 6)):
+        before = net.copy()
+        learner.step(x[part] + 20 * (part.start > 0), y[part] + 20 * (part.start > 0), live[part], topic[part])
+        moved = np.flatnonzero((net.p["emb"] != before.p["emb"]).any(1))
+        assert set(moved) <= set((x[part] + 20 * (part.start > 0)).ravel()) and len(moved) > 10
+        safe, most = net.safe, net.most
+        net.seal()
+        assert most[0] >= net.most[0] and most[1] >= net.most[1] and (net.safe or not safe)
