@@ -8,15 +8,17 @@ nearest (MinDistance), sorted positions are swept instead.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import intervals as I
 from ..functions.aggregates import Aggregate, Merging, aggregate, merged, partly
-from . import sweep
+from . import stripes, sweep
 from .metadata import per_pair, per_sample
 
 BIN = 10_000
@@ -252,13 +254,55 @@ def map_regions(ref: DataFrame, exp: DataFrame, pairs: DataFrame, aggregates: di
     """Each ref region for each paired sample, with the number of overlapping exp regions and aggregates of their values.
 
     Rows are preserved: equal ref regions stay apart, and regions without a hit have count 0 and the aggregates of no
-    rows. Hits hang on the coordinates (and the sample where pairs restricts), so each place is matched once; with every,
-    pairs are all combinations of samples and the places aren't multiplied by them before the match. A place gathers
-    one entry for each exp sample that hits it; the samples that don't are filled in where rows are made. Without
-    aggregates beside counts no pair is made: hits are counted from sorted starts and stops.
+    rows. Hits hang on the coordinates (and the sample where pairs restricts); with every,
+    pairs are all combinations of samples and the regions aren't multiplied by them before the match. A region gathers
+    one entry for each exp sample that hits it; the samples that don't are filled in where rows are made. With no
+    aggregates but counts, least and greatest no pair is made: hits are found from sorted starts and stops.
     """
     if all(kind == "COUNT" for kind, _ in (aggregates or {}).values()):
         return _map_counts(ref, exp, pairs, [count, *(aggregates or {})], every)
+    if all(_plain(exp, *a) for a in aggregates.values()):
+        return _map_extremes(ref, exp, pairs, aggregates, count, bin_size, every)
+    return _map_paired(ref, exp, pairs, aggregates, count, bin_size, every)
+
+
+def _plain(exp: DataFrame, kind: Aggregate, value: str) -> bool:
+    """Whether stripes.extremes has the aggregate."""
+    return isinstance(kind, str) and value != "chrom" and (kind.upper() in ("COUNT", "COUNT_NON_NULL") or kind.upper() in ("MIN", "MAX") and isinstance(exp.schema[value].dataType, T.IntegralType | T.FloatType | T.DoubleType))
+
+
+def _map_extremes(ref: DataFrame, exp: DataFrame, pairs: DataFrame, aggregates: dict[str, tuple[Aggregate, str]], count: str, bin_size: int | str, every: bool) -> DataFrame:
+    """In stripes; ref regions that are too long for these by pairs."""
+    short, long, exp_long = stripes.split(ref, exp, 0)
+    kinds = [(kind.upper(), None if kind.upper() == "COUNT" else value) for kind, value in aggregates.values()]
+    sums = [(count, T.LongType()), *((n, T.LongType() if k.startswith("COUNT") else exp.schema[v].dataType) for n, (k, v) in zip(aggregates, kinds, strict=True))]
+    values = sorted({v for _, v in kinds if v is not None} - {"sample_id", *I.COORDS})
+    answers = stripes.extremes([n for n, _ in sums], kinds)
+    nothing = F.struct(*(F.lit(0 if k.startswith("COUNT") else None).cast(t).alias(n) for (n, t), (k, _) in zip(sums, [("COUNT", None), *kinds], strict=True)))
+    met = _map_striped(short, exp.select("sample_id", *I.COORDS, *values), pairs, every, answers, sums, nothing)
+    return met.unionByName(_map_paired(long, exp_long, pairs, aggregates, count, bin_size, every))
+
+
+def _map_striped(ref: DataFrame, exp: DataFrame, pairs: DataFrame, every: bool, answers: Callable, sums: list[tuple[str, T.DataType]], nothing: Column, **more) -> DataFrame:
+    """Each ref region for each paired sample, with the sums that answers finds in its stripe, or nothing."""
+    cells = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("sums", T.StructType([T.StructField(n, t) for n, t in sums]))]))
+    ids = per_sample(pairs.select(F.col("exp_id").alias("sample_id")).distinct())
+    right = exp.join(ids, "sample_id", "left_semi")
+    if every:  # all ref samples have the same partners, in one row
+        known = ref.join(per_sample(pairs.select(F.col("ref_id").alias("sample_id")).distinct()), "sample_id", "left_semi")
+        met = stripes.beside(known, right, 0, answers, cells, **more).crossJoin(F.broadcast(ids.agg(F.collect_list("sample_id").alias("_partners"))))
+    else:
+        known = ref.join(per_pair(pairs.select(F.col("ref_id").alias("sample_id"), F.col("exp_id").alias("_partner"))), "sample_id")
+        met = stripes.beside(known, right.withColumn("_partner", F.col("sample_id")), 0, answers, cells, **more).withColumn("_partners", F.array("_partner"))
+    hit = F.col("_hits")
+    missed = F.transform(F.array_except("_partners", hit["id"]), lambda i: F.struct(i.alias("id"), nothing.alias("sums")))
+    own = [c for c in ref.columns if c != "sample_id"]
+    rows = met.select(F.col("sample_id").alias("ref_id"), *own, F.inline(F.concat(hit, missed)))
+    return rows.select("ref_id", F.col("id").alias("exp_id"), *own, *(F.col(f"sums.{n}").alias(n) for n, _ in sums))
+
+
+def _map_paired(ref: DataFrame, exp: DataFrame, pairs: DataFrame, aggregates: dict[str, tuple[Aggregate, str]] | None, count: str, bin_size: int | str, every: bool) -> DataFrame:
+    """MAP from pairs: each place is matched once, and a place gathers one entry for each exp sample that hits it."""
     keys = [*I.COORDS, *([] if every else ["sample_id"])]
     places = ref.select(*keys).distinct()
     partner_ids = pairs.select("exp_id").distinct()
@@ -272,7 +316,9 @@ def map_regions(ref: DataFrame, exp: DataFrame, pairs: DataFrame, aggregates: di
     nothing = _right(exp).limit(0).agg(*sums).select(F.struct(*names).alias("_nothing"))  # one row
     hits = found.groupBy(*keys, "exp_id").agg(*sums).groupBy(*keys).agg(F.collect_list(F.struct(F.col("exp_id").alias("id"), F.struct(*names).alias("sums"))).alias("_hits"))
     own = [c for c in ref.columns if c != "sample_id"]
-    whole = ref.join(hits, keys, "left").crossJoin(F.broadcast(nothing))
+    hits = hits.select(*(F.col(c).alias(f"_k_{c}") for c in keys), "_hits")
+    at = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) if c == "strand" else F.col(c) == F.col(f"_k_{c}") for c in keys]
+    whole = ref.join(hits, _and(at), "left").crossJoin(F.broadcast(nothing))
     if every:  # all ref samples have the same partners, in one row
         known = pairs.select(F.col("ref_id").alias("sample_id")).distinct()
         whole = whole.join(per_sample(known), "sample_id", "left_semi").crossJoin(F.broadcast(partner_ids.agg(F.collect_list("exp_id").alias("_partners"))))

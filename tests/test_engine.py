@@ -1,6 +1,7 @@
 """The interval engine against the fixture scenarios and plain Python definitions."""
 
 import hashlib
+import math
 import random
 import struct
 from collections import Counter
@@ -16,6 +17,7 @@ from strandframe.operators import genometric as G
 from strandframe.operators import matrix as X
 from strandframe.operators import metadata as M
 from strandframe.operators import regions as R
+from strandframe.operators import stripes
 from strandframe.sources import files, schema
 
 SCHEMA = "sample_id long, chrom string, start long, stop long, strand string, x double, y double"
@@ -429,6 +431,39 @@ def test_nearest_by_sweep(spark, conditions):
     assert sorted(got) == sorted(want) and want
 
 
+@pytest.mark.parametrize("stripe", [64, 1 << 20])
+def test_extremes_without_pairs(spark, monkeypatch, stripe):
+    """Counts, least and greatest of odd regions and values, over stripes and by pairs where ref regions are longer than these allow."""
+    monkeypatch.setattr(stripes, "STRIPE", stripe)
+    nan, inf = float("nan"), float("inf")
+    a, b = odd_regions(51, 80, [0, 1]), odd_regions(52, 100, [2, 3])
+    b = [(*r[:5], [None, nan, inf, -0.5, 2.5, 7.0][n % 6] if n % 2 else r[5], None if n % 5 == 0 else n % 7) for n, r in enumerate(b)]
+    b += [(2, "c1", 20, 400, "*", None, 3), (3, "c2", 130, 110, "+", 1.5, 9), (2, "c1", 60, 60, "-", nan, None), (2, None, 5, 90, "*", 1.0, 1), (3, "c1", 5, None, "*", 1.0, 1), (3, "c1", 5, 300, None, 8.0, 1)]
+    a += [(0, "c1", 60, 60, "*", 1.0), (1, "c2", 100, 140, "+", 1.0), (1, "c2", 128, 115, "*", 1.0), (1, None, 5, 9, "+", 1.0), (0, "c1", None, 9, "+", 1.0), (0, "c9", 1, 9, "+", 1.0), (0, "c1", 10, 90, None, 2.0)]
+    ref = spark.createDataFrame(a, "sample_id long, chrom string, start long, stop long, strand string, v double")
+    exp = spark.createDataFrame(b, "sample_id long, chrom string, start long, stop long, strand string, w double, i int")
+    size = lambda v: (math.isnan(v), v)
+    kinds = {"m": ("MAX", "w"), "l": ("min", "w"), "n": ("COUNT_NON_NULL", "i"), "k": ("MIN", "i"), "c": ("COUNT", "w"), "p": ("MAX", "start")}
+    for every, chosen in ((True, [(i, j) for i in (0, 1) for j in (2, 3, 4)]), (False, [(0, 2), (1, 2), (1, 3), (1, 4)])):
+        out = G.map_regions(ref, exp, spark.createDataFrame(chosen, "ref_id long, exp_id long"), kinds, every=every)
+        want = []
+        for r in a:
+            for j in (j for i, j in chosen if i == r[0]):
+                over = [e for e in b if e[0] == j and e[1] == r[1] and None not in (*r[1:4], *e[1:4]) and r[2] < e[3] and e[2] < r[3] and strands_fit(r[4], e[4]) and (r[4] or e[4] == "*")]
+                w, i = [e[5] for e in over if e[5] is not None], [e[6] for e in over if e[6] is not None]
+                want.append((r[0], j, *r[1:], len(over), max(w, key=size, default=None), min(w, key=size, default=None), len(i), min(i, default=None), len(over), max((e[2] for e in over), default=None)))
+        assert Counter(map(repr, map(tuple, out.collect()))) == Counter(map(repr, want))
+
+
+def test_greatest_under_many(spark):
+    """The greatest value of 100,000 regions over each of 3,000 costs no pairs, and no bins of the length of the regions."""
+    exp = spark.range(100_000).select(F.lit(2).cast("long").alias("sample_id"), F.lit("c").alias("chrom"), F.col("id").alias("start"), (F.col("id") + 10_000_000).alias("stop"), F.lit("+").alias("strand"), F.col("id").alias("v"))
+    ref = spark.range(3000).select(F.lit(1).cast("long").alias("sample_id"), F.lit("c").alias("chrom"), (F.col("id") + 5_000_000).alias("start"), (F.col("id") + 5_000_100).alias("stop"), F.lit("*").alias("strand"))
+    out = G.map_regions(ref, exp, spark.createDataFrame([(1, 2)], "ref_id long, exp_id long"), {"m": ("MAX", "v")}, bin_size=I.NESTED, every=True)
+    assert out.select("count", "m").distinct().collect() == [(100_000, 99_999)]
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_shared_steps(spark, tmp_path):
     """What two results read is computed once, and read from a table by both; a step that is read once stays a plan."""
     from strandframe.plans import flow
