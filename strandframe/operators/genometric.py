@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -213,13 +214,48 @@ def matches(ref: DataFrame, exp: DataFrame, atoms: list[Condition], pairs: DataF
         bounds.append(I.distance(F.col("start"), F.col("stop"), F.col("e_start"), F.col("e_stop")) <= reach)
     # bins meet only if the widened left interval reaches into the right one, so a distance of exactly reach needs one more
     if cut < len(atoms):
-        return _nearest(ref, exp, atoms[cut].k, reach, _and(bounds), pairs, on, bin_size, [a.n for a in before if isinstance(a, DistGreater)]).where(_and([_atom(a) for a in after]))
+        return _nearest(ref, exp, atoms[cut].k, reach, before, after, _and(bounds), pairs, on, bin_size)
     apart, side = _apart_and_side(before)
     return interval_pairs(ref, exp, reach + 1, _and(bounds), pairs, bin_size=bin_size, equal=[(c, c) for c in on], apart=apart, side=side)
 
 
-def _nearest(ref: DataFrame, exp: DataFrame, k: int, reach: int, condition: Column, pairs: DataFrame | None, on: list[str], bin_size: int, greater: list[int]) -> DataFrame:
-    """Pairs of ref and exp rows whose distance is among the k least of the ref region in the exp sample, up to reach.
+def _fit(conditions: list[Condition], gap: np.ndarray, minus: bool, r_start: np.ndarray, r_stop: np.ndarray, e_start: np.ndarray, e_stop: np.ndarray) -> np.ndarray:
+    """Which of the pairs satisfy the conditions, as _atom has them; minus: the left regions' strand is -."""
+    out = np.ones(len(gap), bool)
+    for c in conditions:
+        match c:
+            case DistLess(n):
+                out &= gap < n
+            case DistGreater(n):
+                out &= gap > n
+            case Upstream() | Downstream():
+                out &= e_start >= r_stop if isinstance(c, Upstream) == minus else e_stop <= r_start
+            case _:
+                raise ValueError(f"not a condition: {c!r}")
+    return out
+
+
+def _nearest(ref: DataFrame, exp: DataFrame, k: int, reach: int, before: list[Condition], after: list[Condition], condition: Column, pairs: DataFrame | None, on: list[str], bin_size: int | str) -> DataFrame:
+    """Pairs of ref and exp rows whose distance is among the k least of the ref region in the exp sample, up to reach, as far as they satisfy after.
+
+    In stripes, where each side is shuffled once; by a sweep of positions and joins for ref regions that are too long for stripes, and with on.
+    condition has before and the reach.
+    """
+    greater = [a.n for a in before if isinstance(a, DistGreater)]
+    later = _and([_atom(a) for a in after])
+    if on:
+        return _nearest_swept(ref, exp, k, reach, condition, pairs, on, bin_size, greater).where(later)
+    short, long, exp_long = stripes.split(ref, exp, reach)
+    answers = stripes.nearest(k, max([0, *(n + 1 for n in greater)]), reach, not greater or max(greater) < 0, partial(_fit, before), partial(_fit, after))
+    if pairs is not None:
+        short = short.join(per_pair(pairs.select(F.col("ref_id").alias("sample_id"), F.col("exp_id").alias("_partner"))), "sample_id")
+        exp = exp.withColumn("_partner", F.col("sample_id"))
+    met = stripes.beside(short, exp, reach, answers).drop("_partner")
+    return met.unionByName(_nearest_swept(long, exp_long, k, reach, condition, pairs, on, bin_size, greater).where(later))
+
+
+def _nearest_swept(ref: DataFrame, exp: DataFrame, k: int, reach: int, condition: Column, pairs: DataFrame | None, on: list[str], bin_size: int | str, greater: list[int]) -> DataFrame:
+    """_nearest for regions of any length.
 
     What is near a region hangs on its coordinates (and on, and its sample where pairs restricts), so equal regions are
     searched for once. Regions apart from it come from a sweep: the k nearest positions on each side, beyond the largest

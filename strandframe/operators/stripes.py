@@ -331,3 +331,76 @@ def extremes(names: list[str], kinds: list[tuple[str, str | None]]) -> Callable:
         yield np.arange(len(r.start)), hits(len(r.start), found, names)
 
     return answers
+
+
+# --- nearest -----------------------------------------------------------------------------------------------------------
+
+
+def _least(q: np.ndarray, gap: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of the entries whose gap is among the k least of their q, ties kept."""
+    order = np.lexsort((gap, q))
+    q, gap = q[order], gap[order]
+    fresh = np.ones(len(q), bool)
+    fresh[1:] = q[1:] != q[:-1]
+    other = fresh.copy()
+    other[1:] |= gap[1:] != gap[:-1]
+    rank = np.cumsum(other)
+    return order[rank - np.maximum.accumulate(np.where(fresh, rank, 0)) < k]
+
+
+def nearest(k: int, apart: int, reach: int, over: bool, before: Callable, after: Callable) -> Callable:
+    """Answers of MinDistance(k): pairs whose gap is among the k least up to reach, of those that before tells to be fit; after filters what is left.
+
+    Beside a region the k nearest stops up to its start - apart and the k nearest starts from its stop + apart are enough; with over,
+    overlapping ones are looked at as well. before and after take a gap and the coordinates of both sides.
+    """
+
+    def ties(lane: Lane, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, distinct positions, where each begins in order, and the end)."""
+        if name not in lane.made:
+            order = np.argsort(getattr(lane, name), kind="stable")
+            at, first = np.unique(getattr(lane, name)[order], return_index=True)
+            lane.made[name] = order, at, np.append(first, len(order))
+        return lane.made[name]
+
+    def windows(lane: Lane, start: np.ndarray, stop: np.ndarray) -> list[tuple]:
+        """(side, order, from, to): regions before, after and about the asked."""
+        order, at, first = ties(lane, "stop")
+        n = np.searchsorted(at, start - apart, "right")
+        out = [(-1, order, first[np.maximum(n - k, 0)], first[n])]
+        order, at, first = ties(lane, "start")
+        n = np.searchsorted(at, stop + apart, "left")
+        out.append((1, order, first[n], first[np.minimum(n + k, len(at))]))
+        return out + [(0, *w) for w in lane.near(start, stop)] if over else out
+
+    def found(lane: Lane, found: list[tuple], part: slice, start: np.ndarray, stop: np.ndarray, minus: bool) -> tuple[np.ndarray, np.ndarray]:
+        qs, ns = [], []
+        for side, order, a, b in found:
+            q, n = spread(a[part], b[part])
+            n = order[n]
+            if side >= 0:
+                fits = lane.stop[n] > start[q] - apart  # an empty region beside an empty one is on both sides
+                if side == 0:
+                    fits &= lane.start[n] < stop[q]
+                q, n = q[fits], n[fits]
+            qs.append(q)
+            ns.append(n)
+        q, n = np.concatenate(qs), np.concatenate(ns)
+        places = lambda: (np.maximum(start[q] - lane.stop[n], lane.start[n] - stop[q]), minus, start[q], stop[q], lane.start[n], lane.stop[n])
+        gap, *rest = places()
+        fits = (gap <= reach) & before(gap, *rest)
+        q, n = q[fits], n[fits]
+        kept = _least(q, gap[fits], k)
+        q, n = q[kept], n[kept]
+        fits = after(*places())
+        return q[fits], n[fits]
+
+    def answers(r: Regions, e: Exp):
+        for strand, rows in r.by_strand():
+            start, stop = r.start[rows], r.stop[rows]
+            lanes = [(lane, windows(lane, start, stop)) for lane in e.lanes(strand)]
+            for part in chunks(sum((b - a for _, w in lanes for *_, a, b in w), np.zeros(len(rows), int))) if lanes else ():
+                met = [(found(lane, w, part, start[part], stop[part], strand == "-"), lane) for lane, w in lanes]
+                yield rows[part][np.concatenate([q for (q, _), _ in met])], np.concatenate([lane.rows[n] for (_, n), lane in met])
+
+    return answers

@@ -410,6 +410,36 @@ def test_count_under_many(spark):
     assert out.select("count").distinct().collect() == [(100_000,)]
 
 
+@pytest.mark.parametrize("reach", [30, 700])
+def test_nearest_in_stripes(spark, monkeypatch, reach):
+    """Over many stripes, with regions longer than these allow, partners of samples, nulls; and each side is read once if none is long."""
+    monkeypatch.setattr(stripes, "STRIPE", 640)
+    schema = "sample_id long, chrom string, start long, stop long, strand string, v double"
+    a, b = odd_regions(41, 90, [0, 1], 3000), odd_regions(42, 160, [2, 3], 3000)
+    b += [(2, "c1", 100, 2500, "*", 1.0), (3, "c2", None, 5, "+", 1.0), (2, None, 5, 9, "+", 1.0), (2, "c2", 5, 9, None, 1.0)]
+    a += [(0, "c2", 1, 3, "*", 4.0), (0, None, 5, 9, "+", 1.0), (1, "c1", 5, None, "+", 1.0), (1, "c1", 300, 330, "+", None), (0, "c9", 1, 2, "*", 1.0)]
+    ref, exp = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    for conditions, chosen in (([G.MinDistance(2)], None), ([G.DistLess(reach), G.MinDistance(1), G.DistGreater(2)], None), ([G.Upstream(), G.MinDistance(1), G.Downstream()], None), ([G.DistGreater(4), G.MinDistance(2), G.Upstream()], [(0, 2), (1, 3)])):
+        cut = next(i for i, c in enumerate(conditions) if isinstance(c, G.MinDistance))
+        most = reach + (4 if isinstance(conditions[0], G.DistGreater) else 0)
+        want = []
+        for r in a:
+            for j in (2, 3):
+                if None in r[1:4] or chosen and (r[0], j) not in chosen:
+                    continue
+                near = [(max(r[2] - e[3], e[2] - r[3]), e) for e in b if e[0] == j and e[1] == r[1] and e[2] is not None and strands_fit(r[4], e[4])]
+                near = [(g, e) for g, e in near if g <= most and all(holds(c, r, e) for c in conditions[:cut])]
+                least = sorted({g for g, _ in near})[: conditions[cut].k]
+                want += [(r[0], j, *r[1:], *e[1:]) for g, e in near if g in least and all(holds(c, r, e) for c in conditions[cut + 1 :])]
+        pairs = chosen and spark.createDataFrame(chosen, "ref_id long, exp_id long")
+        out = G.join(ref, exp, conditions, "BOTH", pairs, horizon=reach)
+        got = out.select("ref_id", "exp_id", "chrom", "start", "stop", "strand", "v", "right_chrom", "right_start", "right_stop", "right_strand", "right_v").collect()
+        assert Counter(map(tuple, got)) == Counter(want), conditions
+    out = G.join(ref.where("stop - start < 40"), exp, [G.MinDistance(2)], horizon=reach)
+    out.collect()
+    assert "MapInArrow" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "Window" not in plan.split("Initial Plan")[0]
+
+
 @pytest.mark.parametrize("conditions", [[G.MinDistance(1)], [G.MinDistance(3)], [G.DistGreater(7), G.MinDistance(2)], [G.Upstream(), G.MinDistance(2)], [G.Downstream(), G.DistLess(500), G.MinDistance(1)], [G.DistGreater(-30), G.MinDistance(2), G.DistLess(40)]])
 def test_nearest_by_sweep(spark, conditions):
     a, b = odd_regions(3, 60, [0, 1], 3000), odd_regions(4, 130, [2, 3], 3000)
