@@ -319,17 +319,18 @@ def _map_extremes(ref: DataFrame, exp: DataFrame, pairs: DataFrame, aggregates:
     return met.unionByName(_map_paired(long, exp_long, pairs, aggregates, count, bin_size, every))
 
 
-def _map_striped(ref: DataFrame, exp: DataFrame, pairs: DataFrame, every: bool, answers: Callable, sums: list[tuple[str, T.DataType]], nothing: Column, **more) -> DataFrame:
-    """Each ref region for each paired sample, with the sums that answers finds in its stripe, or nothing."""
+def _map_striped(ref: DataFrame, exp: DataFrame, pairs: DataFrame, every: bool, answers: Callable, sums: list[tuple[str, T.DataType]], nothing: Column, at: Column | None = None, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Each ref region for each paired sample, with the sums that answers finds in its stripe, or nothing. at: stripes of exp regions; more makes further rows of them."""
     cells = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("sums", T.StructType([T.StructField(n, t) for n, t in sums]))]))
     ids = per_sample(pairs.select(F.col("exp_id").alias("sample_id")).distinct())
     right = exp.join(ids, "sample_id", "left_semi")
     if every:  # all ref samples have the same partners, in one row
         known = ref.join(per_sample(pairs.select(F.col("ref_id").alias("sample_id")).distinct()), "sample_id", "left_semi")
-        met = stripes.beside(known, right, 0, answers, cells, **more).crossJoin(F.broadcast(ids.agg(F.collect_list("sample_id").alias("_partners"))))
+        met = stripes.beside(known, right, 0, answers, cells, at, more and more(right)).crossJoin(F.broadcast(ids.agg(F.collect_list("sample_id").alias("_partners"))))
     else:
         known = ref.join(per_pair(pairs.select(F.col("ref_id").alias("sample_id"), F.col("exp_id").alias("_partner"))), "sample_id")
-        met = stripes.beside(known, right.withColumn("_partner", F.col("sample_id")), 0, answers, cells, **more).withColumn("_partners", F.array("_partner"))
+        right = right.withColumn("_partner", F.col("sample_id"))
+        met = stripes.beside(known, right, 0, answers, cells, at, more and more(right)).withColumn("_partners", F.array("_partner"))
     hit = F.col("_hits")
     missed = F.transform(F.array_except("_partners", hit["id"]), lambda i: F.struct(i.alias("id"), nothing.alias("sums")))
     own = [c for c in ref.columns if c != "sample_id"]
@@ -368,6 +369,15 @@ def _map_paired(ref: DataFrame, exp: DataFrame, pairs: DataFrame, aggregates: di
 
 def map_merging(ref: DataFrame, exp: DataFrame, pairs: DataFrame, value: str, kind: Merging, name: str, count: str = "count", bin_size: int | str = BIN, every: bool = False) -> DataFrame:
     """MAP with an aggregate of the user's own over a value of the exp regions; null for regions without a hit."""
+    short, long, exp_long = stripes.split(ref, exp, 0)
+    right = exp.select("sample_id", *I.COORDS, F.col(value).cast("double").alias("_value"))
+    nothing = F.struct(F.lit(0).cast("long").alias(count), F.lit(None).cast("double").alias(name))
+    met = _map_striped(short, right, pairs, every, stripes.merging([count, name], kind), [(count, T.LongType()), (name, T.DoubleType())], nothing)
+    return met.unionByName(_merging_paired(long, exp_long, pairs, value, kind, name, count, bin_size, every))
+
+
+def _merging_paired(ref: DataFrame, exp: DataFrame, pairs: DataFrame, value: str, kind: Merging, name: str, count: str, bin_size: int | str, every: bool) -> DataFrame:
+    """map_merging for regions of any length: pairs merged in the tasks that make them, then again by region."""
     keys = [*I.COORDS, *([] if every else ["sample_id"]), "exp_id"]
     counted = map_regions(ref, exp, pairs, None, count, bin_size, every)
     overlap = I.overlaps(F.col("start"), F.col("stop"), F.col("e_start"), F.col("e_stop"))

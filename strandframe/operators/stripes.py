@@ -137,7 +137,7 @@ class Exp:
         self._lanes = {}
         if parts:
             all_ = Regions(pa.concat_arrays(parts))
-            self.rows, self.start, self.stop, self._all = all_.rows, all_.start, all_.stop, all_
+            self.rows, self.start, self.stop, self.known, self._all = all_.rows, all_.start, all_.stop, all_.known, all_
             self.sample = _numbers(all_["sample_id"])
 
     def __getitem__(self, name: str) -> pa.Array:
@@ -333,6 +333,37 @@ def extremes(names: list[str], kinds: list[tuple[str, str | None]]) -> Callable:
     return answers
 
 
+# --- MAP: the user's merging aggregates ------------------------------------------------------------------
+
+
+def merging(names: list[str], kind) -> Callable:
+    """Answers of MAP with a count and the outcome of kind, a Merging, over the column _value."""
+
+    def answers(r: Regions, e: Exp):
+        import pandas as pd
+
+        asked = [(rows, lane) for strand, rows in r.by_strand() for lane in e.lanes(strand)]
+        sizes = np.zeros(len(r.start), int)
+        for rows, lane in asked:
+            sizes[rows] += sum(b - a for _, a, b in lane.near(r.start[rows], r.stop[rows]))
+        for part in chunks(sizes):
+            found = []
+            for rows, lane in asked:
+                rows = rows[(rows >= part.start) & (rows < part.stop)]
+                q, n = lane.overlapping(r.start[rows], r.stop[rows])
+                if not len(q):
+                    continue
+                f = pd.DataFrame({"q": q, "v": e["_value"].take(pa.array(lane.rows[n])).to_numpy(zero_copy_only=False)})
+                hit, size = np.unique(q, return_counts=True)
+                full = np.bincount(q[f["v"].notna()], minlength=len(rows))[hit]
+                merged = f[f["v"].notna()].groupby("q")["v"].agg(kind.merge).reindex(hit)
+                values = [kind.out(m if some else None, int(all_), int(some)) for m, all_, some in zip(merged, size, full, strict=True)]
+                found.append((rows[hit] - part.start, lane.sample, [pa.array(size, pa.int64()), pa.array([None if v is None else float(v) for v in values], pa.float64())]))
+            yield np.arange(part.start, part.stop), hits(part.stop - part.start, found, names)
+
+    return answers
+
+
 # --- nearest -----------------------------------------------------------------------------------------------------------
 
 

@@ -485,6 +485,44 @@ def test_extremes_without_pairs(spark, monkeypatch, stripe):
         assert Counter(map(repr, map(tuple, out.collect()))) == Counter(map(repr, want))
 
 
+def odd_sides(spark):
+    a, b = odd_regions(61, 90, [0, 1]), odd_regions(62, 120, [2, 3])
+    b += [(2, "c1", 0, 60_000_000, "*", 1.0), (2, "c1", 77, 77, "+", 1.0), (3, "c2", 100, 50_000_200, None, None), (3, "c1", 50_000_010, 50_000_400, "-", 2.0), (2, None, 5, 90, "*", 1.0), (3, "c1", 5, None, "*", 1.0)]
+    a += [(0, "c1", 77, 77, "*", 1.0), (0, "c1", 25_000_000, 25_000_003, "+", 1.0), (1, "c2", 25_000_000, 25_000_003, "*", 1.0), (1, None, 5, 9, "+", 1.0), (1, "c3", 5, 9, "+", 1.0), (0, "c1", None, 9, "+", 1.0), (0, "c1", 62, 65, None, 1.0)]
+    schema = "sample_id long, chrom string, start long, stop long, strand string, v double"
+    over = lambda r, j: [e for e in b if e[0] == j and e[1] == r[1] and None not in (*r[1:4], *e[1:4]) and r[2] < e[3] and e[2] < r[3] and strands_fit(r[4], e[4]) and (r[4] or e[4] == "*")]
+    return a, spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), over
+
+
+def both_ways(spark):
+    """Samples all paired (one without regions), and some of them."""
+    for every, chosen in ((True, [(i, j) for i in (0, 1) for j in (2, 3, 4)]), (False, [(0, 2), (1, 2), (1, 3), (1, 4)])):
+        yield every, chosen, spark.createDataFrame(chosen, "ref_id long, exp_id long")
+
+
+@pytest.mark.parametrize("stripe", [64, 1 << 20])
+def test_merging_in_stripes(spark, monkeypatch, stripe):
+    """Each region's hits are merged in its stripe, with one shuffle of each side and none of hits."""
+    from strandframe.functions.aggregates import Merging
+
+    monkeypatch.setattr(stripes, "STRIPE", stripe)
+    a, ref, exp, over = odd_sides(spark)
+    kind = Merging(lambda s: s.max(), lambda m, rows, full: None if m is None else m + 1000 * rows + full)
+    for every, chosen, pairs in both_ways(spark):
+        out = G.map_merging(ref, exp, pairs, "v", kind, "x", every=every)
+        want = []
+        for r in a:
+            for j in (j for i, j in chosen if i == r[0]):
+                found = over(r, j)
+                full = [e[5] for e in found if e[5] is not None]
+                want.append((r[0], j, *r[1:], len(found), max(full) + 1000 * len(found) + len(full) if full else None))
+        got = [t for t in map(tuple, out.collect())]
+        assert Counter(got) == Counter(want)
+    out = G.map_merging(ref.where("stop - start <= 4"), exp, pairs, "v", kind, "x", every=False)
+    out.collect()
+    assert "MapInPandas" not in out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
 def test_greatest_under_many(spark):
     """The greatest value of 100,000 regions over each of 3,000 costs no pairs, and no bins of the length of the regions."""
     exp = spark.range(100_000).select(F.lit(2).cast("long").alias("sample_id"), F.lit("c").alias("chrom"), F.col("id").alias("start"), (F.col("id") + 10_000_000).alias("stop"), F.lit("+").alias("strand"), F.col("id").alias("v"))
