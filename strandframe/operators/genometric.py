@@ -379,7 +379,7 @@ def map_merging(ref: DataFrame, exp: DataFrame, pairs: DataFrame, value: str, ki
 def _merging_paired(ref: DataFrame, exp: DataFrame, pairs: DataFrame, value: str, kind: Merging, name: str, count: str, bin_size: int | str, every: bool) -> DataFrame:
     """map_merging for regions of any length: pairs merged in the tasks that make them, then again by region."""
     keys = [*I.COORDS, *([] if every else ["sample_id"]), "exp_id"]
-    counted = map_regions(ref, exp, pairs, None, count, bin_size, every)
+    counted = _map_swept(ref, exp, pairs, [count], every)
     overlap = I.overlaps(F.col("start"), F.col("stop"), F.col("e_start"), F.col("e_stop"))
     right = exp.join(per_sample(pairs.select(F.col("exp_id").alias("sample_id")).distinct()), "sample_id", "left_semi")
     found = interval_pairs(ref.select(*(k for k in keys if k != "exp_id")).distinct(), right, 0, overlap, None if every else pairs, bin_size=bin_size)
@@ -389,6 +389,15 @@ def _merging_paired(ref: DataFrame, exp: DataFrame, pairs: DataFrame, value: str
 
 
 def _map_counts(ref: DataFrame, exp: DataFrame, pairs: DataFrame, names: list[str], every: bool) -> DataFrame:
+    """In stripes, where each side is shuffled once; ref regions that are too long for these by a sweep."""
+    short, long, exp_long = stripes.split(ref, exp, 0)
+    right = exp.select("sample_id", *I.COORDS, F.lit(None).cast("long").alias("_before"))
+    nothing = F.struct(*(F.lit(0).cast("long").alias(n) for n in names))
+    met = _map_striped(short, right, pairs, every, stripes.counts(names), [(n, T.LongType()) for n in names], nothing, stripes.ends(), lambda right: stripes.carried(short, right))
+    return met.unionByName(_map_swept(long, exp_long, pairs, names, every))
+
+
+def _map_swept(ref: DataFrame, exp: DataFrame, pairs: DataFrame, names: list[str], every: bool) -> DataFrame:
     keys = [*I.COORDS, *([] if every else ["sample_id"])]
     rows, places = ref, ref.select(*keys).distinct()
     if every:

@@ -14,7 +14,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -333,7 +333,55 @@ def extremes(names: list[str], kinds: list[tuple[str, str | None]]) -> Callable:
     return answers
 
 
-# --- MAP: the user's merging aggregates ------------------------------------------------------------------
+# --- MAP: counts alone, and the user's merging aggregates ------------------------------------------------------------------
+
+
+def ends(reach: int = 0) -> Column:
+    """Stripes of a region's stop and of the ref regions that may have its start inside; none of those between them."""
+    wide = width(reach)
+    return F.array_distinct(F.array(_stripe(F.col("start") - longest(reach), wide), _stripe(F.col("start"), wide), _stripe(F.col("stop"), wide)))
+
+
+def carried(ref: DataFrame, exp: DataFrame) -> DataFrame:
+    """Rows for beside() in the stripes of ref regions: _before is how many exp regions of the sample and strand begin before the stripe and stop in or after it."""
+    wide, axis = width(0), ["sample_id", "chrom", "strand"]
+    whole = F.col("chrom").isNotNull() & (_stripe(F.col("start"), wide) != _stripe(F.col("stop"), wide))
+    at = lambda name, n: F.struct(_stripe(F.col(name), wide).alias("_stripe"), F.lit(n).cast("long").alias("_before"))
+    marks = exp.where(whole).select(*axis, F.inline(F.array(at("start", 1), at("stop", -1)))).groupBy(*axis, "_stripe").agg(F.sum("_before").alias("_before"))
+    asked = ref.select("chrom", _stripe(F.col("start"), wide).alias("_stripe")).distinct()
+    asked = marks.select(*axis).distinct().join(asked, "chrom").withColumns({"_before": F.lit(0).cast("long"), "_asked": F.lit(True)})
+    before = Window.partitionBy(*axis).orderBy("_stripe").rowsBetween(Window.unboundedPreceding, -1)
+    sums = marks.withColumn("_asked", F.lit(False)).unionByName(asked).groupBy(*axis, "_stripe").agg(F.sum("_before").alias("_before"), F.max("_asked").alias("_asked"))
+    out = sums.withColumn("_before", F.sum("_before").over(before)).where("_asked and _before != 0").drop("_asked")
+    out = out.withColumns({"start": F.lit(None).cast(exp.schema["start"].dataType), "stop": F.lit(None).cast(exp.schema["stop"].dataType)})
+    return out.withColumn("_partner", F.col("sample_id")) if "_partner" in exp.columns else out
+
+
+def counts(names: list[str]) -> Callable:
+    """Answers of MAP with counts alone, all under names, from exp regions in their ends() and carried()."""
+
+    def inside(lane: Lane) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """(regions over the stripe's begin, starts, stops and places of empty regions in it)."""
+        if "ends" not in lane.made:
+            known, low = lane.exp.known[lane.rows], lane.exp.low
+            start, stop = lane.start[known], lane.stop[known]
+            before = _numbers(lane.exp["_before"])[lane.rows].sum()
+            lane.made["ends"] = int(before), np.sort(start[start >= low]), np.sort(stop[(stop >= low) & (stop < low + lane.exp.wide)]), np.sort(start[start == stop])
+        return lane.made["ends"]
+
+    def answers(r: Regions, e: Exp):
+        found = []
+        for strand, rows in r.by_strand():
+            start, stop = r.start[rows], r.stop[rows]
+            for lane in e.lanes(strand):
+                before, starts, stops, points = inside(lane)
+                both = np.searchsorted(points, start, "right") - np.searchsorted(points, start, "left")
+                n = before + np.searchsorted(starts, stop, "left") - np.searchsorted(stops, start, "right") + np.where(start == stop, both, 0)
+                hit = np.flatnonzero(n)
+                found.append((rows[hit], lane.sample, [pa.array(n[hit], pa.int64())] * len(names)))
+        yield np.arange(len(r.start)), hits(len(r.start), found, names)
+
+    return answers
 
 
 def merging(names: list[str], kind) -> Callable:

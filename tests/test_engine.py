@@ -500,6 +500,20 @@ def both_ways(spark):
         yield every, chosen, spark.createDataFrame(chosen, "ref_id long, exp_id long")
 
 
+@pytest.mark.parametrize("stripe", [64, 1 << 20])
+def test_counts_in_stripes(spark, monkeypatch, stripe):
+    """Regions over many stripes are carried into each, and no row is made for a region, sample and side."""
+    monkeypatch.setattr(stripes, "STRIPE", stripe)
+    a, ref, exp, over = odd_sides(spark)
+    for every, chosen, pairs in both_ways(spark):
+        out = G.map_regions(ref, exp, pairs, {"again": ("COUNT", "v")}, every=every)
+        want = [(r[0], j, *r[1:], *[len(over(r, j))] * 2) for r in a for i, j in chosen if i == r[0]]
+        assert Counter(map(tuple, out.collect())) == Counter(want)
+    out = G.map_regions(ref.where("stop - start <= 4"), exp, pairs, every=False)
+    out.collect()
+    assert "MapInArrow" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "_row" not in plan.split("Initial Plan")[0]
+
+
 @pytest.mark.parametrize("stripe", [64, 1 << 20])
 def test_merging_in_stripes(spark, monkeypatch, stripe):
     """Each region's hits are merged in its stripe, with one shuffle of each side and none of hits."""
