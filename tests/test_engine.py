@@ -546,6 +546,22 @@ def test_greatest_under_many(spark):
     assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_filtered_nearest_in_stripes(spark, monkeypatch):
+    """A condition after MinDistance is applied where the nearest are found, and nothing is shuffled after that."""
+    monkeypatch.setattr(stripes, "STRIPE", 4096)
+    schema = "sample_id long, chrom string, start long, stop long, strand string, v double"
+    a, b = odd_regions(71, 60, [0, 1], 3000), odd_regions(72, 130, [2, 3], 3000)
+    out = G.join(spark.createDataFrame(a, schema).where("stop - start <= 200"), spark.createDataFrame(b, schema), [G.DistLess(300), G.MinDistance(1), G.DistGreater(5)])
+    want = []
+    for r in a:
+        for j in (2, 3):
+            near = [(max(r[2] - e[3], e[2] - r[3]), e) for e in b if e[0] == j and e[1] == r[1] and strands_fit(r[4], e[4])]
+            want += [(r[0], j, *r[1:], e[5]) for g, e in near if g == min(g for g, _ in near) and 5 < g < 300]
+    assert Counter(map(tuple, out.collect())) == Counter(want) and want
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Window" not in plan and "SortMergeJoin" not in plan
+
+
 def test_shared_steps(spark, tmp_path):
     """What two results read is computed once, and read from a table by both; a step that is read once stays a plan."""
     from strandframe.plans import flow
