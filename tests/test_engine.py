@@ -694,3 +694,19 @@ def test_matrix_nearest(spark):
             want |= {r[1:5] for g, e in near if g in least and all(holds(c, r, e) for c in conditions[cut + 1 :])}
         got = X.matrix_join(left, right, conditions, bin_size=50, horizon=1000)
         assert {tuple(x) for x in got.select(*I.COORDS).collect()} == want and want
+
+
+def test_matrix_nearest_in_stripes(spark, monkeypatch):
+    """The nearest coordinates with their cells, over stripes, from one shuffle of each matrix."""
+    monkeypatch.setattr(stripes, "STRIPE", 8192)
+    schema = "sample_id long, chrom string, start long, stop long, strand string, v double"
+    a, b = odd_regions(81, 60, [0, 1], 3000), odd_regions(82, 90, [2, 3], 3000)
+    joined = X.matrix_join(X.to_matrix(spark.createDataFrame(a, schema)), X.to_matrix(spark.createDataFrame(b, schema)), [G.DistLess(300), G.MinDistance(1)])
+    want = Counter()
+    for r in a:
+        near = [(max(r[2] - e[3], e[2] - r[3]), e) for e in b if e[1] == r[1] and strands_fit(r[4], e[4])]
+        want.update((*r, e[0], e[5]) for g, e in near if g == min(g for g, _ in near) and g < 300)
+    rows = X.crossed(joined, ["cells", "right_cells"]).select("cells_sample_id", *I.COORDS, "cells_value.vals.v", "right_cells_sample_id", F.col("right_cells_value.vals.v").alias("w"))
+    assert Counter(map(tuple, rows.collect())) == want and want
+    joined.collect()
+    assert "Window" not in joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
